@@ -30,13 +30,17 @@ def attach_one_row(df: DataFrame, stats: DataFrame) -> DataFrame:
 
 
 def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round every double column (oracle hygiene) and turn NaN into null."""
+    """Round every double column (oracle hygiene) and turn NaN into null.
+
+    Rounds as ``round(x * 10^d) / 10^d`` -- the form SQL engines use for doubles -- so
+    a value sitting on a rounding tie lands on the same side in Spark and the oracle."""
+    scale = float(10 ** digits)
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             c = F.col(f.name)
             cols.append(F.when(F.isnan(c), F.lit(None).cast("double"))
-                        .otherwise(F.round(c, digits)).alias(f.name))
+                        .otherwise(F.round(c * scale) / scale).alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)

@@ -65,3 +65,49 @@ for _pol in ("four", "six", "three"):
 register("file_labels_four_strict", label_sql("four", "strict"))(_label_query("four", "strict"))
 register("file_labels_six_sensitive", label_sql("six", "sensitive"))(
     _label_query("six", "sensitive"))
+
+
+# ---- 2.4-2.6 features -------------------------------------------------------------------
+
+from heatwise.operators import features as _feat  # noqa: E402
+from heatwise.operators import ordered as _ord  # noqa: E402
+from heatwise.plans import feature_sql as _fsql  # noqa: E402
+
+BASE_COLUMNS = ["node_id", "file_name", "hole_size", "x", "y", "temperature"]
+
+
+def _features_query(level: str):
+    def q(spark: SparkSession, sf_dir: str) -> DataFrame:
+        v = valid_readings(spark, sf_dir)
+        out = _feat.engineer_features(v, level=level, key="node_id")
+        names = BASE_COLUMNS + [n for n, _ in _fsql.feature_columns(level)]
+        return round_doubles(out.select(*names))
+    return q
+
+
+for _lvl in ("basic", "dashboard", "full"):
+    register(f"features_{_lvl}", _fsql.features_sql(_lvl))(_features_query(_lvl))
+
+
+@register("temp_percentile_rank", _fsql.rank_sql())
+def q_rank(spark, sf_dir):
+    v = valid_readings(spark, sf_dir).select("node_id", "temperature")
+    return round_doubles(_ord.rank_pct(v, "temperature", "temp_percentile_rank"))
+
+
+@register("temp_rolling", _fsql.rolling_sql(5))
+def q_rolling(spark, sf_dir):
+    v = valid_readings(spark, sf_dir).select("node_id", "temperature")
+    st = v.agg(F.avg("temperature").alias("mean"), F.stddev_samp("temperature").alias("std"),
+               F.min("temperature").alias("min"), F.max("temperature").alias("max"),
+               F.count("temperature").alias("n")).first().asDict()
+    w = _ord.rolling_window_size(st["n"])
+    return round_doubles(_ord.rolling_stats(v, "temperature", "node_id", w, fill=st))
+
+
+@register("temperature_quantiles", _fsql.quantile_sql())
+def q_quantiles(spark, sf_dir):
+    v = valid_readings(spark, sf_dir)
+    probs = [0.05, 0.25, 0.5, 0.75, 0.9, 0.95]
+    return round_doubles(_ord.exact_quantiles(v, "temperature", probs,
+                                              [f"q{int(p * 100):02d}" for p in probs]))

@@ -111,3 +111,90 @@ def q_quantiles(spark, sf_dir):
     probs = [0.05, 0.25, 0.5, 0.75, 0.9, 0.95]
     return round_doubles(_ord.exact_quantiles(v, "temperature", probs,
                                               [f"q{int(p * 100):02d}" for p in probs]))
+
+
+# ---- 2.2/2.3 tagging and 2.7/2.8 EDA ----------------------------------------------------
+
+from heatwise.operators import eda as _eda  # noqa: E402
+from heatwise.operators import labels as _lab  # noqa: E402
+from heatwise.operators import selection as _sel  # noqa: E402
+from heatwise.plans import eda_sql as _esql  # noqa: E402
+
+
+def tagged_readings(spark: SparkSession, sf_dir: str, policy: str = _esql.TAGGED_POLICY):
+    """Valid readings with their file's label (the notebook's combined frame)."""
+    return _lab.tag_rows(valid_readings(spark, sf_dir), labels_for(spark, sf_dir, policy))
+
+
+@register("tagged_rows", _esql.TAGGED_ROWS)
+def q_tagged(spark, sf_dir):
+    return round_doubles(tagged_readings(spark, sf_dir))
+
+
+@register("file_label_summary", _esql.FILE_LABEL_SUMMARY)
+def q_file_label_summary(spark, sf_dir):
+    return _lab.file_label_summary(labels_for(spark, sf_dir, _esql.TAGGED_POLICY))
+
+
+@register("ingest_stats", _esql.INGEST_STATS)
+def q_ingest_stats(spark, sf_dir):
+    return round_doubles(_lab.ingest_stats(tagged_readings(spark, sf_dir)))
+
+
+@register("class_balance", _esql.CLASS_BALANCE)
+def q_class_balance(spark, sf_dir):
+    return round_doubles(_eda.class_balance(tagged_readings(spark, sf_dir)))
+
+
+@register("balance_quality", _esql.BALANCE_QUALITY)
+def q_balance_quality(spark, sf_dir):
+    return round_doubles(_eda.balance_quality(tagged_readings(spark, sf_dir)))
+
+
+@register("temp_stats_by_label", _esql.TEMP_STATS_BY_LABEL)
+def q_temp_stats_by_label(spark, sf_dir):
+    return _eda.temp_stats_by_label(tagged_readings(spark, sf_dir))
+
+
+@register("hole_size_analysis", _esql.HOLE_SIZE_ANALYSIS)
+def q_hole_size_analysis(spark, sf_dir):
+    return round_doubles(_eda.hole_size_analysis(tagged_readings(spark, sf_dir)))
+
+
+@register("dataset_stats", _esql.DATASET_STATS)
+def q_dataset_stats(spark, sf_dir):
+    out = _eda.dataset_stats(tagged_readings(spark, sf_dir))
+    return round_doubles(out.withColumn("hole_sizes", F.array_join("hole_sizes", ",")))
+
+
+@register("describe_confidence", _esql.DESCRIBE_CONFIDENCE)
+def q_describe_confidence(spark, sf_dir):
+    return round_doubles(_eda.describe(tagged_readings(spark, sf_dir), "leak_confidence"))
+
+
+@register("criteria_histogram", _esql.CRITERIA_HISTOGRAM)
+def q_criteria_histogram(spark, sf_dir):
+    return _eda.value_counts(tagged_readings(spark, sf_dir), "criteria_count")
+
+
+@register("temperature_histogram", _esql.histogram_sql("temperature", 50))
+def q_temperature_histogram(spark, sf_dir):
+    return round_doubles(_eda.histogram(tagged_readings(spark, sf_dir), "temperature",
+                                        "leak_status", bins=50))
+
+
+@register("confidence_histogram", _esql.histogram_sql("leak_confidence", 30))
+def q_confidence_histogram(spark, sf_dir):
+    return round_doubles(_eda.histogram(tagged_readings(spark, sf_dir), "leak_confidence",
+                                        "leak_status", bins=30))
+
+
+@register("box_stats", _esql.BOX_STATS)
+def q_box_stats(spark, sf_dir):
+    return round_doubles(_eda.box_stats(tagged_readings(spark, sf_dir), "temperature",
+                                        "hole_size"))
+
+
+@register("separation_check", _esql.SEPARATION_CHECK)
+def q_separation_check(spark, sf_dir):
+    return round_doubles(_eda.separation_check(tagged_readings(spark, sf_dir)))

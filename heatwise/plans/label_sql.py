@@ -6,8 +6,10 @@ from heatwise.plans.sqltext import READINGS_CTE, VALID_CTE, case_factor, d, r6
 from heatwise.policies import LabelPolicy, policy as _policy
 
 
-def label_sql(policy="four", sensitivity: str = "balanced") -> str:
+def label_sql(policy="four", sensitivity: str = "balanced", rounded: bool = True) -> str:
+    """Labels per file; ``rounded=False`` keeps raw doubles (for use as a CTE)."""
     pol: LabelPolicy = _policy(policy)
+    rr = r6 if rounded else (lambda e: f"({e})")
     fac = case_factor("hole_size", pol.factors, pol.default_factor)
     thr = f"({d(pol.threshold)} * {fac})"
     crits = []  # (cond, message)
@@ -98,13 +100,13 @@ s AS (SELECT s.*{idx_join} FROM s1 s),
 c AS (SELECT s.*, {count} AS cc, {total} AS tot,
              concat_ws('; ', {messages}) AS criteria_text FROM s)
 SELECT file_name, hole_size, CAST(n_rows AS BIGINT) AS n_rows,
-       {r6('mean')} AS mean, {r6('std')} AS std, {r6('max_t')} AS max,
-       {r6('min_t')} AS min,
-       {r6('CAST(n_out AS DOUBLE) / n_rows')} AS outlier_ratio,
-       {r6('CAST(n_hot AS DOUBLE) / n_rows')} AS high_temp_ratio,
-       {r6('max_t - min_t')} AS temp_range,
+       {rr('mean')} AS mean, {rr('std')} AS std, {rr('max_t')} AS max,
+       {rr('min_t')} AS min,
+       {rr('CAST(n_out AS DOUBLE) / n_rows')} AS outlier_ratio,
+       {rr('CAST(n_hot AS DOUBLE) / n_rows')} AS high_temp_ratio,
+       {rr('max_t - min_t')} AS temp_range,
        CAST(cc AS INTEGER) AS criteria_count, CAST(tot AS INTEGER) AS total_criteria,
-       CAST({leak_expr} AS INTEGER) AS leak_status, {r6(conf_expr)} AS confidence,
+       CAST({leak_expr} AS INTEGER) AS leak_status, {rr(conf_expr)} AS confidence,
        '{method}' AS method, criteria_text
 FROM c
 """

@@ -44,3 +44,11 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)
+
+
+def round_sig(c, digits: int = 10):
+    """Round to ``digits`` significant digits (for statistics of large magnitude),
+    in the ``round(x * 10^k) / 10^k`` form so SQL oracles round identically."""
+    k = F.lit(digits - 1) - F.floor(F.log10(F.abs(c)))
+    scale = F.pow(F.lit(10.0), k)
+    return F.when(c.isNull() | (c == 0) | F.isnan(c), c).otherwise(F.round(c * scale) / scale)

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heatwise.operators.common import round_doubles
+from heatwise.operators.common import round_doubles, round_sig
 from heatwise.operators.labels import label_files, valid_temperature
 from heatwise.plans.label_sql import label_sql
 from heatwise.sources import bridge
@@ -198,3 +198,29 @@ def q_box_stats(spark, sf_dir):
 @register("separation_check", _esql.SEPARATION_CHECK)
 def q_separation_check(spark, sf_dir):
     return round_doubles(_eda.separation_check(tagged_readings(spark, sf_dir)))
+
+
+def dashboard_features(spark: SparkSession, sf_dir: str):
+    return _feat.engineer_features(tagged_readings(spark, sf_dir), level="dashboard")
+
+
+@register("target_correlation_top15", _esql.TARGET_CORRELATION_TOP15)
+def q_target_correlation(spark, sf_dir):
+    df = dashboard_features(spark, sf_dir)
+    cols = _sel.numeric_feature_columns(df)
+    return round_doubles(_sel.top_correlated(_sel.target_correlation(df, cols), 15)
+                         .withColumn("rank", F.col("rank").cast("int")))
+
+
+@register("feature_category_stats", _esql.FEATURE_CATEGORY_STATS)
+def q_feature_category_stats(spark, sf_dir):
+    df = dashboard_features(spark, sf_dir)
+    cols = _sel.numeric_feature_columns(df)
+    return round_doubles(_sel.feature_category_stats(_sel.target_correlation(df, cols)))
+
+
+@register("variance_threshold", _esql.VARIANCE_THRESHOLD)
+def q_variance_threshold(spark, sf_dir):
+    df = dashboard_features(spark, sf_dir)
+    out = _sel.variance_threshold(df, _sel.numeric_feature_columns(df))
+    return out.withColumn("variance", round_sig(F.col("variance"), 10))

@@ -139,3 +139,68 @@ SEPARATION_CHECK = w(
     "nullif(count(*) FILTER (WHERE leak_status <> 1), 0) AS no_leak_above_threshold, "
     f"CAST(count(*) FILTER (WHERE leak_status = 1 AND temperature <= {_T}) AS DOUBLE) / "
     "nullif(count(*) FILTER (WHERE leak_status = 1), 0) AS leak_below_threshold FROM tagged) s")
+
+
+def dashboard_feature_ctes() -> str:
+    """Tagged rows with the dashboard feature set, for correlation oracles."""
+    from heatwise.plans.feature_sql import feature_columns
+    cols = ", ".join(f"{e} AS {n}" for n, e in feature_columns("dashboard"))
+    cols = cols.replace("hs.hole_size_encoded", "hs.hole_size_encoded")
+    return (f"{tagged_ctes()}, hs AS (SELECT hole_size, CAST(row_number() OVER (ORDER BY "
+            "hole_size) - 1 AS INTEGER) AS hole_size_encoded FROM (SELECT DISTINCT hole_size "
+            f"FROM tagged) q), feat AS (SELECT t.*, {cols} FROM tagged t JOIN hs "
+            "ON hs.hole_size = t.hole_size)")
+
+
+def dashboard_numeric_features() -> list[str]:
+    from heatwise.plans.feature_sql import feature_columns
+    return ["x", "y", "temperature"] + [n for n, _ in feature_columns("dashboard")
+                                        if n != "temp_category"]
+
+
+def _corr_union() -> str:
+    parts = []
+    for c in dashboard_numeric_features():
+        parts.append(f"SELECT '{c}' AS feature, covar_pop(CAST({c} AS DOUBLE), "
+                     "CAST(leak_status AS DOUBLE)) / nullif(stddev_pop(CAST("
+                     f"{c} AS DOUBLE)) * stddev_pop(CAST(leak_status AS DOUBLE)), 0) AS corr "
+                     "FROM feat")
+    return " UNION ALL ".join(parts)
+
+
+TARGET_CORRELATION_TOP15 = (
+    f"WITH {dashboard_feature_ctes()}, cr AS (SELECT feature, corr, abs(corr) AS abs_corr FROM "
+    f"({_corr_union()}) u WHERE corr IS NOT NULL AND NOT isnan(corr)) "
+    "SELECT feature, round(corr, 6) AS corr, round(abs_corr, 6) AS abs_corr, "
+    "CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (ORDER BY round(abs_corr, 10) "
+    "DESC, feature) AS rank FROM cr) r WHERE rank <= 15")
+
+_CATEGORY = ("CASE WHEN lower(feature) LIKE '%temp%' THEN 'Thermal' "
+             "WHEN lower(feature) LIKE '%x\\_%' ESCAPE '\\' OR lower(feature) LIKE '%y\\_%' "
+             "ESCAPE '\\' OR lower(feature) LIKE '%distance%' OR lower(feature) LIKE '%angle%' "
+             "OR lower(feature) LIKE '%quadrant%' OR lower(feature) LIKE '%zone%' OR "
+             "lower(feature) LIKE '%spatial%' THEN 'Spatial' "
+             "WHEN lower(feature) LIKE '%interaction%' THEN 'Interaction' "
+             "WHEN lower(feature) LIKE '%rolling%' OR lower(feature) LIKE '%zscore%' OR "
+             "lower(feature) LIKE '%percentile%' OR lower(feature) LIKE '%std%' "
+             "THEN 'Statistical' ELSE 'Other' END")
+
+FEATURE_CATEGORY_STATS = (
+    f"WITH {dashboard_feature_ctes()}, cr AS (SELECT feature, abs(corr) AS abs_corr FROM "
+    f"({_corr_union()}) u WHERE corr IS NOT NULL AND NOT isnan(corr)) "
+    f"SELECT {_CATEGORY} AS category, count(*) AS count, round(avg(abs_corr), 6) AS "
+    "avg_correlation, round(max(abs_corr), 6) AS max_correlation FROM cr GROUP BY 1")
+
+
+def _var_union() -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, var_pop(CAST({c} AS DOUBLE)) AS variance FROM feat"
+        for c in dashboard_numeric_features())
+
+
+VARIANCE_THRESHOLD = (
+    f"WITH {dashboard_feature_ctes()} SELECT feature, CASE WHEN variance IS NULL OR variance = 0 "
+    "THEN variance ELSE round(variance * pow(10.0, 9 - floor(log10(abs(variance))))) / "
+    "pow(10.0, 9 - floor(log10(abs(variance)))) END AS variance, "
+    "coalesce(variance > 0.001, false) AS selected FROM "
+    f"({_var_union()}) u")

@@ -224,3 +224,71 @@ def q_variance_threshold(spark, sf_dir):
     df = dashboard_features(spark, sf_dir)
     out = _sel.variance_threshold(df, _sel.numeric_feature_columns(df))
     return out.withColumn("variance", round_sig(F.col("variance"), 10))
+
+
+# ---- 2.11 evaluation and 2.12 scoring tiers over the scored view ----------------------
+
+from heatwise.operators import evaluate as _ev  # noqa: E402
+from heatwise.plans import eval_sql as _vsql  # noqa: E402
+
+
+def _scored(spark, sf_dir):
+    return bridge.scored(spark, sf_dir)
+
+
+@register("confusion_matrix", _vsql.CONFUSION)
+def q_confusion(spark, sf_dir):
+    return _ev.confusion_matrix(_scored(spark, sf_dir))
+
+
+@register("confusion_normalized", _vsql.CONFUSION_NORMALIZED)
+def q_confusion_norm(spark, sf_dir):
+    return round_doubles(_ev.confusion_normalized(_scored(spark, sf_dir)))
+
+
+@register("classification_metrics", _vsql.METRICS)
+def q_metrics(spark, sf_dir):
+    return round_doubles(_ev.metrics(_scored(spark, sf_dir)))
+
+
+@register("roc_auc", _vsql.ROC_AUC)
+def q_roc_auc(spark, sf_dir):
+    return round_doubles(_ev.roc_auc(_scored(spark, sf_dir)))
+
+
+@register("roc_curve", _vsql.ROC_CURVE)
+def q_roc_curve(spark, sf_dir):
+    return round_doubles(_ev.roc_curve(_scored(spark, sf_dir)))
+
+
+@register("classification_report", _vsql.CLASSIFICATION_REPORT)
+def q_report(spark, sf_dir):
+    return round_doubles(_ev.classification_report(_scored(spark, sf_dir)))
+
+
+@register("model_comparison", _vsql.MODEL_COMPARISON)
+def q_model_comparison(spark, sf_dir):
+    return round_doubles(_ev.model_comparison(_scored(spark, sf_dir)))
+
+
+@register("error_buckets", _vsql.ERROR_BUCKETS)
+def q_error_buckets(spark, sf_dir):
+    return _ev.error_buckets(_scored(spark, sf_dir))
+
+
+@register("risk_tiers", _vsql.RISK_TIERS)
+def q_risk_tiers(spark, sf_dir):
+    s = _ev.with_risk(_scored(spark, sf_dir), prob="score")
+    return s.groupBy("model", "risk_level", "action").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("probability_cut", _vsql.PROBABILITY_CUT)
+def q_probability_cut(spark, sf_dir):
+    s = _ev.probability_cut(_scored(spark, sf_dir), "score")
+    return round_doubles(s.groupBy("model", "predicted", "prediction_confidence")
+                         .agg(F.count(F.lit(1)).alias("n")))
+
+
+@register("batch_summary", _vsql.BATCH_SUMMARY)
+def q_batch_summary(spark, sf_dir):
+    return round_doubles(_ev.batch_summary(_scored(spark, sf_dir)))

@@ -292,3 +292,60 @@ def q_probability_cut(spark, sf_dir):
 @register("batch_summary", _vsql.BATCH_SUMMARY)
 def q_batch_summary(spark, sf_dir):
     return round_doubles(_ev.batch_summary(_scored(spark, sf_dir)))
+
+
+# ---- 2.9 sampling and splitting (oracles check exact counts) ---------------------------
+
+from heatwise.operators import sampling as _smp  # noqa: E402
+
+
+def _count_by(df, *cols, name="n_rows"):
+    return df.groupBy(*cols).agg(F.count(F.lit(1)).alias(name))
+
+
+@register("balance_dataset", _esql.balance_sql(0.4))
+def q_balance(spark, sf_dir):
+    return _count_by(_smp.balance_dataset(tagged_readings(spark, sf_dir), target=0.4),
+                     "leak_status")
+
+
+@register("balance_dataset_oversample", _esql.balance_sql(0.8))
+def q_balance_over(spark, sf_dir):
+    return _count_by(_smp.balance_dataset(tagged_readings(spark, sf_dir), target=0.8),
+                     "leak_status")
+
+
+@register("stratified_split_counts", _esql.STRATIFIED_SPLIT_COUNTS)
+def q_split_counts(spark, sf_dir):
+    s = _smp.stratified_split(tagged_readings(spark, sf_dir), splits=_smp.SPLITS_NOTEBOOK)
+    return _count_by(s, "split", "leak_status", name="rows")
+
+
+@register("split_info", _esql.SPLIT_INFO)
+def q_split_info(spark, sf_dir):
+    s = _smp.stratified_split(tagged_readings(spark, sf_dir), splits=_smp.SPLITS_NOTEBOOK)
+    return round_doubles(_smp.split_info(s))
+
+
+@register("stratified_fold_counts", _esql.FOLD_COUNTS)
+def q_fold_counts(spark, sf_dir):
+    f = _smp.stratified_folds(tagged_readings(spark, sf_dir), k=3)
+    return _count_by(f, "fold", "leak_status", name="rows")
+
+
+@register("cap_per_class", _esql.CAP_PER_CLASS)
+def q_cap(spark, sf_dir):
+    c = _smp.cap_per_class(tagged_readings(spark, sf_dir), 200, label="leak_status",
+                           order="node_id")
+    return round_doubles(c.select("node_id", "leak_status", "temperature"))
+
+
+@register("class_weights", _esql.CLASS_WEIGHTS)
+def q_class_weights(spark, sf_dir):
+    w = _smp.class_weights(tagged_readings(spark, sf_dir))
+    return round_doubles(w.select("leak_status", "class_weight").distinct())
+
+
+@register("scatter_sample", _esql.SCATTER_SAMPLE)
+def q_scatter(spark, sf_dir):
+    return _count_by(_smp.scatter_sample(tagged_readings(spark, sf_dir)), "leak_status")

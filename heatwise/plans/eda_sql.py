@@ -204,3 +204,56 @@ VARIANCE_THRESHOLD = (
     "pow(10.0, 9 - floor(log10(abs(variance)))) END AS variance, "
     "coalesce(variance > 0.001, false) AS selected FROM "
     f"({_var_union()}) u")
+
+
+# ---- sampling / splitting (exact counts; membership is hash-defined) --------------------
+
+_CNT = ("SELECT count(*) AS n, sum(leak_status) AS leak, count(*) - sum(leak_status) "
+        "AS no_leak FROM tagged")
+
+
+def balance_sql(target: float) -> str:
+    t = d(target)
+    keep = f"abs(CAST(leak AS DOUBLE) / n - {t}) < 0.05"
+    return w(
+        f"SELECT 1 AS leak_status, CAST(CASE WHEN {keep} THEN leak ELSE floor(n * {t}) END "
+        f"AS BIGINT) AS n_rows FROM ({_CNT}) c UNION ALL "
+        f"SELECT 0, CAST(CASE WHEN {keep} THEN no_leak WHEN no_leak > n - floor(n * {t}) "
+        f"THEN n - floor(n * {t}) ELSE no_leak END AS BIGINT) FROM ({_CNT}) c")
+
+
+_CLS = "cls AS (SELECT leak_status, count(*) AS m FROM tagged GROUP BY leak_status)"
+_SPLIT = (f"{_CLS}, sz AS (SELECT leak_status, m, CAST(ceil(m * {d(0.15)}) AS BIGINT) AS "
+          "n_test FROM cls), sz2 AS (SELECT leak_status, m, n_test, CAST(least(m - n_test, "
+          f"ceil(m * {d(0.15)})) AS BIGINT) AS n_val FROM sz), "
+          "parts AS (SELECT leak_status, 'train' AS split, m - n_val - n_test AS rows FROM sz2 "
+          "UNION ALL SELECT leak_status, 'val', n_val FROM sz2 UNION ALL "
+          "SELECT leak_status, 'test', n_test FROM sz2)")
+
+STRATIFIED_SPLIT_COUNTS = (f"WITH {tagged_ctes()}, {_SPLIT} SELECT split, leak_status, "
+                           "CAST(rows AS BIGINT) AS rows FROM parts WHERE rows > 0")
+
+SPLIT_INFO = (f"WITH {tagged_ctes()}, {_SPLIT} SELECT split, CAST(sum(rows) AS BIGINT) AS rows, "
+              "round(CAST(sum(CASE WHEN leak_status = 1 THEN rows ELSE 0 END) AS DOUBLE) / "
+              "sum(rows), 6) AS leak_ratio FROM parts GROUP BY split HAVING sum(rows) > 0")
+
+FOLD_COUNTS = (f"WITH {tagged_ctes()}, {_CLS} SELECT f.fold, c.leak_status, "
+               "CAST((c.m + 2 - f.fold) // 3 AS BIGINT) AS rows FROM cls c CROSS JOIN "
+               "(SELECT CAST(range AS INTEGER) AS fold FROM range(0, 3)) f "
+               "WHERE (c.m + 2 - f.fold) // 3 > 0")
+
+CAP_PER_CLASS = w(
+    "SELECT node_id, leak_status, round(temperature, 6) AS temperature FROM (SELECT *, "
+    "row_number() OVER (PARTITION BY leak_status ORDER BY node_id) AS rn FROM tagged) r "
+    "WHERE rn <= 200")
+
+CLASS_WEIGHTS = w(
+    "SELECT leak_status, round(CAST(n AS DOUBLE) / (k * m), 6) AS class_weight FROM "
+    "(SELECT leak_status, count(*) AS m FROM tagged GROUP BY leak_status) a CROSS JOIN "
+    "(SELECT count(*) AS n, count(DISTINCT leak_status) AS k FROM tagged) b")
+
+SCATTER_SAMPLE = w(
+    "SELECT leak_status, CAST(CASE WHEN total > 5000 THEN least(m, CASE WHEN leak_status = 1 "
+    "THEN 2000 ELSE 3000 END) ELSE m END AS BIGINT) AS n_rows FROM (SELECT leak_status, "
+    "count(*) AS m FROM tagged GROUP BY leak_status) a CROSS JOIN (SELECT count(*) AS total "
+    "FROM tagged) b")

@@ -349,3 +349,58 @@ def q_class_weights(spark, sf_dir):
 @register("scatter_sample", _esql.SCATTER_SAMPLE)
 def q_scatter(spark, sf_dir):
     return _count_by(_smp.scatter_sample(tagged_readings(spark, sf_dir)), "leak_status")
+
+
+# ---- 2.1/2.2 ingest of reading files (written from the driver tables, read back) -------
+
+from heatwise.session import shared_dir  # noqa: E402
+from heatwise.sources import files as _files  # noqa: E402
+from heatwise.sources import sinks as _sinks  # noqa: E402
+from heatwise.plans.sqltext import READINGS_CTE, VALID_CTE  # noqa: E402
+
+
+def text_readings(spark: SparkSession, sf_dir: str, fmt: str) -> DataFrame:
+    """Readings of ``lineitem`` written as one text file per reading file, then parsed
+    back by the ingest operator (separator detection, NA rules, coercion, T filter)."""
+    root = shared_dir(spark, f"readings-{fmt}")
+    _sinks.write_reading_files(bridge.readings(spark, sf_dir), root, fmt)
+    r = _files.read_readings(spark, root)
+    return r.withColumns({
+        "file_name": F.regexp_extract("file_path", "file_name=([^/]+)/", 1),
+        "hole_size": F.regexp_extract("file_path", "hole_size=([^/]+)/", 1)})
+
+
+def _per_file(df: DataFrame) -> DataFrame:
+    t = F.col("temperature")
+    return round_doubles(df.groupBy("file_name", "hole_size").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.min(t).alias("t_min"), F.max(t).alias("t_max"),
+        F.avg(t).alias("t_mean"), F.avg("x").alias("x_mean"), F.avg("y").alias("y_mean")))
+
+
+_PER_FILE_SQL = (f"WITH {READINGS_CTE}, {VALID_CTE} SELECT file_name, hole_size, count(*) AS "
+                 "n_rows, round(min(temperature), 6) AS t_min, round(max(temperature), 6) AS "
+                 "t_max, round(avg(temperature), 6) AS t_mean, round(avg(x), 6) AS x_mean, "
+                 "round(avg(y), 6) AS y_mean FROM valid GROUP BY file_name, hole_size")
+
+
+@register("ingest_comma_files", _PER_FILE_SQL)
+def q_ingest_comma(spark, sf_dir):
+    return _per_file(text_readings(spark, sf_dir, "comma_header"))
+
+
+@register("ingest_whitespace_files", _PER_FILE_SQL)
+def q_ingest_ws(spark, sf_dir):
+    return _per_file(text_readings(spark, sf_dir, "whitespace"))
+
+
+@register("text_pipeline_labels_three", label_sql("three"))
+def q_text_labels(spark, sf_dir):
+    r = text_readings(spark, sf_dir, "whitespace").withColumnRenamed("node_number", "node_id")
+    lab = label_files(r, "three")
+    out = lab.select(*[F.col(c) for c in LABEL_COLUMNS],
+                     F.array_join("criteria_met", "; ").alias("criteria_text"))
+    out = out.withColumns({"n_rows": F.col("n_rows").cast("bigint"),
+                           "criteria_count": F.col("criteria_count").cast("int"),
+                           "total_criteria": F.col("total_criteria").cast("int"),
+                           "leak_status": F.col("leak_status").cast("int")})
+    return round_doubles(out)

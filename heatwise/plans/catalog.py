@@ -404,3 +404,33 @@ def q_text_labels(spark, sf_dir):
                            "total_criteria": F.col("total_criteria").cast("int"),
                            "leak_status": F.col("leak_status").cast("int")})
     return round_doubles(out)
+
+
+# ---- 2.10 training and 2.12 scoring (no SQL oracle: rows-only check + pytest) ----------
+
+from heatwise.plans import models as _models  # noqa: E402
+
+
+def _trained(spark, sf_dir, models=("RandomForest", "GradientBoosting", "LogisticRegression")):
+    tagged = tagged_readings(spark, sf_dir)
+    feats, cols, spec = _models.prepare_training(tagged)
+    split = _smp.stratified_split(feats, splits=_smp.SPLITS_API)
+    train = split.filter(F.col("split") == "train")
+    test = split.filter(F.col("split") == "test")
+    fitted, comp, best = _models.train_models(train, test, cols, models=models, grid=None)
+    return fitted, comp, best, spec
+
+
+@register("train_compare_models")
+def q_train_compare(spark, sf_dir):
+    _, comp, best, _ = _trained(spark, sf_dir)
+    return round_doubles(comp.withColumn("is_best", F.col("model") == best)
+                         .drop("training_time"))
+
+
+@register("score_readings_risk")
+def q_score_risk(spark, sf_dir):
+    fitted, _, best, spec = _trained(spark, sf_dir, models=("RandomForest",))
+    pts = valid_readings(spark, sf_dir).select("x", "y", "temperature", "hole_size")
+    s = _models.score(fitted[best], pts, spec, best)
+    return s.groupBy("risk_level", "prediction").agg(F.count(F.lit(1)).alias("n"))

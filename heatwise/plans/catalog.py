@@ -434,3 +434,43 @@ def q_score_risk(spark, sf_dir):
     pts = valid_readings(spark, sf_dir).select("x", "y", "temperature", "hole_size")
     s = _models.score(fitted[best], pts, spec, best)
     return s.groupBy("risk_level", "prediction").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- streaming (#120, #121) -------------------------------------------------------------
+
+from heatwise import streaming as _stream  # noqa: E402
+
+
+@register("stream_labels_four", label_sql("four"))
+def q_stream_labels(spark, sf_dir):
+    """Reading files derived from lineitem arrive as a stream (30 files per micro-batch);
+    every file is labelled once in foreachBatch; the sink equals the batch labels."""
+    src = shared_dir(spark, "stream-src")
+    _sinks.write_reading_files(bridge.readings(spark, sf_dir), src, "whitespace")
+    sink, ckpt = shared_dir(spark, "stream-labels"), shared_dir(spark, "stream-ckpt")
+    q = _stream.stream_label(spark, src, sink, ckpt, policy="four", max_files_per_trigger=30)
+    q.awaitTermination()
+    lab = spark.read.parquet(sink).withColumn(
+        "file_name", F.regexp_extract("file_path", "file_name=([^/]+)/", 1))
+    out = lab.select(*[F.col(c) for c in LABEL_COLUMNS],
+                     F.array_join("criteria_met", "; ").alias("criteria_text"))
+    out = out.withColumns({"n_rows": F.col("n_rows").cast("bigint"),
+                           "criteria_count": F.col("criteria_count").cast("int"),
+                           "total_criteria": F.col("total_criteria").cast("int"),
+                           "leak_status": F.col("leak_status").cast("int")})
+    return round_doubles(out)
+
+
+@register("stream_score_risk")
+def q_stream_score(spark, sf_dir):
+    """Valid readings arrive as CSV point files; a trained forest scores the stream."""
+    fitted, _, best, spec = _trained(spark, sf_dir, models=("RandomForest",))
+    src = shared_dir(spark, "points-src")
+    (valid_readings(spark, sf_dir).select("x", "y", "temperature", "hole_size")
+     .repartition(8).write.option("header", "true").csv(src))
+    sink, ckpt = shared_dir(spark, "points-scored"), shared_dir(spark, "points-ckpt")
+    q = _stream.stream_score(spark, fitted[best], spec, best, src, sink, ckpt,
+                             max_files_per_trigger=3)
+    q.awaitTermination()
+    return spark.read.parquet(sink).groupBy("risk_level", "prediction").agg(
+        F.count(F.lit(1)).alias("n"))

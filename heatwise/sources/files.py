@@ -105,7 +105,13 @@ def read_readings(spark: SparkSession, path, extensions=READING_EXTENSIONS,
                   max_broadcast_files: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """All reading files under ``path`` as one DataFrame:
     file_path, file_name, node_number (string), x, y, temperature."""
-    lines = read_lines(spark, path, extensions)
+    return parse_lines(read_lines(spark, path, extensions), separators, valid_only,
+                       max_broadcast_files)
+
+
+def parse_lines(lines: DataFrame, separators=SEPARATORS, valid_only: bool = True,
+                max_broadcast_files: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """Lines (value, file_path, _blk, _mid) -> readings; shared by batch and stream."""
     dec = separator_decisions(lines, separators).filter(F.col("accepted"))
     dec = broadcast_if_small(dec.select("file_path", "sep_index"), max_broadcast_files)
     j = lines.join(dec, "file_path")

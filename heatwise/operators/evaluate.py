@@ -97,9 +97,9 @@ def roc_curve(df: DataFrame, group=("model",), label: str = "label",
     """ROC points per group: threshold (distinct score, descending), fpr, tpr; plus the
     (0, 0) start with a null threshold.  All points are kept."""
     h = score_histogram(df, group, label, score)
-    pos = positions(h, [score], group, weights=["_pos", "_neg"], ascending=False)
+    pts = positions(h, [score], group, weights=["_pos", "_neg"], ascending=False)
+    pts = pts.withColumnRenamed("_total__pos", "_P").withColumnRenamed("_total__neg", "_N")
     tot = h.groupBy(*group).agg(F.sum("_pos").alias("_P"), F.sum("_neg").alias("_N"))
-    pts = pos.join(F.broadcast(tot), list(group)) if group else pos.crossJoin(F.broadcast(tot))
     tp = F.col("_before__pos") + F.col("_pos")
     fp = F.col("_before__neg") + F.col("_neg")
     curve = pts.select(*group, F.col(score).cast("double").alias("threshold"),

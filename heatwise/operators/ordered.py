@@ -8,7 +8,8 @@ in a global order, per optional low-cardinality group:
    (literals).  Because edges are composite, one value holding a third of all rows is
    still cut into many buckets by its tiebreak key;
 2. each row's bucket is found by a binary tree of struct comparisons (JVM-side);
-3. per (group, bucket) totals -> running offsets on that tiny table -> joined back;
+3. per (group, bucket) totals (at most groups x buckets rows, checked) -> running
+   offsets and group totals on the driver -> broadcast join;
 4. ``Window.partitionBy(group, bucket).orderBy(key)`` numbers rows inside a bucket.
 
 The edges only decide balance; positions are exact for any edges, so results do not
@@ -21,10 +22,12 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from heatwise.operators.common import attach_one_row, broadcast_if_small, materialize
+from heatwise.operators.common import broadcast_if_small, materialize
 
 SAMPLE_PER_BUCKET = 64
+MAX_OFFSET_ROWS = 1_000_000
 
 
 def _sort_key(row, ascending: bool):
@@ -56,7 +59,8 @@ def _bucket_expr(key: Column, edges: list[Column], ascending: bool) -> Column:
 def positions(df: DataFrame, order_cols, group_cols=(), weights=(), ascending: bool = True,
               n_buckets: int | None = None, seed: int = 42) -> DataFrame:
     """Add ``_before`` (rows strictly before, needs a unique order within the group) or,
-    with ``weights``, ``_before_<w>`` (sum of ``w`` over rows strictly before).
+    with ``weights``, ``_before_<w>`` (sum of ``w`` over rows strictly before); also the
+    group totals ``_total`` / ``_total_<w>``.
 
     ``order_cols`` must be non-null. ``group_cols`` should have few distinct values
     (hole sizes, models); each group is ordered independently.
@@ -95,14 +99,30 @@ def positions(df: DataFrame, order_cols, group_cols=(), weights=(), ascending: b
 
     totals_aggs = ([F.count(F.lit(1)).alias("_t")] if not weights
                    else [F.sum(F.col(w)).alias(f"_t_{w}") for w in weights])
-    totals = b.groupBy(*group_cols, "_bucket").agg(*totals_aggs)
-    w_off = (Window.partitionBy(*group_cols).orderBy("_bucket")
-             .rowsBetween(Window.unboundedPreceding, -1))
     tcols = ["_t"] if not weights else [f"_t_{w}" for w in weights]
-    offsets = totals.select(*group_cols, "_bucket",
-                            *[F.coalesce(F.sum(c).over(w_off), F.lit(0)).alias(f"_o{c}")
-                              for c in tcols])
-    b = b.join(broadcast_if_small(offsets), [*group_cols, "_bucket"])
+    # per (group, bucket) totals: at most groups x buckets rows, checked, then running
+    # offsets on the driver and a broadcast join (no window over an unpartitioned table)
+    totals = b.groupBy(*group_cols, "_bucket").agg(*totals_aggs)
+    rows = totals.limit(MAX_OFFSET_ROWS + 1).collect()
+    if len(rows) > MAX_OFFSET_ROWS:
+        raise ValueError("too many (group, bucket) cells; use fewer groups or buckets")
+    rows.sort(key=lambda r: (tuple(_sort_key([r[g] for g in group_cols], True)), r["_bucket"]))
+    acc: dict = {}
+    staged = []
+    for r in rows:
+        g = tuple(r[c] for c in group_cols)
+        run = acc.setdefault(g, [0] * len(tcols))
+        staged.append((g, r["_bucket"], list(run)))
+        acc[g] = [run[i] + (r[c] or 0) for i, c in enumerate(tcols)]
+    out_rows = [(*g, bk, *run, *acc[g]) for g, bk, run in staged]
+    ftypes = {f.name: f.dataType for f in b.schema.fields}
+    tnames = ["_total"] if not weights else [f"_total_{w}" for w in weights]
+    schema = T.StructType([T.StructField(c, ftypes[c]) for c in group_cols]
+                          + [T.StructField("_bucket", T.IntegerType())]
+                          + [T.StructField(f"_o{c}", T.LongType()) for c in tcols]
+                          + [T.StructField(t, T.LongType()) for t in tnames])
+    offsets = spark.createDataFrame(out_rows, schema)
+    b = b.join(F.broadcast(offsets), [*group_cols, "_bucket"])
 
     order = [F.col(c).asc() if ascending else F.col(c).desc() for c in order_cols]
     w_in = Window.partitionBy(*group_cols, "_bucket").orderBy(*order)
@@ -128,10 +148,8 @@ def rank_pct(df: DataFrame, col: str = "temperature", out: str = "temp_percentil
     """Average-method percentile rank like pandas ``rank(pct=True)``: ties get the mean
     of their 1-based ranks, divided by the number of non-null values."""
     hist = value_histogram(df.filter(F.col(col).isNotNull()), col, group_cols)
-    pos = positions(hist, [col], group_cols, weights=["_cnt"])
-    totals = hist.groupBy(*group_cols).agg(F.sum("_cnt").alias("_n"))
-    pos = pos.join(F.broadcast(totals), list(group_cols)) if group_cols \
-        else attach_one_row(pos, totals)
+    pos = positions(hist, [col], group_cols, weights=["_cnt"]).withColumnRenamed(
+        "_total__cnt", "_n")
     ranked = pos.select(*group_cols, col,
                         ((F.col("_before__cnt") + (F.col("_cnt") + 1) / 2.0) / F.col("_n"))
                         .alias(out))
@@ -155,10 +173,8 @@ def exact_quantiles(df: DataFrame, col: str, probs, names=None, group_cols=()) -
     names = list(names) if names else [f"q{int(round(p * 100)):02d}" for p in probs]
     hist = value_histogram(df.filter(F.col(col).isNotNull() & ~F.isnan(F.col(col))), col,
                            group_cols)
-    pos = positions(hist, [col], group_cols, weights=["_cnt"])
-    totals = hist.groupBy(*group_cols).agg(F.sum("_cnt").alias("_n"))
-    pos = pos.join(F.broadcast(totals), list(group_cols)) if group_cols \
-        else attach_one_row(pos, totals)
+    pos = positions(hist, [col], group_cols, weights=["_cnt"]).withColumnRenamed(
+        "_total__cnt", "_n")
     start, end = F.col("_before__cnt"), F.col("_before__cnt") + F.col("_cnt")
     aggs = []
     for p, name in zip(probs, names):

@@ -474,3 +474,59 @@ def q_stream_score(spark, sf_dir):
     q.awaitTermination()
     return spark.read.parquet(sink).groupBy("risk_level", "prediction").agg(
         F.count(F.lit(1)).alias("n"))
+
+
+# ---- small operators: per-file stats, name rule, size filter, valid counts -------------
+
+from heatwise.functions.exprs import hole_size_from_name  # noqa: E402
+
+_FTS_SQL = (f"WITH {READINGS_CTE}, {VALID_CTE} SELECT file_name, hole_size, count(*) AS n_rows, "
+            + ", ".join(f"round({e}, 6) AS {n}" for n, e in [
+                ("mean", "avg(temperature)"), ("max", "max(temperature)"),
+                ("min", "min(temperature)"), ("std", "stddev_samp(temperature)"),
+                ("q75", "quantile_cont(temperature, 0.75)"),
+                ("q90", "quantile_cont(temperature, 0.9)"),
+                ("q95", "quantile_cont(temperature, 0.95)")])
+            + " FROM valid GROUP BY file_name, hole_size")
+
+
+@register("file_temp_stats", _FTS_SQL)
+def q_file_temp_stats(spark, sf_dir):
+    return round_doubles(_lab.file_temp_stats(valid_readings(spark, sf_dir), quantiles="exact"))
+
+
+_NAME_SQL = (f"WITH {READINGS_CTE} SELECT file_name, CASE WHEN lower(file_name) LIKE '%20%' "
+             "THEN '20mm' WHEN lower(file_name) LIKE '%25%' THEN '25mm' WHEN lower(file_name) "
+             "LIKE '%30%' THEN '30mm' WHEN lower(file_name) LIKE '%40%' THEN '40mm' ELSE '30mm' "
+             "END AS hole_size_from_name FROM (SELECT DISTINCT file_name FROM readings) f")
+
+
+@register("hole_size_from_file_name", _NAME_SQL)
+def q_name_rule(spark, sf_dir):
+    files = bridge.readings(spark, sf_dir).select("file_name").distinct()
+    return files.select("file_name",
+                        hole_size_from_name(F.col("file_name"), "30mm").alias("hole_size_from_name"))
+
+
+_FILTER_SQL = _esql.w(
+    "SELECT count(*) AS total, sum(leak_status) AS leak, count(*) - sum(leak_status) AS no_leak, "
+    "round(CAST(sum(leak_status) AS DOUBLE) / count(*), 6) AS leak_ratio FROM tagged "
+    "WHERE hole_size IN ('30mm', '40mm')")
+
+
+@register("hole_size_filter_large", _FILTER_SQL)
+def q_size_filter(spark, sf_dir):
+    t = _lab.hole_size_filter(tagged_readings(spark, sf_dir), ["30mm", "40mm"])
+    return round_doubles(_eda.class_balance(t))
+
+
+_VALID_SQL = (f"WITH {_esql.dashboard_feature_ctes()} " + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, CAST(count(*) FILTER (WHERE CAST({c} AS DOUBLE) IS NOT NULL AND "
+    f"NOT isnan(CAST({c} AS DOUBLE)) AND NOT isinf(CAST({c} AS DOUBLE))) AS DOUBLE) AS n_valid "
+    "FROM feat" for c in _esql.dashboard_numeric_features()))
+
+
+@register("feature_valid_counts", _VALID_SQL)
+def q_valid_counts(spark, sf_dir):
+    df = dashboard_features(spark, sf_dir)
+    return _sel.valid_counts(df, _sel.numeric_feature_columns(df))

@@ -11,12 +11,23 @@ from pyspark.sql import types as T
 DEFAULT_BROADCAST_ROWS = 1_000_000
 
 
+_CACHED: list = []
+
+
 def materialize(df: DataFrame) -> tuple[DataFrame, int]:
-    """Persist a (small, aggregated) frame and count it once."""
+    """Persist a frame that several jobs of one operator read (count, sample, totals,
+    final pass) and count it once.  ``release_cached()`` drops them after a query."""
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _CACHED.append(df)
     return df, df.count()
 
 
+def release_cached() -> None:
+    """Unpersist every frame persisted by :func:`materialize`."""
+    while _CACHED:
+        _CACHED.pop().unpersist()
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint only behind a checked row count; otherwise a shuffle join (AQE
     splits skewed partitions).  The frame is persisted so the count is not recomputed."""

@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from heatwise.functions.exprs import equal_width_bin, lit_double, temp_category
-from heatwise.operators.ordered import (exact_quantiles, rank_pct, rolling_stats,
-                                        rolling_window_size)
+from heatwise.operators.ordered import (exact_quantiles, quantiles_from_positions,
+                                        rank_from_positions, rolling_stats,
+                                        rolling_window_size, value_positions)
 from heatwise.policies import AMBIENT_K
 
 # Fixed values of the feature set.
@@ -95,14 +96,19 @@ def spatial_features(df: DataFrame, level: str = "basic", x: str = "x", y: str =
     return df.withColumns(cols)
 
 
-def hole_size_encoding(df: DataFrame, col: str = "hole_size", out: str = "hole_size_encoded",
-                       max_levels: int = 10_000) -> DataFrame:
-    """Alphabetical index of the distinct sizes (like a label encoder fitted on the data).
-    The level list is a bounded aggregate (checked), folded in as a CASE expression."""
+def hole_size_levels(df: DataFrame, col: str = "hole_size", max_levels: int = 10_000) -> list:
+    """Sorted distinct sizes (a bounded, checked aggregate)."""
     levels = [r[0] for r in df.select(col).distinct().limit(max_levels + 1).collect()]
     if len(levels) > max_levels:
         raise ValueError(f"{col} has more than {max_levels} levels")
-    levels = sorted(v for v in levels if v is not None)
+    return sorted(v for v in levels if v is not None)
+
+
+def hole_size_encoding(df: DataFrame, col: str = "hole_size", out: str = "hole_size_encoded",
+                       levels: list | None = None) -> DataFrame:
+    """Alphabetical index of the distinct sizes (like a label encoder fitted on the data),
+    folded in as a CASE expression; ``levels`` fixes them (fitted elsewhere)."""
+    levels = hole_size_levels(df, col) if levels is None else levels
     expr = None
     for i, v in enumerate(levels):
         expr = F.when(F.col(col) == v, F.lit(i)) if expr is None else expr.when(F.col(col) == v, i)
@@ -134,23 +140,40 @@ def zscore_features(df: DataFrame, stats: dict, temp: str = "temperature") -> Da
 
 
 def global_stats(df: DataFrame, temp: str = "temperature", x: str = "x", y: str = "y",
-                 quantiles: bool = True) -> dict:
-    """One aggregate row (count, mean, sample sigma, min/max of T/x/y), plus exact
-    median of T and quartiles of the distance from the bucketed helper."""
+                 quantiles: bool = True, tpos: DataFrame | None = None) -> dict:
+    """One aggregate row (count, mean, sample sigma, min/max of T/x/y, distinct-count
+    sketches), plus the exact median of T and quartiles of the distance (exact path
+    chosen by the sketch bound, see ``exact_quantiles``)."""
     t = F.col(temp)
+    dist = F.sqrt(F.col(x) * F.col(x) + F.col(y) * F.col(y))
     row = df.agg(F.count(t).alias("n"), F.avg(t).alias("t_mean"),
                  F.stddev_samp(t).alias("t_std"), F.min(t).alias("t_min"),
                  F.max(t).alias("t_max"), F.min(x).alias("x_min"), F.max(x).alias("x_max"),
-                 F.min(y).alias("y_min"), F.max(y).alias("y_max")).first().asDict()
+                 F.min(y).alias("y_min"), F.max(y).alias("y_max"),
+                 F.approx_count_distinct(t, 0.02).alias("t_distinct"),
+                 F.approx_count_distinct(dist, 0.02).alias("d_distinct"),
+                 *_input_checks(temp, x, y)).first().asDict()
     if quantiles:
-        med = exact_quantiles(df, temp, [0.5], ["q"]).first()
+        if tpos is not None:
+            med = quantiles_from_positions(tpos, temp, [0.5], ["q"]).first()
+        else:
+            med = exact_quantiles(df, temp, [0.5], ["q"], distinct=row["t_distinct"]).first()
         row["t_median"] = med["q"] if med else None
-        dist = df.select(F.sqrt(F.col(x) * F.col(x) + F.col(y) * F.col(y)).alias("_d"))
-        dq = exact_quantiles(dist, "_d", [0.25, 0.75], ["q25", "q75"]).first()
+        dq = exact_quantiles(df.select(dist.alias("_d")), "_d", [0.25, 0.75], ["q25", "q75"],
+                             distinct=row["d_distinct"]).first()
         row["d_q25"], row["d_q75"] = (dq["q25"], dq["q75"]) if dq else (None, None)
     return row
 
 
+def _input_checks(temp: str, x: str, y: str) -> list:
+    """Counts that decide whether any row-wise feature can be null: null inputs and
+    temperatures where log/sqrt/category are undefined."""
+    t = F.col(temp)
+    return [F.count_if(F.col(x).isNull() | F.isnan(F.col(x))).alias("_bad_x"),
+            F.count_if(F.col(y).isNull() | F.isnan(F.col(y))).alias("_bad_y"),
+            F.count_if(t.isNull() | F.isnan(t) | (t <= 0)).alias("_bad_t")]
+
+
 def numeric_columns(df: DataFrame, exclude=()) -> list[str]:
     num = (T.DoubleType, T.FloatType, T.IntegerType, T.LongType, T.ShortType, T.ByteType,
            T.DecimalType)
@@ -167,53 +190,87 @@ def replace_infinite(df: DataFrame, cols=None) -> DataFrame:
             .otherwise(F.col(c)) for c in cols})
 
 
-def impute_median(df: DataFrame, cols=None) -> DataFrame:
-    """Fill nulls of numeric columns with their exact median.
+def median_fills(df: DataFrame, cols=None) -> dict:
+    """Exact medians of the numeric columns that contain nulls.
 
-    One aggregate counts nulls per column; exact medians are computed only for the
-    columns that have any (usually none), each through the distributed helper.
-    """
+    One aggregate counts nulls per column; medians are computed only for the columns
+    that have any (usually none), each through the distributed helper."""
     cols = cols or numeric_columns(df)
     if not cols:
-        return df
+        return {}
     nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first().asDict()
     fills = {}
+    dtypes = dict(df.dtypes)
     for c in cols:
         if nulls[c]:
             got = exact_quantiles(df.select(F.col(c).cast("double").alias(c)), c, [0.5],
                                   ["m"]).first()
             if got is not None and got["m"] is not None:
-                dtype = dict(df.dtypes)[c]
-                fills[c] = got["m"] if dtype in ("double", "float") else int(got["m"])
+                fills[c] = got["m"] if dtypes[c] in ("double", "float") else int(got["m"])
+    return fills
+
+
+def impute_median(df: DataFrame, cols=None) -> DataFrame:
+    """Fill nulls of numeric columns with their exact median."""
+    fills = median_fills(df, cols)
     return df.fillna(fills) if fills else df
 
 
+def _row_features(df: DataFrame, level: str, temp: str, x: str, y: str, stats, levels,
+                  clean_inputs: bool = False):
+    out = thermal_features(df, level, temp, stats)
+    out = spatial_features(out, level, x, y, stats)
+    if levels is not None:
+        out = hole_size_encoding(out, levels=levels)
+    if level == "full":
+        out = interaction_features(out, temp)
+        out = zscore_features(out, stats, temp)
+        if not clean_inputs:
+            # with finite x, y and positive finite T every feature is finite: no-op then
+            out = replace_infinite(out)
+    return out
+
+
 def engineer_features(df: DataFrame, level: str = "basic", key: str = "node_id",
                       temp: str = "temperature", x: str = "x", y: str = "y",
                       impute: bool = True) -> DataFrame:
     """The reference's three feature sets: ``basic`` (API), ``dashboard`` and ``full``
-    (notebook: ~60 columns incl. global rank, zones, rolling and z-scores)."""
+    (notebook: ~60 columns incl. global rank, zones, rolling and z-scores).
+
+    Plan shape: driver-side decisions (hole-size levels, the global statistics row, the
+    null counts for imputation) are small jobs on the input; the rolling window and the
+    rank join run on the narrow input rows, and the ~60 row-wise feature columns are
+    added afterwards as one projection, so no shuffle carries them.  Rank and rolling
+    columns are never null for non-null T, so imputing the row-wise columns equals the
+    reference's imputing everything at the end.
+    """
     if level not in LEVELS:
         raise ValueError(f"level must be one of {LEVELS}")
-    stats = global_stats(df, temp, x, y, quantiles=(level == "full")) if level == "full" else None
-    out = thermal_features(df, level, temp, stats)
-    if level == "full":
-        out = rank_pct(out, temp, "temp_percentile_rank")
-    out = spatial_features(out, level, x, y, stats)
-    if "hole_size" in out.columns:
-        out = hole_size_encoding(out)
+    tpos = value_positions(df, temp, persist=True) if level == "full" else None
+    stats = global_stats(df, temp, x, y, quantiles=True, tpos=tpos) if level == "full" else None
+    levels = hole_size_levels(df) if "hole_size" in df.columns else None
+    fills = {}
+    checks = stats if stats is not None else df.agg(*_input_checks(temp, x, y)).first().asDict()
+    clean_inputs = not (checks["_bad_x"] or checks["_bad_y"] or checks["_bad_t"]) and \
+        (stats is None or all(stats[k] is not None and math.isfinite(stats[k])
+                              for k in ("x_min", "x_max", "y_min", "y_max", "t_min", "t_max")))
+    if impute:
+        other_nums = [c for c in numeric_columns(df) if c not in (temp, x, y)]
+        if not clean_inputs or other_nums:
+            # general case: scan every row-wise feature column for nulls
+            fills = median_fills(_row_features(df, level, temp, x, y, stats, levels))
+        # else: with non-null x, y and positive T no row-wise feature is null except
+        # temp_deviation (sigma 0) / temp_vs_median_ratio (median 0), which are then null
+        # in every row -- their median is undefined and the reference leaves them NaN.
+    base = df
     if level == "full":
-        out = interaction_features(out, temp)
         n = stats["n"]
         if n > ROLLING_MIN_ROWS:
             w = rolling_window_size(n, ROLLING_MAX_WINDOW)
-            out = rolling_stats(out, temp, key, w, fill={"mean": stats["t_mean"],
-                                                         "std": stats["t_std"],
-                                                         "min": stats["t_min"],
-                                                         "max": stats["t_max"]})
-        out = zscore_features(out, stats, temp)
-    if impute:
-        if level == "full":
-            out = replace_infinite(out)
-        out = impute_median(out)
-    return out
+            base = rolling_stats(base, temp, key, w, fill={"mean": stats["t_mean"],
+                                                           "std": stats["t_std"],
+                                                           "min": stats["t_min"],
+                                                           "max": stats["t_max"]})
+        base = rank_from_positions(base, tpos, temp, "temp_percentile_rank")
+    out = _row_features(base, level, temp, x, y, stats, levels, clean_inputs)
+    return out.fillna(fills) if fills else out

@@ -24,10 +24,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from heatwise.operators.common import broadcast_if_small, materialize
+from heatwise.operators.common import DEFAULT_BROADCAST_ROWS, broadcast_if_small, materialize
 
 SAMPLE_PER_BUCKET = 64
 MAX_OFFSET_ROWS = 1_000_000
+# distinct values one exact ``percentile`` map may hold (checked with approx_count_distinct)
+EXACT_MAP_LIMIT = 2_000_000
 
 
 def _sort_key(row, ascending: bool):
@@ -69,7 +71,10 @@ def positions(df: DataFrame, order_cols, group_cols=(), weights=(), ascending: b
     group_cols = list(group_cols)
     weights = list(weights)
     spark = df.sparkSession
-    df, n = materialize(df)
+    # count / sample / totals read only the narrow key columns (persisted once); the
+    # full rows are computed once, in the final windowed pass
+    need = list(dict.fromkeys([*order_cols, *group_cols, *weights]))
+    narrow, n = materialize(df.select(*need))
     if n_buckets is None:
         par = int(spark.conf.get("spark.sql.shuffle.partitions"))
         n_buckets = max(1, min(4096, max(par, n // 2_000_000)))
@@ -80,7 +85,7 @@ def positions(df: DataFrame, order_cols, group_cols=(), weights=(), ascending: b
     if n_buckets > 1 and n > 0:
         target = n_buckets * SAMPLE_PER_BUCKET
         frac = min(1.0, 2.0 * target / n)
-        sample = [tuple(r) for r in df.select(*order_cols).sample(False, frac, seed).collect()]
+        sample = [tuple(r) for r in narrow.select(*order_cols).sample(False, frac, seed).collect()]
         sample.sort(key=lambda r: _sort_key(r, ascending), reverse=not ascending)
         picked = []
         for i in range(1, n_buckets):
@@ -95,14 +100,15 @@ def positions(df: DataFrame, order_cols, group_cols=(), weights=(), ascending: b
             edges.append(F.struct(*[F.lit(v).cast(fields[c]).alias(c)
                                     for v, c in zip(tup, order_cols)]))
     key = F.struct(*[F.col(c) for c in order_cols])
-    b = df.withColumn("_bucket", _bucket_expr(key, edges, ascending) if edges else F.lit(0))
+    bucket = _bucket_expr(key, edges, ascending) if edges else F.lit(0)
 
     totals_aggs = ([F.count(F.lit(1)).alias("_t")] if not weights
                    else [F.sum(F.col(w)).alias(f"_t_{w}") for w in weights])
     tcols = ["_t"] if not weights else [f"_t_{w}" for w in weights]
     # per (group, bucket) totals: at most groups x buckets rows, checked, then running
     # offsets on the driver and a broadcast join (no window over an unpartitioned table)
-    totals = b.groupBy(*group_cols, "_bucket").agg(*totals_aggs)
+    totals = narrow.withColumn("_bucket", bucket).groupBy(*group_cols, "_bucket").agg(
+        *totals_aggs)
     rows = totals.limit(MAX_OFFSET_ROWS + 1).collect()
     if len(rows) > MAX_OFFSET_ROWS:
         raise ValueError("too many (group, bucket) cells; use fewer groups or buckets")
@@ -115,6 +121,7 @@ def positions(df: DataFrame, order_cols, group_cols=(), weights=(), ascending: b
         staged.append((g, r["_bucket"], list(run)))
         acc[g] = [run[i] + (r[c] or 0) for i, c in enumerate(tcols)]
     out_rows = [(*g, bk, *run, *acc[g]) for g, bk, run in staged]
+    b = df.withColumn("_bucket", bucket)
     ftypes = {f.name: f.dataType for f in b.schema.fields}
     tnames = ["_total"] if not weights else [f"_total_{w}" for w in weights]
     schema = T.StructType([T.StructField(c, ftypes[c]) for c in group_cols]
@@ -143,17 +150,40 @@ def value_histogram(df: DataFrame, col: str, group_cols=()) -> DataFrame:
     return df.groupBy(*group_cols, col).agg(F.count(F.lit(1)).alias("_cnt"))
 
 
-def rank_pct(df: DataFrame, col: str = "temperature", out: str = "temp_percentile_rank",
-             group_cols=()) -> DataFrame:
-    """Average-method percentile rank like pandas ``rank(pct=True)``: ties get the mean
-    of their 1-based ranks, divided by the number of non-null values."""
-    hist = value_histogram(df.filter(F.col(col).isNotNull()), col, group_cols)
+def value_positions(df: DataFrame, col: str, group_cols=(), persist: bool = False) -> DataFrame:
+    """Positioned value histogram: (group..., value, _cnt, _before__cnt, _n); persist it
+    when several consumers read it."""
+    hist = value_histogram(df.filter(F.col(col).isNotNull() & ~F.isnan(F.col(col))), col,
+                           group_cols)
     pos = positions(hist, [col], group_cols, weights=["_cnt"]).withColumnRenamed(
         "_total__cnt", "_n")
+    if persist:
+        pos, n = materialize(pos)
+        pos._heatwise_rows = n     # remembered for the broadcast decision of the rank join
+    return pos
+
+
+def rank_from_positions(df: DataFrame, pos: DataFrame, col: str, out: str,
+                        group_cols=(), n_values: int | None = None,
+                        max_broadcast: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """Join the average rank of each distinct value back to the rows; the value table is
+    broadcast only when its (known or counted) size allows."""
     ranked = pos.select(*group_cols, col,
                         ((F.col("_before__cnt") + (F.col("_cnt") + 1) / 2.0) / F.col("_n"))
                         .alias(out))
-    return df.join(broadcast_if_small(ranked), [*group_cols, col], "left")
+    n_values = n_values if n_values is not None else getattr(pos, "_heatwise_rows", None)
+    if n_values is None:
+        right = broadcast_if_small(ranked, max_broadcast)
+    else:
+        right = F.broadcast(ranked) if n_values <= max_broadcast else ranked
+    return df.join(right, [*group_cols, col], "left")
+
+
+def rank_pct(df: DataFrame, col: str = "temperature", out: str = "temp_percentile_rank",
+             group_cols=()) -> DataFrame:
+    """Average-method percentile rank like pandas ``rank(pct=True)``: ties get the mean
+    of their 1-based ranks, divided by the number of non-null values."""
+    return rank_from_positions(df, value_positions(df, col, group_cols), col, out, group_cols)
 
 
 def _lerp(lo: Column, hi: Column, t: Column) -> Column:
@@ -162,19 +192,10 @@ def _lerp(lo: Column, hi: Column, t: Column) -> Column:
     return F.when(t >= 0.5, hi - d * (F.lit(1.0) - t)).otherwise(lo + d * t)
 
 
-def exact_quantiles(df: DataFrame, col: str, probs, names=None, group_cols=()) -> DataFrame:
-    """Exact linear-interpolation quantiles (pandas/numpy ``linear``), one row per group.
-
-    Distributed: value histogram -> bucketed cumulative counts -> a conditional
-    aggregate picks the two order statistics around ``p*(n-1)``; no value->count map
-    of the whole column is ever held in one task.
-    """
+def quantiles_from_positions(pos: DataFrame, col: str, probs, names=None,
+                             group_cols=()) -> DataFrame:
     probs = list(probs)
     names = list(names) if names else [f"q{int(round(p * 100)):02d}" for p in probs]
-    hist = value_histogram(df.filter(F.col(col).isNotNull() & ~F.isnan(F.col(col))), col,
-                           group_cols)
-    pos = positions(hist, [col], group_cols, weights=["_cnt"]).withColumnRenamed(
-        "_total__cnt", "_n")
     start, end = F.col("_before__cnt"), F.col("_before__cnt") + F.col("_cnt")
     aggs = []
     for p, name in zip(probs, names):
@@ -189,6 +210,31 @@ def exact_quantiles(df: DataFrame, col: str, probs, names=None, group_cols=()) -
         for nm in names])
 
 
+def exact_quantiles(df: DataFrame, col: str, probs, names=None, group_cols=(),
+                    distinct: int | None = None) -> DataFrame:
+    """Exact linear-interpolation quantiles (pandas/numpy ``linear``), one row per group.
+
+    Two exact paths, chosen by a *proven* bound:
+    * when ``approx_count_distinct`` (pass ``distinct`` if already known) shows at most
+      ``EXACT_MAP_LIMIT`` distinct values, Spark's ``percentile`` aggregate -- its
+      value->count map (partial-aggregated, merged in the final task) is that bounded;
+    * otherwise value histogram -> bucketed cumulative counts -> a conditional aggregate
+      picks the two order statistics around ``p*(n-1)``; no task holds all values.
+    """
+    probs = list(probs)
+    names = list(names) if names else [f"q{int(round(p * 100)):02d}" for p in probs]
+    clean = df.filter(F.col(col).isNotNull() & ~F.isnan(F.col(col)))
+    if not group_cols:
+        if distinct is None:
+            distinct = clean.agg(F.approx_count_distinct(col, 0.02).alias("d")).first()["d"]
+        if distinct * 1.1 <= EXACT_MAP_LIMIT:
+            q = F.percentile(F.col(col), F.array(*[F.lit(float(p)) for p in probs]))
+            got = clean.agg(q.alias("_q"))
+            return got.select(*[F.col("_q")[i].alias(nm) for i, nm in enumerate(names)])
+    return quantiles_from_positions(value_positions(df, col, group_cols), col, probs, names,
+                                    group_cols)
+
+
 def rolling_window_size(n: int, max_window: int = 5) -> int:
     """min(5, n // 4) as in the reference; rolling is only built when n > 10."""
     return min(max_window, n // 4)
@@ -203,9 +249,10 @@ def rolling_stats(df: DataFrame, col: str = "temperature", key: str = "node_id",
 
     Plan: bucketed positions (one exchange), ``explode(sequence(p, p+w-1))`` so each
     value feeds the ``w`` windows it belongs to, ``groupBy(target)`` (partial aggregation
-    combines neighbours, which share a bucket), join back on position.
+    combines neighbours, which share a bucket), join back on position.  The rows are
+    carried through the positions step, so there is no join back on the row key.
     """
-    pos = positions(df.select(key, col), [col, key])
+    pos = positions(df, [col, key]).drop("_total")
     contrib = pos.select(F.explode(F.sequence(F.col("_before"),
                                               F.col("_before") + (window - 1))).alias("_p"),
                          F.col(col).alias("_v"))
@@ -215,11 +262,10 @@ def rolling_stats(df: DataFrame, col: str = "temperature", key: str = "node_id",
                 F.max("_v").alias("_max"))
            .filter(F.col("_k") == window))
     fill = fill or {}
-    joined = pos.select(key, F.col("_before").alias("_p")).join(win, "_p", "left")
-    stats = joined.select(
-        key,
-        F.coalesce(F.col("_mean"), F.lit(fill.get("mean"))).cast("double").alias(f"{prefix}mean"),
-        F.coalesce(F.col("_std"), F.lit(fill.get("std"))).cast("double").alias(f"{prefix}std"),
-        F.coalesce(F.col("_min"), F.lit(fill.get("min"))).cast("double").alias(f"{prefix}min"),
-        F.coalesce(F.col("_max"), F.lit(fill.get("max"))).cast("double").alias(f"{prefix}max"))
-    return df.join(stats, key, "left")
+    joined = pos.withColumnRenamed("_before", "_p").join(win, "_p", "left")
+    return joined.withColumns({
+        f"{prefix}mean": F.coalesce(F.col("_mean"), F.lit(fill.get("mean"))).cast("double"),
+        f"{prefix}std": F.coalesce(F.col("_std"), F.lit(fill.get("std"))).cast("double"),
+        f"{prefix}min": F.coalesce(F.col("_min"), F.lit(fill.get("min"))).cast("double"),
+        f"{prefix}max": F.coalesce(F.col("_max"), F.lit(fill.get("max"))).cast("double"),
+    }).drop("_p", "_k", "_mean", "_std", "_min", "_max")

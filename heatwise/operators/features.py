@@ -140,7 +140,7 @@ def zscore_features(df: DataFrame, stats: dict, temp: str = "temperature") -> Da
 
 
 def global_stats(df: DataFrame, temp: str = "temperature", x: str = "x", y: str = "y",
-                 quantiles: bool = True, tpos: DataFrame | None = None) -> dict:
+                 quantiles: bool = True, tpos: DataFrame | None = None, others=()) -> dict:
     """One aggregate row (count, mean, sample sigma, min/max of T/x/y, distinct-count
     sketches), plus the exact median of T and quartiles of the distance (exact path
     chosen by the sketch bound, see ``exact_quantiles``)."""
@@ -152,7 +152,7 @@ def global_stats(df: DataFrame, temp: str = "temperature", x: str = "x", y: str
                  F.min(y).alias("y_min"), F.max(y).alias("y_max"),
                  F.approx_count_distinct(t, 0.02).alias("t_distinct"),
                  F.approx_count_distinct(dist, 0.02).alias("d_distinct"),
-                 *_input_checks(temp, x, y)).first().asDict()
+                 *_input_checks(temp, x, y, others)).first().asDict()
     if quantiles:
         if tpos is not None:
             med = quantiles_from_positions(tpos, temp, [0.5], ["q"]).first()
@@ -165,13 +165,15 @@ def global_stats(df: DataFrame, temp: str = "temperature", x: str = "x", y: str
     return row
 
 
-def _input_checks(temp: str, x: str, y: str) -> list:
+def _input_checks(temp: str, x: str, y: str, others=()) -> list:
     """Counts that decide whether any row-wise feature can be null: null inputs and
-    temperatures where log/sqrt/category are undefined."""
+    temperatures where log/sqrt/category are undefined; nulls of other numeric inputs."""
     t = F.col(temp)
     return [F.count_if(F.col(x).isNull() | F.isnan(F.col(x))).alias("_bad_x"),
             F.count_if(F.col(y).isNull() | F.isnan(F.col(y))).alias("_bad_y"),
-            F.count_if(t.isNull() | F.isnan(t) | (t <= 0)).alias("_bad_t")]
+            F.count_if(t.isNull() | F.isnan(t) | (t <= 0)).alias("_bad_t"),
+            (sum((F.count_if(F.col(c).isNull()) for c in others), F.lit(0))
+             .alias("_bad_other"))]
 
 
 def numeric_columns(df: DataFrame, exclude=()) -> list[str]:
@@ -246,17 +248,19 @@ def engineer_features(df: DataFrame, level: str = "basic", key: str = "node_id",
     """
     if level not in LEVELS:
         raise ValueError(f"level must be one of {LEVELS}")
+    other_nums = [c for c in numeric_columns(df) if c not in (temp, x, y)]
     tpos = value_positions(df, temp, persist=True) if level == "full" else None
-    stats = global_stats(df, temp, x, y, quantiles=True, tpos=tpos) if level == "full" else None
+    stats = (global_stats(df, temp, x, y, quantiles=True, tpos=tpos, others=other_nums)
+             if level == "full" else None)
     levels = hole_size_levels(df) if "hole_size" in df.columns else None
     fills = {}
-    checks = stats if stats is not None else df.agg(*_input_checks(temp, x, y)).first().asDict()
+    checks = stats if stats is not None else \
+        df.agg(*_input_checks(temp, x, y, other_nums)).first().asDict()
     clean_inputs = not (checks["_bad_x"] or checks["_bad_y"] or checks["_bad_t"]) and \
         (stats is None or all(stats[k] is not None and math.isfinite(stats[k])
                               for k in ("x_min", "x_max", "y_min", "y_max", "t_min", "t_max")))
     if impute:
-        other_nums = [c for c in numeric_columns(df) if c not in (temp, x, y)]
-        if not clean_inputs or other_nums:
+        if not clean_inputs or checks["_bad_other"]:
             # general case: scan every row-wise feature column for nulls
             fills = median_fills(_row_features(df, level, temp, x, y, stats, levels))
         # else: with non-null x, y and positive T no row-wise feature is null except

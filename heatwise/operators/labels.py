@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heatwise.functions.exprs import hole_factor, lit_double, safe_div
-from heatwise.operators.common import DEFAULT_BROADCAST_ROWS, broadcast_if_small
+from heatwise.operators.common import DEFAULT_BROADCAST_ROWS, broadcast_if_small, materialize
 from heatwise.policies import SENSITIVITIES, LabelPolicy, policy as _policy
 
 # Fixed values of the valid temperature window (exclusive bounds).
@@ -115,10 +115,13 @@ def label_files(rows: DataFrame, policy="four", sensitivity: str = "balanced",
     if quantiles:
         stats_q = file_temp_stats(rows, key=key, temp=temp, quantiles=quantiles).select(
             key, "q75", "q90", "q95")
-    stats = rows.groupBy(key, "hole_size").agg(*aggs)
+    # one row per file; persisted once so the size check, the outlier pass and the
+    # decision all read it instead of re-aggregating the rows
+    stats, n_files = materialize(rows.groupBy(key, "hole_size").agg(*aggs))
 
     if pol.use_outliers:
-        small = broadcast_if_small(stats.select(key, "mean", "std_pop"), max_broadcast_files)
+        small = stats.select(key, "mean", "std_pop")
+        small = F.broadcast(small) if n_files <= max_broadcast_files else small
         z = safe_div(t - F.col("mean"), F.col("std_pop"))
         outl = (rows.select(key, temp).join(small, key)
                 .groupBy(key)
@@ -233,10 +236,14 @@ def label_files(rows: DataFrame, policy="four", sensitivity: str = "balanced",
         "strategies": F.struct(F.col("outlier_ratio"), F.col("high_temp_ratio"),
                                F.col("temp_range")),
     })
-    return out.select(key, "hole_size", "n_rows", "leak_status", "confidence", "criteria_count",
-                      "total_criteria", "method", "criteria_met", "mean", "max", "min", "std",
-                      "std_pop", "outlier_ratio", "high_temp_ratio", "temp_range", "file_idx",
-                      "temp_stats", "strategies")
+    out = out.select(key, "hole_size", "n_rows", "leak_status", "confidence", "criteria_count",
+                     "total_criteria", "method", "criteria_met", "mean", "max", "min", "std",
+                     "std_pop", "outlier_ratio", "high_temp_ratio", "temp_range", "file_idx",
+                     "temp_stats", "strategies")
+    # the label table (one row per file) is what every tagging join and summary reads
+    out, n_lab = materialize(out)
+    out._heatwise_rows = n_lab
+    return out
 
 
 def tag_rows(rows: DataFrame, labels: DataFrame, key: str = "file_name",
@@ -246,7 +253,12 @@ def tag_rows(rows: DataFrame, labels: DataFrame, key: str = "file_name",
     checked row count allows it."""
     lab = labels.select(key, "leak_status", F.col("confidence").alias("leak_confidence"),
                         F.col("method").alias("classification_method"), "criteria_count")
-    return rows.join(broadcast_if_small(lab, max_broadcast_files), key)
+    n = getattr(labels, "_heatwise_rows", None)
+    if n is None:
+        lab = broadcast_if_small(lab, max_broadcast_files)
+    elif n <= max_broadcast_files:
+        lab = F.broadcast(lab)
+    return rows.join(lab, key)
 
 
 def file_label_summary(labels: DataFrame) -> DataFrame:

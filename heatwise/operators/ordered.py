@@ -29,7 +29,7 @@ from heatwise.operators.common import DEFAULT_BROADCAST_ROWS, broadcast_if_small
 SAMPLE_PER_BUCKET = 64
 MAX_OFFSET_ROWS = 1_000_000
 # distinct values one exact ``percentile`` map may hold (checked with approx_count_distinct)
-EXACT_MAP_LIMIT = 2_000_000
+EXACT_MAP_LIMIT = 100_000
 
 
 def _sort_key(row, ascending: bool):
@@ -224,13 +224,18 @@ def exact_quantiles(df: DataFrame, col: str, probs, names=None, group_cols=(),
     probs = list(probs)
     names = list(names) if names else [f"q{int(round(p * 100)):02d}" for p in probs]
     clean = df.filter(F.col(col).isNotNull() & ~F.isnan(F.col(col)))
-    if not group_cols:
-        if distinct is None:
+    if distinct is None:
+        if group_cols:   # the largest group's distinct count bounds every group's map
+            distinct = (clean.groupBy(*group_cols)
+                        .agg(F.approx_count_distinct(col, 0.02).alias("d"))
+                        .agg(F.max("d").alias("d")).first()["d"]) or 0
+        else:
             distinct = clean.agg(F.approx_count_distinct(col, 0.02).alias("d")).first()["d"]
-        if distinct * 1.1 <= EXACT_MAP_LIMIT:
-            q = F.percentile(F.col(col), F.array(*[F.lit(float(p)) for p in probs]))
-            got = clean.agg(q.alias("_q"))
-            return got.select(*[F.col("_q")[i].alias(nm) for i, nm in enumerate(names)])
+    if distinct * 1.1 <= EXACT_MAP_LIMIT:
+        q = F.percentile(F.col(col), F.array(*[F.lit(float(p)) for p in probs]))
+        got = clean.groupBy(*group_cols).agg(q.alias("_q"))
+        return got.select(*group_cols,
+                          *[F.col("_q")[i].alias(nm) for i, nm in enumerate(names)])
     return quantiles_from_positions(value_positions(df, col, group_cols), col, probs, names,
                                     group_cols)
 

@@ -114,3 +114,24 @@ def test_histogram_matches_numpy(spark):
     assert (got["count"].to_numpy() == cnt).all()
     assert np.allclose(got["density"].to_numpy(), dens, rtol=1e-12)
     assert np.allclose(got["bin_left"].to_numpy(), edges[:-1], rtol=0, atol=0)
+
+
+def test_imputation_with_null_inputs_matches_pandas(spark):
+    from heatwise.operators.features import engineer_features
+    rng = np.random.default_rng(5)
+    n = 200
+    pdf = pd.DataFrame({"node_id": [f"n{i:04d}" for i in range(n)],
+                        "hole_size": rng.choice(["20mm", "30mm"], n),
+                        "x": rng.uniform(-3, 3, n), "y": rng.uniform(-1, 1, n),
+                        "temperature": rng.normal(305, 6, n)})
+    pdf.loc[[3, 50, 77], "x"] = np.nan
+    df = spark.createDataFrame(pdf).withColumn("x", F.when(F.isnan("x"), None).otherwise(F.col("x")))
+    got = engineer_features(df, "basic").toPandas().set_index("node_id").sort_index()
+    exp = pdf.copy()
+    exp["distance_from_origin"] = np.sqrt(exp["x"] ** 2 + exp["y"] ** 2)
+    exp["manhattan_distance"] = exp["x"].abs() + exp["y"].abs()
+    for c in ("x", "distance_from_origin", "manhattan_distance"):
+        exp[c] = exp[c].fillna(exp[c].median())
+    exp = exp.set_index("node_id").sort_index()
+    for c in ("x", "distance_from_origin", "manhattan_distance"):
+        assert np.allclose(got[c].to_numpy(), exp[c].to_numpy(), rtol=0, atol=1e-12), c

@@ -247,16 +247,23 @@ def rolling_window_size(n: int, max_window: int = 5) -> int:
 
 def rolling_stats(df: DataFrame, col: str = "temperature", key: str = "node_id",
                   window: int = 5, prefix: str = "temp_rolling_",
-                  fill: dict | None = None) -> DataFrame:
-    """Rolling mean / sample std / min / max over the value-sorted sequence, aligned to
-    each row's own position (ties ordered by ``key``). The first ``window-1`` positions
-    have no full window and take ``fill`` (the global statistics in the reference).
+                  fill: dict | None = None, align: str = "value",
+                  order_key=None) -> DataFrame:
+    """Rolling mean / sample std / min / max over the value-sorted sequence.
+
+    ``align="value"`` (default): each row gets the window ending at its own position in
+    value order (ties ordered by ``key``).  ``align="position"``: the reference's
+    behaviour (Q8) -- the row with index *i* in ``order_key`` order gets the window of
+    the *i*-th smallest value.  The first ``window-1`` positions have no full window and
+    take ``fill`` (the global statistics in the reference).
 
     Plan: bucketed positions (one exchange), ``explode(sequence(p, p+w-1))`` so each
     value feeds the ``w`` windows it belongs to, ``groupBy(target)`` (partial aggregation
     combines neighbours, which share a bucket), join back on position.  The rows are
     carried through the positions step, so there is no join back on the row key.
     """
+    if align not in ("value", "position"):
+        raise ValueError("align must be 'value' or 'position'")
     pos = positions(df, [col, key]).drop("_total")
     contrib = pos.select(F.explode(F.sequence(F.col("_before"),
                                               F.col("_before") + (window - 1))).alias("_p"),
@@ -267,7 +274,12 @@ def rolling_stats(df: DataFrame, col: str = "temperature", key: str = "node_id",
                 F.max("_v").alias("_max"))
            .filter(F.col("_k") == window))
     fill = fill or {}
-    joined = pos.withColumnRenamed("_before", "_p").join(win, "_p", "left")
+    if align == "value":
+        joined = pos.withColumnRenamed("_before", "_p").join(win, "_p", "left")
+    else:
+        okeys = [order_key] if isinstance(order_key, str) else list(order_key or [key])
+        rows = positions(df, okeys).drop("_total").withColumnRenamed("_before", "_p")
+        joined = rows.join(win, "_p", "left")
     return joined.withColumns({
         f"{prefix}mean": F.coalesce(F.col("_mean"), F.lit(fill.get("mean"))).cast("double"),
         f"{prefix}std": F.coalesce(F.col("_std"), F.lit(fill.get("std"))).cast("double"),

@@ -68,6 +68,6 @@ def write_csv(df: DataFrame, path: str) -> str:
 
 
 def write_json_report(df: DataFrame, path: str) -> str:
-    """Experiment summary (#119): the small report frame as JSON lines."""
-    df.write.mode("overwrite").json(path)
+    """Experiment summary (#119): the small (bounded, one-row) report as one JSON file."""
+    df.coalesce(1).write.mode("overwrite").json(path)
     return path

@@ -135,3 +135,18 @@ def test_imputation_with_null_inputs_matches_pandas(spark):
     exp = exp.set_index("node_id").sort_index()
     for c in ("x", "distance_from_origin", "manhattan_distance"):
         assert np.allclose(got[c].to_numpy(), exp[c].to_numpy(), rtol=0, atol=1e-12), c
+
+
+def test_rolling_position_alignment_matches_reference_rule(spark):
+    """Q8: row i (frame order) receives the rolling value of the i-th smallest T."""
+    pdf = data(300)
+    w = 5
+    s = pdf.sort_values(["temperature", "node_id"]).reset_index(drop=True)
+    roll = s["temperature"].rolling(w).mean().fillna(-1.0).to_numpy()
+    frame = pdf.sort_values("node_id").reset_index(drop=True)      # frame order = node_id
+    frame["expect"] = roll
+    got = rolling_stats(spark.createDataFrame(pdf), "temperature", "node_id", w,
+                        fill={"mean": -1.0, "std": -1.0, "min": -1.0, "max": -1.0},
+                        align="position", order_key="node_id").toPandas()
+    m = got.merge(frame, on="node_id")
+    assert np.allclose(m["temp_rolling_mean"], m["expect"], atol=1e-9)

@@ -51,17 +51,28 @@ def _glob(exts) -> str:
 
 def read_lines(spark: SparkSession, path, extensions=READING_EXTENSIONS,
                recursive: bool = True) -> DataFrame:
-    """Non-blank lines with file path and an in-file order key."""
-    reader = spark.read.option("pathGlobFilter", _glob(extensions))
+    """Non-blank lines with file path and an in-file order key.  ``extensions=None``
+    reads every file given (e.g. the discovered list of the batch pipeline)."""
+    reader = spark.read
+    if extensions:
+        reader = reader.option("pathGlobFilter", _glob(extensions))
     if recursive:
         reader = reader.option("recursiveFileLookup", "true")
     raw = reader.text(path if isinstance(path, str) else list(path))
-    return (raw.select(F.col("value"), F.col("_metadata.file_path").alias("file_path"),
+    return (raw.select(F.col("value"), decoded_path(F.col("_metadata.file_path")).alias("file_path"),
                        F.col("_metadata.file_block_start").alias("_blk"),
                        F.monotonically_increasing_id().alias("_mid"))
             .filter(F.trim(F.col("value")) != ""))
 
 
+def decoded_path(meta_path: Column) -> Column:
+    """``_metadata.file_path`` is a percent-encoded URI (a blank is ``%20``); decode it so it
+    equals the listing's path (``binaryFile``) and the file's real name.  A literal ``+``
+    is protected first (URL decoding would turn it into a blank)."""
+    protected = F.replace(meta_path, F.lit("+"), F.lit("%2B"))
+    return F.coalesce(F.try_url_decode(protected), meta_path)
+
+
 def _tokens(value: Column, sep: str) -> Column:
     """Fields of a line; ``\\s+`` splits the trimmed line (leading blanks are not a field)."""
     line = F.trim(value) if sep == r"\s+" else value

@@ -59,13 +59,16 @@ def _bucket_expr(key: Column, edges: list[Column], ascending: bool) -> Column:
 
 
 def positions(df: DataFrame, order_cols, group_cols=(), weights=(), ascending: bool = True,
-              n_buckets: int | None = None, seed: int = 42) -> DataFrame:
+              n_buckets: int | None = None, seed: int = 42, cache: bool = True) -> DataFrame:
     """Add ``_before`` (rows strictly before, needs a unique order within the group) or,
     with ``weights``, ``_before_<w>`` (sum of ``w`` over rows strictly before); also the
     group totals ``_total`` / ``_total_<w>``.
 
     ``order_cols`` must be non-null. ``group_cols`` should have few distinct values
-    (hole sizes, models); each group is ordered independently.
+    (hole sizes, models); each group is ordered independently.  ``cache`` persists the
+    narrow key projection read by the count / sample / totals passes -- right for
+    aggregated inputs (histograms, file tables); row-level callers pass ``False`` and
+    re-scan the (column-pruned) input instead of caching a projection of every row.
     """
     order_cols = [order_cols] if isinstance(order_cols, str) else list(order_cols)
     group_cols = list(group_cols)
@@ -74,7 +77,11 @@ def positions(df: DataFrame, order_cols, group_cols=(), weights=(), ascending: b
     # count / sample / totals read only the narrow key columns (persisted once); the
     # full rows are computed once, in the final windowed pass
     need = list(dict.fromkeys([*order_cols, *group_cols, *weights]))
-    narrow, n = materialize(df.select(*need))
+    if cache:
+        narrow, n = materialize(df.select(*need))
+    else:
+        narrow = df.select(*need)
+        n = narrow.count()
     if n_buckets is None:
         par = int(spark.conf.get("spark.sql.shuffle.partitions"))
         n_buckets = max(1, min(4096, max(par, n // 2_000_000)))
@@ -264,7 +271,7 @@ def rolling_stats(df: DataFrame, col: str = "temperature", key: str = "node_id",
     """
     if align not in ("value", "position"):
         raise ValueError("align must be 'value' or 'position'")
-    pos = positions(df, [col, key]).drop("_total")
+    pos = positions(df, [col, key], cache=False).drop("_total")
     contrib = pos.select(F.explode(F.sequence(F.col("_before"),
                                               F.col("_before") + (window - 1))).alias("_p"),
                          F.col(col).alias("_v"))
@@ -278,7 +285,7 @@ def rolling_stats(df: DataFrame, col: str = "temperature", key: str = "node_id",
         joined = pos.withColumnRenamed("_before", "_p").join(win, "_p", "left")
     else:
         okeys = [order_key] if isinstance(order_key, str) else list(order_key or [key])
-        rows = positions(df, okeys).drop("_total").withColumnRenamed("_before", "_p")
+        rows = positions(df, okeys, cache=False).drop("_total").withColumnRenamed("_before", "_p")
         joined = rows.join(win, "_p", "left")
     return joined.withColumns({
         f"{prefix}mean": F.coalesce(F.col("_mean"), F.lit(fill.get("mean"))).cast("double"),

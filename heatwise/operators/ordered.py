@@ -28,8 +28,11 @@ from heatwise.operators.common import DEFAULT_BROADCAST_ROWS, broadcast_if_small
 
 SAMPLE_PER_BUCKET = 64
 MAX_OFFSET_ROWS = 1_000_000
-# distinct values one exact ``percentile`` map may hold (checked with approx_count_distinct)
-EXACT_MAP_LIMIT = 100_000
+# distinct values one exact ``percentile`` map may hold (checked with approx_count_distinct):
+# a memory bound per group (groups merge in different tasks), and a lower bound for a
+# single global group, above which the parallel bucketed path is also faster
+EXACT_MAP_LIMIT = 2_000_000
+EXACT_MAP_LIMIT_GLOBAL = 100_000
 
 
 def _sort_key(row, ascending: bool):
@@ -238,7 +241,8 @@ def exact_quantiles(df: DataFrame, col: str, probs, names=None, group_cols=(),
                         .agg(F.max("d").alias("d")).first()["d"]) or 0
         else:
             distinct = clean.agg(F.approx_count_distinct(col, 0.02).alias("d")).first()["d"]
-    if distinct * 1.1 <= EXACT_MAP_LIMIT:
+    limit = EXACT_MAP_LIMIT if group_cols else EXACT_MAP_LIMIT_GLOBAL
+    if distinct * 1.1 <= limit:
         q = F.percentile(F.col(col), F.array(*[F.lit(float(p)) for p in probs]))
         got = clean.groupBy(*group_cols).agg(q.alias("_q"))
         return got.select(*group_cols,

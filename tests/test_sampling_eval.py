@@ -93,3 +93,23 @@ def test_roc_curve_ends(spark):
 def test_confusion_has_zero_cells(spark):
     cm = ev.confusion_matrix(scored(spark, [1, 1], [0.9, 0.8])).collect()
     assert len(cm) == 4 and sum(r["count"] for r in cm) == 2
+
+
+def test_select_features_drops_constant_and_keeps_top_40(spark):
+    from heatwise.operators.features import engineer_features
+    from heatwise.operators.selection import select_features, numeric_feature_columns
+    from heatwise.plans.catalog import tagged_readings
+    from conftest import SF001
+    df = engineer_features(tagged_readings(spark, SF001), "full")
+    cols = numeric_feature_columns(df)
+    assert len(cols) > 50                       # the full set triggers the top-40 cut
+    df = df.withColumn("const_col", F.lit(1.0))
+    sel = select_features(df)
+    assert len(sel) == 40 and "const_col" not in sel and "leak_confidence" not in sel
+    # the kept columns are the 40 largest |r| (brute force with pandas)
+    pdf = df.select(*cols, "leak_status").toPandas()
+    r = pdf[cols].astype(float).corrwith(pdf["leak_status"].astype(float)).abs().dropna()
+    var = pdf[cols].astype(float).var(ddof=0)
+    r = r[var[r.index] > 0.001].round(10)
+    best = set(r.sort_values(ascending=False, kind="stable").index[:40])
+    assert set(sel) == best or len(set(sel) ^ best) <= 2   # ties at the cut may swap

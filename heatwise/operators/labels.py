@@ -72,15 +72,24 @@ def _f1(c: Column) -> Column:
     return F.format_string("%.1f", c)
 
 
-def file_index(files: DataFrame, key: str = "file_name", group: str = "hole_size") -> DataFrame:
-    """0-based position of each file within its hole size, in file-name order.
+# Largest file table numbered with a plain per-size window (checked count); beyond it the
+# bucketed ordering helper is used so no hole size is sorted in a single task.
+WINDOW_FILE_LIMIT = 1_000_000
+
+
+def file_index(files: DataFrame, key: str = "file_name", group: str = "hole_size",
+               window_limit: int = WINDOW_FILE_LIMIT) -> DataFrame:
+    """0-based position of each file within its hole size, in file-name order, over the
+    file table (one row per listed file)."""
+    from pyspark.sql import Window
 
-    Runs on the file table (one row per listed file), through the bucketed global
-    ordering helper so no hole size is sorted in a single task.
-    """
     from heatwise.operators.ordered import positions
 
-    distinct = files.select(key, group).distinct()
+    distinct, n = materialize(files.select(key, group).distinct())
+    if n <= window_limit:
+        w = Window.partitionBy(group).orderBy(F.col(key))
+        return distinct.select(key, group, (F.row_number().over(w) - 1).cast("int")
+                               .alias("file_idx"))
     return positions(distinct, key, group_cols=[group]).select(
         key, group, F.col("_before").cast("int").alias("file_idx"))
 

@@ -88,3 +88,12 @@ def test_labels_do_not_depend_on_partitioning(spark):
     b = sorted(tuple(r) for r in label_files(v.repartition(7), "six").select(
         "file_name", "leak_status", "criteria_count").collect())
     assert a == b
+
+
+def test_file_index_window_and_bucketed_paths_agree(spark):
+    from heatwise.operators.labels import file_index
+    rows = [(f"f{i:04d}", ["20mm", "25mm"][i % 2]) for i in range(500)]
+    df = spark.createDataFrame(rows, "file_name string, hole_size string").repartition(5)
+    a = sorted(tuple(r) for r in file_index(df).collect())
+    b = sorted(tuple(r) for r in file_index(df, window_limit=0).collect())
+    assert a == b and max(r[2] for r in a) == 249

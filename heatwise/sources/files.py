@@ -62,7 +62,7 @@ def read_lines(spark: SparkSession, path, extensions=READING_EXTENSIONS,
     return (raw.select(F.col("value"), decoded_path(F.col("_metadata.file_path")).alias("file_path"),
                        F.col("_metadata.file_block_start").alias("_blk"),
                        F.monotonically_increasing_id().alias("_mid"))
-            .filter(F.trim(F.col("value")) != ""))
+            .filter(strip_ws(F.col("value")) != ""))
 
 
 def decoded_path(meta_path: Column) -> Column:
@@ -73,12 +73,26 @@ def decoded_path(meta_path: Column) -> Column:
     return F.coalesce(F.try_url_decode(protected), meta_path)
 
 
+def strip_ws(c: Column) -> Column:
+    """Remove leading/trailing whitespace of any kind (``trim`` removes blanks only)."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def _tokens(value: Column, sep: str) -> Column:
-    """Fields of a line; ``\\s+`` splits the trimmed line (leading blanks are not a field)."""
-    line = F.trim(value) if sep == r"\s+" else value
+    """Fields of a line; ``\\s+`` splits the stripped line (leading blanks or tabs are not
+    a field, as with pandas' whitespace delimiter)."""
+    line = strip_ws(value) if sep == r"\s+" else value
     return F.split(line, sep, -1)
 
 
+def field_count(value: Column, sep: str) -> Column:
+    """Number of fields ``_tokens`` would give, without building the array: separator
+    occurrences + 1 (a run of blanks counts once for ``\\s+`` on the trimmed line)."""
+    if sep == r"\s+":
+        return F.regexp_count(strip_ws(value), F.lit(r"\s+")) + 1
+    return F.length(value) - F.length(F.replace(value, F.lit(sep), F.lit(""))) + 1
+
+
 def separator_decisions(lines: DataFrame, separators=SEPARATORS,
                         expected: int = EXPECTED_FIELDS) -> DataFrame:
     """One row per file: file_path, n_lines, sep_index (null = none accepted),
@@ -86,7 +100,8 @@ def separator_decisions(lines: DataFrame, separators=SEPARATORS,
     order = F.struct(F.col("_blk"), F.col("_mid"))
     aggs = [F.count(F.lit(1)).alias("n_lines")]
     for i, sep in enumerate(separators):
-        n = F.size(_tokens(F.col("value"), sep))
+        n = field_count(F.col("value"), sep) if len(sep) == 1 or sep == r"\s+" \
+            else F.size(_tokens(F.col("value"), sep))
         aggs += [F.min_by(n, order).alias(f"_first{i}"), F.max(n).alias(f"_max{i}")]
     per = lines.groupBy("file_path").agg(*aggs)
     idx = None
@@ -133,7 +148,8 @@ def parse_lines(lines: DataFrame, separators=SEPARATORS, valid_only: bool = True
             F.col("sep_index") == i, t)
     j = j.withColumn("_t", toks)
     # try_element_at: short rows give null (``arr[i]`` raises under ANSI)
-    fields = [F.trim(F.try_element_at(F.col("_t"), F.lit(i + 1))) for i in range(EXPECTED_FIELDS)]
+    fields = [strip_ws(F.try_element_at(F.col("_t"), F.lit(i + 1)))
+              for i in range(EXPECTED_FIELDS)]
     complete = F.size("_t") >= EXPECTED_FIELDS
     for f in fields:
         complete = complete & ~_is_na(f)

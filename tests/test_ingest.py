@@ -89,3 +89,20 @@ def test_scoring_batch_defaults(spark, tmpdir_path):
     df = read_scoring_batch(spark, os.path.join(tmpdir_path, "s.csv"))
     rows = sorted(tuple(r) for r in df.collect())
     assert rows == [(0.0, 0.0, 300.0, "30mm"), (1.0, 1.0, 310.0, "25mm")]
+
+
+def test_field_count_equals_split_size(spark):
+    from heatwise.sources.files import SEPARATORS, _tokens, field_count
+    lines = ["a,b,,d", "  1 2\t3  4 ", "x;y;z;w;", "single", ",", "a\tb\t\tc", "  lead , x",
+             "\t 7 0 0 300\t"]
+    df = spark.createDataFrame([(v,) for v in lines], "value string")
+    for sep in SEPARATORS:
+        got = df.select(field_count(F.col("value"), sep).alias("a"),
+                        F.size(_tokens(F.col("value"), sep)).alias("b")).collect()
+        assert all(r["a"] == r["b"] for r in got), sep
+
+
+def test_leading_tab_whitespace_file(spark, tmpdir_path):
+    write(tmpdir_path, "t.dat", "\t1 0 0 300\n \t2 1 1 301 \n")
+    rows = sorted(r["node_number"] for r in read_readings(spark, tmpdir_path).collect())
+    assert rows == ["1", "2"]

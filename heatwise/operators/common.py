@@ -36,7 +36,11 @@ def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) ->
 
 
 def attach_one_row(df: DataFrame, stats: DataFrame) -> DataFrame:
-    """Cross join a one-row statistics frame: the single row is a proven size bound."""
+    """Attach a one-row frame (a global aggregate, or the bucket-edge array) to every row.
+
+    The only cross join in the library: callers pass frames that are one row by
+    construction (an ungrouped ``agg``), so the broadcast side has a proven size bound
+    and no pairs are multiplied."""
     return df.crossJoin(F.broadcast(stats))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heatwise.functions.exprs import lit_double
-from heatwise.operators.common import broadcast_if_small
+from heatwise.operators.common import attach_one_row, broadcast_if_small
 from heatwise.operators.ordered import exact_quantiles
 from heatwise.policies import DEFAULT_TARGET_LEAK_RATIO
 
@@ -94,7 +94,8 @@ def describe(df: DataFrame, col: str) -> DataFrame:
                   F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"))
     q = exact_quantiles(df.select(F.col(col).cast("double").alias(col)), col,
                         [0.25, 0.5, 0.75], ["q25", "q50", "q75"])
-    return base.crossJoin(q).select("count", "mean", "std", "min", "q25", "q50", "q75", "max")
+    return attach_one_row(base, q).select("count", "mean", "std", "min", "q25", "q50", "q75",
+                                          "max")
 
 
 def value_counts(df: DataFrame, col: str, out: str = "n") -> DataFrame:
@@ -121,7 +122,7 @@ def histogram(df: DataFrame, col: str, group: str | None = None, bins: int = 50,
     step = (F.col("_hi") - F.col("_lo")) / float(bins)
 
     rows = df.filter(x.isNotNull()).select(*keys, col)
-    rows = rows.join(broadcast_if_small(st), keys) if keys else rows.crossJoin(F.broadcast(st))
+    rows = rows.join(broadcast_if_small(st), keys) if keys else attach_one_row(rows, st)
     idx = None
     for i in range(1, bins):
         term = F.when(x >= F.lit(float(i)) * step + F.col("_lo"), 1).otherwise(0)

@@ -24,9 +24,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from heatwise.operators.common import DEFAULT_BROADCAST_ROWS, broadcast_if_small, materialize
+from heatwise.operators.common import (DEFAULT_BROADCAST_ROWS, attach_one_row,
+                                       broadcast_if_small, materialize)
 
 SAMPLE_PER_BUCKET = 64
+MAX_SAMPLE = 2_000_000          # driver-side sample rows (bounds edge selection)
+MAX_BUCKETS = 65_536
+TREE_MAX_EDGES = 1_023          # above this, edges go to a broadcast array + binary search
+ROWS_PER_BUCKET = 2_000_000
 MAX_OFFSET_ROWS = 1_000_000
 # distinct values one exact ``percentile`` map may hold (checked with approx_count_distinct):
 # a memory bound per group (groups merge in different tasks), and a lower bound for a
@@ -61,6 +66,24 @@ def _bucket_expr(key: Column, edges: list[Column], ascending: bool) -> Column:
     return node(0, len(edges))
 
 
+def _bucket_search(key: Column, edges: Column, n_edges: int, ascending: bool) -> Column:
+    """Number of edges at or below ``key`` by binary search over a sorted edge array:
+    ``aggregate`` runs ceil(log2(n+1)) halving steps on a (lo, hi) pair."""
+    steps = max(1, math.ceil(math.log2(n_edges + 1)))
+
+    def step(acc, _):
+        lo, hi = acc["lo"], acc["hi"]
+        mid = F.floor((lo + hi) / 2).cast("int")
+        e = F.element_at(edges, mid + 1)
+        go_right = (lo < hi) & ((key >= e) if ascending else (key <= e))
+        return F.struct(F.when(go_right, mid + 1).otherwise(lo).alias("lo"),
+                        F.when((lo < hi) & ~go_right, mid).otherwise(hi).alias("hi"))
+
+    init = F.struct(F.lit(0).alias("lo"), F.lit(n_edges).alias("hi"))
+    res = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step)
+    return res["lo"]
+
+
 def positions(df: DataFrame, order_cols, group_cols=(), weights=(), ascending: bool = True,
               n_buckets: int | None = None, seed: int = 42, cache: bool = True) -> DataFrame:
     """Add ``_before`` (rows strictly before, needs a unique order within the group) or,
@@ -87,14 +110,15 @@ def positions(df: DataFrame, order_cols, group_cols=(), weights=(), ascending: b
         n = narrow.count()
     if n_buckets is None:
         par = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        n_buckets = max(1, min(4096, max(par, n // 2_000_000)))
-    n_buckets = max(1, min(n_buckets, max(1, n // 2)))
+        n_buckets = max(1, min(MAX_BUCKETS, max(par, n // ROWS_PER_BUCKET)))
+    n_buckets = max(1, min(n_buckets, MAX_BUCKETS, max(1, n // 2)))
 
     edges: list[Column] = []
+    edge_tuples: list[tuple] = []
     fields = {f.name: f.dataType for f in df.schema.fields}
     if n_buckets > 1 and n > 0:
-        target = n_buckets * SAMPLE_PER_BUCKET
-        frac = min(1.0, 2.0 * target / n)
+        target = min(n_buckets * SAMPLE_PER_BUCKET, MAX_SAMPLE)
+        frac = min(1.0, 1.5 * target / n)
         sample = [tuple(r) for r in narrow.select(*order_cols).sample(False, frac, seed).collect()]
         sample.sort(key=lambda r: _sort_key(r, ascending), reverse=not ascending)
         picked = []
@@ -104,21 +128,35 @@ def positions(df: DataFrame, order_cols, group_cols=(), weights=(), ascending: b
                 cand = sample[j]
                 if not picked or picked[-1] != cand:
                     picked.append(cand)
-        for tup in picked:
-            if any(v is None or (isinstance(v, float) and math.isnan(v)) for v in tup):
-                continue
-            edges.append(F.struct(*[F.lit(v).cast(fields[c]).alias(c)
-                                    for v, c in zip(tup, order_cols)]))
+        edge_tuples = [t for t in picked
+                       if not any(v is None or (isinstance(v, float) and math.isnan(v))
+                                  for v in t)]
     key = F.struct(*[F.col(c) for c in order_cols])
-    bucket = _bucket_expr(key, edges, ascending) if edges else F.lit(0)
+    edge_table = None
+    if len(edge_tuples) > TREE_MAX_EDGES:
+        # many buckets: a one-row broadcast table holds the edges; binary search per row
+        st = T.StructType([T.StructField(c, fields[c]) for c in order_cols])
+        edge_table = spark.createDataFrame(
+            [(edge_tuples,)], T.StructType([T.StructField("_edges", T.ArrayType(st))]))
+        bucket = _bucket_search(key, F.col("_edges"), len(edge_tuples), ascending)
+    elif edge_tuples:
+        edges = [F.struct(*[F.lit(v).cast(fields[c]).alias(c) for v, c in zip(t, order_cols)])
+                 for t in edge_tuples]
+        bucket = _bucket_expr(key, edges, ascending)
+    else:
+        bucket = F.lit(0)
+
+    def with_bucket(frame: DataFrame) -> DataFrame:
+        if edge_table is None:
+            return frame.withColumn("_bucket", bucket)
+        return attach_one_row(frame, edge_table).withColumn("_bucket", bucket).drop("_edges")
 
     totals_aggs = ([F.count(F.lit(1)).alias("_t")] if not weights
                    else [F.sum(F.col(w)).alias(f"_t_{w}") for w in weights])
     tcols = ["_t"] if not weights else [f"_t_{w}" for w in weights]
     # per (group, bucket) totals: at most groups x buckets rows, checked, then running
     # offsets on the driver and a broadcast join (no window over an unpartitioned table)
-    totals = narrow.withColumn("_bucket", bucket).groupBy(*group_cols, "_bucket").agg(
-        *totals_aggs)
+    totals = with_bucket(narrow).groupBy(*group_cols, "_bucket").agg(*totals_aggs)
     rows = totals.limit(MAX_OFFSET_ROWS + 1).collect()
     if len(rows) > MAX_OFFSET_ROWS:
         raise ValueError("too many (group, bucket) cells; use fewer groups or buckets")
@@ -131,7 +169,7 @@ def positions(df: DataFrame, order_cols, group_cols=(), weights=(), ascending: b
         staged.append((g, r["_bucket"], list(run)))
         acc[g] = [run[i] + (r[c] or 0) for i, c in enumerate(tcols)]
     out_rows = [(*g, bk, *run, *acc[g]) for g, bk, run in staged]
-    b = df.withColumn("_bucket", bucket)
+    b = with_bucket(df)
     ftypes = {f.name: f.dataType for f in b.schema.fields}
     tnames = ["_total"] if not weights else [f"_total_{w}" for w in weights]
     schema = T.StructType([T.StructField(c, ftypes[c]) for c in group_cols]

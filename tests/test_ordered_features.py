@@ -150,3 +150,23 @@ def test_rolling_position_alignment_matches_reference_rule(spark):
                         align="position", order_key="node_id").toPandas()
     m = got.merge(frame, on="node_id")
     assert np.allclose(m["temp_rolling_mean"], m["expect"], atol=1e-9)
+
+
+def test_positions_many_buckets_binary_search_path(spark):
+    from heatwise.operators import ordered
+    pdf = data(6000)
+    df = spark.createDataFrame(pdf).repartition(4)
+    old = ordered.TREE_MAX_EDGES
+    ordered.TREE_MAX_EDGES = 8                      # force the broadcast-array path
+    try:
+        got = positions(df, ["temperature", "node_id"], n_buckets=300).toPandas()
+        desc = positions(df, ["temperature", "node_id"], n_buckets=300,
+                         ascending=False).toPandas()
+    finally:
+        ordered.TREE_MAX_EDGES = old
+    exp = pdf.sort_values(["temperature", "node_id"]).reset_index(drop=True)
+    exp["_before_e"] = np.arange(len(exp))
+    m = got.merge(exp, on=["node_id", "temperature"])
+    assert (m["_before"] == m["_before_e"]).all()
+    d = desc.merge(exp, on=["node_id", "temperature"])
+    assert (d["_before"] == len(exp) - 1 - d["_before_e"]).all()

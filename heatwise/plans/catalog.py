@@ -509,8 +509,8 @@ def q_name_rule(spark, sf_dir):
 
 
 _FILTER_SQL = _esql.w(
-    "SELECT count(*) AS total, sum(leak_status) AS leak, count(*) - sum(leak_status) AS no_leak, "
-    "round(CAST(sum(leak_status) AS DOUBLE) / count(*), 6) AS leak_ratio FROM tagged "
+    "SELECT count(*) AS total, CAST(sum(leak_status) AS BIGINT) AS leak, count(*) - CAST(sum(leak_status) AS BIGINT) AS no_leak, "
+    "round(CAST(CAST(sum(leak_status) AS BIGINT) AS DOUBLE) / count(*), 6) AS leak_ratio FROM tagged "
     "WHERE hole_size IN ('30mm', '40mm')")
 
 

@@ -30,13 +30,13 @@ TAGGED_ROWS = w("SELECT node_id, file_name, hole_size, round(x, 6) AS x, round(y
 
 FILE_LABEL_SUMMARY = w("SELECT leak_status, count(*) AS n_files FROM lab GROUP BY leak_status")
 
-INGEST_STATS = w("SELECT count(*) AS total_rows, sum(leak_status) AS leak_rows, "
-                 "count(*) - sum(leak_status) AS no_leak_rows, "
-                 f"{r6('CAST(sum(leak_status) AS DOUBLE) / count(*)')} AS leak_ratio, "
+INGEST_STATS = w("SELECT count(*) AS total_rows, CAST(sum(leak_status) AS BIGINT) AS leak_rows, "
+                 "count(*) - CAST(sum(leak_status) AS BIGINT) AS no_leak_rows, "
+                 f"{r6('CAST(CAST(sum(leak_status) AS BIGINT) AS DOUBLE) / count(*)')} AS leak_ratio, "
                  "count(DISTINCT file_name) AS files_processed, 10 AS n_columns FROM tagged")
 
-_BAL = ("SELECT count(*) AS total, sum(leak_status) AS leak, count(*) - sum(leak_status) "
-        "AS no_leak, CAST(sum(leak_status) AS DOUBLE) / count(*) AS leak_ratio FROM tagged")
+_BAL = ("SELECT count(*) AS total, CAST(sum(leak_status) AS BIGINT) AS leak, count(*) - CAST(sum(leak_status) AS BIGINT) "
+        "AS no_leak, CAST(CAST(sum(leak_status) AS BIGINT) AS DOUBLE) / count(*) AS leak_ratio FROM tagged")
 
 CLASS_BALANCE = w(f"SELECT total, leak, no_leak, {r6('leak_ratio')} AS leak_ratio FROM ({_BAL}) b")
 
@@ -56,15 +56,15 @@ TEMP_STATS_BY_LABEL = w(
     "round_even(max(temperature), 2) AS max FROM tagged GROUP BY leak_status")
 
 HOLE_SIZE_ANALYSIS = w(
-    "SELECT hole_size, count(*) AS total_samples, sum(leak_status) AS leak_samples, "
-    "count(*) - sum(leak_status) AS no_leak_samples, "
-    f"{r6('CAST(sum(leak_status) AS DOUBLE) / count(*)')} AS leak_rate, "
+    "SELECT hole_size, count(*) AS total_samples, CAST(sum(leak_status) AS BIGINT) AS leak_samples, "
+    "count(*) - CAST(sum(leak_status) AS BIGINT) AS no_leak_samples, "
+    f"{r6('CAST(CAST(sum(leak_status) AS BIGINT) AS DOUBLE) / count(*)')} AS leak_rate, "
     f"{r6('avg(temperature)')} AS avg_temperature FROM tagged GROUP BY hole_size")
 
 DATASET_STATS = w(
-    "SELECT count(*) AS total_samples, sum(leak_status) AS leak_samples, "
-    "count(*) - sum(leak_status) AS no_leak_samples, "
-    f"{r6('CAST(sum(leak_status) AS DOUBLE) / count(*)')} AS leak_ratio, "
+    "SELECT count(*) AS total_samples, CAST(sum(leak_status) AS BIGINT) AS leak_samples, "
+    "count(*) - CAST(sum(leak_status) AS BIGINT) AS no_leak_samples, "
+    f"{r6('CAST(CAST(sum(leak_status) AS BIGINT) AS DOUBLE) / count(*)')} AS leak_ratio, "
     f"{r6('min(temperature)')} AS temp_min, {r6('max(temperature)')} AS temp_max, "
     f"{r6('avg(temperature)')} AS temp_mean, {r6('stddev_samp(temperature)')} AS temp_std, "
     "string_agg(DISTINCT hole_size, ',' ORDER BY hole_size) AS hole_sizes, 10 AS features "
@@ -96,7 +96,7 @@ def histogram_sql(col: str, bins: int) -> str:
         f"(SELECT leak_status, count({col}) AS n, CASE WHEN min({col}) = max({col}) "
         f"THEN min({col}) - 0.5 ELSE min({col}) END AS lo, CASE WHEN min({col}) = max({col}) "
         f"THEN max({col}) + 0.5 ELSE max({col}) END AS hi FROM tagged GROUP BY leak_status) s) st "
-        f"CROSS JOIN (SELECT range AS bin FROM range(0, {bins})) g "
+        f"CROSS JOIN (SELECT CAST(range AS INTEGER) AS bin FROM range(0, {bins})) g "
         f"LEFT JOIN (SELECT t.leak_status, {idx.replace(col, 't.' + col)} AS bin, count(*) AS cnt "
         f"FROM tagged t JOIN (SELECT leak_status, lo, (hi - lo) / CAST({bins} AS DOUBLE) AS step "
         f"FROM (SELECT leak_status, CASE WHEN min({col}) = max({col}) THEN min({col}) - 0.5 "
@@ -111,8 +111,8 @@ BOX_STATS = w(
     + ", " + r6("min(CASE WHEN t.temperature >= q.q1 - 1.5 * q.iqr THEN t.temperature END)")
     + " AS whisker_low, " + r6("max(CASE WHEN t.temperature <= q.q3 + 1.5 * q.iqr THEN "
                                "t.temperature END)")
-    + " AS whisker_high, sum(CASE WHEN t.temperature < q.q1 - 1.5 * q.iqr OR t.temperature > "
-    "q.q3 + 1.5 * q.iqr THEN 1 ELSE 0 END) AS n_outliers, count(*) AS n "
+    + " AS whisker_high, CAST(sum(CASE WHEN t.temperature < q.q1 - 1.5 * q.iqr OR t.temperature > "
+    "q.q3 + 1.5 * q.iqr THEN 1 ELSE 0 END) AS BIGINT) AS n_outliers, count(*) AS n "
     "FROM (SELECT hole_size, q1, median, q3, q3 - q1 AS iqr FROM (SELECT hole_size, "
     "quantile_cont(temperature, 0.25) AS q1, quantile_cont(temperature, 0.5) AS median, "
     "quantile_cont(temperature, 0.75) AS q3 FROM tagged GROUP BY hole_size) a) q "
@@ -208,7 +208,7 @@ VARIANCE_THRESHOLD = (
 
 # ---- sampling / splitting (exact counts; membership is hash-defined) --------------------
 
-_CNT = ("SELECT count(*) AS n, sum(leak_status) AS leak, count(*) - sum(leak_status) "
+_CNT = ("SELECT count(*) AS n, CAST(sum(leak_status) AS BIGINT) AS leak, count(*) - CAST(sum(leak_status) AS BIGINT) "
         "AS no_leak FROM tagged")
 
 

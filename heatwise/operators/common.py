@@ -22,6 +22,12 @@ def materialize(df: DataFrame) -> tuple[DataFrame, int]:
     return df, df.count()
 
 
+def track(df: DataFrame) -> DataFrame:
+    """Register a frame persisted elsewhere so :func:`release_cached` drops it too."""
+    _CACHED.append(df)
+    return df
+
+
 def release_cached() -> None:
     """Unpersist every frame persisted by :func:`materialize`."""
     while _CACHED:

@@ -146,7 +146,7 @@ def global_stats(df: DataFrame, temp: str = "temperature", x: str = "x", y: str
     chosen by the sketch bound, see ``exact_quantiles``)."""
     t = F.col(temp)
     dist = F.sqrt(F.col(x) * F.col(x) + F.col(y) * F.col(y))
-    row = df.agg(F.count(t).alias("n"), F.avg(t).alias("t_mean"),
+    row = df.agg(F.count(t).alias("n"), F.count(F.lit(1)).alias("n_all"), F.avg(t).alias("t_mean"),
                  F.stddev_samp(t).alias("t_std"), F.min(t).alias("t_min"),
                  F.max(t).alias("t_max"), F.min(x).alias("x_min"), F.max(x).alias("x_max"),
                  F.min(y).alias("y_min"), F.max(y).alias("y_max"),
@@ -274,7 +274,8 @@ def engineer_features(df: DataFrame, level: str = "basic", key: str = "node_id",
             base = rolling_stats(base, temp, key, w, fill={"mean": stats["t_mean"],
                                                            "std": stats["t_std"],
                                                            "min": stats["t_min"],
-                                                           "max": stats["t_max"]})
+                                                           "max": stats["t_max"]},
+                                 n_rows=stats["n_all"])
         base = rank_from_positions(base, tpos, temp, "temp_percentile_rank")
     out = _row_features(base, level, temp, x, y, stats, levels, clean_inputs)
     return out.fillna(fills) if fills else out

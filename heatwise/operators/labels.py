@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heatwise.functions.exprs import hole_factor, lit_double, safe_div
-from heatwise.operators.common import DEFAULT_BROADCAST_ROWS, broadcast_if_small, materialize
+from heatwise.operators.common import (DEFAULT_BROADCAST_ROWS, broadcast_if_small,
+                                       materialize, track as _track)
 from heatwise.policies import SENSITIVITIES, LabelPolicy, policy as _policy
 
 # Fixed values of the valid temperature window (exclusive bounds).
@@ -249,9 +250,11 @@ def label_files(rows: DataFrame, policy="four", sensitivity: str = "balanced",
                      "total_criteria", "method", "criteria_met", "mean", "max", "min", "std",
                      "std_pop", "outlier_ratio", "high_temp_ratio", "temp_range", "file_idx",
                      "temp_stats", "strategies")
-    # the label table (one row per file) is what every tagging join and summary reads
-    out, n_lab = materialize(out)
-    out._heatwise_rows = n_lab
+    # the label table (one row per file, so its size is the counted n_files) is what
+    # every tagging join and summary reads: persisted, not recounted
+    out = out.persist()
+    _track(out)
+    out._heatwise_rows = n_files
     return out
 
 

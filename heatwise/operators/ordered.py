@@ -85,7 +85,8 @@ def _bucket_search(key: Column, edges: Column, n_edges: int, ascending: bool) ->
 
 
 def positions(df: DataFrame, order_cols, group_cols=(), weights=(), ascending: bool = True,
-              n_buckets: int | None = None, seed: int = 42, cache: bool = True) -> DataFrame:
+              n_buckets: int | None = None, seed: int = 42, cache: bool = True,
+              n: int | None = None) -> DataFrame:
     """Add ``_before`` (rows strictly before, needs a unique order within the group) or,
     with ``weights``, ``_before_<w>`` (sum of ``w`` over rows strictly before); also the
     group totals ``_total`` / ``_total_<w>``.
@@ -95,6 +96,7 @@ def positions(df: DataFrame, order_cols, group_cols=(), weights=(), ascending: b
     narrow key projection read by the count / sample / totals passes -- right for
     aggregated inputs (histograms, file tables); row-level callers pass ``False`` and
     re-scan the (column-pruned) input instead of caching a projection of every row.
+    ``n``: the input's row count when the caller already knows it (saves a pass).
     """
     order_cols = [order_cols] if isinstance(order_cols, str) else list(order_cols)
     group_cols = list(group_cols)
@@ -107,7 +109,7 @@ def positions(df: DataFrame, order_cols, group_cols=(), weights=(), ascending: b
         narrow, n = materialize(df.select(*need))
     else:
         narrow = df.select(*need)
-        n = narrow.count()
+        n = narrow.count() if n is None else n
     if n_buckets is None:
         par = int(spark.conf.get("spark.sql.shuffle.partitions"))
         n_buckets = max(1, min(MAX_BUCKETS, max(par, n // ROWS_PER_BUCKET)))
@@ -190,7 +192,9 @@ def positions(df: DataFrame, order_cols, group_cols=(), weights=(), ascending: b
             f"_before_{w}": F.coalesce(F.sum(F.col(w)).over(w_prev), F.lit(0)) + F.col(f"_o_t_{w}")
             for w in weights})
         drop = [f"_o_t_{w}" for w in weights]
-    return b.drop("_bucket", *drop)
+    out = b.drop("_bucket", *drop)
+    out._heatwise_rows = n     # same rows as the input: lets callers skip a recount
+    return out
 
 
 def value_histogram(df: DataFrame, col: str, group_cols=()) -> DataFrame:
@@ -203,8 +207,9 @@ def value_positions(df: DataFrame, col: str, group_cols=(), persist: bool = Fals
     when several consumers read it."""
     hist = value_histogram(df.filter(F.col(col).isNotNull() & ~F.isnan(F.col(col))), col,
                            group_cols)
-    pos = positions(hist, [col], group_cols, weights=["_cnt"]).withColumnRenamed(
-        "_total__cnt", "_n")
+    raw = positions(hist, [col], group_cols, weights=["_cnt"])
+    pos = raw.withColumnRenamed("_total__cnt", "_n")
+    pos._heatwise_rows = raw._heatwise_rows
     if persist:
         pos, n = materialize(pos)
         pos._heatwise_rows = n     # remembered for the broadcast decision of the rank join
@@ -297,7 +302,7 @@ def rolling_window_size(n: int, max_window: int = 5) -> int:
 def rolling_stats(df: DataFrame, col: str = "temperature", key: str = "node_id",
                   window: int = 5, prefix: str = "temp_rolling_",
                   fill: dict | None = None, align: str = "value",
-                  order_key=None) -> DataFrame:
+                  order_key=None, n_rows: int | None = None) -> DataFrame:
     """Rolling mean / sample std / min / max over the value-sorted sequence.
 
     ``align="value"`` (default): each row gets the window ending at its own position in
@@ -313,7 +318,7 @@ def rolling_stats(df: DataFrame, col: str = "temperature", key: str = "node_id",
     """
     if align not in ("value", "position"):
         raise ValueError("align must be 'value' or 'position'")
-    pos = positions(df, [col, key], cache=False).drop("_total")
+    pos = positions(df, [col, key], cache=False, n=n_rows).drop("_total")
     contrib = pos.select(F.explode(F.sequence(F.col("_before"),
                                               F.col("_before") + (window - 1))).alias("_p"),
                          F.col(col).alias("_v"))
@@ -327,7 +332,8 @@ def rolling_stats(df: DataFrame, col: str = "temperature", key: str = "node_id",
         joined = pos.withColumnRenamed("_before", "_p").join(win, "_p", "left")
     else:
         okeys = [order_key] if isinstance(order_key, str) else list(order_key or [key])
-        rows = positions(df, okeys, cache=False).drop("_total").withColumnRenamed("_before", "_p")
+        rows = positions(df, okeys, cache=False, n=n_rows).drop("_total").withColumnRenamed(
+            "_before", "_p")
         joined = rows.join(win, "_p", "left")
     return joined.withColumns({
         f"{prefix}mean": F.coalesce(F.col("_mean"), F.lit(fill.get("mean"))).cast("double"),

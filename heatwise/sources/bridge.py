@@ -35,8 +35,55 @@ FROM lineitem
 """
 
 
+TINY_INPUT_BYTES = 256 * 1024 * 1024
+
+
+def _row_groups(path: str, max_files: int = 64) -> tuple[int, int] | None:
+    """(row groups, bytes) of a local Parquet file or directory, from the footers only
+    (None when not a local path or too many files to inspect)."""
+    import glob
+    import os
+
+    local = path[len("file:"):] if path.startswith("file:") else path
+    if "://" in local or not os.path.exists(local):
+        return None
+    files = [local] if os.path.isfile(local) else sorted(
+        glob.glob(os.path.join(local, "**", "*.parquet"), recursive=True))
+    if not files or len(files) > max_files:
+        return None
+    try:
+        import pyarrow.parquet as pq
+        metas = [pq.ParquetFile(f).metadata for f in files]
+        return (sum(m.num_row_groups for m in metas),
+                sum(m.row_group(i).total_byte_size for m in metas for i in range(m.num_row_groups)))
+    except Exception:  # noqa: BLE001 -- metadata is only a hint
+        return None
+
+
+def spread_if_tiny(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
+    """A Parquet input with fewer row groups than the session's parallelism is read by
+    that many tasks only (one row group = one task does all row-level work before the
+    first shuffle).  When the footers also show it is tiny (<= 256 MB), the projected view
+    is spread once with a hash ``repartition`` and kept cached for the query
+    (released with ``release_cached``), so later jobs neither re-decode nor re-shuffle it.
+    Large inputs have many row groups and are read as they are -- no extra shuffle, no
+    cache."""
+    par = spark.sparkContext.defaultParallelism
+    meta = _row_groups(path)
+    if meta is not None and meta[0] < par and meta[1] <= TINY_INPUT_BYTES:
+        from heatwise.operators.common import track
+        # hash partitioning on all columns: deterministic on retry without the local sort
+        # a round-robin repartition needs
+        return track(df.repartition(par, *df.columns).persist())
+    return df
+
+
+def table_path(sf_dir: str, name: str) -> str:
+    return f"{sf_dir.rstrip('/')}/{name}.parquet"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spark.read.parquet(table_path(sf_dir, name))
 
 
 def readings_from_lineitem(lineitem: DataFrame) -> DataFrame:
@@ -57,7 +104,8 @@ def readings_from_lineitem(lineitem: DataFrame) -> DataFrame:
 
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return readings_from_lineitem(table(spark, sf_dir, "lineitem"))
+    path = table_path(sf_dir, "lineitem")
+    return spread_if_tiny(spark, readings_from_lineitem(spark.read.parquet(path)), path)
 
 
 def scored_from_lineitem(lineitem: DataFrame) -> DataFrame:
@@ -72,4 +120,5 @@ def scored_from_lineitem(lineitem: DataFrame) -> DataFrame:
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored_from_lineitem(table(spark, sf_dir, "lineitem"))
+    path = table_path(sf_dir, "lineitem")
+    return spread_if_tiny(spark, scored_from_lineitem(spark.read.parquet(path)), path)

@@ -86,7 +86,7 @@ def _bucket_search(key: Column, edges: Column, n_edges: int, ascending: bool) ->
 
 def positions(df: DataFrame, order_cols, group_cols=(), weights=(), ascending: bool = True,
               n_buckets: int | None = None, seed: int = 42, cache: bool = True,
-              n: int | None = None) -> DataFrame:
+              n: int | None = None, frame: tuple[str, int] | None = None) -> DataFrame:
     """Add ``_before`` (rows strictly before, needs a unique order within the group) or,
     with ``weights``, ``_before_<w>`` (sum of ``w`` over rows strictly before); also the
     group totals ``_total`` / ``_total_<w>``.
@@ -97,6 +97,10 @@ def positions(df: DataFrame, order_cols, group_cols=(), weights=(), ascending: b
     aggregated inputs (histograms, file tables); row-level callers pass ``False`` and
     re-scan the (column-pruned) input instead of caching a projection of every row.
     ``n``: the input's row count when the caller already knows it (saves a pass).
+    ``frame=(col, w)``: also compute, in the same window pass, sliding statistics of
+    ``col`` over the last ``w`` rows *within the bucket* (``_f_mean/_f_std/_f_min/_f_max/
+    _f_cnt``) and keep ``_bucket``, ``_rn`` (1-based row in bucket) and ``_bsize`` so the
+    caller can repair the frames cut by a bucket start (see ``rolling_stats``).
     """
     order_cols = [order_cols] if isinstance(order_cols, str) else list(order_cols)
     group_cols = list(group_cols)
@@ -170,29 +174,40 @@ def positions(df: DataFrame, order_cols, group_cols=(), weights=(), ascending: b
         run = acc.setdefault(g, [0] * len(tcols))
         staged.append((g, r["_bucket"], list(run)))
         acc[g] = [run[i] + (r[c] or 0) for i, c in enumerate(tcols)]
-    out_rows = [(*g, bk, *run, *acc[g]) for g, bk, run in staged]
+    sizes = {(tuple(r[c] for c in group_cols), r["_bucket"]): r[tcols[0]] for r in rows}
+    out_rows = [(*g, bk, *run, *acc[g], int(sizes[(g, bk)] or 0)) for g, bk, run in staged]
     b = with_bucket(df)
     ftypes = {f.name: f.dataType for f in b.schema.fields}
     tnames = ["_total"] if not weights else [f"_total_{w}" for w in weights]
     schema = T.StructType([T.StructField(c, ftypes[c]) for c in group_cols]
                           + [T.StructField("_bucket", T.IntegerType())]
                           + [T.StructField(f"_o{c}", T.LongType()) for c in tcols]
-                          + [T.StructField(t, T.LongType()) for t in tnames])
+                          + [T.StructField(t, T.LongType()) for t in tnames]
+                          + [T.StructField("_bsize", T.LongType())])
     offsets = spark.createDataFrame(out_rows, schema)
     b = b.join(F.broadcast(offsets), [*group_cols, "_bucket"])
 
     order = [F.col(c).asc() if ascending else F.col(c).desc() for c in order_cols]
     w_in = Window.partitionBy(*group_cols, "_bucket").orderBy(*order)
     if not weights:
-        b = b.withColumn("_before", F.row_number().over(w_in) - 1 + F.col("_o_t"))
-        drop = ["_o_t"]
+        cols = {"_rn": F.row_number().over(w_in)}
+        if frame is not None:
+            fcol, fw = frame
+            w_frame = w_in.rowsBetween(-(fw - 1), 0)
+            v = F.col(fcol)
+            cols.update({"_f_mean": F.avg(v).over(w_frame), "_f_std": F.stddev_samp(v).over(w_frame),
+                         "_f_min": F.min(v).over(w_frame), "_f_max": F.max(v).over(w_frame),
+                         "_f_cnt": F.count(v).over(w_frame)})
+        b = b.withColumns(cols).withColumn("_before", F.col("_rn") - 1 + F.col("_o_t"))
+        drop = ["_o_t"] + ([] if frame is not None else ["_rn"])
     else:
         w_prev = w_in.rowsBetween(Window.unboundedPreceding, -1)
         b = b.withColumns({
             f"_before_{w}": F.coalesce(F.sum(F.col(w)).over(w_prev), F.lit(0)) + F.col(f"_o_t_{w}")
             for w in weights})
         drop = [f"_o_t_{w}" for w in weights]
-    out = b.drop("_bucket", *drop)
+    keep = frame is not None and not weights
+    out = b.drop(*drop) if keep else b.drop("_bucket", "_bsize", *drop)
     out._heatwise_rows = n     # same rows as the input: lets callers skip a recount
     return out
 
@@ -302,7 +317,8 @@ def rolling_window_size(n: int, max_window: int = 5) -> int:
 def rolling_stats(df: DataFrame, col: str = "temperature", key: str = "node_id",
                   window: int = 5, prefix: str = "temp_rolling_",
                   fill: dict | None = None, align: str = "value",
-                  order_key=None, n_rows: int | None = None) -> DataFrame:
+                  order_key=None, n_rows: int | None = None,
+                  n_buckets: int | None = None) -> DataFrame:
     """Rolling mean / sample std / min / max over the value-sorted sequence.
 
     ``align="value"`` (default): each row gets the window ending at its own position in
@@ -311,33 +327,51 @@ def rolling_stats(df: DataFrame, col: str = "temperature", key: str = "node_id",
     the *i*-th smallest value.  The first ``window-1`` positions have no full window and
     take ``fill`` (the global statistics in the reference).
 
-    Plan: bucketed positions (one exchange), ``explode(sequence(p, p+w-1))`` so each
-    value feeds the ``w`` windows it belongs to, ``groupBy(target)`` (partial aggregation
-    combines neighbours, which share a bucket), join back on position.  The rows are
-    carried through the positions step, so there is no join back on the row key.
+    Plan: the positions window (partitioned by value bucket) also computes the sliding
+    frame of the last ``w`` rows within the bucket -- one exchange for rank and frame.
+    Only the first ``w-1`` rows of each bucket see a cut frame; they are recomputed from
+    the bucket heads and tails (a bounded side table, broadcast) by exploding each value
+    into the ``w`` windows it belongs to.  The rows are carried through, so there is no
+    join back on the row key.
     """
     if align not in ("value", "position"):
         raise ValueError("align must be 'value' or 'position'")
-    pos = positions(df, [col, key], cache=False, n=n_rows).drop("_total")
-    contrib = pos.select(F.explode(F.sequence(F.col("_before"),
-                                              F.col("_before") + (window - 1))).alias("_p"),
-                         F.col(col).alias("_v"))
-    win = (contrib.groupBy("_p")
-           .agg(F.count(F.lit(1)).alias("_k"), F.avg("_v").alias("_mean"),
-                F.stddev_samp("_v").alias("_std"), F.min("_v").alias("_min"),
-                F.max("_v").alias("_max"))
-           .filter(F.col("_k") == window))
     fill = fill or {}
+    w = window
+    # 1) positions and the in-bucket sliding frame in ONE window pass (one exchange)
+    pos = positions(df, [col, key], cache=False, n=n_rows, frame=(col, w),
+                    n_buckets=n_buckets).drop("_total")
+    # 2) rows whose frame is cut by their bucket's start: repair them from the heads and
+    #    tails of the buckets -- at most 2(w-1) rows per bucket (<= 65 536 buckets), so
+    #    the repaired table has a proven bound and is broadcast
+    head = F.col("_rn") <= w - 1
+    tail = F.col("_rn") > F.col("_bsize") - (w - 1)
+    edge_rows = pos.filter(head | tail).select("_before", F.col(col).alias("_v"))
+    contrib = edge_rows.select(F.explode(F.sequence(F.col("_before"),
+                                                    F.col("_before") + (w - 1))).alias("_p"),
+                               "_v")
+    fix = (contrib.groupBy("_p")
+           .agg(F.count(F.lit(1)).alias("_k"), F.avg("_v").alias("_x_mean"),
+                F.stddev_samp("_v").alias("_x_std"), F.min("_v").alias("_x_min"),
+                F.max("_v").alias("_x_max"))
+           .filter(F.col("_k") == w).drop("_k"))
+    pos = pos.join(F.broadcast(fix), pos["_before"] == fix["_p"], "left").drop("_p")
+    full = F.col("_f_cnt") == w
+
+    def pick(stat):
+        return F.coalesce(F.when(head, F.col(f"_x_{stat}")).otherwise(
+            F.when(full, F.col(f"_f_{stat}"))), F.lit(fill.get(stat))).cast("double")
+
+    stats = {f"{prefix}{s_}": pick(s_) for s_ in ("mean", "std", "min", "max")}
+    helper = ["_bucket", "_rn", "_bsize", "_f_mean", "_f_std", "_f_min", "_f_max", "_f_cnt",
+              "_x_mean", "_x_std", "_x_min", "_x_max"]
     if align == "value":
-        joined = pos.withColumnRenamed("_before", "_p").join(win, "_p", "left")
-    else:
-        okeys = [order_key] if isinstance(order_key, str) else list(order_key or [key])
-        rows = positions(df, okeys, cache=False, n=n_rows).drop("_total").withColumnRenamed(
-            "_before", "_p")
-        joined = rows.join(win, "_p", "left")
-    return joined.withColumns({
-        f"{prefix}mean": F.coalesce(F.col("_mean"), F.lit(fill.get("mean"))).cast("double"),
-        f"{prefix}std": F.coalesce(F.col("_std"), F.lit(fill.get("std"))).cast("double"),
-        f"{prefix}min": F.coalesce(F.col("_min"), F.lit(fill.get("min"))).cast("double"),
-        f"{prefix}max": F.coalesce(F.col("_max"), F.lit(fill.get("max"))).cast("double"),
-    }).drop("_p", "_k", "_mean", "_std", "_min", "_max")
+        return pos.withColumns(stats).drop("_before", *helper)
+    # reference alignment (Q8): the row with index i in ``order_key`` order receives the
+    # statistics of the i-th smallest value
+    by_pos = pos.select(F.col("_before").alias("_p"),
+                        *[e.alias(name) for name, e in stats.items()])
+    okeys = [order_key] if isinstance(order_key, str) else list(order_key or [key])
+    rows = positions(df, okeys, cache=False, n=n_rows).drop("_total").withColumnRenamed(
+        "_before", "_p")
+    return rows.join(by_pos, "_p", "left").drop("_p")

@@ -170,3 +170,20 @@ def test_positions_many_buckets_binary_search_path(spark):
     assert (m["_before"] == m["_before_e"]).all()
     d = desc.merge(exp, on=["node_id", "temperature"])
     assert (d["_before"] == len(exp) - 1 - d["_before_e"]).all()
+
+
+@pytest.mark.parametrize("buckets", [1, 3, 200])
+def test_rolling_repair_across_tiny_buckets(spark, buckets):
+    pdf = data(500)
+    w = 5
+    s = pdf.sort_values(["temperature", "node_id"]).reset_index(drop=True)
+    roll = s["temperature"].rolling(w)
+    exp = s.assign(mean=roll.mean().fillna(-1.0), mn=roll.min().fillna(-1.0),
+                   std=roll.std().fillna(-1.0))
+    got = rolling_stats(spark.createDataFrame(pdf).repartition(3), "temperature", "node_id", w,
+                        fill={"mean": -1.0, "std": -1.0, "min": -1.0, "max": -1.0},
+                        n_buckets=buckets).toPandas()
+    m = got.merge(exp, on="node_id")
+    assert np.allclose(m["temp_rolling_mean"], m["mean"], atol=1e-9)
+    assert np.allclose(m["temp_rolling_std"], m["std"], atol=1e-7)
+    assert (m["temp_rolling_min"] == m["mn"]).all()

@@ -31,6 +31,11 @@ LEVELS = ("basic", "dashboard", "full")
 
 def thermal_features(df: DataFrame, level: str = "basic", temp: str = "temperature",
                      stats: dict | None = None) -> DataFrame:
+    return df.withColumns(thermal_exprs(level, temp, stats))
+
+
+def thermal_exprs(level: str = "basic", temp: str = "temperature",
+                  stats: dict | None = None) -> dict:
     t = F.col(temp)
     anomaly = t - AMBIENT_K
     cols: dict[str, Column] = {
@@ -59,7 +64,7 @@ def thermal_features(df: DataFrame, level: str = "basic", temp: str = "temperatu
         med = stats["t_median"]
         cols["temp_vs_median"] = t - F.lit(med)
         cols["temp_vs_median_ratio"] = F.try_divide(t, F.lit(med))
-    return df.withColumns(cols)
+    return cols
 
 
 def _nan(v) -> bool:
@@ -68,6 +73,11 @@ def _nan(v) -> bool:
 
 def spatial_features(df: DataFrame, level: str = "basic", x: str = "x", y: str = "y",
                      stats: dict | None = None) -> DataFrame:
+    return df.withColumns(spatial_exprs(level, x, y, stats))
+
+
+def spatial_exprs(level: str = "basic", x: str = "x", y: str = "y",
+                  stats: dict | None = None) -> dict:
     X, Y = F.col(x), F.col(y)
     dist = F.sqrt(X * X + Y * Y)
     ang = F.atan2(Y, X)
@@ -93,7 +103,7 @@ def spatial_features(df: DataFrame, level: str = "basic", x: str = "x", y: str =
         cols["octant"] = F.floor(F.pmod(deg + 22.5, F.lit(360.0)) / 45).cast("int")
         cols["is_center_region"] = (dist < F.lit(stats["d_q25"])).cast("int")
         cols["is_edge_region"] = (dist > F.lit(stats["d_q75"])).cast("int")
-    return df.withColumns(cols)
+    return cols
 
 
 def hole_size_levels(df: DataFrame, col: str = "hole_size", max_levels: int = 10_000) -> list:
@@ -109,34 +119,47 @@ def hole_size_encoding(df: DataFrame, col: str = "hole_size", out: str = "hole_s
     """Alphabetical index of the distinct sizes (like a label encoder fitted on the data),
     folded in as a CASE expression; ``levels`` fixes them (fitted elsewhere)."""
     levels = hole_size_levels(df, col) if levels is None else levels
+    return df.withColumn(out, encoding_expr(levels, col))
+
+
+def encoding_expr(levels: list, col: str = "hole_size") -> Column:
     expr = None
     for i, v in enumerate(levels):
         expr = F.when(F.col(col) == v, F.lit(i)) if expr is None else expr.when(F.col(col) == v, i)
-    return df.withColumn(out, (expr if expr is not None else F.lit(None)).cast("int"))
+    return (expr if expr is not None else F.lit(None)).cast("int")
 
 
 def interaction_features(df: DataFrame, temp: str = "temperature") -> DataFrame:
-    t, d = F.col(temp), F.col("distance_from_origin")
+    enc = F.col("hole_size_encoded") if "hole_size_encoded" in df.columns else None
+    return df.withColumns(interaction_exprs(F.col(temp), F.col("distance_from_origin"),
+                                            F.col("temp_anomaly"), F.col("quadrant"), enc))
+
+
+def interaction_exprs(t: Column, d: Column, anomaly: Column, quadrant: Column,
+                      enc: Column | None) -> dict:
     cols = {
         "temp_distance_product": t * d,
         "temp_distance_ratio": t / (d + EPS_DISTANCE),
-        "temp_per_distance": F.col("temp_anomaly") / (d + 1),
-        "temp_quadrant_interaction": t * F.col("quadrant"),
+        "temp_per_distance": anomaly / (d + 1),
+        "temp_quadrant_interaction": t * quadrant,
     }
-    if "hole_size_encoded" in df.columns:
-        cols["temp_hole_interaction"] = t * F.col("hole_size_encoded")
-        cols["distance_hole_interaction"] = d * F.col("hole_size_encoded")
-    return df.withColumns(cols)
+    if enc is not None:
+        cols["temp_hole_interaction"] = t * enc
+        cols["distance_hole_interaction"] = d * enc
+    return cols
 
 
 def zscore_features(df: DataFrame, stats: dict, temp: str = "temperature") -> DataFrame:
+    return df.withColumns(zscore_exprs(stats, temp))
+
+
+def zscore_exprs(stats: dict, temp: str = "temperature") -> dict:
     t, std = F.col(temp), stats["t_std"]
     if std is not None and not _nan(std) and std > 0:
         z = (t - F.lit(stats["t_mean"])) / F.lit(std)
-        return df.withColumns({"temp_zscore": z, "temp_zscore_abs": F.abs(z),
-                               "is_temp_outlier": (F.abs(z) > 2).cast("int")})
-    return df.withColumns({"temp_zscore": F.lit(0.0), "temp_zscore_abs": F.lit(0.0),
-                           "is_temp_outlier": F.lit(0)})
+        return {"temp_zscore": z, "temp_zscore_abs": F.abs(z),
+                "is_temp_outlier": (F.abs(z) > 2).cast("int")}
+    return {"temp_zscore": F.lit(0.0), "temp_zscore_abs": F.lit(0.0), "is_temp_outlier": F.lit(0)}
 
 
 def global_stats(df: DataFrame, temp: str = "temperature", x: str = "x", y: str = "y",
@@ -220,16 +243,22 @@ def impute_median(df: DataFrame, cols=None) -> DataFrame:
 
 def _row_features(df: DataFrame, level: str, temp: str, x: str, y: str, stats, levels,
                   clean_inputs: bool = False):
-    out = thermal_features(df, level, temp, stats)
-    out = spatial_features(out, level, x, y, stats)
-    if levels is not None:
-        out = hole_size_encoding(out, levels=levels)
+    """All row-wise features as ONE ``withColumns`` (one analysis of the plan; the
+    interaction terms reuse the expressions, which codegen evaluates once)."""
+    th = thermal_exprs(level, temp, stats)
+    sp = spatial_exprs(level, x, y, stats)
+    cols = {**th, **sp}
+    enc = encoding_expr(levels) if levels is not None else None
+    if enc is not None:
+        cols["hole_size_encoded"] = enc
     if level == "full":
-        out = interaction_features(out, temp)
-        out = zscore_features(out, stats, temp)
-        if not clean_inputs:
-            # with finite x, y and positive finite T every feature is finite: no-op then
-            out = replace_infinite(out)
+        cols.update(interaction_exprs(F.col(temp), sp["distance_from_origin"],
+                                      th["temp_anomaly"], sp["quadrant"], enc))
+        cols.update(zscore_exprs(stats, temp))
+    out = df.withColumns(cols)
+    if level == "full" and not clean_inputs:
+        # with finite x, y and positive finite T every feature is finite: no-op then
+        out = replace_infinite(out)
     return out
 
 

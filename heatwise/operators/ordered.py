@@ -32,6 +32,7 @@ MAX_SAMPLE = 2_000_000          # driver-side sample rows (bounds edge selection
 MAX_BUCKETS = 65_536
 TREE_MAX_EDGES = 1_023          # above this, edges go to a broadcast array + binary search
 ROWS_PER_BUCKET = 2_000_000
+MIN_ROWS_PER_BUCKET = 50_000
 MAX_OFFSET_ROWS = 1_000_000
 # distinct values one exact ``percentile`` map may hold (checked with approx_count_distinct):
 # a memory bound per group (groups merge in different tasks), and a lower bound for a
@@ -111,8 +112,12 @@ def positions(df: DataFrame, order_cols, group_cols=(), weights=(), ascending: b
         narrow = df.select(*need)
         n = narrow.count() if n is None else n
     if n_buckets is None:
+        # sized by data: enough buckets to use the session's parallelism once there are
+        # ~50k rows per bucket, and ~2M rows per bucket at scale (up to MAX_BUCKETS)
         par = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        n_buckets = max(1, min(MAX_BUCKETS, max(par, n // ROWS_PER_BUCKET)))
+        # (at least two buckets, so even a tiny input keeps the bucket-partitioned plan)
+        small = min(max(par, 2), max(2, -(-n // MIN_ROWS_PER_BUCKET)))
+        n_buckets = max(1, min(MAX_BUCKETS, max(small, -(-n // ROWS_PER_BUCKET))))
     n_buckets = max(1, min(n_buckets, MAX_BUCKETS, max(1, n // 2)))
 
     edges: list[Column] = []

@@ -530,3 +530,38 @@ _VALID_SQL = (f"WITH {_esql.dashboard_feature_ctes()} " + " UNION ALL ".join(
 def q_valid_counts(spark, sf_dir):
     df = dashboard_features(spark, sf_dir)
     return _sel.valid_counts(df, _sel.numeric_feature_columns(df))
+
+
+# ---- #104 error-bucket examples (top 4 per model and bucket) ---------------------------
+
+_KEYED_SCORED_SQL = (
+    "SELECT concat_ws('-', cast(l_orderkey as string), cast(l_linenumber as string), "
+    "cast(l_partkey as string), cast(l_suppkey as string)) AS row_key, "
+    "l_linestatus AS model, cast(l_returnflag = 'R' as int) AS label, "
+    "round((l_quantity / cast(50 as double) + l_discount * 5) / 2, 4) AS score, "
+    "cast(round((l_quantity / cast(50 as double) + l_discount * 5) / 2, 4) > 0.5 as int) "
+    "AS prediction FROM lineitem")
+
+_EXAMPLES_SQL = (
+    f"WITH s AS ({_KEYED_SCORED_SQL}), b AS (SELECT *, CASE WHEN label = prediction AND "
+    "abs(score - 0.5) > 0.3 THEN 'high_confidence_correct' WHEN label = prediction THEN "
+    "'low_confidence_correct' ELSE 'incorrect' END AS bucket FROM s) "
+    "SELECT model, bucket, row_key, label, prediction, round(score, 6) AS score FROM ("
+    "SELECT *, row_number() OVER (PARTITION BY model, bucket ORDER BY abs(score - 0.5) DESC, "
+    "row_key) AS rn FROM b) r WHERE rn <= 4")
+
+
+@register("error_bucket_examples", _EXAMPLES_SQL)
+def q_error_examples(spark, sf_dir):
+    """Top 4 examples per (model, bucket) by distance from 0.5, ties by row key."""
+    li = bridge.table(spark, sf_dir, "lineitem")
+    score = F.round((F.col("l_quantity") / F.lit(50.0) + F.col("l_discount") * 5) / 2, 4)
+    s = li.select(
+        F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"),
+                    F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"))
+        .alias("row_key"),
+        F.col("l_linestatus").alias("model"),
+        (F.col("l_returnflag") == "R").cast("int").alias("label"),
+        score.alias("score"), (score > 0.5).cast("int").alias("prediction"))
+    ex = _ev.error_bucket_examples(s, "row_key", k=4)
+    return round_doubles(ex.select("model", "bucket", "row_key", "label", "prediction", "score"))

@@ -565,3 +565,21 @@ def q_error_examples(spark, sf_dir):
         score.alias("score"), (score > 0.5).cast("int").alias("prediction"))
     ex = _ev.error_bucket_examples(s, "row_key", k=4)
     return round_doubles(ex.select("model", "bucket", "row_key", "label", "prediction", "score"))
+
+
+# ---- #2/#18 per-file ingest report (separator chosen, fields, accepted) -----------------
+
+_REPORT_SQL = (f"WITH {READINGS_CTE} SELECT DISTINCT file_name, hole_size, '\\s+' AS separator, "
+               "4 AS n_fields, true AS accepted FROM readings")
+
+
+@register("ingest_file_report", _REPORT_SQL)
+def q_ingest_report(spark, sf_dir):
+    """Whitespace reading files written from lineitem: every file is accepted with the
+    whitespace separator and four fields (comma/tab fail the 4-field test first)."""
+    root = shared_dir(spark, "readings-report")
+    _sinks.write_reading_files(bridge.readings(spark, sf_dir), root, "whitespace")
+    rep = _files.ingest_report(spark, root)
+    return rep.select(F.regexp_extract("file_path", "file_name=([^/]+)/", 1).alias("file_name"),
+                      F.regexp_extract("file_path", "hole_size=([^/]+)/", 1).alias("hole_size"),
+                      "separator", F.col("n_fields").cast("int").alias("n_fields"), "accepted")

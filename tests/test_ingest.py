@@ -106,3 +106,16 @@ def test_leading_tab_whitespace_file(spark, tmpdir_path):
     write(tmpdir_path, "t.dat", "\t1 0 0 300\n \t2 1 1 301 \n")
     rows = sorted(r["node_number"] for r in read_readings(spark, tmpdir_path).collect())
     assert rows == ["1", "2"]
+
+
+def test_hole_size_from_name_substring_rule(spark):
+    from heatwise.functions.exprs import hole_size_from_name, hole_size_from_path
+    names = ["25mm, 1200mm-0005", "test-0035", "test-0030", "40MM_leak.dat", "abc"]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    got = [r[0] for r in df.select(hole_size_from_name(F.col("n"), "30mm")).collect()]
+    # "25mm, 1200mm" contains "20" and is found as 20mm first; "test-0030" contains "30"
+    assert got == ["20mm", "30mm", "30mm", "40mm", "30mm"]
+    got2 = [r[0] for r in df.select(hole_size_from_name(F.col("n"), "20mm")).collect()]
+    assert got2[1] == "20mm" and got2[4] == "20mm"
+    p = spark.createDataFrame([("file:/d/25mm/x.csv",), ("file:/d/other/x.csv",)], "p string")
+    assert [r[0] for r in p.select(hole_size_from_path(F.col("p"))).collect()] == ["25mm", None]

@@ -25,7 +25,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        rows = scratch.keep(stage(spark, rows, sf_dir), name)
+        rows = scratch.keep(stage(spark, rows, sf_dir), name, "snappy")
     return rows
 
 

@@ -314,7 +314,7 @@ def _in_question(estimate: float):
 
 
 def _joining(weights: Weights, threshold: float, estimate: float):
-    """Verified links of a block pair that join components not yet joined in the task."""
+    """(component, component) joined by a verified link of a block pair."""
     def run(batches):
         for table in _groups(batches):
             ids, pi, pj = _candidates(table, estimate)
@@ -336,8 +336,8 @@ def _joining(weights: Weights, threshold: float, estimate: float):
                 x, y = root(comp[i]), root(comp[j])
                 if x != y and weights.jaccard(vector[i], vector[j]) >= threshold - 1e-12:
                     parent[max(x, y)] = min(x, y)
-                    a.append(int(ids[i]))
-                    b.append(int(ids[j]))
+                    a.append(x)
+                    b.append(y)
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
     return run
@@ -391,7 +391,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = (mates.join(leaders, ["band", "h"]).where("id != a")
              .select("a", F.col("id").alias("b")).distinct())
     rep_texts = texts.join(mates.select("id").distinct(), "id", "left_semi")
-    rep_texts = scratch.keep(rep_texts, "texts")
+    rep_texts = scratch.keep(rep_texts, "texts", "snappy")
     posed = (pairs.join(rep_texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
              .join(rep_texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
              .select("a", "b", "text_a", "text_b"))
@@ -413,10 +413,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                          .distinct(), "doubt")
     rest = grouped(members.join(doubt, ["band", "h", "id"], "left_semi").join(rep_texts, "id"), "text")
     more = scratch.keep(rest.mapInArrow(_joining(weights, threshold, estimate), "a long, b long"), "more")
-    final = components(scratch, links.union(more), "a", "b")
-
-    classed = reps.join(final.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "d1", "d2", F.col("rep").alias("copy_of"), F.coalesce("component", "rep").alias("class_id"))
+    merged = components(scratch, more, "a", "b").select(
+        F.col("node").alias("component"), F.col("component").alias("merged"))
+    final = comp.join(merged, "component", "left").select(
+        F.col("node").alias("rep"), F.coalesce("merged", "component").alias("component"))
+    # a text with no link of its own may still be the end of a link found blockwise
+    alone = merged.withColumnRenamed("component", "rep")
+    classed = (reps.join(final, "rep", "left").join(alone, "rep", "left")
+               .select("d1", "d2", F.col("rep").alias("copy_of"),
+                       F.coalesce("component", "merged", "rep").alias("class_id")))
     out = (docs_of.join(classed, ["d1", "d2"], "left")
            .select("id", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("id")).alias("class_id"),
                    F.when(F.col("n") > 0, F.col("copy_of")).otherwise(F.col("id")).alias("copy_of")))

@@ -4,9 +4,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from heatwise.llm import neardup
+from heatwise.llm.ship import ship_package
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from heatwise.llm.ship import ship_package
 from heatwise.session import shared_dir
 
 
@@ -10,13 +11,18 @@ class Scratch:
     """Named Parquet tables of one job under the folder of ``spark.checkpoint.dir``."""
 
     def __init__(self, spark: SparkSession, job: str):
+        ship_package(spark)
         self.spark, self.root, self.made = spark, shared_dir(spark, job), 0
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write the rows once and return them read back (a finished, re-readable table)."""
+    def keep(self, df: DataFrame, name: str, codec: str = "uncompressed") -> DataFrame:
+        """Write the rows once and return them read back (a finished, re-readable table).
+
+        Ids and hashes do not compress, and each compressed column chunk holds native
+        buffers until the next full collection; ``codec`` is for tables with texts.
+        """
         self.made += 1
         path = f"{self.root}/{name}-{self.made}"
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").option("compression", codec).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *tables: DataFrame) -> None:

@@ -1,9 +1,11 @@
 """Registered queries of the numbered operators over the whole given tables."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from public_tokenizers import path as tokenizer_path
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from heatwise.llm import neardup
+from heatwise.llm import chat, neardup, packing, piece, quality, secrets, urlfilter, warc
+from heatwise.llm.scratch import Scratch
 from heatwise.llm.ship import ship_package
 
 
@@ -12,12 +14,106 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Fixed values of the URL contract.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"),
+             ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def url_rules(spark: SparkSession) -> DataFrame:
+    rows = ", ".join(str(r) for r in URL_RULES)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS rules(host, path, verdict)")
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(_table(spark, sf_dir, "pages"), url_rules(spark), keep=("page_id",))
+
+
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(_table(spark, sf_dir, "conversations"))
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_table(spark, sf_dir, "documents"))
+
+
 def op4_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    measured = Scratch(spark, "quality").keep(quality.with_measures(docs).drop("text"), "measures")
+    return quality.with_verdict(measured, quality.fit(measured)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept", "quality")
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = tokenizer_path("piece_bpe_32k.model")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = piece.encode(docs, model).drop("text")
+    return piece.decode(encoded, model).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def warc_rows(read: DataFrame) -> DataFrame:
+    """Page columns of the records that were read back."""
+    def page(name: str):
+        number = F.substring_index(name, ":", -1)
+        return F.when(number != "null", number.cast("long"))
+    return read.where("kind = 'record'").select(
+        page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        page("refers_to").alias("refers_to"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_rows(warc.round_trip(_table(spark, sf_dir, "pages"), Scratch(spark, "warc")))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
+    "op2_chat_format": op2_chat_format,
+    "op3_secret_scan": op3_secret_scan,
     "op4_minhash_neardup": op4_minhash_neardup,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_sentencepiece": op6_sentencepiece,
+    "op7_warc": op7_warc,
+    "op8_packing": op8_packing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op1_url_filter": r"""
+WITH cut AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest
+             FROM pages),
+parts AS (SELECT page_id,
+                 coalesce(translate(regexp_extract(rest, '^[^/?#]*'),
+                          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+                 coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM cut),
+ruled AS (SELECT *, CASE
+    WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/'
+    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/' END AS rule FROM parts)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM ruled
+""",
+    "op2_chat_format": r"""
+WITH logged AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                       md5(coalesce(role, '') || chr(31) || coalesce(text, '')) AS cid FROM conversations),
+placed AS (SELECT *, row_number() OVER w AS position, string_agg(cid, '') OVER w AS prefix,
+                  count(*) OVER (PARTITION BY conv_id) AS n_turns
+           FROM logged WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, cid
+                                    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+stay AS (SELECT prefix, min(conv_id) AS conv_id FROM placed WHERE position = n_turns
+           AND prefix NOT IN (SELECT prefix FROM placed WHERE position < n_turns) GROUP BY prefix)
+SELECT p.conv_id, p.turn, p.position, p.n_turns, p.role,
+       '<|im_start|>' || p.role || chr(10) || p.text || '<|im_end|>' || chr(10) AS rendered
+FROM placed p JOIN stay s ON p.conv_id = s.conv_id
+""",
+}

@@ -4,7 +4,7 @@ from __future__ import annotations
 from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from heatwise.llm import chat, neardup, packing, piece, quality, secrets, urlfilter, warc
+from heatwise.llm import annlink, chat, neardup, packing, piece, quality, secrets, toxicity, urlfilter, warc
 from heatwise.llm.scratch import Scratch
 from heatwise.llm.ship import ship_package
 
@@ -76,6 +76,17 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op9_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annlink.link_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.fit(docs, _table(spark, sf_dir, "labels")).score(docs)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_chat_format": op2_chat_format,
@@ -85,6 +96,8 @@ QUERIES = {
     "op6_sentencepiece": op6_sentencepiece,
     "op7_warc": op7_warc,
     "op8_packing": op8_packing,
+    "op9_embedding_neardup": op9_embedding_neardup,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES = {

@@ -22,13 +22,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def reject_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or are probably of low quality go."""
-    scratch = Scratch(spark, "quality")
-    text = docs.select(F.col("text").alias("__poor_text"), *docs.columns)
-    measured = quality.with_measures(docs.select("text")).drop("text")
-    model = quality.fit(scratch.keep(measured, "measures"))
-    judged = quality.with_verdict(quality.with_measures(text.select(
-        F.struct(*docs.columns).alias("__row"), "__poor_text"), "__poor_text"), model)
-    return judged.where("kept").select("__row.*")
+    return quality.keep_good(docs, Scratch(spark, "quality"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,6 +16,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from heatwise.llm.scratch import Scratch
+
 BLANK = r"[\x20\x09-\x0D]+"
 #: A word of letters with at most one mark behind it.
 PLAIN = r"(?<![^\x20\x09-\x0D])\p{L}+[.,;:!?]?(?![^\x20\x09-\x0D])"
@@ -153,3 +155,14 @@ def with_verdict(measured: DataFrame, model: dict) -> DataFrame:
     quality = 1 / (1 + F.exp(-odds))
     return (measured.withColumn("quality", quality)
             .withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= 0.5)))
+
+
+def keep_good(docs: DataFrame, scratch: Scratch, text_col: str = "text") -> DataFrame:
+    """The rows of docs that are kept, with just their columns.
+
+    The measures are written beside the rows once: the model needs all of them before any
+    verdict, and a filter must not be merged into the expressions that they come from.
+    """
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col(text_col).alias("__judged"))
+    measured = scratch.keep(with_measures(rows, "__judged").drop("__judged"), "measured", "snappy")
+    return with_verdict(measured, fit(measured)).where("kept").select("__row.*")

@@ -23,6 +23,7 @@ columns are ignored.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -36,10 +37,11 @@ POOL_TOKENS = 1 << 21       # a task packs when its pool holds so many
 ROWS_AT_ONCE = 1_000
 CACHED_CHUNKS = 400_000
 LONG = 64                   # longer chunks are not cached
+_MARKS = ".,;:!?"
 
 
 class Tokens:
-    """Token ids of texts as little-endian uint32 bytes."""
+    """Token ids of texts as uint32 bytes (little-endian, as all platforms Spark runs on here)."""
 
     def __init__(self, path: str):
         import os
@@ -48,6 +50,32 @@ class Tokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {"": b""}
+        self.stems: dict[str, bytes] = {}
+
+    def _stems(self, chunks: list[str]) -> None:
+        """Encode chunks not seen before.
+
+        A mark behind a letter is a word of its own to the tokenizer, and letter case is
+        dropped, so both come off before the lookup (case of plain ASCII only).
+        """
+        cut = []
+        for chunk in chunks:
+            mark = chunk[-1] if chunk[-1] in _MARKS and chunk[-2:-1].isalpha() else ""
+            stem = chunk[:-1] if mark else chunk
+            cut.append((chunk, stem.lower() if stem.isascii() else stem, mark))
+        stems = self.stems
+        new = list({stem for _, stem, _ in cut}.union(_MARKS).difference(stems))
+        if len(stems) + len(new) > CACHED_CHUNKS:
+            stems.clear()
+            new = list({stem for _, stem, _ in cut}.union(_MARKS))
+        for stem, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+            stems[stem] = array("I", got.ids).tobytes()
+        known = self.known
+        for chunk, stem, mark in cut:
+            known[chunk] = stems[stem] + stems[mark] if mark else stems[stem]
+        for stem in new:
+            if len(stem) > LONG:
+                del stems[stem]
 
     def encode(self, texts: list[str], end: int) -> list[bytes]:
         chunks = [t.replace("\n", " ").split(" ") for t in texts]
@@ -57,9 +85,8 @@ class Tokens:
             known.clear()
             known[""] = b""
             new = [c for c in set().union(*chunks) if c]
-        for chunk, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            known[chunk] = np.array(got.ids, dtype="<u4").tobytes()
-        stop = np.array([end], dtype="<u4").tobytes()
+        self._stems(new)
+        stop = array("I", [end]).tobytes()
         out = [b"".join(map(known.__getitem__, c)) + stop for c in chunks]
         for chunk in new:
             if len(chunk) > LONG:

@@ -19,6 +19,7 @@ through, a column of a name that is added here is replaced; rows are independent
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -51,6 +52,9 @@ class Vocabulary:
         for p, i in self.id.items():
             self.automaton.add_word(p, (i, len(p)))
         self.automaton.make_automaton()
+        #: a mark that no piece holds behind a letter is a chunk of its own
+        inner = {p[i:i + 2] for p in self.id for i in range(len(p) - 1)}
+        self.apart = frozenset(m for m in ".,;:!?" if not any(b[1] == m and b[0].isalpha() for b in inner))
         self.fits: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
         # decoding
@@ -96,20 +100,27 @@ class Vocabulary:
 
     def encode_chunk(self, chunk: str) -> list[int]:
         n = len(chunk)
-        ends: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]
-        for last, token in self.automaton.iter(chunk):
-            ends[last + 1].append(token)
-        table: list[tuple[int, int]] = [(_UNKNOWN, 0)] * (n + 1)     # last token of the prefix, its length
-        for end in range(1, n + 1):
-            table[end] = (_UNKNOWN, 1)
-            for token, length in ends[end]:
-                before = table[end - length][0]
-                if self.stands(token) if before == _UNKNOWN else self.compatible(before, token):
-                    table[end] = (token, length)
-                    break
+        tokens = [_UNKNOWN] * (n + 1)       # last token of each prefix, and its length
+        lengths = [1] * (n + 1)
+        fits, whole = self.fits, self.whole
+        for last, (token, length) in self.automaton.iter(chunk):
+            end = last + 1
+            if tokens[end] >= 0:
+                continue
+            before = tokens[end - length]
+            if before < 0:
+                ok = whole.get(token)
+                if ok is None:
+                    ok = self.stands(token)
+            else:
+                ok = fits.get(before << 32 | token)
+                if ok is None:
+                    ok = self.compatible(before, token)
+            if ok:
+                tokens[end], lengths[end] = token, length
         out: list[int] = []
         while n:
-            token, length = table[n]
+            token, length = tokens[n], lengths[n]
             if token == _UNKNOWN:
                 out += [self.bytes[b] for b in reversed(chunk[n - 1].encode("utf-8"))]
             else:
@@ -149,13 +160,17 @@ def _runs(wanted: np.ndarray, inside: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 class _Chunks(dict):
-    """chunk -> its ids as little-endian int32 bytes; emptied when full."""
+    """chunk -> its ids as int32 bytes; emptied when full."""
 
     def __init__(self, vocabulary: Vocabulary, front: str):
         self.vocabulary, self.front = vocabulary, front
+        self.marks = {m: array("i", vocabulary.encode_chunk(m)).tobytes() for m in vocabulary.apart}
 
     def __missing__(self, chunk: str) -> bytes:
-        out = np.array(self.vocabulary.encode_chunk(self.front + chunk), dtype="<i4").tobytes()
+        if chunk[-1:] in self.vocabulary.apart and chunk[-2:-1].isalpha():
+            out = self[chunk[:-1]] + self.marks[chunk[-1]]
+        else:
+            out = array("i", self.vocabulary.encode_chunk(self.front + chunk)).tobytes()
         if len(chunk) <= SHORT:
             if len(self) >= CACHED_CHUNKS:
                 self.clear()

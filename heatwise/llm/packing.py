@@ -22,6 +22,7 @@ columns are ignored.
 """
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -37,60 +38,73 @@ POOL_TOKENS = 1 << 21       # a task packs when its pool holds so many
 ROWS_AT_ONCE = 1_000
 CACHED_CHUNKS = 400_000
 LONG = 64                   # longer chunks are not cached
-_MARKS = ".,;:!?"
+_LATIN = "\u024f"
+_MARK_BEHIND_LETTER = re.compile(r"(?<=[^\W\d_])(?=[.,;:!?])").sub
 
 
 class Tokens:
-    """Token ids of texts as uint32 bytes (little-endian, as all platforms Spark runs on here)."""
+    """Token ids of texts as uint32 bytes (little-endian, as all platforms Spark runs on here).
+
+    A mark behind a letter is a word of its own to the tokenizer and letter case is dropped,
+    so texts are cut there and plain ASCII is lowered before the lookup.  For chunks of
+    lower-case Latin letters the file's normaliser and splitter change nothing; they go to
+    a copy of the tokenizer without them.
+    """
 
     def __init__(self, path: str):
+        import json
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        with open(path, encoding="utf-8") as source:
+            rules = json.load(source)
+        self.whole = Tokenizer.from_file(path)
+        self.whole.encode_special_tokens = True
+        level = next(p for p in rules["pre_tokenizer"]["pretokenizers"] if p["type"] == "ByteLevel")
+        self.plain = Tokenizer.from_str(json.dumps(rules | {"normalizer": None, "pre_tokenizer": level}))
+        self.ends_word = np.zeros(max(rules["model"]["vocab"].values()) + 1, dtype=bool)
+        suffix = rules["model"]["end_of_word_suffix"]
+        self.ends_word[[i for t, i in rules["model"]["vocab"].items() if t.endswith(suffix)]] = True
         self.known: dict[str, bytes] = {"": b""}
-        self.stems: dict[str, bytes] = {}
-
-    def _stems(self, chunks: list[str]) -> None:
-        """Encode chunks not seen before.
-
-        A mark behind a letter is a word of its own to the tokenizer, and letter case is
-        dropped, so both come off before the lookup (case of plain ASCII only).
-        """
-        cut = []
-        for chunk in chunks:
-            mark = chunk[-1] if chunk[-1] in _MARKS and chunk[-2:-1].isalpha() else ""
-            stem = chunk[:-1] if mark else chunk
-            cut.append((chunk, stem.lower() if stem.isascii() else stem, mark))
-        stems = self.stems
-        new = list({stem for _, stem, _ in cut}.union(_MARKS).difference(stems))
-        if len(stems) + len(new) > CACHED_CHUNKS:
-            stems.clear()
-            new = list({stem for _, stem, _ in cut}.union(_MARKS))
-        for stem, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            stems[stem] = array("I", got.ids).tobytes()
-        known = self.known
-        for chunk, stem, mark in cut:
-            known[chunk] = stems[stem] + stems[mark] if mark else stems[stem]
-        for stem in new:
-            if len(stem) > LONG:
-                del stems[stem]
 
-    def encode(self, texts: list[str], end: int) -> list[bytes]:
-        chunks = [t.replace("\n", " ").split(" ") for t in texts]
+    def _learn(self, chunks: list[str]) -> None:
         known = self.known
-        new = list(set().union(*chunks).difference(known))
-        if len(known) + len(new) > CACHED_CHUNKS:
+        if len(known) + len(chunks) > CACHED_CHUNKS:
             known.clear()
             known[""] = b""
-            new = [c for c in set().union(*chunks) if c]
-        self._stems(new)
+        easy, hard = [], []
+        for c in chunks:
+            (easy if c.isalpha() and c == c.lower() and (c.isascii() or max(c) <= _LATIN) else hard).append(c)
+        if easy:
+            # one sequence of words; each word's last token, and no other, has the word-end suffix
+            got = self.plain.encode_batch_fast([easy], is_pretokenized=True, add_special_tokens=False)[0]
+            ids = np.array(got.ids, dtype="<u4")
+            raw, ends = ids.tobytes(), (4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
+            start = 0
+            for chunk, end in zip(easy, ends, strict=True):
+                known[chunk] = raw[start:end]
+                start = end
+        for chunk, got in zip(hard, self.whole.encode_batch_fast(hard, add_special_tokens=False)):
+            known[chunk] = array("I", got.ids).tobytes()
+
+    def encode(self, texts: list[str], end: int) -> list[bytes]:
+        rows = []
+        for text in texts:
+            text = _MARK_BEHIND_LETTER(" ", text.lower() if text.isascii() else text)
+            rows.append(text.replace("\n", " ").split(" "))
         stop = array("I", [end]).tobytes()
-        out = [b"".join(map(known.__getitem__, c)) + stop for c in chunks]
+        found = [list(map(self.known.get, row)) for row in rows]
+        new = {c for row, ids in zip(rows, found) if None in ids for c, i in zip(row, ids) if i is None}
+        self._learn(list(new))
+        out = []
+        for row, ids in zip(rows, found):
+            if None in ids:
+                ids = [self.known[c] if i is None else i for c, i in zip(row, ids)]
+            ids.append(stop)
+            out.append(b"".join(ids))
         for chunk in new:
             if len(chunk) > LONG:
-                del known[chunk]
+                del self.known[chunk]
         return out
 
 

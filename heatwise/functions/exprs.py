@@ -62,10 +62,15 @@ def hole_size_from_path(path) -> Column:
     return F.when(got == "", F.lit(None).cast("string")).otherwise(got)
 
 
+def flag(value: Column, condition: Column) -> Column:
+    """1 where the condition on the value holds, else 0; a missing value never holds."""
+    return F.coalesce(condition & ~F.isnan(value), F.lit(False)).cast("int")
+
+
 def temp_category(temp) -> Column:
-    """Right-closed categories (0,285] .. (325,350] (350,inf) -> 0..6; T <= 0 -> null."""
+    """Right-closed categories (0,285] .. (325,350] (350,inf) -> 0..6; T <= 0 or missing -> null."""
     t = _col(temp)
-    expr = F.when(t <= 0, F.lit(None).cast("int"))
+    expr = F.when(t.isNull() | F.isnan(t) | (t <= 0), F.lit(None).cast("int"))
     for i, upper in enumerate(TEMP_CATEGORY_UPPER_EDGES):
         expr = expr.when(t <= upper, F.lit(i))
     return expr.otherwise(F.lit(len(TEMP_CATEGORY_UPPER_EDGES)))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from heatwise.functions.exprs import equal_width_bin, temp_category
+from heatwise.functions.exprs import equal_width_bin, flag, temp_category
 from heatwise.operators.ordered import (exact_quantiles, quantiles_from_positions,
                                         rank_from_positions, rolling_stats,
                                         rolling_window_size, value_positions)
@@ -55,12 +55,12 @@ def thermal_exprs(level: str = "basic", temp: str = "temperature",
     if level in ("dashboard", "full"):
         cols["temp_category"] = temp_category(t)
         cols["temp_category_encoded"] = temp_category(t)
-    cols["is_above_ambient"] = (t > AMBIENT_K + 5).cast("int")
-    cols["is_hot_spot"] = (t > AMBIENT_K + 15).cast("int")
-    cols["is_very_hot"] = (t > AMBIENT_K + 25).cast("int")
+    cols["is_above_ambient"] = flag(t, t > AMBIENT_K + 5)
+    cols["is_hot_spot"] = flag(t, t > AMBIENT_K + 15)
+    cols["is_very_hot"] = flag(t, t > AMBIENT_K + 25)
     if level == "full":
-        cols["is_extreme_hot"] = (t > AMBIENT_K + 40).cast("int")
-        cols["is_cold_spot"] = (t < AMBIENT_K - 10).cast("int")
+        cols["is_extreme_hot"] = flag(t, t > AMBIENT_K + 40)
+        cols["is_cold_spot"] = flag(t, t < AMBIENT_K - 10)
         med = stats["t_median"]
         cols["temp_vs_median"] = t - F.lit(med)
         cols["temp_vs_median_ratio"] = F.try_divide(t, F.lit(med))
@@ -98,11 +98,11 @@ def spatial_exprs(level: str = "basic", x: str = "x", y: str = "y",
             cols[f"x_zone_{k}"] = xz
             cols[f"y_zone_{k}"] = yz
             cols[f"spatial_zone_{k}"] = xz * k + yz
-    cols["quadrant"] = (X >= 0).cast("int") * 2 + (Y >= 0).cast("int")
+    cols["quadrant"] = flag(X, X >= 0) * 2 + flag(Y, Y >= 0)
     if level == "full":
         cols["octant"] = F.floor(F.pmod(deg + 22.5, F.lit(360.0)) / 45).cast("int")
-        cols["is_center_region"] = (dist < F.lit(stats["d_q25"])).cast("int")
-        cols["is_edge_region"] = (dist > F.lit(stats["d_q75"])).cast("int")
+        cols["is_center_region"] = flag(dist, dist < F.lit(stats["d_q25"]))
+        cols["is_edge_region"] = flag(dist, dist > F.lit(stats["d_q75"]))
     return cols
 
 
@@ -231,14 +231,24 @@ def median_fills(df: DataFrame, cols=None) -> dict:
             got = exact_quantiles(df.select(F.col(c).cast("double").alias(c)), c, [0.5],
                                   ["m"]).first()
             if got is not None and got["m"] is not None:
-                fills[c] = got["m"] if dtypes[c] in ("double", "float") else int(got["m"])
+                whole = dtypes[c] not in ("double", "float") and float(got["m"]).is_integer()
+                fills[c] = int(got["m"]) if whole else got["m"]
     return fills
 
 
 def impute_median(df: DataFrame, cols=None) -> DataFrame:
-    """Fill nulls of numeric columns with their exact median."""
-    fills = median_fills(df, cols)
-    return df.fillna(fills) if fills else df
+    """Fill nulls of numeric columns with their exact median; an integer column whose
+    median is not whole becomes double."""
+    return fill_medians(df, median_fills(df, cols))
+
+
+def fill_medians(df: DataFrame, fills: dict) -> DataFrame:
+    if not fills:
+        return df
+    dtypes = dict(df.dtypes)
+    wide = {c: F.col(c).cast("double") for c, v in fills.items()
+            if isinstance(v, float) and dtypes[c] not in ("double", "float")}
+    return df.withColumns(wide).fillna(fills)
 
 
 def _row_features(df: DataFrame, level: str, temp: str, x: str, y: str, stats, levels,
@@ -307,4 +317,4 @@ def engineer_features(df: DataFrame, level: str = "basic", key: str = "node_id",
                                  n_rows=stats["n_all"])
         base = rank_from_positions(base, tpos, temp, "temp_percentile_rank")
     out = _row_features(base, level, temp, x, y, stats, levels, clean_inputs)
-    return out.fillna(fills) if fills else out
+    return fill_medians(out, fills)

@@ -78,6 +78,16 @@ def _f1(c: Column) -> Column:
 WINDOW_FILE_LIMIT = 1_000_000
 
 
+def _same_file(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on the whole file identity, null-safe; the right side's keys are dropped.
+
+    A name alone does not identify a file: the same name may occur under several sizes.
+    """
+    own = right.withColumnsRenamed({k: f"_file_{k}" for k in keys})
+    same = [left[k].eqNullSafe(own[f"_file_{k}"]) for k in keys]
+    return left.join(own, same, how).drop(*[f"_file_{k}" for k in keys])
+
+
 def file_index(files: DataFrame, key: str = "file_name", group: str = "hole_size",
                window_limit: int = WINDOW_FILE_LIMIT) -> DataFrame:
     """0-based position of each file within its hole size, in file-name order, over the
@@ -116,6 +126,7 @@ def label_files(rows: DataFrame, policy="four", sensitivity: str = "balanced",
         raise ValueError(f"sensitivity must be one of {SENSITIVITIES}")
     base = float(threshold if threshold is not None else pol.threshold)
     t = F.col(temp)
+    keys = [key, "hole_size"]
     factor = hole_factor(F.col("hole_size"), pol.factors, pol.default_factor)
 
     aggs = [F.count(F.lit(1)).alias("n_rows"), F.avg(t).alias("mean"), F.max(t).alias("max"),
@@ -124,27 +135,27 @@ def label_files(rows: DataFrame, policy="four", sensitivity: str = "balanced",
             F.sum(F.when(t > lit_double(base) * factor, 1).otherwise(0)).alias("n_hot")]
     if quantiles:
         stats_q = file_temp_stats(rows, key=key, temp=temp, quantiles=quantiles).select(
-            key, "q75", "q90", "q95")
+            *keys, "q75", "q90", "q95")
     # one row per file; persisted once so the size check, the outlier pass and the
     # decision all read it instead of re-aggregating the rows
-    stats, n_files = materialize(rows.groupBy(key, "hole_size").agg(*aggs))
+    stats, n_files = materialize(rows.groupBy(*keys).agg(*aggs))
 
     if pol.use_outliers:
-        small = stats.select(key, "mean", "std_pop")
+        small = stats.select(*keys, "mean", "std_pop")
         small = F.broadcast(small) if n_files <= max_broadcast_files else small
         z = safe_div(t - F.col("mean"), F.col("std_pop"))
-        outl = (rows.select(key, temp).join(small, key)
-                .groupBy(key)
+        outl = (_same_file(rows.select(*keys, temp), small, keys)
+                .groupBy(*keys)
                 .agg(F.sum(F.when((F.col("std_pop") > 0) & (F.abs(z) > 2), 1).otherwise(0))
                      .alias("n_out")))
-        stats = stats.join(outl, key)
+        stats = _same_file(stats, outl, keys)
     else:
         stats = stats.withColumn("n_out", F.lit(None).cast("long"))
 
     if pol.file_index_boost:
         listed = files if files is not None else rows
         idx = file_index(listed, key=key)
-        stats = stats.join(idx.select(key, "file_idx"), key, "left")
+        stats = _same_file(stats, idx.select(*keys, "file_idx"), keys, "left")
     else:
         stats = stats.withColumn("file_idx", F.lit(None).cast("int"))
 
@@ -235,7 +246,7 @@ def label_files(rows: DataFrame, policy="four", sensitivity: str = "balanced",
         "method": F.lit(method),
     })
     if quantiles:
-        out = out.join(stats_q, key, "left")
+        out = _same_file(out, stats_q, keys, "left")
     q_cols = ([F.col("q75"), F.col("q90"), F.col("q95")] if quantiles
               else [F.lit(None).cast("double")] * 3)
     out = out.withColumns({
@@ -263,14 +274,15 @@ def tag_rows(rows: DataFrame, labels: DataFrame, key: str = "file_name",
     """Put each file's label on its rows (leak_status, leak_confidence,
     classification_method, criteria_count); the label table is broadcast when its
     checked row count allows it."""
-    lab = labels.select(key, "leak_status", F.col("confidence").alias("leak_confidence"),
+    keys = [k for k in (key, "hole_size") if k in rows.columns and k in labels.columns]
+    lab = labels.select(*keys, "leak_status", F.col("confidence").alias("leak_confidence"),
                         F.col("method").alias("classification_method"), "criteria_count")
     n = getattr(labels, "_heatwise_rows", None)
     if n is None:
         lab = broadcast_if_small(lab, max_broadcast_files)
     elif n <= max_broadcast_files:
         lab = F.broadcast(lab)
-    return rows.join(lab, key)
+    return _same_file(rows, lab, keys)
 
 
 def file_label_summary(labels: DataFrame) -> DataFrame:

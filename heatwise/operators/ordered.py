@@ -184,7 +184,10 @@ def positions(df: DataFrame, order_cols, group_cols=(), weights=(), ascending: b
                           + [T.StructField(f"_o{c}", T.LongType()) for c in tcols]
                           + [T.StructField(t, T.LongType()) for t in tnames])
     offsets = spark.createDataFrame(out_rows, schema)
-    b = b.join(F.broadcast(offsets), [*group_cols, "_bucket"])
+    # null-safe: rows of a null group keep their place
+    offsets = offsets.withColumnsRenamed({c: f"_at_{c}" for c in [*group_cols, "_bucket"]})
+    b = b.join(F.broadcast(offsets), [F.col(c).eqNullSafe(F.col(f"_at_{c}")) for c in [*group_cols, "_bucket"]])
+    b = b.drop(*[f"_at_{c}" for c in [*group_cols, "_bucket"]])
 
     order = [F.col(c).asc() if ascending else F.col(c).desc() for c in order_cols]
     w_in = Window.partitionBy(*group_cols, "_bucket").orderBy(*order)

@@ -43,7 +43,9 @@ def _checkpoint_root(spark: SparkSession) -> str:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
-        # Only reached where the cluster names no shared folder (tests, local bench).
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        # one machine (tests, local bench): every task sees the same folder
         configured = tempfile.mkdtemp(prefix="heatwise-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

@@ -226,10 +226,6 @@ def discovery_counts(discovered: DataFrame) -> DataFrame:
 
 # ---- labelled CSV and scoring batches -------------------------------------------------
 
-LABELLED_SCHEMA = ("nodenumber long, `x-coordinate` double, `y-coordinate` double, "
-                   "temperature double, hole_size string, leak_status int")
-
-
 def read_labelled_csv(spark: SparkSession, path, schema: str | None = None) -> DataFrame:
     """Header CSV that already carries ``leak_status``; absent columns are filled
     (hole_size 30mm, file_name direct_upload, leak_confidence = 0.8*leak + 0.1,
@@ -246,7 +242,11 @@ def read_labelled_csv(spark: SparkSession, path, schema: str | None = None) -> D
     for c in ("x", "y", "temperature"):
         if c in df.columns:
             df = df.withColumn(c, _num(F.col(c).cast("string")))
-    leak = F.col("leak_status").cast("int")
+    def number(name: str) -> Column:
+        value = F.col(name).cast("string").try_cast("double")
+        return F.when(~F.isnan(value), value)
+
+    leak = number("leak_status").cast("int")
     fills = {
         "hole_size": F.lit(LABELLED_DEFAULTS["hole_size"]),
         "file_name": F.lit(LABELLED_DEFAULTS["file_name"]),
@@ -254,8 +254,11 @@ def read_labelled_csv(spark: SparkSession, path, schema: str | None = None) -> D
         "classification_method": F.lit(LABELLED_DEFAULTS["classification_method"]),
         "criteria_count": leak * 2 + 1,
     }
-    df = df.withColumn("leak_status", leak)
-    return df.withColumns({k: v for k, v in fills.items() if k not in df.columns})
+    for name, kind in (("leak_confidence", "double"), ("criteria_count", "int")):
+        if name in df.columns:
+            df = df.withColumn(name, number(name).cast(kind))
+    df = df.withColumns({k: v for k, v in fills.items() if k not in df.columns})
+    return df.withColumn("leak_status", leak)
 
 
 def read_scoring_batch(spark: SparkSession, path, fmt: str = "csv") -> DataFrame:

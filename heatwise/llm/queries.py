@@ -128,5 +128,30 @@ stay AS (SELECT prefix, min(conv_id) AS conv_id FROM placed WHERE position = n_t
 SELECT p.conv_id, p.turn, p.position, p.n_turns, p.role,
        '<|im_start|>' || p.role || chr(10) || p.text || '<|im_end|>' || chr(10) AS rendered
 FROM placed p JOIN stay s ON p.conv_id = s.conv_id
+""",
+    "op7_warc": r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first
+           FROM pages)
+SELECT page_id, octet_length(encode(payload))::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           (((('0x' || substr(sha1(payload), 5 * (j // 4) + 1, 5))::BIGINT >> (15 - 5 * (j % 4))) & 31) + 1)::INT, 1)), '')
+           AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p
+""",
+    "op9_embedding_neardup": r"""
+WITH RECURSIVE ok AS (
+    SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id
+          WHERE len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.93),
+reach(vec_id, r) AS (SELECT vec_id, vec_id FROM embeddings
+                     UNION SELECT reach.vec_id, links.b FROM reach JOIN links ON reach.r = links.a)
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id)::BIGINT AS n_links, min(r) AS component_id,
+       min(r) = vec_id AS kept
+FROM reach GROUP BY vec_id
 """,
 }

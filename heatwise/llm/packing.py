@@ -22,6 +22,7 @@ columns are ignored.
 """
 from __future__ import annotations
 
+import gc
 import re
 import zlib
 from array import array
@@ -39,7 +40,7 @@ ROWS_AT_ONCE = 1_000
 CACHED_CHUNKS = 400_000
 LONG = 64                   # longer chunks are not cached
 _LATIN = "\u024f"
-_MARK_BEHIND_LETTER = re.compile(r"(?<=[^\W\d_])(?=[.,;:!?])").sub
+_MARK_BEHIND_LETTER = re.compile(r"[.,;:!?](?<=[^\W\d_].)").sub
 
 
 class Tokens:
@@ -90,7 +91,7 @@ class Tokens:
     def encode(self, texts: list[str], end: int) -> list[bytes]:
         rows = []
         for text in texts:
-            text = _MARK_BEHIND_LETTER(" ", text.lower() if text.isascii() else text)
+            text = _MARK_BEHIND_LETTER(r" \g<0>", text.lower() if text.isascii() else text)
             rows.append(text.replace("\n", " ").split(" "))
         stop = array("I", [end]).tobytes()
         found = [list(map(self.known.get, row)) for row in rows]
@@ -205,6 +206,13 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     names = [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()        # millions of strings in lists, no cycles: collections only cost time
+        try:
+            yield from packed(batches)
+        finally:
+            gc.enable()
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, packer = tokens(tokenizer_path), Packer(capacity, segments, loss)
         first = TaskContext.get().partitionId() << 40
         held: dict[int, tuple] = {}

@@ -390,10 +390,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                .select("band", "h", (-F.col("top.neg")).alias("a")))
     pairs = (mates.join(leaders, ["band", "h"]).where("id != a")
              .select("a", F.col("id").alias("b")).distinct())
-    rep_texts = texts.join(mates.select("id").distinct(), "id", "left_semi")
+    rep_texts = texts.join(mates.select("id").distinct().hint("merge"), "id", "left_semi")
     rep_texts = scratch.keep(rep_texts, "texts", "snappy")
-    posed = (pairs.join(rep_texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-             .join(rep_texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    # Merge joins at every size: ids and pairs grow with the corpus, so no plan may count on
+    # sending them to all tasks.
+    posed = (pairs.hint("merge").join(rep_texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+             .join(rep_texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
              .select("a", "b", "text_a", "text_b"))
     links = scratch.keep(posed.mapInArrow(_verify(weights, threshold), "a long, b long"), "links")
     comp = scratch.keep(components(scratch, links, "a", "b"), "components")
@@ -435,5 +437,5 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 threshold: float = 0.8) -> DataFrame:
     """The rows of the documents that stand for their class, with all their columns."""
     gone = (near_duplicates(docs, id_col, text_col, threshold).where("not kept")
-            .select(F.col(id_col).alias("__gone")).distinct())
+            .select(F.col(id_col).alias("__gone")).distinct().hint("merge"))
     return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")

@@ -38,8 +38,8 @@ PHI = 0.05                # document share below which all shingles weigh the sa
 BANDS, ROWS = 12, 4
 BLOCK = 256               # members of a bucket that meet in one task at once
 HEAVY_BATCH = 2_000_000   # shingles per local block of the heavy search
-#: An estimate from 48 samples lies below this with probability 1e-3 for a pair at 0.8;
-#: scaled with the threshold.  Pairs are first of all band mates.
+#: An estimate from 48 samples lies below this with probability 6e-3 for a pair at 0.8 (less
+#: for band mates, which already agree in four places); scaled with the threshold.
 ESTIMATE = 0.65 / 0.8
 _U = np.uint64
 

@@ -223,12 +223,22 @@ def balance_sql(target: float) -> str:
 
 
 _CLS = "cls AS (SELECT leak_status, count(*) AS m FROM tagged GROUP BY leak_status)"
-_SPLIT = (f"{_CLS}, sz AS (SELECT leak_status, m, CAST(ceil(m * {d(0.15)}) AS BIGINT) AS "
-          "n_test FROM cls), sz2 AS (SELECT leak_status, m, n_test, CAST(least(m - n_test, "
-          f"ceil(m * {d(0.15)})) AS BIGINT) AS n_val FROM sz), "
-          "parts AS (SELECT leak_status, 'train' AS split, m - n_val - n_test AS rows FROM sz2 "
-          "UNION ALL SELECT leak_status, 'val', n_val FROM sz2 UNION ALL "
-          "SELECT leak_status, 'test', n_test FROM sz2)")
+_SPLIT = (f"""{_CLS},
+cut AS (SELECT *, CAST(sum(m) OVER () AS BIGINT) AS n,
+               CAST(sum(m) OVER () AS BIGINT) - CAST(ceil({d(0.3)} * sum(m) OVER ()) AS BIGINT) AS kept FROM cls),
+part AS (SELECT *, m * kept // n AS low,
+                row_number() OVER (ORDER BY m * kept % n DESC, leak_status NULLS FIRST) AS turn FROM cut),
+train_cut AS (SELECT leak_status, m,
+                 low + CASE WHEN turn <= kept - sum(low) OVER () THEN 1 ELSE 0 END AS n_train FROM part),
+cut2 AS (SELECT leak_status, n_train, m - n_train AS m2, CAST(sum(m - n_train) OVER () AS BIGINT) AS n2 FROM train_cut),
+kept2 AS (SELECT *, n2 - CAST(ceil({d(0.5)} * n2) AS BIGINT) AS k2 FROM cut2),
+part2 AS (SELECT *, CASE WHEN n2 > 0 THEN m2 * k2 // n2 ELSE 0 END AS low2,
+                 row_number() OVER (ORDER BY CASE WHEN n2 > 0 THEN m2 * k2 % n2 ELSE 0 END DESC,
+                                    leak_status NULLS FIRST) AS turn2 FROM kept2),
+val_cut AS (SELECT *, low2 + CASE WHEN turn2 <= k2 - sum(low2) OVER () THEN 1 ELSE 0 END AS n_val FROM part2),
+parts AS (SELECT leak_status, 'train' AS split, n_train AS rows FROM val_cut
+          UNION ALL SELECT leak_status, 'val', n_val FROM val_cut
+          UNION ALL SELECT leak_status, 'test', m2 - n_val FROM val_cut)""")
 
 STRATIFIED_SPLIT_COUNTS = (f"WITH {tagged_ctes()}, {_SPLIT} SELECT split, leak_status, "
                            "CAST(rows AS BIGINT) AS rows FROM parts WHERE rows > 0")

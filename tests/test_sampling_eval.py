@@ -45,6 +45,33 @@ def test_stratified_split_keeps_ratio(spark):
         assert abs(ratio - 0.7) < 0.01
 
 
+def test_split_sizes_round_the_whole_cut_up_once():
+    assert smp.split_counts({0: 7, 1: 7}, smp.SPLITS_API) == {0: [6, 1], 1: [5, 2]}
+    assert smp.split_counts({0: 3, 1: 7}, smp.SPLITS_NOTEBOOK) == {0: [2, 0, 1], 1: [5, 1, 1]}
+    assert smp.split_counts({None: 1, 1: 0}, smp.SPLITS_NOTEBOOK) == {None: [0, 0, 1], 1: [0, 0, 0]}
+    assert smp.split_counts({}, smp.SPLITS_API) == {}
+    for n0, n1 in [(1, 9), (13, 88), (500, 1), (333, 334)]:
+        got = smp.split_counts({0: n0, 1: n1}, smp.SPLITS_NOTEBOOK)
+        assert [sum(got[c]) for c in (0, 1)] == [n0, n1]
+        held = int(np.ceil(0.3 * (n0 + n1)))
+        assert [sum(x) for x in zip(*got.values())] == [n0 + n1 - held, held // 2, held - held // 2]
+
+
+def test_split_of_an_empty_frame(spark):
+    got = smp.stratified_split(labelled(spark, 5, 3).where("false"))
+    assert got.columns[-1] == "split" and got.count() == 0
+
+
+def test_scatter_sample_is_the_exact_sample_of_each_class(spark):
+    df = labelled(spark, 600, 400)
+    got = smp.scatter_sample(df.repartition(7), limit=500, per_class=((1, 50), (0, 300)))
+    want = [r.node_id for c, k in ((1, 50), (0, 300))
+            for r in smp.sample_exact(df.where(F.col("leak_status") == c), k, "node_id").collect()]
+    assert sorted(r.node_id for r in got.collect()) == sorted(want) and len(want) == 250
+    assert got.columns == df.columns
+    assert smp.scatter_sample(df, limit=600).count() == 600
+
+
 def test_folds_balanced(spark):
     f = smp.stratified_folds(labelled(spark), 3)
     c = {(r["fold"], r["leak_status"]): r["count"] for r in f.groupBy("fold", "leak_status").count().collect()}

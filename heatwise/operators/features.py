@@ -274,7 +274,7 @@ def _row_features(df: DataFrame, level: str, temp: str, x: str, y: str, stats, l
 
 def engineer_features(df: DataFrame, level: str = "basic", key: str = "node_id",
                       temp: str = "temperature", x: str = "x", y: str = "y",
-                      impute: bool = True) -> DataFrame:
+                      impute: bool = True, rolling_align: str = "value") -> DataFrame:
     """The reference's three feature sets: ``basic`` (API), ``dashboard`` and ``full``
     (notebook: ~60 columns incl. global rank, zones, rolling and z-scores).
 
@@ -284,6 +284,9 @@ def engineer_features(df: DataFrame, level: str = "basic", key: str = "node_id",
     added afterwards as one projection, so no shuffle carries them.  Rank and rolling
     columns are never null for non-null T, so imputing the row-wise columns equals the
     reference's imputing everything at the end.
+
+    ``rolling_align``: see :func:`rolling_stats`; ``"position"`` gives the reference's
+    assignment of rolling windows to rows (by ``key`` order).
     """
     if level not in LEVELS:
         raise ValueError(f"level must be one of {LEVELS}")
@@ -314,7 +317,7 @@ def engineer_features(df: DataFrame, level: str = "basic", key: str = "node_id",
                                                            "std": stats["t_std"],
                                                            "min": stats["t_min"],
                                                            "max": stats["t_max"]},
-                                 n_rows=stats["n_all"])
+                                 n_rows=stats["n_all"], align=rolling_align)
         base = rank_from_positions(base, tpos, temp, "temp_percentile_rank")
     out = _row_features(base, level, temp, x, y, stats, levels, clean_inputs)
     return fill_medians(out, fills)

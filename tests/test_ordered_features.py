@@ -152,6 +152,19 @@ def test_rolling_position_alignment_matches_reference_rule(spark):
     assert np.allclose(m["temp_rolling_mean"], m["expect"], atol=1e-9)
 
 
+def test_full_features_with_the_reference_rolling_alignment(spark):
+    from heatwise.operators.features import engineer_features
+    pdf = data(60).assign(x=1.0, y=2.0, hole_size="20mm", file_name="f")
+    got = engineer_features(spark.createDataFrame(pdf), "full", rolling_align="position").toPandas()
+    frame = pdf.sort_values("node_id").reset_index(drop=True)
+    low = pd.Series(np.sort(pdf["temperature"].to_numpy())).rolling(5)
+    frame["mean"] = low.mean().fillna(pdf["temperature"].mean())
+    frame["least"] = low.min().fillna(pdf["temperature"].min())
+    m = got.merge(frame[["node_id", "mean", "least"]], on="node_id")
+    assert len(m) == 60
+    assert np.allclose(m["temp_rolling_mean"], m["mean"]) and np.allclose(m["temp_rolling_min"], m["least"])
+
+
 def test_positions_many_buckets_binary_search_path(spark):
     from heatwise.operators import ordered
     pdf = data(6000)

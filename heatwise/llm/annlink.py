@@ -5,16 +5,21 @@
    hash); every vector goes to its ``overlap`` nearest centres, so shards overlap.
 3. Each shard (label, centre, block of at most about ``BLOCK`` vectors) builds a graph:
    nearest candidates, then robust pruning (a candidate goes if a kept neighbour is nearer
-   to it by the factor ``ALPHA`` than the node is).  The adjacency lists of a vector's
-   shards are united.
+   to it by the factor ``ALPHA`` than the node is).  Nodes also get links to representatives
+   of other groups (rows outside twice the pool radius of earlier ones) and reverse links, so a
+   tight group larger than the pool does not shut itself off.  The adjacency lists of a
+   vector's shards are united.
 4. Each region (label, centre, pair of blocks) is searched over the united lists: a greedy
    beam from the region's medoid, then range expansion: every vector found in range, and
    the query's own place, has its unseen neighbours examined until no more are in range.
+   ``CHECKED`` rows of the region are compared with all its rows; if one link of these is
+   missing, the region is compared exactly.
 5. Hits are verified by cosine in double precision.  A pair is counted in the first centre
    its two vectors share, so counts add up; only counts and joined roots leave a task.
 6. Recall is audited: the links of ``AUDIT`` vectors chosen by hash are counted by brute
-   force over all vectors.  Below ``RECALL`` the overlap doubles and the search is repeated;
-   with all centres shared every pair meets.
+   force over all vectors, copies counted once; recall is the smaller of the share of links
+   and the mean share of a vector.  Below ``RECALL`` all regions are compared exactly; still
+   below, the overlap doubles as well: with all centres shared every pair is compared.
 
 Defined cases: null, empty, zero vectors, vectors with null or non-finite components, null
 labels and null ids link with nothing (0 links, component = own id, kept); vectors of
@@ -33,6 +38,7 @@ from heatwise.llm.scratch import Scratch
 
 SAMPLE, PER_CENTRE, MOST_CENTRES = 20_000, 1_500, 4_096
 BLOCK, POOL, DEGREE, ALPHA, BEAM, QUERIES = 2_048, 32, 16, 1.2, 12, 256
+FAR, CHECKED = 8, 64
 AUDIT, RECALL = 256, 0.98
 
 
@@ -82,45 +88,82 @@ def _assign(centres: dict[int, np.ndarray], overlap: int):
     return run
 
 
-def prune(unit: np.ndarray) -> np.ndarray:
-    """(node, DEGREE) robust-pruned neighbours of every row, -1 where there are fewer."""
+def prune(unit: np.ndarray, among: np.ndarray | None = None, degree: int = DEGREE) -> np.ndarray:
+    """(node, degree) robust-pruned neighbours of every row out of the rows ``among`` (all
+    if not given), -1 where there are fewer."""
     m = len(unit)
-    k = min(POOL, m - 1)
-    out = np.full((m, DEGREE), -1, dtype=np.int64)
+    among = np.arange(m) if among is None else among
+    own = np.full(m, -1)
+    own[among] = np.arange(len(among))
+    k = min(POOL, len(among) - 1)
+    out = np.full((m, degree), -1, dtype=np.int64)
     if k < 1:
         return out
     for low in range(0, m, 512):
         high = min(low + 512, m)
-        score = unit[low:high] @ unit.T
-        score[np.arange(high - low), np.arange(low, high)] = -2
+        score = unit[low:high] @ unit[among].T
+        self_ = np.flatnonzero(own[low:high] >= 0)
+        score[self_, own[low:high][self_]] = -2
         pool = np.argpartition(-score, k - 1, axis=1)[:, :k]
         near = np.take_along_axis(score, pool, axis=1)
         order = np.argsort(-near, axis=1, kind="stable")
-        pool, near = np.take_along_axis(pool, order, axis=1), np.take_along_axis(near, order, axis=1)
+        pool, near = among[np.take_along_axis(pool, order, axis=1)], np.take_along_axis(near, order, axis=1)
         gap = np.sqrt(np.maximum(2 - 2 * near, 0))
         alive = np.ones(pool.shape, dtype=bool)
         rows = np.arange(high - low)
-        for slot in range(DEGREE):
+        for slot in range(degree):
             has = alive.any(axis=1)
             if not has.any():
                 break
             first = alive.argmax(axis=1)
             pick = pool[rows, first]
             out[low:high, slot] = np.where(has, pick, -1)
-            among = np.einsum("id,ikd->ik", unit[pick], unit[pool])
-            alive &= ALPHA * np.sqrt(np.maximum(2 - 2 * among, 0)) > gap
+            between = np.einsum("id,ikd->ik", unit[pick], unit[pool])
+            alive &= ALPHA * np.sqrt(np.maximum(2 - 2 * between, 0)) > gap
             alive[rows, first] = False
     return out
 
 
+def representatives(unit: np.ndarray) -> np.ndarray:
+    """Rows, in a fixed random order, that lie outside twice the pool radius of all earlier ones."""
+    m = len(unit)
+    k = min(POOL + 1, m)
+    covered, out = np.zeros(m, dtype=bool), []
+    for row in np.random.default_rng(m).permutation(m).tolist():
+        if not covered[row]:
+            gap = np.maximum(1 - unit @ unit[row], 0)
+            covered |= gap <= 4 * np.partition(gap, k - 1)[k - 1]
+            covered[row] = True
+            out.append(row)
+    return np.array(sorted(out), dtype=np.int64)
+
+
+def neighbours(unit: np.ndarray) -> list[np.ndarray]:
+    """Linked rows of every row: near ones, representatives, and at most DEGREE reverse ones."""
+    m = len(unit)
+    near = prune(unit)
+    src, slot = np.nonzero(near >= 0)
+    dst = near[src, slot]
+    gap = -np.einsum("id,id->i", unit[src], unit[dst])
+    order = np.lexsort((src, gap, dst))
+    back = dst[order]
+    first = np.searchsorted(back, back)
+    order = order[np.arange(len(back)) - first < DEGREE]
+    far = prune(unit, representatives(unit), FAR)
+    far_src, slot = np.nonzero(far >= 0)
+    key = np.unique(np.concatenate([src, far_src, dst[order]]) * m
+                    + np.concatenate([dst, far[far_src, slot], src[order]]))
+    return np.split(key % m, np.searchsorted(key // m, np.arange(1, m)))
+
+
 def _build(batches):
     """(src, dst) lists of each shard's graph."""
     for table in _groups(batches):
         ids = table["id"].to_numpy()
         for rows in _same_size(table):
-            graph = prune(_unit(_matrix(table["vec"].combine_chunks().take(pa.array(rows)))))
+            graph = neighbours(_unit(_matrix(table["vec"].combine_chunks().take(pa.array(rows)))))
             own = ids[rows]
-            lists = [own[r[r >= 0]] for r in graph]
+            lists = [own[r] for r in graph]
             yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(lists, pa.list_(pa.int64()))], ["src", "dst"])
 
 
@@ -196,6 +239,27 @@ def range_search(unit: np.ndarray, graph: np.ndarray, queries: np.ndarray, thres
     return q[q != n], n[q != n]
 
 
+def all_pairs(unit: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Every row pair (a < b) with approximate cosine in range."""
+    narrow = unit.astype(np.float32)
+    out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for low in range(0, len(unit), 512):
+        a, b = np.nonzero(narrow[low:low + 512] @ narrow[low:].T >= np.float32(threshold - 1e-4))
+        out_a.append(a[a < b] + low)
+        out_b.append(b[a < b] + low)
+    return np.concatenate(out_a), np.concatenate(out_b)
+
+
+def _complete(unit: np.ndarray, key: np.ndarray, threshold: float) -> bool:
+    """Whether the pairs (a * m + b, ascending) hold every link of CHECKED rows."""
+    m = len(unit)
+    rows = np.random.default_rng(m).choice(m, min(m, CHECKED), replace=False)
+    a, b = np.nonzero(unit[rows] @ unit.T >= threshold)
+    a = rows[a]
+    a, b = a[a != b], b[a != b]
+    return bool(np.isin(np.minimum(a, b) * m + np.maximum(a, b), key).all())
+
+
 def _roots(m: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     root = np.arange(m)
     while True:
@@ -207,8 +271,9 @@ def _roots(m: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return root
 
 
-def _search(threshold: float):
-    """(id, links, root): links counted in this region, smallest id joined here."""
+def _search(threshold: float, exact: bool):
+    """(id, links, mates, root): links counted in this region with and without copies,
+    smallest id joined here."""
     def run(batches):
         for table in _groups(batches):
             for rows in _same_size(table):
@@ -221,18 +286,7 @@ def _search(threshold: float):
         if m < 2:
             return
         unit = _unit(_matrix(part["vec"].combine_chunks()))
-        dst = part["dst"].combine_chunks()
-        flat, ends = dst.flatten().to_numpy(), np.diff(dst.offsets.to_numpy())
-        src = np.repeat(np.arange(m), ends)
-        place = np.minimum(np.searchsorted(ids, flat), m - 1)
-        here = ids[place] == flat
-        src, place = src[here], place[here]
-        degree = np.bincount(src, minlength=m)
-        graph = np.full((m, max(int(degree.max()), 1)), -1, dtype=np.int64)
-        graph[src, np.arange(len(src)) - np.repeat(np.cumsum(degree) - degree, degree)] = place
-        a, b = range_search(unit, graph, np.arange(m), threshold)
-        key = np.unique(np.minimum(a, b) * m + np.maximum(a, b))
-        a, b = key // m, key % m
+        a, b = all_pairs(unit, threshold) if exact else linked(part, ids, unit)
         near = part["near"].combine_chunks().flatten().to_numpy().reshape(m, -1)
         centre, low, high = (part[c][0].as_py() for c in ("centre", "part", "part2"))
         block = part["own"].to_numpy()
@@ -245,26 +299,42 @@ def _search(threshold: float):
         if low != high:
             keep &= block[a] != block[b]
         a, b = a[keep], b[keep]
-        exact = np.concatenate([np.zeros(0), *(np.einsum("id,id->i", unit[a[i:i + 65_536]], unit[b[i:i + 65_536]])
-                                               for i in range(0, len(a), 65_536))])
-        a, b = a[exact >= threshold], b[exact >= threshold]
+        cosine = np.concatenate([np.zeros(0), *(np.einsum("id,id->i", unit[a[i:i + 65_536]], unit[b[i:i + 65_536]])
+                                                for i in range(0, len(a), 65_536))])
+        a, b = a[cosine >= threshold], b[cosine >= threshold]
+        mates = np.bincount(a, minlength=m) + np.bincount(b, minlength=m)
         links = np.bincount(a, weights=n[b], minlength=m) + np.bincount(b, weights=n[a], minlength=m)
         root = _roots(m, a, b)
         has = np.flatnonzero(links)
         if len(has):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[has]), pa.array(links[has].astype(np.int64)), pa.array(ids[root[has]])],
-                ["id", "links", "root"])
+                [pa.array(ids[has]), pa.array(links[has].astype(np.int64)), pa.array(mates[has].astype(np.int64)),
+                 pa.array(ids[root[has]])], ["id", "links", "mates", "root"])
+
+    def linked(part, ids, unit):
+        m = len(ids)
+        dst = part["dst"].combine_chunks()
+        flat, ends = dst.flatten().to_numpy(), np.diff(dst.offsets.to_numpy())
+        src = np.repeat(np.arange(m), ends)
+        place = np.minimum(np.searchsorted(ids, flat), m - 1)
+        here = ids[place] == flat
+        src, place = src[here], place[here]
+        degree = np.bincount(src, minlength=m)
+        graph = np.full((m, max(int(degree.max()), 1)), -1, dtype=np.int64)
+        graph[src, np.arange(len(src)) - np.repeat(np.cumsum(degree) - degree, degree)] = place
+        a, b = range_search(unit, graph, np.arange(m), threshold)
+        key = np.unique(np.minimum(a, b) * m + np.maximum(a, b))
+        return (key // m, key % m) if _complete(unit, key, threshold) else all_pairs(unit, threshold)
     return run
 
 
 def _true_links(chosen: list[tuple[int, int, np.ndarray]], threshold: float):
-    """Brute-force links of the chosen vectors against the rows: (id, links)."""
+    """Brute-force links of the chosen vectors against the rows, copies once: (id, links)."""
     def run(batches):
         for batch in batches:
             total = np.zeros(len(chosen), dtype=np.int64)
             ids, labels = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            column, n = batch.column(2), batch.column(3).to_numpy()
+            column = batch.column(2)
             sizes = np.diff(column.offsets.to_numpy())
             for size in np.unique(sizes).tolist():
                 at = np.flatnonzero(sizes == size)
@@ -274,7 +344,7 @@ def _true_links(chosen: list[tuple[int, int, np.ndarray]], threshold: float):
                 score = _unit(_matrix(column.take(pa.array(at)))) @ np.stack([chosen[i][2] for i in mine]).T
                 for k, i in enumerate(mine):
                     hit = (score[:, k] >= threshold) & (labels[at] == chosen[i][1]) & (ids[at] != chosen[i][0])
-                    total[i] += n[at][hit].sum()
+                    total[i] += hit.sum()
             yield pa.RecordBatch.from_arrays(
                 [pa.array([c[0] for c in chosen], pa.int64()), pa.array(total)], ["id", "links"])
     return run
@@ -317,27 +387,34 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     truth = reps.mapInArrow(_true_links(chosen, threshold), "id long, links long").groupBy("id").agg(F.sum("links"))
     truth = {r[0]: r[1] for r in truth.collect()}
 
+    exact = False
     while True:
         near = scratch.keep(reps.mapInArrow(_assign(centres, overlap), "id long, label long, vec array<double>, n long, near array<int>"), "near", "snappy")
-        members = near.withColumn("centre", F.explode("near"))
-        dealt = _regions(members)
-        shards = dealt.where("part = part2").select("g", "id", "vec").repartition("g").sortWithinPartitions("g", "id")
-        edges = shards.mapInArrow(_build, "src long, dst array<long>")
-        united = scratch.keep(edges.groupBy("src").agg(F.array_distinct(F.flatten(F.collect_list("dst"))).alias("dst")), "graph")
-        regions = (_regions(near.join(united, near["id"] == united["src"]).drop("src")
-                            .withColumn("centre", F.explode("near")))
+        if exact:
+            listed = near.withColumn("dst", F.array().cast("array<long>"))
+        else:
+            dealt = _regions(near.withColumn("centre", F.explode("near")))
+            shards = dealt.where("part = part2").select("g", "id", "vec").repartition("g").sortWithinPartitions("g", "id")
+            edges = shards.mapInArrow(_build, "src long, dst array<long>")
+            united = scratch.keep(edges.groupBy("src").agg(F.array_distinct(F.flatten(F.collect_list("dst"))).alias("dst")), "graph")
+            listed = near.join(united, near["id"] == united["src"]).drop("src")
+        regions = (_regions(listed.withColumn("centre", F.explode("near")))
                    .select("g", "id", "vec", "n", "near", "dst", "centre", "own", "part", "part2")
                    .repartition("g").sortWithinPartitions("g", "id"))
-        found = scratch.keep(regions.mapInArrow(_search(threshold), "id long, links long, root long"), "links")
-        mine = found.where(F.col("id").isin([c[0] for c in chosen])).groupBy("id").agg(F.sum("links")).collect()
+        found = scratch.keep(regions.mapInArrow(_search(threshold, exact), "id long, links long, mates long, root long"), "links")
+        mine = found.where(F.col("id").isin([c[0] for c in chosen])).groupBy("id").agg(F.sum("mates")).collect()
         got = {r[0]: r[1] for r in mine}
-        recall = sum(min(got.get(i, 0), n) for i, n in truth.items()) / max(sum(truth.values()), 1)
-        done = recall >= RECALL or not sum(truth.values()) or overlap >= max(map(len, centres.values()), default=0)
+        shares = {i: min(got.get(i, 0), n) / n for i, n in truth.items() if n}
+        pooled = sum(shares[i] * truth[i] for i in shares) / max(sum(truth.values()), 1)
+        recall = min(pooled, sum(shares.values()) / max(len(shares), 1))
+        done = not shares or recall >= RECALL or exact and overlap >= max(map(len, centres.values()), default=0)
         if report is not None:
-            report.update(recall=recall if sum(truth.values()) else None, overlap=overlap, audited=len(chosen))
+            report.update(recall=recall if shares else None, overlap=overlap, audited=len(chosen), exact=exact)
         if done:
             break
-        overlap *= 2
+        if exact:
+            overlap *= 2
+        exact = True
 
     joined = components(scratch, found, "id", "root").select(F.col("node").alias("rep"), "component")
     counts = found.groupBy(F.col("id").alias("rep")).agg(F.sum("links").alias("links"))

@@ -90,3 +90,41 @@ def test_pruned_graph_reaches_the_range():
     found = set(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist()))
     want = set(zip(*map(lambda v: v.tolist(), np.nonzero(np.triu(x @ x.T >= 0.93, 1)))))
     assert want and len(want - found) <= 0.01 * len(want)
+
+
+def _tight_groups(groups, size, dims):
+    """Groups of near-identical vectors whose centres have cosine 0.96 with each other."""
+    rng = np.random.default_rng(5)
+    own = np.linalg.qr(rng.normal(size=(dims, groups + 1)))[0].T
+    centre = np.sqrt(0.96) * own[0] + np.sqrt(0.04) * own[1:]
+    x = np.repeat(centre, size, axis=0) + rng.normal(size=(groups * size, dims)) * 1e-4
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_links_between_tight_groups():
+    for groups, size, dims in ((6, 60, 64), (4, 100, 128)):
+        x = _tight_groups(groups, size, dims)
+        m = len(x)
+        lists = annlink.neighbours(x)
+        graph = np.full((m, max(map(len, lists))), -1)
+        for i, r in enumerate(lists):
+            graph[i, :len(r)] = r
+        a, b = annlink.range_search(x, graph, np.arange(m), 0.93)
+        assert len(np.unique(np.minimum(a, b) * m + np.maximum(a, b))) >= 0.98 * m * (m - 1) / 2
+        a, b = annlink.all_pairs(x, 0.93)
+        assert len(a) == m * (m - 1) // 2
+        key = np.sort(a * m + b)
+        assert annlink._complete(x, key, 0.93) and not annlink._complete(x, key[key // m % 2 == 0], 0.93)
+
+
+def test_lost_links_are_compared_exactly(spark, monkeypatch):
+    x = _tight_groups(6, 60, 64)
+    data = [(i, x[i].tolist(), 1) for i in range(len(x))] + [(1000 + i, x[0].tolist(), 1) for i in range(400)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")
+    want = brute(data)
+    assert {r.vec_id: (r.n_links, r.component_id) for r in link_vectors(df).collect()} == want
+    monkeypatch.setattr(annlink, "_complete", lambda *a: True)
+    monkeypatch.setattr(annlink, "range_search", lambda *a: (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    report = {}
+    assert {r.vec_id: (r.n_links, r.component_id) for r in link_vectors(df, report=report).collect()} == want
+    assert report["exact"] and report["recall"] == 1.0

@@ -2,9 +2,11 @@
 
 Features come from one pass over the whole text: densities of a lexicon learned from the
 training rows (words, and word beginnings of four to six letters, whose share among toxic
-texts is far above that among others), the same after undoing digit and symbol spelling,
-hits near a second-person pronoun, and rates of capitals, punctuation, exclamation marks,
-obfuscation (digits or symbols between letters) and repeated letters.
+texts is far above that among others), the same with digit and symbol spelling undone,
+hits of either kind near a second-person pronoun, and rates of capitals, punctuation,
+exclamation marks, obfuscation (runs of digits or symbols in a word that has letters) and
+repeated letters.  Every word that holds a substitute is looked up decoded as well; ``!`` and
+``|`` at its edges are read both as letters and as marks.
 
 Trees are fitted on at most about ``SAMPLE`` labelled rows chosen by hash (all rows where
 there are fewer); a quarter of these, kept from lexicon and trees, fits the isotonic map from raw
@@ -44,6 +46,9 @@ FEATURES = ("log_words", "lexicon", "lexicon_hits", "plain_lexicon", "near_secon
             "punctuation", "exclaims", "obfuscated", "stretched")
 _WORD = re.compile(r"[^\W_]+")
 _SPELT = str.maketrans("013457@$!|*", "oieastasil" + " ")
+# a word with a digit or symbol; possessive, so a long word is passed over once
+_ODD_WORD = re.compile(r"(?<![\w@$!|*#%])[^\W0-9]*+[0-9@$!|*#%][\w@$!|*#%]*+")
+_ODD_RUN, _LETTER = re.compile(r"[0-9@$!|*#%]+"), re.compile(r"[^\W\d_]")
 _FIELD = "__features"
 
 
@@ -86,6 +91,18 @@ def learn_lexicon(rows: DataFrame, n_toxic: int, n_clean: int) -> list[str]:
     return sorted(r.term for r in best.collect())
 
 
+def _spellings(word: str) -> set[str]:
+    """A word with its substitutes read as letters, all as long as the word."""
+    full = word.translate(_SPELT)
+    out = {full}
+    if word[0] in "!|" or word[-1] in "!|":
+        head, tail = len(word) - len(word.lstrip("!|")), len(word.rstrip("!|"))
+        if head < tail:
+            rest = " " * (len(word) - tail)
+            out |= {" " * head + full[head:], full[:tail] + rest, " " * head + full[head:tail] + rest}
+    return out - {word}
+
+
 class Measure:
     """Feature rows of texts under a lexicon."""
 
@@ -117,10 +134,28 @@ class Measure:
                 second.append(at)
         return lexicon, second
 
+    def spelt(self, low: str) -> tuple[set[int], set[int], int]:
+        """Starts of decoded lexicon hits and pronouns, and runs of odd characters in words."""
+        lexicon, second, runs = set(), set(), 0
+        for hit in _ODD_WORD.finditer(low):
+            word, at = hit.group(), hit.start()
+            if len(word) < 2:
+                continue
+            lettered = _LETTER.search(word)
+            if lettered:
+                runs += len(_ODD_RUN.findall(word.rstrip("!|*")))
+            for spelling in _spellings(word):
+                found, pronouns = self.hits(spelling)
+                lexicon.update(at + i for i in found)
+                if lettered:
+                    second.update(at + i for i in pronouns)
+        return lexicon, second, runs
+
     def rows(self, column: pa.Array) -> np.ndarray:
-        out = np.zeros((len(column), len(FEATURES)))
+        out, size = np.zeros((len(column), len(FEATURES))), np.ones(len(column))
         for start, end, offsets, data in textnum.slices(column):
             out[start:end, 6:] = _byte_rates(offsets, data)
+            size[start:end] = np.maximum(np.diff(offsets), 1)
             out[start:end, 0] = np.diff(np.concatenate([[0], np.cumsum(_word_starts(offsets, data))])[offsets])
         for i, text in enumerate(column.to_pylist()):
             if not text:
@@ -128,16 +163,16 @@ class Measure:
             words = max(out[i, 0], 1.0)
             low = text.lower()
             lexicon, second = self.hits(low)
+            more, pronouns, runs = self.spelt(low)
+            plain, around = sorted(more.union(lexicon)), sorted(pronouns.union(second))
             near, at = 0, 0
-            for hit in lexicon:
-                while at < len(second) and second[at] < hit - NEAR:
+            for hit in plain:
+                while at < len(around) and around[at] < hit - NEAR:
                     at += 1
-                near += at < len(second) and second[at] <= hit + NEAR
-            plain = len(lexicon)
-            if out[i, 9]:
-                plain = len(self.hits(low.translate(_SPELT))[0])
-            out[i, 1:6] = (100 * len(lexicon) / words, math.log1p(len(lexicon)), 100 * plain / words,
+                near += at < len(around) and around[at] <= hit + NEAR
+            out[i, 1:6] = (100 * len(lexicon) / words, math.log1p(len(lexicon)), 100 * len(plain) / words,
                            100 * near / words, 100 * len(second) / words)
+            out[i, 9] = 100 * runs / size[i]
         out[:, 0] = np.log1p(out[:, 0])
         return out
 
@@ -150,7 +185,7 @@ def _lut(characters: bytes) -> np.ndarray:
 
 _UPPER, _LOWER = _lut(bytes(range(65, 91))), _lut(bytes(range(97, 123)))
 _MARKS, _EXCLAIM = _lut(b".,;:!?'\"()-"), _lut(b"!")
-_ODD, _BLANK = _lut(b"0123456789@$*#%!|"), _lut(b" \t\n\x0b\x0c\r")
+_BLANK = _lut(b" \t\n\x0b\x0c\r")
 
 
 def _word_starts(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
@@ -164,20 +199,19 @@ def _word_starts(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
 
 
 def _byte_rates(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
-    """Capitals per letter; marks, exclamations, odd spellings and stretched letters per byte."""
+    """Capitals per letter; marks, exclamations, none for odd spellings, and stretched letters per byte."""
     def counts(flags):
         return np.diff(np.concatenate([[0], np.cumsum(flags)])[offsets])
 
     upper = _UPPER[data]
     letter = upper | _LOWER[data]
-    between = np.zeros(len(data), dtype=bool)
     stretched = np.zeros(len(data), dtype=bool)
     if len(data) > 2:
-        between[1:-1] = _ODD[data[1:-1]] & letter[:-2] & letter[2:]
         stretched[2:] = letter[2:] & (data[2:] == data[1:-1]) & (data[1:-1] == data[:-2])
     size = np.maximum(np.diff(offsets), 1)
     out = [counts(upper) / np.maximum(counts(letter), 1)]
-    out += [100 * counts(flags) / size for flags in (_MARKS[data], _EXCLAIM[data], between, stretched)]
+    out += [100 * counts(flags) / size for flags in (_MARKS[data], _EXCLAIM[data])]
+    out += [np.zeros(len(size)), 100 * counts(stretched) / size]
     return np.stack(out, axis=1)
 
 

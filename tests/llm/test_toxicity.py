@@ -40,6 +40,24 @@ def test_features_of_odd_texts():
     assert f["stretched"][5] > 99 and np.isfinite(rows).all()
 
 
+@pytest.mark.parametrize("text", ["1d10t", "id10t", "idi0t", "1D10T!", "!!1d10t", "!d!ot!", "$tupid", "$tup!d", "@ss", "a$$", "a$$!",
+                                  "4rschloch", "\u00e41d10t 1d10t", "trottel \u00fcb3l"])
+def test_each_spelling_alone(text):
+    import pyarrow as pa
+    m = toxicity.Measure(["=idiot", "=stupid", "=ass", "arsch", "=\u00fcbel"])
+    row = dict(zip(toxicity.FEATURES, m.rows(pa.array(["y0u " + text]))[0]))
+    assert row["lexicon"] == 0 and row["obfuscated"] > 0
+    assert row["plain_lexicon"] == row["near_second"] == pytest.approx(100 / (1 + len(text.split())))
+
+
+def test_plain_numbers_and_marks_are_not_obfuscated():
+    import pyarrow as pa
+    m = toxicity.Measure(["=idiot"])
+    rows = dict(zip(toxicity.FEATURES, m.rows(pa.array(["in 1950 for $100!", "so, idiot! well!", "73 idiot"])).T))
+    assert rows["obfuscated"].tolist() == [0, 0, 0] and rows["plain_lexicon"].tolist() == rows["lexicon"].tolist()
+    assert rows["near_second"].tolist() == [0, 0, 0]
+
+
 def test_edge_cases(spark):
     docs = spark.createDataFrame([(1, None, 0.3), (2, "", 0.1), (None, "idiot", 0.2), (2, "", 0.1)], "doc_id long, text string, score double")
     none = spark.createDataFrame([(1, None), (None, 1), (2, 7)], "doc_id long, toxic int")

@@ -14,7 +14,8 @@ the same rows and ids.
 
 Tokens are those of a public ``tokenizers`` file that drops white space: chunks between
 blanks and line ends are encoded apart (its words never cross white space), and the ids of
-recent chunks are kept in a bounded cache.
+recent chunks are kept in a bounded cache.  Texts are cut at the file's added tokens first,
+which get their own ids, as the library does.
 
 Defined cases: a null text counts as empty and has the end id only; a null or negative
 prompt counts as 0; rows that repeat are packed each; an empty table gives no rows; other
@@ -49,10 +50,11 @@ class Tokens:
     A mark behind a letter is a word of its own to the tokenizer and letter case is dropped,
     so texts are cut there and plain ASCII is lowered before the lookup.  For chunks of
     lower-case Latin letters the file's normaliser and splitter change nothing; they go to
-    a copy of the tokenizer without them.
+    a copy of the tokenizer without them.  With ``added``, the file's added tokens in a text
+    get their own ids (the library's default); else they are ordinary characters.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         import json
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -66,13 +68,20 @@ class Tokens:
         self.ends_word = np.zeros(max(rules["model"]["vocab"].values()) + 1, dtype=bool)
         suffix = rules["model"]["end_of_word_suffix"]
         self.ends_word[[i for t, i in rules["model"]["vocab"].items() if t.endswith(suffix)]] = True
-        self.known: dict[str, bytes] = {"": b""}
+        # no chunk holds a line end, so these keys are only those of added tokens
+        self.added = [t["content"] for t in rules["added_tokens"]] if added else []
+        if any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in rules["added_tokens"] if added):
+            raise ValueError("added tokens must be found as they are")
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split
+        self.fixed = {"": b""} | {t["content"] + "\n": array("I", [t["id"]]).tobytes()
+                                  for t in rules["added_tokens"] if added}
+        self.known: dict[str, bytes] = dict(self.fixed)
 
     def _learn(self, chunks: list[str]) -> None:
         known = self.known
         if len(known) + len(chunks) > CACHED_CHUNKS:
             known.clear()
-            known[""] = b""
+            known.update(self.fixed)
         easy, hard = [], []
         for c in chunks:
             (easy if c.isalpha() and c == c.lower() and (c.isascii() or max(c) <= _LATIN) else hard).append(c)
@@ -88,11 +97,20 @@ class Tokens:
         for chunk, got in zip(hard, self.whole.encode_batch_fast(hard, add_special_tokens=False)):
             known[chunk] = array("I", got.ids).tobytes()
 
+    @staticmethod
+    def _chunks(text: str) -> list[str]:
+        text = _MARK_BEHIND_LETTER(r" \g<0>", text.lower() if text.isascii() else text)
+        return text.replace("\n", " ").split(" ")
+
     def encode(self, texts: list[str], end: int) -> list[bytes]:
         rows = []
         for text in texts:
-            text = _MARK_BEHIND_LETTER(r" \g<0>", text.lower() if text.isascii() else text)
-            rows.append(text.replace("\n", " ").split(" "))
+            if any(token in text for token in self.added):
+                # every second part is an added token
+                rows.append([c for i, part in enumerate(self.cut(text))
+                             for c in ([part + "\n"] if i % 2 else self._chunks(part))])
+            else:
+                rows.append(self._chunks(text))
         stop = array("I", [end]).tobytes()
         found = [list(map(self.known.get, row)) for row in rows]
         new = {c for row, ids in zip(rows, found) if None in ids for c, i in zip(row, ids) if i is None}
@@ -110,8 +128,8 @@ class Tokens:
 
 
 @cache
-def tokens(path: str) -> Tokens:
-    return Tokens(path)
+def tokens(path: str, added: bool = False) -> Tokens:
+    return Tokens(path, added)
 
 
 class Packer:
@@ -213,7 +231,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
             gc.enable()
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, packer = tokens(tokenizer_path), Packer(capacity, segments, loss)
+        own, packer = tokens(tokenizer_path, added=True), Packer(capacity, segments, loss)
         first = TaskContext.get().partitionId() << 40
         held: dict[int, tuple] = {}
         count = 0

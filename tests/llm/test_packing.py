@@ -63,6 +63,18 @@ def test_tokens_match_library_on_odd_texts(library):
         assert np.frombuffer(raw, dtype="<u4").tolist() == [*library.encode(text, add_special_tokens=False).ids, 2], repr(text)
 
 
+def test_added_tokens_match_unmodified_library(spark):
+    plain = Tokenizer.from_file(WORDS)
+    rng = random.Random(3)
+    pools = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext|", "ab'st ll ", "À.É̈ ΣΑΣ ", "Foo. Bar", "\n\t"]
+    texts = ["".join(rng.choice(pools) for _ in range(rng.randint(0, 12))) for _ in range(1000)]
+    texts += ["a<|endoftext|>b", "<|ENDOFTEXT|> b", "foo.<|endoftext|>.Bar", "<|endoftext|>", "<|startoftext|> x"]
+    ids_of = {i: [*plain.encode(t, add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
+    assert ids_of[1000] == [320, 49407, 321, 2]
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), WORDS).collect()
+    check(rows, ids_of, 4096, packing.SEGMENTS, 4096)
+
+
 @pytest.mark.parametrize("segments,loss", [(128, 64), (3, 64), (8, 20)])
 def test_limits_hold_together(spark, library, segments, loss):
     rng = random.Random(7)

@@ -13,7 +13,11 @@ Reading: Spark reads whole archives (bounded by the writer; at most 2 GB each).
 must inflate, start with a version line, have headers, a block of the stated length and the
 stated digest.  After a failed check the reader searches for the next offset at which a
 valid member (or, in plain archives, a record after a version line) begins, goes on there,
-and logs the bytes between as a gap with the reason.
+and logs the bytes between as a gap with the reason.  Inside a member the same search goes
+over the inflated bytes, also those that came out before inflating failed: good records are
+kept, and a gap there has the member's place in the archive and its inflated bytes in the
+reason.  If inflating fails, only records with a digest of their own are trusted, and a
+member of a single record is a gap as a whole.
 
 Defined cases: a null payload is empty; rows that repeat the smallest id and the payload are
 all responses; a null id is written as ``null`` and refers to the smallest id with the same
@@ -37,6 +41,7 @@ from pyspark.sql import DataFrame, functions as F
 from heatwise.llm.scratch import Scratch
 
 ARCHIVE_BYTES = 32 << 20
+_STEP = 1 << 14
 DATE = "2000-01-01T00:00:00Z"
 URN = "urn:page:"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -67,8 +72,9 @@ class Damaged(ValueError):
     pass
 
 
-def parse_record(data: bytes, at: int) -> tuple[dict, int]:
-    """(record, end offset) of the record that begins at ``at``; Damaged if a check fails."""
+def parse_record(data: bytes, at: int, strict: bool = False) -> tuple[dict, int]:
+    """(record, end offset) of the record that begins at ``at``; Damaged if a check fails or,
+    if ``strict``, none of its digests covers its block or payload."""
     if not _VERSION.match(data, at):
         raise Damaged("no version line")
     head = data.find(b"\r\n\r\n", at)
@@ -95,6 +101,8 @@ def parse_record(data: bytes, at: int) -> tuple[dict, int]:
     if headers.get("content-type", "").startswith("application/http"):
         payload = block.partition(b"\r\n\r\n")[2]
     digest = headers.get("warc-payload-digest", "").removeprefix("sha1:")
+    if strict and not stated and (kind == "revisit" or not digest):
+        raise Damaged("no digest in a damaged member")
     if kind == "revisit":
         payload, size = None, headers.get("x-payload-length", "")
         size = int(size) if size.isdigit() else None
@@ -108,20 +116,64 @@ def parse_record(data: bytes, at: int) -> tuple[dict, int]:
             "payload_bytes": size, "payload": payload}, end + 4
 
 
-def _member(data: bytes, at: int) -> tuple[list[dict], int]:
-    """(records, end) of the gzip member at ``at``."""
+def _inflate(data: bytes, at: int, most: int | None = None) -> tuple[bytes, int, str | None]:
+    """(inflated bytes, end, failure) of the member at ``at``, up to the failure; with ``most``,
+    end is the first offset at which so many bytes had come out."""
+    inflate, out, size = zlib.decompressobj(31), [], 0
+    while at < len(data) and not inflate.eof:
+        before = inflate.copy()
+        try:
+            part = inflate.decompress(data[at:at + _STEP])
+            if most is not None and size + len(part) >= most:
+                raise zlib.error
+            at += min(_STEP, len(data) - at) - len(inflate.unused_data)
+            out.append(part)
+            size += len(part)
+        except zlib.error:
+            try:
+                while at < len(data) and not before.eof and (most is None or size < most):
+                    part = before.decompress(data[at:at + 1])
+                    at += 1
+                    out.append(part)
+                    size += len(part)
+            except zlib.error:
+                pass
+            return b"".join(out), at, "member does not inflate"
+    return b"".join(out), at, None if inflate.eof else "member is cut off"
+
+
+def _member(data: bytes, at: int) -> tuple[list[dict | str], int, str | None]:
+    """(records and reasons of gaps, end, failure) of the gzip member at ``at``; after a
+    failure, end is where the last good record had come out."""
     inflate = zlib.decompressobj(31)
     try:
         plain = inflate.decompress(memoryview(data)[at:])
-    except zlib.error as wrong:
-        raise Damaged("member does not inflate") from wrong
-    if not inflate.eof:
-        raise Damaged("member is cut off")
-    out, place = [], 0
+        failure = None if inflate.eof else "member is cut off"
+    except zlib.error:
+        plain, _, failure = _inflate(data, at)
+    out, place, why, good = [], 0, None, 0
+    strict = failure == "member does not inflate"
     while place < len(plain):
-        found, place = parse_record(plain, place)
+        for start in _chain(place, _starts(plain, place + 1, False)):
+            try:
+                found, end = parse_record(plain, start, strict)
+                break
+            except Damaged as wrong:
+                why = why or str(wrong)
+        else:
+            break
+        if start > place:
+            out.append(f"{why} (inflated bytes {place} to {start})")
         out.append(found)
-    return out, len(data) - len(inflate.unused_data)
+        place, why, good = end, None, end
+    if failure or plain and not good:
+        rest = plain[good:good + 5]
+        if not good or len(out) == 1 and not (rest and b"WARC/".startswith(rest)):
+            raise Damaged(failure or why)
+        return out, _inflate(data, at, good)[1], failure
+    if place < len(plain):
+        out.append(f"{why} (inflated bytes {place} to {len(plain)})")
+    return out, len(data) - len(inflate.unused_data), None
 
 
 def _starts(data: bytes, at: int, packed: bool) -> Iterator[int]:
@@ -137,9 +189,9 @@ def _starts(data: bytes, at: int, packed: bool) -> Iterator[int]:
 def salvage(data: bytes) -> Iterator[tuple[str, int, int, str | None, dict | None]]:
     """("record" or "gap", start, end, reason of a gap, record) over a whole archive."""
     packed = data.startswith(_MAGIC[:2]) or (_MAGIC in data and not _VERSION.search(data))
-    at = 0
+    at, failure = 0, None
     while at < len(data):
-        why, good = None, None
+        why, good = failure, None
         for start in _chain(at, _starts(data, at + 1, packed)):
             try:
                 good = _member(data, start) if packed else _plain(data, start)
@@ -147,18 +199,23 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, int, str | None, dict | Non
             except Damaged as wrong:
                 why = why or str(wrong)
         start = start if good else len(data)
-        if start > at:
+        if start > at or failure:
             yield "gap", at, start, why, None
         if not good:
             return
         for found in good[0]:
-            yield "record", start, good[1], None, found
-        at = good[1]
+            if isinstance(found, str):
+                yield "gap", start, good[1], found, None
+            else:
+                yield "record", start, good[1], None, found
+        at, failure = good[1], good[2]
+    if failure:
+        yield "gap", at, at, failure, None
 
 
-def _plain(data: bytes, at: int) -> tuple[list[dict], int]:
+def _plain(data: bytes, at: int) -> tuple[list[dict | str], int, str | None]:
     found, end = parse_record(data, at)
-    return [found], end
+    return [found], end, None
 
 
 def _chain(first: int, rest: Iterator[int]) -> Iterator[int]:

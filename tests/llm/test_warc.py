@@ -58,6 +58,35 @@ def test_salvage_recovers_later_records_and_logs_gaps():
     assert [g[:3] for g in warc.salvage(b"nothing here")] == [("gap", 0, 12)]
 
 
+def test_members_of_many_records_keep_their_good_ones():
+    rng = random.Random(8)
+    plain = [warc.record(i, f"http://h/{i}", bytes(rng.randrange(256) for _ in range(3000)), None, False) for i in range(20)]
+    other = gzip.compress(warc.record(99, "u", b"next", None, False), mtime=0)
+
+    def ids(data):
+        got = list(warc.salvage(data))
+        return [int(g[4]["record_id"].split(":")[-1]) for g in got if g[0] == "record"], [g for g in got if g[0] == "gap"]
+
+    inner = b"".join(plain[:7]) + plain[7].replace(b"Content-Length: ", b"Content-Length: 9") + b"".join(plain[8:])
+    whole = gzip.compress(inner, mtime=0)
+    found, gaps = ids(whole + other)                              # a bad record in a sound member
+    assert found == [i for i in range(20) if i != 7] + [99]
+    assert [g[1:3] for g in gaps] == [(0, len(whole))] and str(sum(map(len, plain[:7]))) in gaps[0][3]
+    whole = gzip.compress(b"".join(plain), mtime=0)
+    for cut in (len(whole) // 2, len(whole) - 8, len(whole) - 1):  # cut off, alone and before another member
+        first, gaps = ids(whole[:cut])
+        assert first == list(range(len(first))) and len(first) >= 9 and gaps[-1][2] == cut
+        found, gaps = ids(whole[:cut] + other)
+        assert found == first + [99] and len(gaps) == 1 and gaps[0][2] == cut and gaps[0][3]
+    for level in (0, 6):                                          # a flipped bit late in one stream
+        bad = bytearray(gzip.compress(b"".join(plain), level, mtime=0))
+        at = bad.find(plain[15][1000:1100]) if level == 0 else len(bad) * 3 // 4
+        bad[at] ^= 0x10
+        found, gaps = ids(bytes(bad) + other)
+        lost = 15 if level == 0 else 14
+        assert found == [i for i in range(20) if i != lost] + [99] and "digest differs" in gaps[0][3]
+
+
 def test_payload_with_version_lines_and_members():
     inner = warc.record(7, "u", b"x", None, False)
     payload = b"WARC/1.1\r\n" + inner + gzip.compress(inner)

@@ -1,11 +1,10 @@
 """Near-duplicate classes of texts: consistent weighted sampling over TF-IDF shingles.
 
-The weight of a five-word shingle in a text is its count times ``1 + ln(D / max(df, phi D))``
-with D distinct texts and df the distinct texts that hold it.  The floor phi (5 %) makes all
-rarer shingles equally telling; only shingles above it need their df, and there can be at
-most (mean shingles a text) / phi of them at any corpus size, so that table may travel with
-the tasks.  Those shingles are found exactly: each block of texts reports its local heavy
-shingles, and reports that can still reach phi over all blocks are counted over everything.
+The weight of a five-word shingle in a text is its count times ``1 + ln(D / df)`` with D
+distinct texts and df the distinct texts that hold it.  Every shingle's df is counted:
+blocks of texts report their shingles with local counts, the counts are added up by
+shingle, and only those over 1 go back to the blocks.  Each text then carries the df of
+its shingles, so no table of shingles travels with the tasks.
 
 Two texts link if their weighted Jaccard similarity is at least ``threshold``; classes are
 the connected components.  Candidates come from 12 bands of 4 improved consistent weighted
@@ -28,16 +27,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import pyarrow.compute
+from pyspark.sql import DataFrame, Window, functions as F
 
 from heatwise.llm import textnum as tn
 from heatwise.llm.graph import components
 from heatwise.llm.scratch import Scratch
 
-PHI = 0.05                # document share below which all shingles weigh the same
+PHI = 0.0                 # document share below which all shingles weigh the same: none
 BANDS, ROWS = 12, 4
 BLOCK = 256               # members of a bucket that meet in one task at once
-HEAVY_BATCH = 2_000_000   # shingles per local block of the heavy search
+BLOCK_WORDS = 1_000_000   # words of the texts whose shingles are counted together
 #: An estimate from 48 samples lies below this with probability 6e-3 for a pair at 0.8 (less
 #: for band mates, which already agree in four places); scaled with the threshold.
 ESTIMATE = 0.65 / 0.8
@@ -84,38 +84,26 @@ def signatures(sh: np.ndarray, weight: np.ndarray, at: np.ndarray) -> np.ndarray
     return out
 
 
-class Weights:
-    """Inverse document frequency with the floor; heavy shingles sorted."""
+def idf(df: np.ndarray, texts: int) -> np.ndarray:
+    return 1 + np.log(texts / df)
 
-    def __init__(self, heavy: dict[int, int], texts: int):
-        keys = np.array(sorted(heavy), dtype=_U)
-        df = np.array([heavy[int(k)] for k in keys], dtype=np.float64)
-        self.keys, self.base = keys, 1 + np.log(1 / PHI)
-        self.idf = 1 + np.log(max(texts, 1) / np.maximum(df, PHI * max(texts, 1)))
 
-    def of(self, sh: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        idf = np.full(len(sh), self.base)
-        if len(self.keys):
-            i = np.minimum(np.searchsorted(self.keys, sh), len(self.keys) - 1)
-            hit = self.keys[i] == sh
-            idf[hit] = self.idf[i[hit]]
-        return counts * idf
+def jaccard(a: tuple, b: tuple) -> float:
+    """a, b: (sorted shingles, weights, sum of weights)."""
+    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    both = np.minimum(a[1][i], b[1][j]).sum()
+    rest = a[2] + b[2] - both
+    return float(both / rest) if rest > 0 else 0.0
 
-    def jaccard(self, a: tuple, b: tuple) -> float:
-        """a, b: (sorted shingles, weights, sum of weights)."""
-        _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-        both = np.minimum(a[1][i], b[1][j]).sum()
-        rest = a[2] + b[2] - both
-        return float(both / rest) if rest > 0 else 0.0
 
-
-def vectors(column: pa.Array, weights: Weights) -> list[tuple]:
-    """(sorted shingles, weights, sum) of every text."""
-    out = []
-    for _, _, offsets, data in tn.slices(column):
+def vectors(column: pa.Array, dfs: pa.Array, texts: int) -> list[tuple]:
+    """(sorted shingles, weights, sum) of every text; dfs has the int32 df of its shingles."""
+    out, dfs = [], dfs.to_pylist()
+    for start, _, offsets, data in tn.slices(column):
         sh, counts, at = tn.distinct_shingles(*tn.shingles(*tn.words(offsets, data)))
-        w = weights.of(sh, counts)
-        out += [(sh[i:j], w[i:j], float(w[i:j].sum())) for i, j in zip(at[:-1], at[1:])]
+        for i, j, df in zip(at[:-1], at[1:], dfs[start:]):
+            w = counts[i:j] * idf(np.frombuffer(df, dtype=np.int32), texts)
+            out.append((sh[i:j], w, float(w.sum())))
     return out
 
 
@@ -130,128 +118,97 @@ def _digests(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out[0], out[1]
 
 
-_PROFILE = "kind int, id long, d1 long, d2 long, n long"
-
-
-def _profile(phi_local: float):
-    """Rows of kind 0: id, digests, word count; 1: shingle, df, texts of its block;
-    2: texts of a block (in d1)."""
-    def rows(kind, a, b, c, d):
-        n = len(a)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(n, kind, np.int32)), pa.array(a), pa.array(b), pa.array(c), pa.array(d)],
-            ["kind", "id", "d1", "d2", "n"])
-
-    def flush(held, texts):
-        if not texts:
-            return
-        keys, df = np.unique(np.concatenate(held), return_counts=True)
-        hit = df >= phi_local * texts
-        keys, df = keys[hit].view(np.int64), df[hit].astype(np.int64)
-        yield rows(1, keys, df, np.full(len(keys), texts, np.int64), np.zeros(len(keys), np.int64))
-        one = np.array([texts], np.int64)
-        yield rows(2, one * 0, one, one * 0, one * 0)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, texts, seen = [], 0, 0, set()
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for start, end, offsets, data in tn.slices(batch.column(1)):
-                hashes, at = tn.words(offsets, data)
-                d1, d2 = _digests(hashes, at)
-                yield rows(0, ids[start:end].astype(np.int64), d1, d2, np.diff(at))
-                sh, _, sh_at = tn.distinct_shingles(*tn.shingles(hashes, at))
-                for i, key in enumerate(zip(d1.tolist(), d2.tolist())):
-                    if sh_at[i + 1] > sh_at[i] and key not in seen:
-                        seen.add(key)
-                        held.append(sh[sh_at[i]:sh_at[i + 1]])
-                        size += len(held[-1])
-                        texts += 1
-                if size >= HEAVY_BATCH:
-                    yield from flush(held, texts)
-                    held, size, texts, seen = [], 0, 0, set()
-        yield from flush(held, texts)
-    return run
-
+def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, digests, word count) of every row."""
+    for batch in batches:
+        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        for start, end, offsets, data in tn.slices(batch.column(1)):
+            hashes, at = tn.words(offsets, data)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(a) for a in (ids[start:end].astype(np.int64), *_digests(hashes, at), np.diff(at))],
+                ["id", "d1", "d2", "n"])
 
-def _heavy_of(keys: np.ndarray):
-    """(d1, d2, heavy shingles of the text) for texts that hold any."""
-    def run(batches):
-        for batch in batches:
-            for _, _, offsets, data in tn.slices(batch.column(0)):
-                hashes, at = tn.words(offsets, data)
-                d1, d2 = _digests(hashes, at)
-                sh, _, sh_at = tn.distinct_shingles(*tn.shingles(hashes, at))
-                hit = keys[np.minimum(np.searchsorted(keys, sh), len(keys) - 1)] == sh
-                total = np.concatenate([[0], np.cumsum(hit)])
-                ends = total[sh_at]
-                has = np.flatnonzero(np.diff(ends))
-                lists = pa.ListArray.from_arrays(
-                    pa.array(np.concatenate([[0], np.cumsum(np.diff(ends)[has])]).astype(np.int32)),
-                    pa.array(sh[hit].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(d1[has]), pa.array(d2[has]), lists],
-                                                 ["d1", "d2", "heavy"])
-    return run
 
+def _with_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows that hold words, with their digests."""
+    for batch in batches:
+        for start, end, offsets, data in tn.slices(batch.column(1)):
+            hashes, at = tn.words(offsets, data)
+            rows = batch.slice(start, end - start)
+            d1, d2 = _digests(hashes, at)
+            yield pa.RecordBatch.from_arrays(
+                [*rows.columns, pa.array(d1), pa.array(d2)], ["id", "text", "d1", "d2"]).filter(pa.array(np.diff(at) > 0))
+
+
+def _block_shingles(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct shingles of all rows one after the other, their number in each row)."""
+    parts, sizes = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
+    for chunk in texts.chunks:
+        for _, _, offsets, data in tn.slices(chunk):
+            sh, _, at = tn.distinct_shingles(*tn.shingles(*tn.words(offsets, data)))
+            parts.append(sh)
+            sizes.append(np.diff(at))
+    return np.concatenate(parts), np.concatenate(sizes)
+
+
+def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, shingle, texts of the block that hold it)."""
+    for table in _groups(batches):
+        keys, n = np.unique(_block_shingles(table["text"])[0], return_counts=True)
+        block = np.full(len(keys), table["block"][0].as_py(), np.int64)
+        for at in range(0, len(keys), 100_000):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(a[at:at + 100_000]) for a in (block, keys.view(np.int64), n.astype(np.int64))],
+                ["block", "s", "n"])
 
-def heavy_shingles(texts: DataFrame, profile: DataFrame, distinct: int, phi_local: float
-                   ) -> dict[int, int]:
-    """Exact df, over distinct texts, of every shingle in at least PHI of them.
 
-    At most (mean shingles a text) / PHI entries, whatever the corpus size.
-    """
-    blocks = profile.where("kind = 2").agg(F.sum("d1")).first()[0] or 0
-    reports = (profile.where("kind = 1").groupBy("id")
-               .agg(F.sum("d1").alias("df"), F.sum("d2").alias("seen")))
-    # Blocks that did not report a shingle hold it in fewer than phi_local of their texts.
-    possible = reports.where(F.col("df") + phi_local * (F.lit(blocks) - F.col("seen"))
-                             >= PHI * distinct)
-    keys = np.sort(np.array([r[0] for r in possible.select("id").collect()],
-                            dtype=np.int64).view(_U))
-    if not len(keys):
-        return {}
-    found = (texts.mapInArrow(_heavy_of(keys), "d1 long, d2 long, heavy array<long>")
-             .groupBy("d1", "d2").agg(F.first("heavy").alias("heavy"))
-             .select(F.explode("heavy").alias("s")).groupBy("s").count()
-             .where(F.col("count") >= PHI * distinct))
-    return {int(np.int64(s).view(_U)): n for s, n in found.collect()}
-
-
-def _sketch(weights: Weights):
+def _sketch(texts: int):
+    """(id, text, df, sig, bands) of the texts of a block; its rows without an id are the
+    shingles that more than one text holds."""
     def run(batches):
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for start, end, offsets, data in tn.slices(batch.column(1)):
-                hashes, at = tn.words(offsets, data)
-                has = np.flatnonzero(np.diff(at))
-                if not len(has):
-                    continue
-                d1, d2 = _digests(hashes, at)
-                sh, counts, sh_at = tn.distinct_shingles(*tn.shingles(hashes, at))
-                sh_at = np.append(sh_at[:-1][has], sh_at[-1])
-                sig = signatures(sh, weights.of(sh, counts), sh_at)
-                bands = np.zeros((len(has), BANDS), dtype=_U)
-                for i in range(ROWS):
-                    bands = tn.mix(bands + sig.reshape(-1, BANDS, ROWS)[:, :, i] + _U(i + 1))
-                n = len(has)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[start:end][has]), pa.array(d1[has]), pa.array(d2[has]),
-                     pa.FixedSizeBinaryArray.from_buffers(
-                         pa.binary(4 * BANDS * ROWS), n, [None, pa.py_buffer(np.ascontiguousarray(sig))]
-                     ).cast(pa.binary()),
-                     pa.ListArray.from_arrays(
-                         pa.array(np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32)),
-                         pa.array(bands.reshape(-1).view(np.int64)))],
-                    ["id", "d1", "d2", "sig", "bands"])
+        for table in _groups(batches):
+            is_text = table["id"].is_valid()
+            known = table.filter(pa.compute.invert(is_text))
+            rows = table.filter(is_text).combine_chunks()
+            keys, many = known["s"].to_numpy().view(_U), known["df"].to_numpy()
+            order = np.argsort(keys)
+            keys, many = keys[order], many[order]
+            for low in range(0, rows.num_rows, 500):
+                yield from sketches(rows.slice(low, 500), keys, many)
+
+    def sketches(rows, keys, many):
+        text = rows["text"].combine_chunks()
+        ids = rows["id"].to_numpy()
+        for start, end, offsets, data in tn.slices(text):
+            sh, counts, at = tn.distinct_shingles(*tn.shingles(*tn.words(offsets, data)))
+            df = np.ones(len(sh), dtype=np.int32)
+            if len(keys):
+                place = np.minimum(np.searchsorted(keys, sh), len(keys) - 1)
+                hit = keys[place] == sh
+                df[hit] = many[place[hit]]
+            sig = signatures(sh, counts * idf(df, texts), at)
+            bands = np.zeros((end - start, BANDS), dtype=_U)
+            for i in range(ROWS):
+                bands = tn.mix(bands + sig.reshape(-1, BANDS, ROWS)[:, :, i] + _U(i + 1))
+            n = end - start
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids[start:end]), text.slice(start, n),
+                 pa.array([df[i:j].tobytes() for i, j in zip(at[:-1], at[1:])], pa.binary()),
+                 pa.array([row.tobytes() for row in sig], pa.binary()),
+                 pa.ListArray.from_arrays(
+                     pa.array(np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32)),
+                     pa.array(bands.reshape(-1).view(np.int64)))],
+                ["id", "text", "dfs", "sig", "bands"])
     return run
 
 
-def _verify(weights: Weights, threshold: float):
-    """(a, b) of pairs (a, b, text_a, text_b) at or over the threshold."""
+def _verify(texts: int, threshold: float):
+    """(a, b) of pairs (a, b, text_a, text_b, dfs_a, dfs_b) at or over the threshold."""
     def run(batches):
         for batch in batches:
-            a, b = vectors(batch.column(2), weights), vectors(batch.column(3), weights)
-            ok = np.array([weights.jaccard(x, y) >= threshold - 1e-12 for x, y in zip(a, b)], dtype=bool)
+            a = vectors(batch.column(2), batch.column(4), texts)
+            b = vectors(batch.column(3), batch.column(5), texts)
+            ok = np.array([jaccard(x, y) >= threshold - 1e-12 for x, y in zip(a, b)], dtype=bool)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).filter(pa.array(ok)), batch.column(1).filter(pa.array(ok))], ["a", "b"])
     return run
@@ -313,7 +270,7 @@ def _in_question(estimate: float):
     return run
 
 
-def _joining(weights: Weights, threshold: float, estimate: float):
+def _joining(total: int, threshold: float, estimate: float):
     """(component, component) joined by a verified link of a block pair."""
     def run(batches):
         for table in _groups(batches):
@@ -329,12 +286,12 @@ def _joining(weights: Weights, threshold: float, estimate: float):
                 return x
 
             rows = np.unique(np.concatenate([pi, pj]))
-            texts = table["text"].take(pa.array(rows)).combine_chunks()
-            vector = dict(zip(rows.tolist(), vectors(texts, weights)))
+            texts, dfs = (table[c].take(pa.array(rows)).combine_chunks() for c in ("text", "dfs"))
+            vector = dict(zip(rows.tolist(), vectors(texts, dfs, total)))
             a, b = [], []
             for i, j in zip(pi.tolist(), pj.tolist()):
                 x, y = root(comp[i]), root(comp[j])
-                if x != y and weights.jaccard(vector[i], vector[j]) >= threshold - 1e-12:
+                if x != y and jaccard(vector[i], vector[j]) >= threshold - 1e-12:
                     parent[max(x, y)] = min(x, y)
                     a.append(x)
                     b.append(y)
@@ -366,21 +323,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch = Scratch(spark, "neardup")
     both = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     texts = both.where("id is not null")
-    phi_local = PHI / 4
-    while True:
-        profile = scratch.keep(texts.mapInArrow(_profile(phi_local), _PROFILE), "profile")
-        docs_of = profile.where("kind = 0").select("id", "d1", "d2", "n")
-        reps = docs_of.where("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("rep"))
-        distinct = reps.count()
-        blocks = profile.where("kind = 2").agg(F.sum("d1")).first()[0] or 0
-        if phi_local * blocks <= PHI * distinct:      # a heavy shingle is reported somewhere
-            break
-        phi_local = PHI * distinct / blocks / 2
-    weights = Weights(heavy_shingles(texts.select("text"), profile, distinct, phi_local), distinct)
-
-    sketch = texts.mapInArrow(_sketch(weights), "id long, d1 long, d2 long, sig binary, bands array<long>")
-    sketch = scratch.keep(sketch.join(reps.withColumnRenamed("rep", "id"), ["id", "d1", "d2"], "left_semi")
-                          .drop("d1", "d2"), "sketch")
+    docs_of = scratch.keep(texts.mapInArrow(_profile, "id long, d1 long, d2 long, n long"), "profile")
+    reps = docs_of.where("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.max("n").alias("n"))
+    distinct, total = reps.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    reps = reps.drop("n")
+    # a rep's own text: an id may have rows with other texts
+    blocks = F.pmod(F.xxhash64("id", F.lit("block")), F.lit(total // BLOCK_WORDS + 1)).alias("block")
+    chosen = reps.select(F.col("rep").alias("id"), "d1", "d2").hint("merge")
+    digested = texts.mapInArrow(_with_digests, "id long, text string, d1 long, d2 long")
+    unique = scratch.keep(digested.join(chosen, ["id", "d1", "d2"], "left_semi").dropDuplicates(["id", "d1", "d2"])
+                          .select(blocks, "id", "text"), "unique", "snappy")
+    reported = (unique.repartition("block").sortWithinPartitions("block")
+                .mapInArrow(_report, "block long, s long, n long"))
+    known = (reported.withColumn("df", F.sum("n").over(Window.partitionBy("s"))).where("df > 1")
+             .select("block", F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("text"), "s", "df"))
+    own = unique.select("block", "id", "text", F.lit(None).cast("long").alias("s"), F.lit(None).cast("long").alias("df"))
+    vectored = scratch.keep(
+        own.union(known).repartition("block").sortWithinPartitions("block").mapInArrow(
+            _sketch(distinct), "id long, text string, dfs binary, sig binary, bands array<long>"), "vectored", "snappy")
+    sketch = vectored.select("id", "sig", "bands")
     banded = sketch.select("id", F.posexplode("bands").alias("band", "h"))
     shared = banded.groupBy("band", "h").agg(F.count("*").alias("n")).where("n > 1")
     mates = scratch.keep(banded.join(shared, ["band", "h"]), "mates")
@@ -390,14 +351,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                .select("band", "h", (-F.col("top.neg")).alias("a")))
     pairs = (mates.join(leaders, ["band", "h"]).where("id != a")
              .select("a", F.col("id").alias("b")).distinct())
-    rep_texts = texts.join(mates.select("id").distinct().hint("merge"), "id", "left_semi")
-    rep_texts = scratch.keep(rep_texts, "texts", "snappy")
+    rep_texts = vectored.select("id", "text", "dfs")
     # Merge joins at every size: ids and pairs grow with the corpus, so no plan may count on
     # sending them to all tasks.
-    posed = (pairs.hint("merge").join(rep_texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-             .join(rep_texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
-             .select("a", "b", "text_a", "text_b"))
-    links = scratch.keep(posed.mapInArrow(_verify(weights, threshold), "a long, b long"), "links")
+    posed = (pairs.hint("merge").join(rep_texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"),
+                                                              F.col("dfs").alias("dfs_b")), "b")
+             .join(rep_texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"),
+                                    F.col("dfs").alias("dfs_a")).hint("merge"), "a")
+             .select("a", "b", "text_a", "text_b", "dfs_a", "dfs_b"))
+    links = scratch.keep(posed.mapInArrow(_verify(distinct, threshold), "a long, b long"), "links")
     comp = scratch.keep(components(scratch, links, "a", "b"), "components")
 
     estimate = ESTIMATE * threshold
@@ -413,8 +375,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     doubt = scratch.keep(grouped(members).mapInArrow(_in_question(estimate), "band int, h long, id long")
                          .distinct(), "doubt")
-    rest = grouped(members.join(doubt, ["band", "h", "id"], "left_semi").join(rep_texts, "id"), "text")
-    more = scratch.keep(rest.mapInArrow(_joining(weights, threshold, estimate), "a long, b long"), "more")
+    rest = grouped(members.join(doubt, ["band", "h", "id"], "left_semi").join(rep_texts, "id"), "text", "dfs")
+    more = scratch.keep(rest.mapInArrow(_joining(distinct, threshold, estimate), "a long, b long"), "more")
     merged = components(scratch, more, "a", "b").select(
         F.col("node").alias("component"), F.col("component").alias("merged"))
     final = comp.join(merged, "component", "left").select(

@@ -76,6 +76,15 @@ def test_hub_group_needs_blockwise_comparison(spark, monkeypatch):
     assert {r.doc_id: r.class_id for r in near_duplicates(df).collect()} == brute(rows)
 
 
+def test_weights_count_every_document_frequency(spark):
+    """A passage that 3 % of the texts share tells little: its holders are not duplicates."""
+    passage = " ".join(f"p{j}" for j in range(94))
+    rows = [(i, f"{passage} " + " ".join(f"o{i}-{j}" for j in range(10))) for i in range(60)]
+    rows += [(1000 + i, " ".join(f"r{i}-{j}" for j in range(12))) for i in range(1940)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert all(r.class_id == r.doc_id and r.kept for r in near_duplicates(df).collect())
+
+
 def test_edge_cases(spark):
     rows = [(1, None, "a"), (2, "", "b"), (3, " \n\t ", "c"), (4, "one two", "d"), (5, "one  two\n", "e"),
             (6, "one two", None), (6, "one two", None), (None, "one two", "x"), (None, None, None),

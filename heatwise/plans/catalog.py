@@ -417,7 +417,7 @@ def _trained(spark, sf_dir, models=("RandomForest", "GradientBoosting", "Logisti
     split = _smp.stratified_split(feats, splits=_smp.SPLITS_API)
     train = split.filter(F.col("split") == "train")
     test = split.filter(F.col("split") == "test")
-    fitted, comp, best = _models.train_models(train, test, cols, models=models, grid=None)
+    fitted, comp, best = _models.train_models(train, test, cols, models=models, grid="api")
     return fitted, comp, best, spec
 
 

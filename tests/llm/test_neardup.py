@@ -85,6 +85,13 @@ def test_weights_count_every_document_frequency(spark):
     assert all(r.class_id == r.doc_id and r.kept for r in near_duplicates(df).collect())
 
 
+def test_estimate_misses_far_less_than_the_bands():
+    places = neardup.BANDS * neardup.ROWS
+    least = math.ceil(neardup.ESTIMATE * 0.8 * places)
+    missed = sum(math.comb(places, k) * 0.8 ** k * 0.2 ** (places - k) for k in range(least))
+    assert missed < 0.01 * (1 - 0.8 ** neardup.ROWS) ** neardup.BANDS
+
+
 def test_edge_cases(spark):
     rows = [(1, None, "a"), (2, "", "b"), (3, " \n\t ", "c"), (4, "one two", "d"), (5, "one  two\n", "e"),
             (6, "one two", None), (6, "one two", None), (None, "one two", "x"), (None, None, None),

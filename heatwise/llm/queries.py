@@ -4,7 +4,8 @@ from __future__ import annotations
 from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from heatwise.llm import annlink, chat, neardup, packing, piece, quality, secrets, toxicity, urlfilter, warc
+from heatwise.llm import (annlink, chat, neardup, packing, pii, piece, quality, secrets, toxicity, urlfilter,
+                          warc)
 from heatwise.llm.scratch import Scratch
 from heatwise.llm.ship import ship_package
 
@@ -87,6 +88,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_chat_format": op2_chat_format,
@@ -98,6 +103,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_embedding_neardup": op9_embedding_neardup,
     "op10_toxicity": op10_toxicity,
+    "op13_pii": op13_pii,
 }
 
 ORACLES = {

@@ -5,7 +5,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from heatwise.llm import (annlink, chat, neardup, packing, pii, piece, quality, secrets, toxicity, urlfilter,
-                          warc)
+                          warc, whiten)
 from heatwise.llm.scratch import Scratch
 from heatwise.llm.ship import ship_package
 
@@ -88,6 +88,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # a sum of squares past 64 bits has no long; the operator's decimal keeps it
+    rows = whiten.whiten(_table(spark, sf_dir, "embeddings"))
+    return rows.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(_table(spark, sf_dir, "documents"))
 
@@ -103,6 +109,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_embedding_neardup": op9_embedding_neardup,
     "op10_toxicity": op10_toxicity,
+    "op12_whitening": op12_whitening,
     "op13_pii": op13_pii,
 }
 

@@ -4,8 +4,8 @@ from __future__ import annotations
 from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from heatwise.llm import (annlink, chat, neardup, packing, pii, piece, quality, secrets, toxicity, urlfilter,
-                          warc, whiten)
+from heatwise.llm import (annlink, chat, collocations, neardup, packing, pii, piece, quality, secrets, toxicity,
+                          urlfilter, warc, whiten)
 from heatwise.llm.scratch import Scratch
 from heatwise.llm.ship import ship_package
 
@@ -88,6 +88,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(_table(spark, sf_dir, "documents"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a sum of squares past 64 bits has no long; the operator's decimal keeps it
     rows = whiten.whiten(_table(spark, sf_dir, "embeddings"))
@@ -109,6 +113,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_embedding_neardup": op9_embedding_neardup,
     "op10_toxicity": op10_toxicity,
+    "op11_collocations": op11_collocations,
     "op12_whitening": op12_whitening,
     "op13_pii": op13_pii,
 }
@@ -166,5 +171,26 @@ reach(vec_id, r) AS (SELECT vec_id, vec_id FROM embeddings
 SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id)::BIGINT AS n_links, min(r) AS component_id,
        min(r) = vec_id AS kept
 FROM reach GROUP BY vec_id
+""",
+    "op11_collocations": r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+sizes AS (SELECT unnest([1, 2, 3, 4, 5]) AS m),
+f AS (SELECT lang, phrase, m, count(*) AS f FROM (
+          SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase
+          FROM words, sizes WHERE len(w) >= m) GROUP BY ALL HAVING count(*) >= 100),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+cuts AS (SELECT p.lang, p.phrase, p.m, p.f AS a, t.n, k, x.phrase AS lp, y.phrase AS rp, x.f AS l, y.f AS r,
+                ((1000::HUGEINT * p.f * t.n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+         FROM (SELECT *, string_split(phrase, ' ') AS w, unnest(range(1, m)) AS k FROM f WHERE m > 1) p JOIN totals t USING (lang)
+         JOIN f x ON x.lang = p.lang AND x.phrase = array_to_string(p.w[1:k], ' ')
+         JOIN f y ON y.lang = p.lang AND y.phrase = array_to_string(p.w[k + 1:p.m], ' ')),
+inside AS (SELECT lang, lp AS phrase FROM cuts WHERE k = m - 1 AND 100 * a >= 100 * l
+           UNION SELECT lang, rp FROM cuts WHERE k = 1 AND 100 * a >= 100 * r),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM best ANTI JOIN inside USING (lang, phrase) QUALIFY rank <= 2000
 """,
 }

@@ -51,7 +51,7 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _cache["p"], _cache["q"]
 
 
-def slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, byte offsets from 0, bytes) of consecutive row slices."""
     column = column.fill_null("").cast(pa.large_string())
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[
@@ -60,30 +60,38 @@ def slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
     data = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
     row = 0
     while row < len(column):
-        end = int(np.searchsorted(offsets, offsets[row] + SLICE_BYTES, side="right")) - 1
+        end = int(np.searchsorted(offsets, offsets[row] + limit, side="right")) - 1
         end = min(max(end, row + 1), len(column))
         yield row, end, offsets[row:end + 1] - offsets[row], data[offsets[row]:offsets[end]]
         row = end
 
 
-def words(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(word hashes, offsets of each row's words) of one slice."""
-    n = len(data)
-    if n == 0:
-        return np.zeros(0, _U), np.zeros(len(offsets), np.int64)
-    inside = ~_BLANK[data]
-    edge = np.zeros(n + 1, dtype=bool)
+def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the runs of marked bytes; no run crosses a row's edge."""
+    edge = np.zeros(len(inside) + 1, dtype=bool)
     edge[offsets] = True
     first = inside.copy()
     first[1:] &= ~inside[:-1] | edge[1:-1]
     last = inside.copy()
     last[:-1] &= ~inside[1:] | edge[1:-1]
-    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of each run."""
+    n = len(data)
     power, inverse = _power_tables(n)
     total = np.zeros(n + 1, dtype=_U)
     np.cumsum(_BYTE[data] * power[:n], out=total[1:])
-    hashes = mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(_U))
-    return hashes, np.searchsorted(starts, offsets).astype(np.int64)
+    return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(_U))
+
+
+def words(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word hashes, offsets of each row's words) of one slice."""
+    if len(data) == 0:
+        return np.zeros(0, _U), np.zeros(len(offsets), np.int64)
+    starts, ends = runs(~_BLANK[data], offsets)
+    return run_hashes(data, starts, ends), np.searchsorted(starts, offsets).astype(np.int64)
 
 
 def shingles(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -36,9 +36,9 @@ from heatwise.llm import textnum as tn
 from heatwise.llm.scratch import Scratch
 
 MIN_COUNT, TOP, MAX_WORDS, ABSORB_PERCENT = 100, 2000, 5, 100
-GROUP_SUFFIXES = 2_000_000       # budget: suffixes whose subtree one task builds
-BLOCK_SUFFIXES = 2_000_000       # suffixes that are sorted together before they are sent
-SLICE_BYTES = 1 << 22
+GROUP_SUFFIXES = 1_000_000       # budget: suffixes whose subtree one task builds
+BLOCK_SUFFIXES = 1_000_000       # suffixes that are sorted together before they are sent
+SLICE_BYTES = 1 << 21
 TABLE_BITS = 25                  # bit table of frequent words: 4 MB
 FIRST, FAN = 12, 6               # bits of a slice: of the first word, of each further one
 _U = np.uint64
@@ -104,8 +104,10 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([lang, word, ident, pa.array(many)], ["lang", "word", "id", "n"])
 
 
-def _suffixes(batches: Iterator[pa.RecordBatch], table: np.ndarray, depth: int) -> Iterator[np.ndarray]:
-    """Word ids (suffix, depth) of the suffixes of two and more frequent words; 0 behind the end."""
+def _suffixes(batches: Iterator[pa.RecordBatch], table: np.ndarray, depth: int
+              ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(word ids, numbers of a suffix's words in them, a row for each depth) of the suffixes of two
+    and more frequent words; word 0 stands behind the end."""
     for *_, ids, fresh in _words(batches):
         slot = ids >> _U(1) & _U((1 << TABLE_BITS) - 1)
         frequent = (table[slot >> _U(3)] >> (slot & _U(7)).astype(np.uint8)) & np.uint8(1) != 0
@@ -113,49 +115,50 @@ def _suffixes(batches: Iterator[pa.RecordBatch], table: np.ndarray, depth: int)
         at = np.flatnonzero(goes_on)
         if not len(at):
             continue
-        padded = np.concatenate([ids, np.zeros(depth, _U)])
+        known, of_word = np.unique(ids[frequent], return_inverse=True)
+        number = np.zeros(len(ids) + depth, dtype=np.int32)
+        number[:len(ids)][frequent] = of_word + 1
         more = np.concatenate([goes_on, np.zeros(depth, bool)])
-        out = np.zeros((depth, len(at)), dtype=_U)
+        out = np.zeros((depth, len(at)), dtype=np.int32)
         alive = np.ones(len(at), dtype=bool)
-        out[0] = ids[at]
+        out[0] = number[at]
         for k in range(1, depth):
-            alive = alive & more[at + k - 1]
-            out[k] = np.where(alive, padded[at + k], _U(0))
-        yield out.T
+            alive &= more[at + k - 1]
+            out[k] = number[at + k] * alive
+        yield np.concatenate([[_U(0)], known]), out
 
 
-def _prefixes(suffixes: np.ndarray) -> Iterator[np.ndarray]:
+def _prefixes(words: np.ndarray, suffixes: np.ndarray) -> Iterator[np.ndarray]:
     """Hash of the first word, of the first two, and so on."""
-    key = suffixes[:, 0]
+    key = words[suffixes[0]]
     yield key
-    for k in range(1, suffixes.shape[1]):
-        key = tn.mix(key * _U(0x9E3779B97F4A7C15) + suffixes[:, k])
+    for column in suffixes[1:]:
+        key = tn.mix(key * _U(0x9E3779B97F4A7C15) + words[column])
         yield key
 
 
-def _place(suffixes: np.ndarray, levels: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(group of each suffix, or -1; its slice among those still split, or -1)."""
-    group = np.full(len(suffixes), -1, dtype=np.int64)
-    for d, key in enumerate(_prefixes(suffixes)):
-        if d == 0:
-            cell = (key >> _U(64 - FIRST)).astype(np.int64)
-        else:
-            cell = split * (1 << FAN) + (key >> _U(64 - FAN)).astype(np.int64)
+def _place(words: np.ndarray, suffixes: np.ndarray, levels: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(group of each suffix, or -1; its slice among those that are split further, or -1)."""
+    n = suffixes.shape[1]
+    group, split = np.full(n, -1, dtype=np.int64), np.zeros(n, dtype=np.int64)
+    for d, key in enumerate(_prefixes(words, suffixes)):
+        bits = FAN if d else FIRST
+        cell = np.where(split < 0, -1, (split << FAN if d else 0) + (key >> _U(64 - bits)).astype(np.int64))
         if d == len(levels):
-            break
-        found = np.where(cell >= 0, levels[d][np.maximum(cell, 0)], 0)
+            return group, cell
+        found = levels[d][np.maximum(cell, 0)]
         group = np.where((cell >= 0) & (found >= 0), found, group)
-        split = np.where((cell >= 0) & (found < 0), -1 - found, -(1 << 40))
-    else:
-        cell = split
-    return group, np.where(cell >= 0, cell, -1)
+        split = np.where((cell >= 0) & (found < 0), -1 - found, -1)
+        if (split < 0).all():
+            break
+    return group, np.full(n, -1, dtype=np.int64)
 
 
 def _slice_sizes(table: np.ndarray, levels: list[np.ndarray], depth: int):
     """(slice, suffixes) below the slices that are still split."""
     def run(batches):
-        for part in _suffixes(batches, table, depth):
-            _, cell = _place(part, levels)
+        for words, part in _suffixes(batches, table, depth):
+            _, cell = _place(words, part, levels)
             cells, n = np.unique(cell[cell >= 0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(n.astype(np.int64))], ["slice", "n"])
     return run
@@ -175,19 +178,19 @@ def _order(columns: list[np.ndarray]) -> np.ndarray:
 
 
 def _merge(rows: np.ndarray, n: np.ndarray, lead: np.ndarray | None = None):
-    """Sorted distinct rows (by ``lead`` first) with their summed n and the first column that differs."""
-    columns = ([lead] if lead is not None else []) + [rows[:, k] for k in range(rows.shape[1])]
-    order = _order(columns)
-    rows, n = rows[order], n[order]
+    """Sorted distinct suffixes (by ``lead`` first) with their summed n and the first depth that
+    differs from the suffix before."""
+    order = _order([*([lead] if lead is not None else []), *rows])
+    rows, n = rows[:, order], n[order]
     lead = None if lead is None else lead[order]
-    same = rows[1:] == rows[:-1]
-    shared = np.zeros(len(rows), dtype=np.int64)
-    shared[1:] = np.where(same.all(axis=1), rows.shape[1], same.argmin(axis=1))
-    if lead is not None:
-        shared[1:][lead[1:] != lead[:-1]] = 0
-    first = np.flatnonzero(shared < rows.shape[1])
+    shared = np.zeros(rows.shape[1], dtype=np.int8)
+    same = np.ones(max(rows.shape[1] - 1, 0), dtype=bool) if lead is None else lead[1:] == lead[:-1]
+    for column in rows:
+        same &= column[1:] == column[:-1]
+        shared[1:] += same
+    first = np.flatnonzero(shared < len(rows))
     total = np.add.reduceat(n, first) if len(n) else n
-    return rows[first], total, shared[first], None if lead is None else lead[first]
+    return rows[:, first], total, shared[first], None if lead is None else lead[first]
 
 
 def _narrow(values: np.ndarray) -> bytes:
@@ -206,20 +209,23 @@ RECORD = "group int, words binary, shape binary, counts binary, tails binary"
 def _send(table: np.ndarray, levels: list[np.ndarray], depth: int):
     """One front-coded record for each group of a block of suffixes."""
     def records(parts):
-        rows = np.concatenate(parts)
-        group, _ = _place(rows, levels)
-        words, local = np.unique(rows, return_inverse=True)
-        local = local.reshape(rows.shape).astype(np.int64)
-        if words[0] != 0:                         # 0 keeps standing for no word
-            words, local = np.concatenate([[_U(0)], words]), local + 1
-        local, n, shared, group = _merge(local, np.ones(len(rows), dtype=np.int64), group)
+        words, number = np.unique(np.concatenate([w for w, _, _ in parts]), return_inverse=True)
+        rows, at = [], 0
+        for own, part, _ in parts:
+            rows.append(number[at:at + len(own)].astype(np.int32)[part])
+            at += len(own)
+        group = np.concatenate([g for _, _, g in parts])
+        parts.clear()
+        rows = np.concatenate(rows, axis=1)
+        rows, n, shared, group = _merge(rows, np.ones(rows.shape[1], dtype=np.int64), group)
         cuts = np.concatenate([[0], np.flatnonzero(group[1:] != group[:-1]) + 1, [len(group)]])
+        places = np.arange(depth)[:, None]
         out = []
         for a, b in zip(cuts[:-1], cuts[1:]):
-            part = local[a:b]
+            part = rows[:, a:b]
             if part.size < len(words):
                 used, part = np.unique(np.append(part.reshape(-1), 0), return_inverse=True)
-                part = part[:-1].reshape(b - a, depth)
+                part = part[:-1].reshape(depth, b - a)
             else:
                 flag = np.zeros(len(words), dtype=bool)
                 flag[part.reshape(-1)] = True
@@ -227,9 +233,8 @@ def _send(table: np.ndarray, levels: list[np.ndarray], depth: int):
                 used, part = np.flatnonzero(flag), (np.cumsum(flag) - 1)[part]
             keep = shared[a:b].copy()
             keep[0] = 0
-            size = (part > 0).sum(axis=1)
-            places = np.arange(depth)
-            tail = part[(places >= keep[:, None]) & (places < size[:, None])]
+            size = (part > 0).sum(axis=0)
+            tail = part.T[((places >= keep) & (places < size)).T]
             out.append((int(group[a]), words[used[1:]].tobytes(), (keep | size << 4).astype(np.uint8).tobytes(),
                         _narrow(n[a:b]), _narrow(tail)))
         columns = list(zip(*out))
@@ -239,9 +244,9 @@ def _send(table: np.ndarray, levels: list[np.ndarray], depth: int):
 
     def run(batches):
         held, n = [], 0
-        for part in _suffixes(batches, table, depth):
-            held.append(part)
-            n += len(part)
+        for words, part in _suffixes(batches, table, depth):
+            held.append((words, part, _place(words, part, levels)[0].astype(np.int32)))
+            n += part.shape[1]
             if n >= BLOCK_SUFFIXES:
                 yield records(held)
                 held, n = [], 0
@@ -251,17 +256,15 @@ def _send(table: np.ndarray, levels: list[np.ndarray], depth: int):
 
 
 def _decoded(shape: bytes, tails: bytes, depth: int) -> np.ndarray:
-    """Word numbers (suffix, depth) of a front-coded record."""
-    packed = np.frombuffer(shape, dtype=np.uint8).astype(np.int64)
-    keep, size = packed & 15, packed >> 4
-    places = np.arange(depth)
+    """Word numbers of a front-coded record, a row for each depth."""
+    packed = np.frombuffer(shape, dtype=np.uint8)
+    keep, size = packed & np.uint8(15), packed >> np.uint8(4)
+    places = np.arange(depth, dtype=np.uint8)
     own = places >= keep[:, None]
-    out = np.zeros((len(packed), depth), dtype=np.int64)
+    out = np.zeros((len(packed), depth), dtype=np.int32)
     out[own & (places < size[:, None])] = _widened(tails)
     rows = np.arange(len(packed))
-    for k in range(depth):
-        out[:, k] = out[np.maximum.accumulate(np.where(own[:, k], rows, 0)), k]
-    return out
+    return np.stack([out[np.maximum.accumulate(np.where(own[:, k], rows, 0)), k] for k in range(depth)])
 
 
 def _subtrees(depth_of: np.ndarray, depth: int, min_count: int):
@@ -271,19 +274,19 @@ def _subtrees(depth_of: np.ndarray, depth: int, min_count: int):
         known, number = np.unique(np.concatenate(words), return_inverse=True)
         rows, at = [], 0
         for own, (_, shape, _, tails) in zip(words, held):
-            to = np.concatenate([[0], number[at:at + len(own)] + 1])
+            to = np.concatenate([[0], number[at:at + len(own)] + 1]).astype(np.int32)
             at += len(own)
             rows.append(to[_decoded(shape, tails, depth)])
         n = np.concatenate([_widened(r[2]) for r in held])
         held.clear()
-        rows, n, shared, _ = _merge(np.concatenate(rows), n)
+        rows, n, shared, _ = _merge(np.concatenate(rows, axis=1), n)
         for d in range(2, depth + 1):
             start = np.flatnonzero(shared < d)
             f = np.add.reduceat(n, start)
             part = d < depth_of[group]
-            good = (rows[start, d - 1] > 0) & ((f >= min_count) | part)
+            good = (rows[d - 1, start] > 0) & ((f >= min_count) | part)
             start, f = start[good], f[good]
-            ids = known[rows[start, :d] - 1].view(np.int64)
+            ids = known[rows[:d, start].T - 1].view(np.int64)
             for low in range(0, len(f), 100_000):
                 some = ids[low:low + 100_000]
                 lists = pa.ListArray.from_arrays(np.arange(0, some.size + 1, d, dtype=np.int32), pa.array(some.reshape(-1)))

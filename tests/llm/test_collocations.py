@@ -93,10 +93,10 @@ def test_records_round_trip():
     for r in rows:
         r[rng.integers(2, 6):] = 0
     want = Counter(map(tuple, rows.tolist()))
-    merged, n, shared, _ = co._merge(rows, np.ones(500, np.int64))
-    assert dict(zip(map(tuple, merged.tolist()), n.tolist())) == want
-    size = (merged > 0).sum(axis=1)
-    tails = merged[(np.arange(5) >= shared[:, None]) & (np.arange(5) < size[:, None])]
+    merged, n, shared, _ = co._merge(rows.T.astype(np.int32), np.ones(500, np.int64))
+    assert dict(zip(map(tuple, merged.T.tolist()), n.tolist())) == want
+    size = (merged > 0).sum(axis=0)
+    tails = merged.T[(np.arange(5) >= shared[:, None]) & (np.arange(5) < size[:, None])]
     back = co._decoded((shared | size << 4).astype(np.uint8).tobytes(), co._narrow(tails), 5)
     assert (back == merged).all()
     assert co._widened(co._narrow(np.array([1, 300, 70_000]))).tolist() == [1, 300, 70_000]

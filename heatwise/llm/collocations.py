@@ -5,16 +5,19 @@ of all suffixes is partitioned by word prefixes so that every part fits a memory
 each part's subtree is built in one task, independent of the others:
 
 1. words are counted; a phrase is no more frequent than its words, so suffixes end before the
-   first word under ``min_count``.  Tasks know the others by a bit table of fixed size, whose
-   false hits only cost rows: their phrases fall below ``min_count`` in the counts;
-2. prefixes of one word lie in 4096 slices; a slice over the budget is split by prefixes of
-   two words, and so on up to the full depth (one counting scan for each depth that is still
-   over).  Slices are gathered into groups up to the budget.  The driver holds one number for
-   each slice: 4096, and 64 for each slice over budget, of which there are at most
+   first word under ``min_count``.  Tasks know the others by a bit table of fixed size;
+2. a phrase is no more frequent than its word pairs either: pairs are counted by slots of their
+   hash, which travel as sorted gap-coded runs, and suffixes also end before the first pair
+   whose slot is under ``min_count``.  The bit table of slots grows with the words up to 32 MB.
+   False hits in both tables only cost rows: their phrases fall below ``min_count`` in the end;
+3. prefixes of one word lie in 4096 slices, which one scan counts; a slice over the budget is
+   split by prefixes of two words, and so on up to the full depth (one scan for each depth that
+   is still over).  Slices are gathered into groups up to the budget.  The driver holds one
+   number for each slice: 4096, and 64 for each slice over budget, of which there are at most
    (words / budget) for each depth;
-3. tasks sort the suffixes of a block, add up equal ones and send each group's part as one
+4. tasks sort the suffixes of a block, add up equal ones and send each group's part as one
    front-coded record: what is shared with the suffix before is left out;
-4. a group's task merges its records, which makes the leaves of its subtree; a node's count is
+5. a group's task merges its records, which makes the leaves of its subtree; a node's count is
    the sum of the leaves under it.  Nodes above a slice's own depth lie in several groups,
    their counts are added up afterwards.
 
@@ -40,6 +43,8 @@ GROUP_SUFFIXES = 1_000_000       # budget: suffixes whose subtree one task build
 BLOCK_SUFFIXES = 1_000_000       # suffixes that are sorted together before they are sent
 SLICE_BYTES = 1 << 21
 TABLE_BITS = 25                  # bit table of frequent words: 4 MB
+PAIR_BITS = (16, 28)             # bit table of pairs: least and most (32 MB)
+PAIR_RANGES = 64                 # ranges of slots that are added up in one task each
 FIRST, FAN = 12, 6               # bits of a slice: of the first word, of each further one
 _U = np.uint64
 
@@ -104,14 +109,89 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([lang, word, ident, pa.array(many)], ["lang", "word", "id", "n"])
 
 
-def _suffixes(batches: Iterator[pa.RecordBatch], table: np.ndarray, depth: int
-              ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(word ids, numbers of a suffix's words in them, a row for each depth) of the suffixes of two
-    and more frequent words; word 0 stands behind the end."""
+def _marked(table: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    return (table[slot >> _U(3)] >> (slot & _U(7)).astype(np.uint8)) & np.uint8(1) != 0
+
+
+def _joined(ids: np.ndarray, fresh: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(frequent words, whether a frequent word is followed by another one of its piece)."""
+    frequent = _marked(table, ids >> _U(1) & _U((1 << TABLE_BITS) - 1))
+    return frequent, frequent[:-1] & frequent[1:] & ~fresh[1:]
+
+
+def _slots(ids: np.ndarray, at: np.ndarray, bits: int) -> np.ndarray:
+    return tn.mix(ids[at] * _U(0x9E3779B97F4A7C15) + ids[at + 1]) >> _U(64 - bits)
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Small numbers as bytes; 255 stands for 255 and more to come."""
+    more = values // 255
+    ends = np.cumsum(more + 1)
+    out = np.full(int(ends[-1]) if len(ends) else 0, 255, dtype=np.uint8)
+    out[ends - 1] = values % 255
+    return out.tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    data = np.frombuffer(raw, dtype=np.uint8)
+    return np.diff(np.cumsum(data, dtype=np.int64)[data < 255], prepend=0)
+
+
+def _count_pairs(tables, bits: int):
+    """(range, gaps, counts): the slots of a block's word pairs in each range of slots."""
+    def runs(held):
+        slots, n = np.unique(np.concatenate(held), return_counts=True)
+        slots = slots.astype(np.int64)
+        width = (1 << bits) // PAIR_RANGES
+        cuts = np.searchsorted(slots, np.arange(PAIR_RANGES + 1) * width)
+        some = [r for r in range(PAIR_RANGES) if cuts[r] < cuts[r + 1]]
+        parts = [slice(cuts[r], cuts[r + 1]) for r in some]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(some, pa.int32()),
+             pa.array([_packed(np.diff(slots[p], prepend=r * width)) for r, p in zip(some, parts)], pa.binary()),
+             pa.array([_packed(n[p] - 1) for p in parts], pa.binary())], ["range", "gaps", "counts"])
+
+    def run(batches):
+        held, n = [], 0
+        for *_, ids, fresh in _words(batches):
+            _, goes_on = _joined(ids, fresh, tables.value[0])
+            held.append(_slots(ids, np.flatnonzero(goes_on), bits))
+            n += len(held[-1])
+            if n >= 2 * BLOCK_SUFFIXES:
+                yield runs(held)
+                held, n = [], 0
+        if n:
+            yield runs(held)
+    return run
+
+
+def _frequent_pairs(bits: int, min_count: int):
+    """(range, bits) of the slots with at least min_count pairs, from the rows of _count_pairs."""
+    def run(batches):
+        at, total = None, None
+        for batch in batches:
+            for r, gaps, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                if r != at:
+                    if at is not None:
+                        yield done(at, total)
+                    at, total = r, np.zeros((1 << bits) // PAIR_RANGES, dtype=np.int64)
+                total[np.cumsum(_unpacked(gaps))] += _unpacked(counts) + 1
+        if at is not None:
+            yield done(at, total)
+
+    def done(at, total):
+        raw = np.packbits(total >= min_count, bitorder="little").tobytes()
+        return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([raw], pa.binary())], ["range", "bits"])
+    return run
+
+
+def _suffixes(batches: Iterator[pa.RecordBatch], tables, bits: int, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(word ids, numbers of a suffix's words in them, a row for each depth) of the suffixes that
+    start with a frequent pair; word 0 stands behind the end."""
     for *_, ids, fresh in _words(batches):
-        slot = ids >> _U(1) & _U((1 << TABLE_BITS) - 1)
-        frequent = (table[slot >> _U(3)] >> (slot & _U(7)).astype(np.uint8)) & np.uint8(1) != 0
-        goes_on = frequent[:-1] & frequent[1:] & ~fresh[1:]
+        frequent, goes_on = _joined(ids, fresh, tables.value[0])
+        at = np.flatnonzero(goes_on)
+        goes_on[at] = _marked(tables.value[1], _slots(ids, at, bits))
         at = np.flatnonzero(goes_on)
         if not len(at):
             continue
@@ -154,10 +234,10 @@ def _place(words: np.ndarray, suffixes: np.ndarray, levels: list[np.ndarray]) ->
     return group, np.full(n, -1, dtype=np.int64)
 
 
-def _slice_sizes(table: np.ndarray, levels: list[np.ndarray], depth: int):
+def _slice_sizes(tables, bits: int, levels: list[np.ndarray], depth: int):
     """(slice, suffixes) below the slices that are still split."""
     def run(batches):
-        for words, part in _suffixes(batches, table, depth):
+        for words, part in _suffixes(batches, tables, bits, depth):
             _, cell = _place(words, part, levels)
             cells, n = np.unique(cell[cell >= 0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(n.astype(np.int64))], ["slice", "n"])
@@ -206,7 +286,7 @@ def _widened(raw: bytes) -> np.ndarray:
 RECORD = "group int, words binary, shape binary, counts binary, tails binary"
 
 
-def _send(table: np.ndarray, levels: list[np.ndarray], depth: int):
+def _send(tables, bits: int, levels: list[np.ndarray], depth: int):
     """One front-coded record for each group of a block of suffixes."""
     def records(parts):
         words, number = np.unique(np.concatenate([w for w, _, _ in parts]), return_inverse=True)
@@ -244,7 +324,7 @@ def _send(table: np.ndarray, levels: list[np.ndarray], depth: int):
 
     def run(batches):
         held, n = [], 0
-        for words, part in _suffixes(batches, table, depth):
+        for words, part in _suffixes(batches, tables, bits, depth):
             held.append((words, part, _place(words, part, levels)[0].astype(np.int32)))
             n += part.shape[1]
             if n >= BLOCK_SUFFIXES:
@@ -350,20 +430,30 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
         bits = np.frombuffer(r["bits"], dtype=np.uint8)
         table[(r["b"] - 1) * len(bits):][:len(bits)] = bits
 
-    slices = words.select(F.shiftrightunsigned("id", 64 - FIRST).cast("int").alias("slice"), F.col("f").alias("n"))
-    sizes, levels, depth_of = _sizes(slices, 1 << FIRST), [], np.zeros(0, np.int64)
+    bits = min(max((totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // 4).bit_length(), PAIR_BITS[0]), PAIR_BITS[1])
+    pairs = np.zeros(1 << bits - 3, dtype=np.uint8)
+    only_words = spark.sparkContext.broadcast((table,))
+    counted = texts.mapInArrow(_count_pairs(only_words, bits), "range int, gaps binary, counts binary")
+    for r in (counted.repartition(PAIR_RANGES, "range").sortWithinPartitions("range")
+              .mapInArrow(_frequent_pairs(bits, min_count), "range int, bits binary").collect()):   # 32 MB at most
+        raw = np.frombuffer(r["bits"], dtype=np.uint8)
+        pairs[r["range"] * len(raw):][:len(raw)] = raw
+    tables = spark.sparkContext.broadcast((table, pairs))
+
+    levels, depth_of, cells = [], np.zeros(0, np.int64), 1 << FIRST
     while True:
+        found = texts.mapInArrow(_slice_sizes(tables, bits, levels, max_words), "slice long, n long")
+        sizes = _sizes(found, cells)
         over = (sizes > GROUP_SUFFIXES) & (len(levels) + 1 < max_words)
         level = _grouped(sizes, over, len(depth_of))
         groups = max(int(level.max(initial=-1)) + 1, len(depth_of))
         depth_of = np.concatenate([depth_of, np.full(groups - len(depth_of), len(levels) + 1)])
         levels.append(level)
-        if not over.any():
+        cells = int(over.sum()) << FAN
+        if not cells:
             break
-        found = texts.mapInArrow(_slice_sizes(table, levels, max_words), "slice long, n long")
-        sizes = _sizes(found, int(over.sum()) << FAN)
 
-    sent = texts.mapInArrow(_send(table, levels, max_words), RECORD)
+    sent = texts.mapInArrow(_send(tables, bits, levels, max_words), RECORD)
     dealt = sent.repartition(max(len(depth_of), 1), "group").sortWithinPartitions("group")
     nodes = scratch.keep(dealt.mapInArrow(_subtrees(depth_of, max_words, min_count),
                                           "words array<long>, f long, part boolean"), "nodes")

@@ -100,6 +100,8 @@ def test_records_round_trip():
     back = co._decoded((shared | size << 4).astype(np.uint8).tobytes(), co._narrow(tails), 5)
     assert (back == merged).all()
     assert co._widened(co._narrow(np.array([1, 300, 70_000]))).tolist() == [1, 300, 70_000]
+    for values in ([], [0], [254, 255, 256, 0, 510, 100_000, 1]):
+        assert co._unpacked(co._packed(np.array(values, dtype=np.int64))).tolist() == values
 
 
 def test_scores_past_64_bits(spark):

@@ -1,4 +1,4 @@
-"""Small shared helpers: size-checked broadcast, one-row statistics attach, rounding."""
+"""Small shared helpers: persisted tables, one-row statistics attach, rounding."""
 
 from __future__ import annotations
 
@@ -7,10 +7,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Largest per-group table (one row per file, class, bucket ...) that is broadcast.
-DEFAULT_BROADCAST_ROWS = 1_000_000
-
-
 _CACHED: list = []
 
 
@@ -34,13 +30,6 @@ def release_cached() -> None:
         _CACHED.pop().unpersist()
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only behind a checked row count; otherwise a shuffle join (AQE
-    splits skewed partitions).  The frame is persisted so the count is not recomputed."""
-    df, n = materialize(df)
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def attach_one_row(df: DataFrame, stats: DataFrame) -> DataFrame:
     """Attach a one-row frame (a global aggregate, or the bucket-edge array) to every row.
 

@@ -1,7 +1,7 @@
 """Exploratory tables: class balance, per-class/per-size statistics, histograms, box
 statistics, separation check.  All are grouped aggregates (partial + final); any
-per-group statistic needed by a second pass is joined back with a size-checked
-broadcast (groups here are classes or hole sizes)."""
+per-group statistic needed by a second pass is joined back (groups here are classes or hole
+sizes; Spark broadcasts the table of groups by its size in bytes)."""
 
 from __future__ import annotations
 
@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heatwise.functions.exprs import lit_double
-from heatwise.operators.common import attach_one_row, broadcast_if_small
-from heatwise.operators.ordered import exact_quantiles
+from heatwise.operators.common import attach_one_row, materialize
+from heatwise.operators.ranks import exact_quantiles
 from heatwise.policies import DEFAULT_TARGET_LEAK_RATIO
 
 # Balance quality cut-offs and separation levels.
@@ -122,7 +122,7 @@ def histogram(df: DataFrame, col: str, group: str | None = None, bins: int = 50,
     step = (F.col("_hi") - F.col("_lo")) / float(bins)
 
     rows = df.filter(x.isNotNull()).select(*keys, col)
-    rows = rows.join(broadcast_if_small(st), keys) if keys else attach_one_row(rows, st)
+    rows = rows.join(materialize(st)[0], keys) if keys else attach_one_row(rows, st)
     idx = None
     for i in range(1, bins):
         term = F.when(x >= F.lit(float(i)) * step + F.col("_lo"), 1).otherwise(0)
@@ -150,7 +150,8 @@ def box_stats(df: DataFrame, col: str = "temperature", group: str = "hole_size")
     lo_f = F.col("q1") - 1.5 * F.col("iqr")
     hi_f = F.col("q3") + 1.5 * F.col("iqr")
     x = F.col(col)
-    j = df.select(group, col).join(broadcast_if_small(q), group)
+    q, _ = materialize(q)
+    j = df.select(group, col).join(q, group)
     agg = j.groupBy(group).agg(
         F.min(F.when(x >= lo_f, x)).alias("whisker_low"),
         F.max(F.when(x <= hi_f, x)).alias("whisker_high"),

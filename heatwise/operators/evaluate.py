@@ -93,15 +93,25 @@ def roc_auc(df: DataFrame, group=("model",), label: str = "label",
 
 
 def roc_curve(df: DataFrame, group=("model",), label: str = "label",
-              score: str = "score") -> DataFrame:
+              score: str = "score", drop_collinear: bool = False) -> DataFrame:
     """ROC points per group: threshold (distinct score, descending), fpr, tpr; plus the
-    (0, 0) start with a null threshold.  All points are kept."""
+    (0, 0) start with a null threshold.
+
+    ``drop_collinear`` leaves out points inside a straight run, as the reference does: the
+    point of a score stays if it is the first or the last, or if the next lower score adds
+    other numbers of positives and negatives (its second difference is not zero).  The next
+    score's counts are carried over partition edges, so a run over an edge is one run."""
     h = score_histogram(df, group, label, score)
-    pts = positions(h, [score], group, weights=["_pos", "_neg"], ascending=False)
+    pts = positions(h, [score], group, weights=["_pos", "_neg"], carry=["_pos", "_neg"] if drop_collinear else ())
     pts = pts.withColumnRenamed("_total__pos", "_P").withColumnRenamed("_total__neg", "_N")
     tot = h.groupBy(*group).agg(F.sum("_pos").alias("_P"), F.sum("_neg").alias("_N"))
-    tp = F.col("_before__pos") + F.col("_pos")
-    fp = F.col("_before__neg") + F.col("_neg")
+    # ascending sums before a score are the rows below it: at or above it are the others
+    tp = F.col("_P") - F.col("_before__pos")
+    fp = F.col("_N") - F.col("_before__neg")
+    if drop_collinear:
+        straight = F.col("_prev__pos").eqNullSafe(F.col("_pos")) & F.col("_prev__neg").eqNullSafe(F.col("_neg"))
+        first = (tp == F.col("_pos")) & (fp == F.col("_neg"))
+        pts = pts.where(first | F.col("_prev__pos").isNull() | ~straight)
     curve = pts.select(*group, F.col(score).cast("double").alias("threshold"),
                        F.try_divide(fp, F.col("_N")).alias("fpr"),
                        F.try_divide(tp, F.col("_P")).alias("tpr"))

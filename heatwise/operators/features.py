@@ -1,10 +1,10 @@
 """Feature engineering: row-wise expressions plus global statistics.
 
 Global statistics (mean, sample sigma, min/max of x, y and T, exact median of T, exact
-quartiles of the distance) are computed by *one* aggregate plus the distributed exact
-quantile helper, collected as a single row (a proven bound) and folded in as literals,
+quartiles of the distance) are computed by *one* aggregate plus the counting passes for exact
+quantiles, which do both columns at once, collected as a single row (a proven bound) and folded in as literals,
 so every feature is one ``withColumns`` inside whole-stage codegen.  Global rank and
-rolling statistics use the bucketed ordering helper -- never an unpartitioned window.
+rolling statistics share one range exchange -- never an unpartitioned window.
 """
 
 from __future__ import annotations
@@ -16,9 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from heatwise.functions.exprs import equal_width_bin, flag, temp_category
-from heatwise.operators.ordered import (exact_quantiles, quantiles_from_positions,
-                                        rank_from_positions, rolling_stats,
-                                        rolling_window_size, value_positions)
+from heatwise.operators.ordered import rank_pct, rolling_stats, rolling_window_size
+from heatwise.operators.ranks import column_quantiles
 from heatwise.policies import AMBIENT_K
 
 # Fixed values of the feature set.
@@ -106,12 +105,9 @@ def spatial_exprs(level: str = "basic", x: str = "x", y: str = "y",
     return cols
 
 
-def hole_size_levels(df: DataFrame, col: str = "hole_size", max_levels: int = 10_000) -> list:
-    """Sorted distinct sizes (a bounded, checked aggregate)."""
-    levels = [r[0] for r in df.select(col).distinct().limit(max_levels + 1).collect()]
-    if len(levels) > max_levels:
-        raise ValueError(f"{col} has more than {max_levels} levels")
-    return sorted(v for v in levels if v is not None)
+def hole_size_levels(df: DataFrame, col: str = "hole_size") -> list:
+    """Sorted distinct sizes: a category of few values, each of which becomes a CASE term."""
+    return sorted(r[0] for r in df.select(col).distinct().collect() if r[0] is not None)
 
 
 def hole_size_encoding(df: DataFrame, col: str = "hole_size", out: str = "hole_size_encoded",
@@ -163,28 +159,19 @@ def zscore_exprs(stats: dict, temp: str = "temperature") -> dict:
 
 
 def global_stats(df: DataFrame, temp: str = "temperature", x: str = "x", y: str = "y",
-                 quantiles: bool = True, tpos: DataFrame | None = None, others=()) -> dict:
-    """One aggregate row (count, mean, sample sigma, min/max of T/x/y, distinct-count
-    sketches), plus the exact median of T and quartiles of the distance (exact path
-    chosen by the sketch bound, see ``exact_quantiles``)."""
+                 quantiles: bool = True, others=()) -> dict:
+    """One aggregate row (count, mean, sample sigma, min/max of T/x/y), plus the exact median
+    of T and quartiles of the distance, found by the same counting passes."""
     t = F.col(temp)
     dist = F.sqrt(F.col(x) * F.col(x) + F.col(y) * F.col(y))
     row = df.agg(F.count(t).alias("n"), F.count(F.lit(1)).alias("n_all"), F.avg(t).alias("t_mean"),
                  F.stddev_samp(t).alias("t_std"), F.min(t).alias("t_min"),
                  F.max(t).alias("t_max"), F.min(x).alias("x_min"), F.max(x).alias("x_max"),
                  F.min(y).alias("y_min"), F.max(y).alias("y_max"),
-                 F.approx_count_distinct(t, 0.02).alias("t_distinct"),
-                 F.approx_count_distinct(dist, 0.02).alias("d_distinct"),
                  *_input_checks(temp, x, y, others)).first().asDict()
     if quantiles:
-        if tpos is not None:
-            med = quantiles_from_positions(tpos, temp, [0.5], ["q"]).first()
-        else:
-            med = exact_quantiles(df, temp, [0.5], ["q"], distinct=row["t_distinct"]).first()
-        row["t_median"] = med["q"] if med else None
-        dq = exact_quantiles(df.select(dist.alias("_d")), "_d", [0.25, 0.75], ["q25", "q75"],
-                             distinct=row["d_distinct"]).first()
-        row["d_q25"], row["d_q75"] = (dq["q25"], dq["q75"]) if dq else (None, None)
+        got = column_quantiles(df.select(t.alias("t"), dist.alias("d")), {"t": [0.5], "d": [0.25, 0.75]})
+        row["t_median"], (row["d_q25"], row["d_q75"]) = got["t"][0], got["d"]
     return row
 
 
@@ -218,21 +205,20 @@ def replace_infinite(df: DataFrame, cols=None) -> DataFrame:
 def median_fills(df: DataFrame, cols=None) -> dict:
     """Exact medians of the numeric columns that contain nulls.
 
-    One aggregate counts nulls per column; medians are computed only for the columns
-    that have any (usually none), each through the distributed helper."""
+    One aggregate counts nulls per column; the medians of all columns that have any (usually
+    none) are found by the same counting passes."""
     cols = cols or numeric_columns(df)
     if not cols:
         return {}
     nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first().asDict()
-    fills = {}
-    dtypes = dict(df.dtypes)
-    for c in cols:
-        if nulls[c]:
-            got = exact_quantiles(df.select(F.col(c).cast("double").alias(c)), c, [0.5],
-                                  ["m"]).first()
-            if got is not None and got["m"] is not None:
-                whole = dtypes[c] not in ("double", "float") and float(got["m"]).is_integer()
-                fills[c] = int(got["m"]) if whole else got["m"]
+    holes = [c for c in cols if nulls[c]]
+    if not holes:
+        return {}
+    fills, dtypes = {}, dict(df.dtypes)
+    for c, (m,) in column_quantiles(df.select(*holes), {c: [0.5] for c in holes}).items():
+        if m is not None:
+            whole = dtypes[c] not in ("double", "float") and float(m).is_integer()
+            fills[c] = int(m) if whole else m
     return fills
 
 
@@ -291,9 +277,7 @@ def engineer_features(df: DataFrame, level: str = "basic", key: str = "node_id",
     if level not in LEVELS:
         raise ValueError(f"level must be one of {LEVELS}")
     other_nums = [c for c in numeric_columns(df) if c not in (temp, x, y)]
-    tpos = value_positions(df, temp, persist=True) if level == "full" else None
-    stats = (global_stats(df, temp, x, y, quantiles=True, tpos=tpos, others=other_nums)
-             if level == "full" else None)
+    stats = global_stats(df, temp, x, y, quantiles=True, others=other_nums) if level == "full" else None
     levels = hole_size_levels(df) if "hole_size" in df.columns else None
     fills = {}
     checks = stats if stats is not None else \
@@ -317,7 +301,8 @@ def engineer_features(df: DataFrame, level: str = "basic", key: str = "node_id",
                                                            "std": stats["t_std"],
                                                            "min": stats["t_min"],
                                                            "max": stats["t_max"]},
-                                 n_rows=stats["n_all"], align=rolling_align)
-        base = rank_from_positions(base, tpos, temp, "temp_percentile_rank")
+                                 align=rolling_align, rank="temp_percentile_rank")
+        else:
+            base = rank_pct(base, temp, "temp_percentile_rank")
     out = _row_features(base, level, temp, x, y, stats, levels, clean_inputs)
     return fill_medians(out, fills)

@@ -4,9 +4,9 @@ Physical plan (per call):
   pass 1  ``groupBy(file)`` partial+final aggregate over the rows (count, mean, max, min,
           sample and population sigma, hot count) -- only partial aggregates shuffle, so a
           file holding a third of all rows is combined map-side, not in one task;
-  pass 2  only when the policy needs the outlier share: the per-file (mean, sigma) table is
-          joined back to the rows -- broadcast behind a checked row count, otherwise a
-          shuffle join that AQE splits when one file is skewed -- and aggregated again;
+  pass 2  only when the policy needs the outlier share: the finished per-file (mean, sigma)
+          table is joined back to the rows -- broadcast by Spark if its bytes allow, otherwise
+          a shuffle join that AQE splits when one file is skewed -- and aggregated again;
   decide  row-wise expressions on the (small) per-file table.
 """
 
@@ -16,8 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heatwise.functions.exprs import hole_factor, lit_double, safe_div
-from heatwise.operators.common import (DEFAULT_BROADCAST_ROWS, broadcast_if_small,
-                                       materialize, track as _track)
+from heatwise.operators.common import materialize, track as _track
+from heatwise.operators.ordered import positions
+from heatwise.operators.ranks import exact_quantiles
 from heatwise.policies import SENSITIVITIES, LabelPolicy, policy as _policy
 
 # Fixed values of the valid temperature window (exclusive bounds).
@@ -41,30 +42,33 @@ def file_temp_stats(rows: DataFrame, key: str = "file_name", temp: str = "temper
                     accuracy: int = 100_000) -> DataFrame:
     """Per-file mean, max, min, sample std, q75/q90/q95 (linear interpolation like pandas).
 
-    ``quantiles="exact"`` uses Spark's ``percentile`` (keeps a value->count map per
-    group, partial-aggregated); ``"approx"`` uses ``percentile_approx`` with
-    ``accuracy`` for very large files; ``None`` skips them.
+    ``quantiles="exact"`` selects them by counting passes over the values of each file
+    (:mod:`heatwise.operators.ranks`): a file with a third of all rows is counted by all
+    tasks, small files are read out at once.  ``"approx"`` uses ``percentile_approx`` with
+    ``accuracy``; ``None`` skips them.
     """
     t = F.col(temp)
     keys = [key] + [c for c in group_extra if c in rows.columns]
     aggs = [F.count(F.lit(1)).alias("n_rows"), F.avg(t).alias("mean"), F.max(t).alias("max"),
             F.min(t).alias("min"), F.stddev_samp(t).alias("std")]
-    if quantiles == "exact":
-        q = F.percentile(t, F.array(F.lit(0.75), F.lit(0.90), F.lit(0.95)))
-    elif quantiles == "approx":
-        q = F.percentile_approx(t, [0.75, 0.90, 0.95], accuracy)
-    else:
-        q = None
-    if q is not None:
-        aggs.append(q.alias("_q"))
+    if quantiles == "approx":
+        q = F.percentile_approx(t, list(QUANTILES.values()), accuracy)
+        aggs += [q[i].alias(c) for i, c in enumerate(QUANTILES)]
     out = rows.groupBy(*keys).agg(*aggs)
-    if q is not None:
-        out = out.select(*keys, "n_rows", "mean", "max", "min", "std",
-                         F.col("_q")[0].alias("q75"), F.col("_q")[1].alias("q90"),
-                         F.col("_q")[2].alias("q95"))
+    if quantiles == "exact":
+        out = _same_file(out, file_quantiles(rows, keys, temp), keys, "left")
     return out
 
 
+#: The quantiles of a file's temperatures.
+QUANTILES = {"q75": 0.75, "q90": 0.90, "q95": 0.95}
+
+
+def file_quantiles(rows: DataFrame, keys, temp: str = "temperature") -> DataFrame:
+    """Exact q75, q90 and q95 of each file."""
+    return exact_quantiles(rows, temp, list(QUANTILES.values()), list(QUANTILES), keys)
+
+
 def _pct(c: Column) -> Column:
     return F.format_string("%.1f%%", c * 100)
 
@@ -73,11 +77,6 @@ def _f1(c: Column) -> Column:
     return F.format_string("%.1f", c)
 
 
-# Largest file table numbered with a plain per-size window (checked count); beyond it the
-# bucketed ordering helper is used so no hole size is sorted in a single task.
-WINDOW_FILE_LIMIT = 1_000_000
-
-
 def _same_file(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join on the whole file identity, null-safe; the right side's keys are dropped.
 
@@ -88,19 +87,10 @@ def _same_file(left: DataFrame, right: DataFrame, keys: list[str], how: str = "i
     return left.join(own, same, how).drop(*[f"_file_{k}" for k in keys])
 
 
-def file_index(files: DataFrame, key: str = "file_name", group: str = "hole_size",
-               window_limit: int = WINDOW_FILE_LIMIT) -> DataFrame:
+def file_index(files: DataFrame, key: str = "file_name", group: str = "hole_size") -> DataFrame:
     """0-based position of each file within its hole size, in file-name order, over the
     file table (one row per listed file)."""
-    from pyspark.sql import Window
-
-    from heatwise.operators.ordered import positions
-
-    distinct, n = materialize(files.select(key, group).distinct())
-    if n <= window_limit:
-        w = Window.partitionBy(group).orderBy(F.col(key))
-        return distinct.select(key, group, (F.row_number().over(w) - 1).cast("int")
-                               .alias("file_idx"))
+    distinct = files.select(key, group).distinct()
     return positions(distinct, key, group_cols=[group]).select(
         key, group, F.col("_before").cast("int").alias("file_idx"))
 
@@ -108,18 +98,23 @@ def file_index(files: DataFrame, key: str = "file_name", group: str = "hole_size
 def label_files(rows: DataFrame, policy="four", sensitivity: str = "balanced",
                 threshold: float | None = None, files: DataFrame | None = None,
                 key: str = "file_name", temp: str = "temperature",
-                quantiles: str | None = None,
-                max_broadcast_files: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+                index: DataFrame | None = None,
+                quantiles: str | None = "exact") -> DataFrame:
     """Label every file leak / no-leak with one of the three rule sets.
 
     ``rows``: readings with ``key``, ``hole_size`` and ``temp`` (already cleaned).
     ``files``: all listed files (``key``, ``hole_size``) for the file-index boost of the
     ``six`` policy (index counts unparseable files too); defaults to the files of ``rows``.
+    ``index``: the files' indices (``key``, ``hole_size``, ``file_idx``) where the caller
+    keeps them, as the stream does.
 
     Output, one row per file: file_name, hole_size, n_rows, leak_status, confidence,
     criteria_count, total_criteria, method, criteria_met array<string>, and the
     statistics used (mean, max, min, std, std_pop, outlier_ratio, high_temp_ratio,
     temp_range), plus the structs ``temp_stats`` and ``strategies``.
+
+    ``quantiles`` as in :func:`file_temp_stats`; no rule reads them, so callers that need the
+    verdict alone pass ``None`` and leave the three fields of ``temp_stats`` null.
     """
     pol: LabelPolicy = _policy(policy)
     if sensitivity not in SENSITIVITIES:
@@ -133,16 +128,16 @@ def label_files(rows: DataFrame, policy="four", sensitivity: str = "balanced",
             F.min(t).alias("min"), F.stddev_samp(t).alias("std"),
             F.stddev_pop(t).alias("std_pop"),
             F.sum(F.when(t > lit_double(base) * factor, 1).otherwise(0)).alias("n_hot")]
-    if quantiles:
-        stats_q = file_temp_stats(rows, key=key, temp=temp, quantiles=quantiles).select(
-            *keys, "q75", "q90", "q95")
+    if quantiles == "exact":
+        stats_q = file_quantiles(rows, keys, temp)
+    elif quantiles:
+        stats_q = file_temp_stats(rows, key=key, temp=temp, quantiles=quantiles).select(*keys, *QUANTILES)
     # one row per file; persisted once so the size check, the outlier pass and the
     # decision all read it instead of re-aggregating the rows
-    stats, n_files = materialize(rows.groupBy(*keys).agg(*aggs))
+    stats, _ = materialize(rows.groupBy(*keys).agg(*aggs))
 
     if pol.use_outliers:
         small = stats.select(*keys, "mean", "std_pop")
-        small = F.broadcast(small) if n_files <= max_broadcast_files else small
         z = safe_div(t - F.col("mean"), F.col("std_pop"))
         outl = (_same_file(rows.select(*keys, temp), small, keys)
                 .groupBy(*keys)
@@ -153,8 +148,7 @@ def label_files(rows: DataFrame, policy="four", sensitivity: str = "balanced",
         stats = stats.withColumn("n_out", F.lit(None).cast("long"))
 
     if pol.file_index_boost:
-        listed = files if files is not None else rows
-        idx = file_index(listed, key=key)
+        idx = index if index is not None else file_index(files if files is not None else rows, key=key)
         stats = _same_file(stats, idx.select(*keys, "file_idx"), keys, "left")
     else:
         stats = stats.withColumn("file_idx", F.lit(None).cast("int"))
@@ -261,27 +255,19 @@ def label_files(rows: DataFrame, policy="four", sensitivity: str = "balanced",
                      "total_criteria", "method", "criteria_met", "mean", "max", "min", "std",
                      "std_pop", "outlier_ratio", "high_temp_ratio", "temp_range", "file_idx",
                      "temp_stats", "strategies")
-    # the label table (one row per file, so its size is the counted n_files) is what
-    # every tagging join and summary reads: persisted, not recounted
-    out = out.persist()
-    _track(out)
-    out._heatwise_rows = n_files
-    return out
+    # the label table (one row per file) is what every tagging join and summary reads
+    return _track(out.persist())
 
 
-def tag_rows(rows: DataFrame, labels: DataFrame, key: str = "file_name",
-             max_broadcast_files: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+def tag_rows(rows: DataFrame, labels: DataFrame, key: str = "file_name") -> DataFrame:
     """Put each file's label on its rows (leak_status, leak_confidence,
-    classification_method, criteria_count); the label table is broadcast when its
-    checked row count allows it."""
+    classification_method, criteria_count); Spark broadcasts the finished label table if its
+    bytes allow, else a shuffle join is split by AQE for a file with many rows."""
     keys = [k for k in (key, "hole_size") if k in rows.columns and k in labels.columns]
     lab = labels.select(*keys, "leak_status", F.col("confidence").alias("leak_confidence"),
                         F.col("method").alias("classification_method"), "criteria_count")
-    n = getattr(labels, "_heatwise_rows", None)
-    if n is None:
-        lab = broadcast_if_small(lab, max_broadcast_files)
-    elif n <= max_broadcast_files:
-        lab = F.broadcast(lab)
+    if labels.is_cached:
+        labels.count()                     # its size is known before the join is planned
     return _same_file(rows, lab, keys)
 
 

@@ -1,208 +1,119 @@
-"""Global order without a single-partition window.
-
-``positions`` gives every row its exact 0-based position (or weighted cumulative sums)
-in a global order, per optional low-cardinality group:
-
-1. a bounded sample of the *whole* order key (e.g. ``(temperature, node_id)``) is
-   collected and sorted on the driver; evenly spaced sample tuples become bucket edges
-   (literals).  Because edges are composite, one value holding a third of all rows is
-   still cut into many buckets by its tiebreak key;
-2. each row's bucket is found by a binary tree of struct comparisons (JVM-side);
-3. per (group, bucket) totals (at most groups x buckets rows, checked) -> running
-   offsets and group totals on the driver -> broadcast join;
-4. ``Window.partitionBy(group, bucket).orderBy(key)`` numbers rows inside a bucket.
-
-The edges only decide balance; positions are exact for any edges, so results do not
-depend on partitioning or on the sample.
-"""
+"""Global order without a single-partition window, on Spark's own range exchange.
 
+``sorted_pieces`` range-partitions rows by the whole order key, sorts them inside the
+partitions and writes them once to the shared folder, each with its partition and its place
+there.  Partition totals, a table of pieces and not of rows, then turn places into global
+positions.  Range bounds only decide balance, and as the key is composite (value, row key), a
+value that holds a third of all rows is cut into many pieces.  There is one plan at every size.
+"""
 from __future__ import annotations
 
-import math
+from collections import deque
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from heatwise.operators.common import (DEFAULT_BROADCAST_ROWS, attach_one_row,
-                                       broadcast_if_small, materialize)
-
-SAMPLE_PER_BUCKET = 64
-MAX_SAMPLE = 2_000_000          # driver-side sample rows (bounds edge selection)
-MAX_BUCKETS = 65_536
-TREE_MAX_EDGES = 1_023          # above this, edges go to a broadcast array + binary search
-ROWS_PER_BUCKET = 2_000_000
-MIN_ROWS_PER_BUCKET = 50_000
-MAX_OFFSET_ROWS = 1_000_000
-# distinct values one exact ``percentile`` map may hold (checked with approx_count_distinct):
-# a memory bound per group (groups merge in different tasks), and a lower bound for a
-# single global group, above which the parallel bucketed path is also faster
-EXACT_MAP_LIMIT = 2_000_000
-EXACT_MAP_LIMIT_GLOBAL = 100_000
-
-
-def _sort_key(row, ascending: bool):
-    out = []
-    for v in row:
-        if v is None:
-            out.append((0, 0))
-        elif isinstance(v, float) and math.isnan(v):
-            out.append((2, 0))
-        else:
-            out.append((1, v))
-    return tuple(out)
-
-
-def _bucket_expr(key: Column, edges: list[Column], ascending: bool) -> Column:
-    """Number of edges at or below the row's key (binary tree of comparisons)."""
-    def ge(e):
-        return key >= e if ascending else key <= e
-
-    def node(lo: int, hi: int) -> Column:
-        if lo >= hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(ge(edges[mid]), node(mid + 1, hi)).otherwise(node(lo, mid))
-
-    return node(0, len(edges))
-
-
-def _bucket_search(key: Column, edges: Column, n_edges: int, ascending: bool) -> Column:
-    """Number of edges at or below ``key`` by binary search over a sorted edge array:
-    ``aggregate`` runs ceil(log2(n+1)) halving steps on a (lo, hi) pair."""
-    steps = max(1, math.ceil(math.log2(n_edges + 1)))
-
-    def step(acc, _):
-        lo, hi = acc["lo"], acc["hi"]
-        mid = F.floor((lo + hi) / 2).cast("int")
-        e = F.element_at(edges, mid + 1)
-        go_right = (lo < hi) & ((key >= e) if ascending else (key <= e))
-        return F.struct(F.when(go_right, mid + 1).otherwise(lo).alias("lo"),
-                        F.when((lo < hi) & ~go_right, mid).otherwise(hi).alias("hi"))
-
-    init = F.struct(F.lit(0).alias("lo"), F.lit(n_edges).alias("hi"))
-    res = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step)
-    return res["lo"]
+from heatwise.operators.ranks import column_quantiles, exact_quantiles  # noqa: F401
+from heatwise.session import shared_dir
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _dealt(df: DataFrame, order_cols, group_cols, ascending: bool, n_pieces: int | None) -> DataFrame:
+    order = [F.col(c).asc() for c in group_cols] + [F.col(c).asc() if ascending else F.col(c).desc() for c in order_cols]
+    dealt = df.repartitionByRange(n_pieces, *order) if n_pieces else df.repartitionByRange(*order)
+    return dealt.sortWithinPartitions(*order)
+
+
+def _placing(names: list[str], sums: list[str], carry: list[str]):
+    """Adds _piece, _at, the running sums before each row and the row before's carried columns.
+
+    Self-contained, so that executors need nothing but numpy and Arrow."""
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        piece, at = TaskContext.get().partitionId(), 0
+        total = dict.fromkeys(sums, 0)
+        last = dict.fromkeys(carry)
+        for batch in batches:
+            n = batch.num_rows
+            out = [*batch.columns, pa.array(np.full(n, piece, np.int32)), pa.array(np.arange(at, at + n, dtype=np.int64))]
+            for w in sums:
+                run_to = np.cumsum(batch.column(w).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)) + total[w]
+                out.append(pa.array(np.concatenate([[total[w]], run_to[:-1]]) if n else run_to))
+                total[w] = int(run_to[-1]) if n else total[w]
+            for c in carry:
+                own = batch.column(c)
+                out.append(pa.concat_arrays([pa.array([last[c]], own.type), own.slice(0, n - 1)]) if n else own)
+                last[c] = own[-1].as_py() if n else last[c]
+            at += n
+            yield pa.RecordBatch.from_arrays(out, names)
+    return run
+
+
+def sorted_pieces(df: DataFrame, order_cols, group_cols=(), sums=(), carry=(), ascending: bool = True,
+                  n_pieces: int | None = None) -> DataFrame:
+    """Rows in range-partitioned order, written once, with ``_piece``, ``_at`` (place in the
+    piece), ``_run_<w>`` (sum of w over the piece's rows before) and ``_prev_<c>`` (c of the
+    piece's row before)."""
+    sums, carry = list(sums), list(carry)
+    types = {f.name: f.dataType for f in df.schema.fields}
+    extra = ([T.StructField("_piece", T.IntegerType()), T.StructField("_at", T.LongType())]
+             + [T.StructField(f"_run_{w}", T.LongType()) for w in sums]
+             + [T.StructField(f"_prev_{c}", types[c]) for c in carry])
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in df.schema.fields] + extra)
+    dealt = _dealt(df, order_cols, group_cols, ascending, n_pieces)
+    return _written(dealt.mapInArrow(_placing([f.name for f in schema.fields], sums, carry), schema), "ordered")
 
 
 def positions(df: DataFrame, order_cols, group_cols=(), weights=(), ascending: bool = True,
-              n_buckets: int | None = None, seed: int = 42, cache: bool = True,
-              n: int | None = None) -> DataFrame:
-    """Add ``_before`` (rows strictly before, needs a unique order within the group) or,
-    with ``weights``, ``_before_<w>`` (sum of ``w`` over rows strictly before); also the
-    group totals ``_total`` / ``_total_<w>``.
-
-    ``order_cols`` must be non-null. ``group_cols`` should have few distinct values
-    (hole sizes, models); each group is ordered independently.  ``cache`` persists the
-    narrow key projection read by the count / sample / totals passes -- right for
-    aggregated inputs (histograms, file tables); row-level callers pass ``False`` and
-    re-scan the (column-pruned) input instead of caching a projection of every row.
-    ``n``: the input's row count when the caller already knows it (saves a pass).
-    """
+              n_buckets: int | None = None, carry=()) -> DataFrame:
+    """Add ``_before`` (rows strictly before, needs a unique order within the group) or, with
+    ``weights``, ``_before_<w>`` (sum of the integers ``w`` over rows strictly before); also
+    the group totals ``_total`` / ``_total_<w>``.  ``carry``: columns whose value in the
+    group's row before is added as ``_prev_<c>`` (null in its first row).
+
+    Each group, null included, is ordered on its own.  ``n_buckets``: number of range
+    partitions (default: the session's shuffle partitions)."""
     order_cols = [order_cols] if isinstance(order_cols, str) else list(order_cols)
-    group_cols = list(group_cols)
-    weights = list(weights)
-    spark = df.sparkSession
-    # count / sample / totals read only the narrow key columns (persisted once); the
-    # full rows are computed once, in the final windowed pass
-    need = list(dict.fromkeys([*order_cols, *group_cols, *weights]))
-    if cache:
-        narrow, n = materialize(df.select(*need))
-    else:
-        narrow = df.select(*need)
-        n = narrow.count() if n is None else n
-    if n_buckets is None:
-        # sized by data: enough buckets to use the session's parallelism once there are
-        # ~50k rows per bucket, and ~2M rows per bucket at scale (up to MAX_BUCKETS)
-        par = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        # (at least two buckets, so even a tiny input keeps the bucket-partitioned plan)
-        small = min(max(par, 2), max(2, -(-n // MIN_ROWS_PER_BUCKET)))
-        n_buckets = max(1, min(MAX_BUCKETS, max(small, -(-n // ROWS_PER_BUCKET))))
-    n_buckets = max(1, min(n_buckets, MAX_BUCKETS, max(1, n // 2)))
-
-    edges: list[Column] = []
-    edge_tuples: list[tuple] = []
-    fields = {f.name: f.dataType for f in df.schema.fields}
-    if n_buckets > 1 and n > 0:
-        target = min(n_buckets * SAMPLE_PER_BUCKET, MAX_SAMPLE)
-        frac = min(1.0, 1.5 * target / n)
-        sample = [tuple(r) for r in narrow.select(*order_cols).sample(False, frac, seed).collect()]
-        sample.sort(key=lambda r: _sort_key(r, ascending), reverse=not ascending)
-        picked = []
-        for i in range(1, n_buckets):
-            j = (i * len(sample)) // n_buckets
-            if 0 <= j < len(sample):
-                cand = sample[j]
-                if not picked or picked[-1] != cand:
-                    picked.append(cand)
-        edge_tuples = [t for t in picked
-                       if not any(v is None or (isinstance(v, float) and math.isnan(v))
-                                  for v in t)]
-    key = F.struct(*[F.col(c) for c in order_cols])
-    edge_table = None
-    if len(edge_tuples) > TREE_MAX_EDGES:
-        # many buckets: a one-row broadcast table holds the edges; binary search per row
-        st = T.StructType([T.StructField(c, fields[c]) for c in order_cols])
-        edge_table = spark.createDataFrame(
-            [(edge_tuples,)], T.StructType([T.StructField("_edges", T.ArrayType(st))]))
-        bucket = _bucket_search(key, F.col("_edges"), len(edge_tuples), ascending)
-    elif edge_tuples:
-        edges = [F.struct(*[F.lit(v).cast(fields[c]).alias(c) for v, c in zip(t, order_cols)])
-                 for t in edge_tuples]
-        bucket = _bucket_expr(key, edges, ascending)
+    keys, weights, carry = list(group_cols), list(weights), list(carry)
+    rows = sorted_pieces(df, order_cols, keys, weights, carry, ascending, n_buckets)
+    # per group and piece: its first place, totals, and last values
+    aggs = [F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n")]
+    for w in weights:
+        aggs += [F.min(f"_run_{w}").alias(f"_start_{w}"), F.sum(w).alias(f"_sum_{w}")]
+    aggs += [F.max_by(c, "_at").alias(f"_last_{c}") for c in carry]
+    cells = rows.groupBy(*keys, "_piece").agg(*aggs)
+    group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.col("_piece").isNull())
+    earlier = group.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    names = {"": "_n"} if not weights else {f"_{w}": f"_sum_{w}" for w in weights}
+    cols = {}
+    for suffix, source in names.items():
+        cols[f"_skip{suffix}"] = F.coalesce(F.sum(source).over(earlier), F.lit(0))
+        cols[f"_total{suffix}"] = F.sum(source).over(group)
+    for c in carry:
+        cols[f"_edge_{c}"] = F.lag(f"_last_{c}").over(group.orderBy("_piece"))
+    cells = cells.withColumns(cols).drop("_n", *[f"_sum_{w}" for w in weights], *[f"_last_{c}" for c in carry])
+    at = [*keys, "_piece"]
+    cells = cells.withColumnsRenamed({k: f"_to_{k}" for k in at})
+    out = rows.join(cells, [F.col(k).eqNullSafe(F.col(f"_to_{k}")) for k in at]).drop(*[f"_to_{k}" for k in at])
+    if weights:
+        out = out.withColumns({f"_before_{w}": F.col(f"_run_{w}") - F.col(f"_start_{w}") + F.col(f"_skip_{w}")
+                               for w in weights})
     else:
-        bucket = F.lit(0)
-
-    def with_bucket(frame: DataFrame) -> DataFrame:
-        if edge_table is None:
-            return frame.withColumn("_bucket", bucket)
-        return attach_one_row(frame, edge_table).withColumn("_bucket", bucket).drop("_edges")
-
-    totals_aggs = ([F.count(F.lit(1)).alias("_t")] if not weights
-                   else [F.sum(F.col(w)).alias(f"_t_{w}") for w in weights])
-    tcols = ["_t"] if not weights else [f"_t_{w}" for w in weights]
-    # per (group, bucket) totals: at most groups x buckets rows, checked, then running
-    # offsets on the driver and a broadcast join (no window over an unpartitioned table)
-    totals = with_bucket(narrow).groupBy(*group_cols, "_bucket").agg(*totals_aggs)
-    rows = totals.limit(MAX_OFFSET_ROWS + 1).collect()
-    if len(rows) > MAX_OFFSET_ROWS:
-        raise ValueError("too many (group, bucket) cells; use fewer groups or buckets")
-    rows.sort(key=lambda r: (tuple(_sort_key([r[g] for g in group_cols], True)), r["_bucket"]))
-    acc: dict = {}
-    staged = []
-    for r in rows:
-        g = tuple(r[c] for c in group_cols)
-        run = acc.setdefault(g, [0] * len(tcols))
-        staged.append((g, r["_bucket"], list(run)))
-        acc[g] = [run[i] + (r[c] or 0) for i, c in enumerate(tcols)]
-    out_rows = [(*g, bk, *run, *acc[g]) for g, bk, run in staged]
-    b = with_bucket(df)
-    ftypes = {f.name: f.dataType for f in b.schema.fields}
-    tnames = ["_total"] if not weights else [f"_total_{w}" for w in weights]
-    schema = T.StructType([T.StructField(c, ftypes[c]) for c in group_cols]
-                          + [T.StructField("_bucket", T.IntegerType())]
-                          + [T.StructField(f"_o{c}", T.LongType()) for c in tcols]
-                          + [T.StructField(t, T.LongType()) for t in tnames])
-    offsets = spark.createDataFrame(out_rows, schema)
-    # null-safe: rows of a null group keep their place
-    offsets = offsets.withColumnsRenamed({c: f"_at_{c}" for c in [*group_cols, "_bucket"]})
-    b = b.join(F.broadcast(offsets), [F.col(c).eqNullSafe(F.col(f"_at_{c}")) for c in [*group_cols, "_bucket"]])
-    b = b.drop(*[f"_at_{c}" for c in [*group_cols, "_bucket"]])
-
-    order = [F.col(c).asc() if ascending else F.col(c).desc() for c in order_cols]
-    w_in = Window.partitionBy(*group_cols, "_bucket").orderBy(*order)
-    if not weights:
-        b = b.withColumn("_before", F.row_number().over(w_in) - 1 + F.col("_o_t"))
-        drop = ["_o_t"]
-    else:
-        w_prev = w_in.rowsBetween(Window.unboundedPreceding, -1)
-        b = b.withColumns({
-            f"_before_{w}": F.coalesce(F.sum(F.col(w)).over(w_prev), F.lit(0)) + F.col(f"_o_t_{w}")
-            for w in weights})
-        drop = [f"_o_t_{w}" for w in weights]
-    out = b.drop("_bucket", *drop)
-    out._heatwise_rows = n     # same rows as the input: lets callers skip a recount
-    return out
+        out = out.withColumn("_before", F.col("_at") - F.col("_first") + F.col("_skip"))
+    if carry:
+        out = out.withColumns({f"_prev_{c}": F.when(F.col("_at") == F.col("_first"), F.col(f"_edge_{c}"))
+                               .otherwise(F.col(f"_prev_{c}")) for c in carry})
+    return out.drop("_piece", "_at", "_first", *[f"_run_{w}" for w in weights], *[f"_start_{w}" for w in weights],
+                    *[f"_skip{s}" for s in names], *[f"_edge_{c}" for c in carry])
 
 
 def value_histogram(df: DataFrame, col: str, group_cols=()) -> DataFrame:
@@ -210,96 +121,14 @@ def value_histogram(df: DataFrame, col: str, group_cols=()) -> DataFrame:
     return df.groupBy(*group_cols, col).agg(F.count(F.lit(1)).alias("_cnt"))
 
 
-def value_positions(df: DataFrame, col: str, group_cols=(), persist: bool = False) -> DataFrame:
-    """Positioned value histogram: (group..., value, _cnt, _before__cnt, _n); persist it
-    when several consumers read it."""
-    hist = value_histogram(df.filter(F.col(col).isNotNull() & ~F.isnan(F.col(col))), col,
-                           group_cols)
-    raw = positions(hist, [col], group_cols, weights=["_cnt"])
-    pos = raw.withColumnRenamed("_total__cnt", "_n")
-    pos._heatwise_rows = raw._heatwise_rows
-    if persist:
-        pos, n = materialize(pos)
-        pos._heatwise_rows = n     # remembered for the broadcast decision of the rank join
-    return pos
-
-
-def rank_from_positions(df: DataFrame, pos: DataFrame, col: str, out: str,
-                        group_cols=(), n_values: int | None = None,
-                        max_broadcast: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Join the average rank of each distinct value back to the rows; the value table is
-    broadcast only when its (known or counted) size allows."""
-    ranked = pos.select(*group_cols, col,
-                        ((F.col("_before__cnt") + (F.col("_cnt") + 1) / 2.0) / F.col("_n"))
-                        .alias(out))
-    n_values = n_values if n_values is not None else getattr(pos, "_heatwise_rows", None)
-    if n_values is None:
-        right = broadcast_if_small(ranked, max_broadcast)
-    else:
-        right = F.broadcast(ranked) if n_values <= max_broadcast else ranked
-    return df.join(right, [*group_cols, col], "left")
-
-
 def rank_pct(df: DataFrame, col: str = "temperature", out: str = "temp_percentile_rank",
              group_cols=()) -> DataFrame:
     """Average-method percentile rank like pandas ``rank(pct=True)``: ties get the mean
     of their 1-based ranks, divided by the number of non-null values."""
-    return rank_from_positions(df, value_positions(df, col, group_cols), col, out, group_cols)
-
-
-def _lerp(lo: Column, hi: Column, t: Column) -> Column:
-    """numpy's linear interpolation (the form used for t >= 0.5 differs)."""
-    d = hi - lo
-    return F.when(t >= 0.5, hi - d * (F.lit(1.0) - t)).otherwise(lo + d * t)
-
-
-def quantiles_from_positions(pos: DataFrame, col: str, probs, names=None,
-                             group_cols=()) -> DataFrame:
-    probs = list(probs)
-    names = list(names) if names else [f"q{int(round(p * 100)):02d}" for p in probs]
-    start, end = F.col("_before__cnt"), F.col("_before__cnt") + F.col("_cnt")
-    aggs = []
-    for p, name in zip(probs, names):
-        h = (F.col("_n") - 1) * F.lit(float(p))
-        lo_i, hi_i = F.floor(h), F.ceil(h)
-        aggs += [F.max(F.when((start <= lo_i) & (lo_i < end), F.col(col))).alias(f"_{name}_lo"),
-                 F.max(F.when((start <= hi_i) & (hi_i < end), F.col(col))).alias(f"_{name}_hi"),
-                 F.first(h - lo_i, ignorenulls=True).alias(f"_{name}_t")]
-    got = pos.groupBy(*group_cols).agg(*aggs)
-    return got.select(*group_cols, *[
-        _lerp(F.col(f"_{nm}_lo"), F.col(f"_{nm}_hi"), F.col(f"_{nm}_t")).alias(nm)
-        for nm in names])
-
-
-def exact_quantiles(df: DataFrame, col: str, probs, names=None, group_cols=(),
-                    distinct: int | None = None) -> DataFrame:
-    """Exact linear-interpolation quantiles (pandas/numpy ``linear``), one row per group.
-
-    Two exact paths, chosen by a *proven* bound:
-    * when ``approx_count_distinct`` (pass ``distinct`` if already known) shows at most
-      ``EXACT_MAP_LIMIT`` distinct values, Spark's ``percentile`` aggregate -- its
-      value->count map (partial-aggregated, merged in the final task) is that bounded;
-    * otherwise value histogram -> bucketed cumulative counts -> a conditional aggregate
-      picks the two order statistics around ``p*(n-1)``; no task holds all values.
-    """
-    probs = list(probs)
-    names = list(names) if names else [f"q{int(round(p * 100)):02d}" for p in probs]
-    clean = df.filter(F.col(col).isNotNull() & ~F.isnan(F.col(col)))
-    if distinct is None:
-        if group_cols:   # the largest group's distinct count bounds every group's map
-            distinct = (clean.groupBy(*group_cols)
-                        .agg(F.approx_count_distinct(col, 0.02).alias("d"))
-                        .agg(F.max("d").alias("d")).first()["d"]) or 0
-        else:
-            distinct = clean.agg(F.approx_count_distinct(col, 0.02).alias("d")).first()["d"]
-    limit = EXACT_MAP_LIMIT if group_cols else EXACT_MAP_LIMIT_GLOBAL
-    if distinct * 1.1 <= limit:
-        q = F.percentile(F.col(col), F.array(*[F.lit(float(p)) for p in probs]))
-        got = clean.groupBy(*group_cols).agg(q.alias("_q"))
-        return got.select(*group_cols,
-                          *[F.col("_q")[i].alias(nm) for i, nm in enumerate(names)])
-    return quantiles_from_positions(value_positions(df, col, group_cols), col, probs, names,
-                                    group_cols)
+    hist = value_histogram(df.filter(F.col(col).isNotNull() & ~F.isnan(F.col(col))), col, group_cols)
+    pos = positions(hist, [col], group_cols, weights=["_cnt"])
+    rank = (F.col("_before__cnt") + (F.col("_cnt") + 1) / 2.0) / F.col("_total__cnt")
+    return df.join(pos.select(*group_cols, col, rank.alias(out)), [*group_cols, col], "left")
 
 
 def rolling_window_size(n: int, max_window: int = 5) -> int:
@@ -307,11 +136,82 @@ def rolling_window_size(n: int, max_window: int = 5) -> int:
     return min(max_window, n // 4)
 
 
+STATS = ("mean", "std", "min", "max")
+
+
+def _rolling(names: list[str], col: str, window: int):
+    """Adds _piece, _at and the statistics of the window that ends at each row; null in the
+    piece's first window - 1 rows.  Self-contained like :func:`_placing`."""
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        from numpy.lib.stride_tricks import sliding_window_view
+        from pyspark import TaskContext
+
+        piece, at, tail = TaskContext.get().partitionId(), 0, np.zeros(0)
+        for batch in batches:
+            n = batch.num_rows
+            values = np.concatenate([tail, batch.column(col).to_numpy(zero_copy_only=False).astype(np.float64)])
+            full = np.full((4, n), np.nan)
+            if len(values) >= window:
+                seen = sliding_window_view(values, window)
+                known = full[:, n - len(seen):]
+                known[0], known[2], known[3] = seen.mean(axis=1), seen.min(axis=1), seen.max(axis=1)
+                if window > 1:
+                    known[1] = seen.std(axis=1, ddof=1)
+            tail = values[max(len(values) - window + 1, 0):]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(np.full(n, piece, np.int32)), pa.array(np.arange(at, at + n, dtype=np.int64)),
+                 *(pa.array(v, mask=np.isnan(v)) for v in full)], names)
+            at += n
+    return run
+
+
+def _rolled(df: DataFrame, col: str, key: str, window: int, n_pieces: int | None):
+    """(rows with _piece, _at and the statistics, pieces with their first position).
+
+    The first window - 1 rows of a piece need the last rows of the pieces before, also through
+    pieces shorter than that.  Those edge rows, at most 2 * (window - 1) for each piece, are
+    the only ones the driver sees; their statistics are joined back on (piece, place)."""
+    import numpy as np
+
+    spark = df.sparkSession
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in df.schema.fields]
+                          + [T.StructField("_piece", T.IntegerType()), T.StructField("_at", T.LongType())]
+                          + [T.StructField(f"_{s}", T.DoubleType()) for s in STATS])
+    dealt = _dealt(df, [col, key], (), True, n_pieces)
+    rows = _written(dealt.mapInArrow(_rolling([f.name for f in schema.fields], col, window), schema), "rolling")
+    sizes = {r["_piece"]: r["n"] for r in rows.groupBy("_piece").agg(F.count(F.lit(1)).alias("n")).collect()}
+    pieces, first = [], 0
+    for p in sorted(sizes):
+        pieces.append((p, sizes[p], first))
+        first += sizes[p]
+    firsts = spark.createDataFrame(pieces, "_of int, _size long, _first long")
+    if window < 2 or len(pieces) < 2:
+        return rows, firsts
+    edge = (rows.select("_piece", "_at", F.col(col).cast("double").alias("v")).join(firsts, F.col("_piece") == F.col("_of"))
+            .where((F.col("_at") < window - 1) | (F.col("_at") >= F.col("_size") - (window - 1))))
+    values = {(r["_piece"], r["_at"]): float("nan") if r["v"] is None else r["v"] for r in edge.collect()}
+    carried, mended = deque(maxlen=window - 1), []
+    for p, size, _ in pieces:
+        heads = [values[p, i] for i in range(min(size, window - 1))]
+        line = [*carried, *heads]
+        for i in range(len(heads)):
+            end = len(carried) + i + 1
+            if end >= window:
+                seen = np.array(line[end - window:end])
+                if not np.isnan(seen).any():
+                    mended.append((p, i, float(seen.mean()), float(seen.std(ddof=1)), float(seen.min()), float(seen.max())))
+        carried.extend(values[p, i] for i in range(max(size - (window - 1), 0), size))
+    edges = spark.createDataFrame(mended, "_of int, _row long, _e_mean double, _e_std double, _e_min double, _e_max double")
+    joined = rows.join(edges, (F.col("_piece") == F.col("_of")) & (F.col("_at") == F.col("_row")), "left")
+    return joined.select(*df.columns, "_piece", "_at", *[F.coalesce(f"_{s}", f"_e_{s}").alias(f"_{s}") for s in STATS]), firsts
+
+
 def rolling_stats(df: DataFrame, col: str = "temperature", key: str = "node_id",
                   window: int = 5, prefix: str = "temp_rolling_",
                   fill: dict | None = None, align: str = "value",
-                  order_key=None, n_rows: int | None = None,
-                  n_buckets: int | None = None) -> DataFrame:
+                  order_key=None, n_buckets: int | None = None, rank: str | None = None) -> DataFrame:
     """Rolling mean / sample std / min / max over the value-sorted sequence.
 
     ``align="value"`` (default): each row gets the window ending at its own position in
@@ -320,33 +220,30 @@ def rolling_stats(df: DataFrame, col: str = "temperature", key: str = "node_id",
     the *i*-th smallest value.  The first ``window-1`` positions have no full window and
     take ``fill`` (the global statistics in the reference).
 
-    Plan: bucketed positions (one exchange), ``explode(sequence(p, p+w-1))`` so each
-    value feeds the ``w`` windows it belongs to, ``groupBy(target)`` (partial aggregation
-    combines neighbours, which share a bucket), join back on position.  The rows are
-    carried through the positions step, so there is no join back on the row key.
-    """
+    Plan: one range exchange of the rows; windows run inside the sorted partitions and the
+    partition edges are mended from a few carried rows, so no row is multiplied.
+
+    ``rank``: name of a further column with the average-method percentile rank of the value,
+    read off the same order (first and last position of equal values)."""
     if align not in ("value", "position"):
         raise ValueError("align must be 'value' or 'position'")
-    pos = positions(df, [col, key], cache=False, n=n_rows, n_buckets=n_buckets).drop("_total")
-    contrib = pos.select(F.explode(F.sequence(F.col("_before"),
-                                              F.col("_before") + (window - 1))).alias("_p"),
-                         F.col(col).alias("_v"))
-    win = (contrib.groupBy("_p")
-           .agg(F.count(F.lit(1)).alias("_k"), F.avg("_v").alias("_mean"),
-                F.stddev_samp("_v").alias("_std"), F.min("_v").alias("_min"),
-                F.max("_v").alias("_max"))
-           .filter(F.col("_k") == window))
     fill = fill or {}
+    rolled, firsts = _rolled(df, col, key, window, n_buckets)
+    stats = {f"{prefix}{s}": F.coalesce(F.col(f"_{s}"), F.lit(fill.get(s)).cast("double")) for s in STATS}
+    placed = rolled
+    if rank or align == "position":
+        placed = rolled.join(firsts, F.col("_piece") == F.col("_of")).withColumn("_p", F.col("_first") + F.col("_at"))
     if align == "value":
-        joined = pos.withColumnRenamed("_before", "_p").join(win, "_p", "left")
+        out = rolled.withColumns(stats)
     else:
         okeys = [order_key] if isinstance(order_key, str) else list(order_key or [key])
-        rows = positions(df, okeys, cache=False, n=n_rows).drop("_total").withColumnRenamed(
-            "_before", "_p")
-        joined = rows.join(win, "_p", "left")
-    return joined.withColumns({
-        f"{prefix}mean": F.coalesce(F.col("_mean"), F.lit(fill.get("mean"))).cast("double"),
-        f"{prefix}std": F.coalesce(F.col("_std"), F.lit(fill.get("std"))).cast("double"),
-        f"{prefix}min": F.coalesce(F.col("_min"), F.lit(fill.get("min"))).cast("double"),
-        f"{prefix}max": F.coalesce(F.col("_max"), F.lit(fill.get("max"))).cast("double"),
-    }).drop("_p", "_k", "_mean", "_std", "_min", "_max")
+        rows = positions(df, okeys, n_buckets=n_buckets).drop("_total").withColumnRenamed("_before", "_p")
+        out = rows.join(placed.select("_p", *[f"_{s}" for s in STATS]), "_p").withColumns(stats)
+    out = out.select(*df.columns, *stats)
+    if rank:
+        known = F.col(col).isNotNull() & ~F.isnan(F.col(col))
+        n = placed.agg(F.count_if(known).alias("n"), F.count_if(F.col(col).isNull()).alias("nulls")).first()
+        runs = (placed.where(known).groupBy(col).agg(F.min("_p").alias("_a"), F.max("_p").alias("_b")))
+        ranks = runs.select(col, (((F.col("_a") + F.col("_b")) / 2.0 + 1 - n["nulls"]) / F.lit(max(n["n"], 1))).alias(rank))
+        out = out.join(ranks, col, "left").select(*df.columns, *stats, rank)
+    return out

@@ -41,22 +41,27 @@ LABEL_COLUMNS = ["file_name", "hole_size", "n_rows", "mean", "std", "max", "min"
                  "total_criteria", "leak_status", "confidence", "method"]
 
 
-def labels_for(spark: SparkSession, sf_dir: str, policy: str, sensitivity: str = "balanced"):
+def labels_for(spark: SparkSession, sf_dir: str, policy: str, sensitivity: str = "balanced",
+               quantiles: str | None = None):
     raw = bridge.readings(spark, sf_dir)
     return label_files(valid_temperature(raw), policy, sensitivity,
-                       files=raw.select("file_name", "hole_size"))
+                       files=raw.select("file_name", "hole_size"), quantiles=quantiles)
+
+
+def _label_table(lab: DataFrame) -> DataFrame:
+    """The label columns with the file's quantiles, in the oracle's types."""
+    out = lab.select(*LABEL_COLUMNS, "temp_stats.q75", "temp_stats.q90", "temp_stats.q95",
+                     F.array_join("criteria_met", "; ").alias("criteria_text"))
+    out = out.withColumns({"n_rows": F.col("n_rows").cast("bigint"),
+                           "criteria_count": F.col("criteria_count").cast("int"),
+                           "total_criteria": F.col("total_criteria").cast("int"),
+                           "leak_status": F.col("leak_status").cast("int")})
+    return round_doubles(out)
 
 
 def _label_query(policy: str, sensitivity: str = "balanced"):
     def q(spark: SparkSession, sf_dir: str) -> DataFrame:
-        lab = labels_for(spark, sf_dir, policy, sensitivity)
-        out = lab.select(*[F.col(c) for c in LABEL_COLUMNS],
-                         F.array_join("criteria_met", "; ").alias("criteria_text"))
-        out = out.withColumns({"n_rows": F.col("n_rows").cast("bigint"),
-                               "criteria_count": F.col("criteria_count").cast("int"),
-                               "total_criteria": F.col("total_criteria").cast("int"),
-                               "leak_status": F.col("leak_status").cast("int")})
-        return round_doubles(out)
+        return _label_table(labels_for(spark, sf_dir, policy, sensitivity, quantiles="exact"))
     return q
 
 
@@ -261,6 +266,15 @@ def q_roc_curve(spark, sf_dir):
     return round_doubles(_ev.roc_curve(_scored(spark, sf_dir)))
 
 
+@register("roc_curve_corners", _vsql.ROC_CURVE_CORNERS)
+def q_roc_curve_corners(spark, sf_dir):
+    """The curve over line prices, coarse enough for straight runs, without their inner points."""
+    li = bridge.table(spark, sf_dir, "lineitem")
+    s = li.select(F.col("l_linestatus").alias("model"), (F.col("l_returnflag") == "R").cast("int").alias("label"),
+                  F.floor(F.col("l_extendedprice") / 2).cast("double").alias("score"))
+    return round_doubles(_ev.roc_curve(s, drop_collinear=True))
+
+
 @register("classification_report", _vsql.CLASSIFICATION_REPORT)
 def q_report(spark, sf_dir):
     return round_doubles(_ev.classification_report(_scored(spark, sf_dir)))
@@ -397,13 +411,7 @@ def q_ingest_ws(spark, sf_dir):
 def q_text_labels(spark, sf_dir):
     r = text_readings(spark, sf_dir, "whitespace").withColumnRenamed("node_number", "node_id")
     lab = label_files(r, "three")
-    out = lab.select(*[F.col(c) for c in LABEL_COLUMNS],
-                     F.array_join("criteria_met", "; ").alias("criteria_text"))
-    out = out.withColumns({"n_rows": F.col("n_rows").cast("bigint"),
-                           "criteria_count": F.col("criteria_count").cast("int"),
-                           "total_criteria": F.col("total_criteria").cast("int"),
-                           "leak_status": F.col("leak_status").cast("int")})
-    return round_doubles(out)
+    return _label_table(lab)
 
 
 # ---- 2.10 training and 2.12 scoring (no SQL oracle: rows-only check + pytest) ----------
@@ -452,13 +460,25 @@ def q_stream_labels(spark, sf_dir):
     q.awaitTermination()
     lab = spark.read.parquet(sink).withColumn(
         "file_name", F.regexp_extract("file_path", "file_name=([^/]+)/", 1))
-    out = lab.select(*[F.col(c) for c in LABEL_COLUMNS],
-                     F.array_join("criteria_met", "; ").alias("criteria_text"))
-    out = out.withColumns({"n_rows": F.col("n_rows").cast("bigint"),
-                           "criteria_count": F.col("criteria_count").cast("int"),
-                           "total_criteria": F.col("total_criteria").cast("int"),
-                           "leak_status": F.col("leak_status").cast("int")})
-    return round_doubles(out)
+    return _label_table(lab)
+
+
+@register("stream_labels_six", label_sql("six"))
+def q_stream_labels_six(spark, sf_dir):
+    """Reading files arrive in three waves in name order; after each wave the stream starts
+    again from its checkpoint.  The file index runs on from wave to wave, so labels with the
+    file-index boost equal those of the batch."""
+    raw = bridge.readings(spark, sf_dir)
+    number = F.substring("file_name", 2, 20).cast("double")
+    cuts = _ord.exact_quantiles(raw.select(number.alias("n")), "n", [1 / 3, 2 / 3], ["a", "b"]).first()
+    src = shared_dir(spark, "stream-src")
+    sink, ckpt = shared_dir(spark, "stream-labels"), shared_dir(spark, "stream-ckpt")
+    for wave in (number <= cuts["a"], (number > cuts["a"]) & (number <= cuts["b"]), number > cuts["b"]):
+        _sinks.write_reading_files(raw.where(wave), src, "whitespace", mode="append")
+        _stream.stream_label(spark, src, sink, ckpt, policy="six").awaitTermination()
+    lab = spark.read.parquet(sink).withColumn(
+        "file_name", F.regexp_extract("file_path", "file_name=([^/]+)/", 1))
+    return _label_table(lab)
 
 
 @register("stream_score_risk")

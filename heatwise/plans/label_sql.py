@@ -93,6 +93,8 @@ WITH {READINGS_CTE}, {VALID_CTE},
 s0 AS (SELECT file_name, hole_size, count(*) AS n_rows, avg(temperature) AS mean,
               max(temperature) AS max_t, min(temperature) AS min_t,
               stddev_samp(temperature) AS std, stddev_pop(temperature) AS std_pop,
+              quantile_cont(temperature, 0.75) AS q75, quantile_cont(temperature, 0.9) AS q90,
+              quantile_cont(temperature, 0.95) AS q95,
               sum(CASE WHEN temperature > {d(pol.threshold)} * {fac} THEN 1 ELSE 0 END) AS n_hot
        FROM valid GROUP BY file_name, hole_size){outl_cte},
 s1 AS (SELECT s0.*, {outl_col} FROM s0){idx_cte},
@@ -101,7 +103,7 @@ c AS (SELECT s.*, {count} AS cc, {total} AS tot,
              concat_ws('; ', {messages}) AS criteria_text FROM s)
 SELECT file_name, hole_size, CAST(n_rows AS BIGINT) AS n_rows,
        {rr('mean')} AS mean, {rr('std')} AS std, {rr('max_t')} AS max,
-       {rr('min_t')} AS min,
+       {rr('min_t')} AS min, {rr('q75')} AS q75, {rr('q90')} AS q90, {rr('q95')} AS q95,
        {rr('CAST(n_out AS DOUBLE) / n_rows')} AS outlier_ratio,
        {rr('CAST(n_hot AS DOUBLE) / n_rows')} AS high_temp_ratio,
        {rr('max_t - min_t')} AS temp_range,

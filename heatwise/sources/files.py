@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from heatwise.functions.exprs import hole_size_from_name, hole_size_from_path
-from heatwise.operators.common import DEFAULT_BROADCAST_ROWS, broadcast_if_small
+from heatwise.operators.common import materialize
 from heatwise.operators.labels import valid_temperature
 
 # Fixed values --------------------------------------------------------------------------
@@ -127,19 +127,16 @@ def _num(tok: Column) -> Column:
 
 
 def read_readings(spark: SparkSession, path, extensions=READING_EXTENSIONS,
-                  separators=SEPARATORS, valid_only: bool = True,
-                  max_broadcast_files: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+                  separators=SEPARATORS, valid_only: bool = True) -> DataFrame:
     """All reading files under ``path`` as one DataFrame:
     file_path, file_name, node_number (string), x, y, temperature."""
-    return parse_lines(read_lines(spark, path, extensions), separators, valid_only,
-                       max_broadcast_files)
+    return parse_lines(read_lines(spark, path, extensions), separators, valid_only)
 
 
-def parse_lines(lines: DataFrame, separators=SEPARATORS, valid_only: bool = True,
-                max_broadcast_files: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+def parse_lines(lines: DataFrame, separators=SEPARATORS, valid_only: bool = True) -> DataFrame:
     """Lines (value, file_path, _blk, _mid) -> readings; shared by batch and stream."""
     dec = separator_decisions(lines, separators).filter(F.col("accepted"))
-    dec = broadcast_if_small(dec.select("file_path", "sep_index"), max_broadcast_files)
+    dec, _ = materialize(dec.select("file_path", "sep_index"))      # its size is known before the join
     j = lines.join(dec, "file_path")
     toks = None
     for i, sep in enumerate(separators):

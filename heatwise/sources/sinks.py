@@ -14,7 +14,7 @@ READING_HEADER = "nodenumber,    x-coordinate,    y-coordinate,     temperature"
 
 
 def write_reading_files(df: DataFrame, root: str, fmt: str = "comma_header",
-                        node: str = "node_id") -> str:
+                        node: str = "node_id", mode: str = "overwrite") -> str:
     """Write readings as one text file per (hole_size, file_name) directory.
 
     ``comma_header``: padded comma fields with the header line first (like the real
@@ -42,7 +42,7 @@ def write_reading_files(df: DataFrame, root: str, fmt: str = "comma_header",
     (body.repartition("hole_size", "file_name")
          .sortWithinPartitions("hole_size", "file_name", "_ord")
          .select("hole_size", "file_name", "value")
-         .write.mode("overwrite").partitionBy("hole_size", "file_name").text(root))
+         .write.mode(mode).partitionBy("hole_size", "file_name").text(root))
     return root
 
 

@@ -90,10 +90,9 @@ def test_labels_do_not_depend_on_partitioning(spark):
     assert a == b
 
 
-def test_file_index_window_and_bucketed_paths_agree(spark):
+def test_file_index_follows_the_names_of_each_size(spark):
     from heatwise.operators.labels import file_index
-    rows = [(f"f{i:04d}", ["20mm", "25mm"][i % 2]) for i in range(500)]
-    df = spark.createDataFrame(rows, "file_name string, hole_size string").repartition(5)
-    a = sorted(tuple(r) for r in file_index(df).collect())
-    b = sorted(tuple(r) for r in file_index(df, window_limit=0).collect())
-    assert a == b and max(r[2] for r in a) == 249
+    rows = [(f"f{i:04d}", ["20mm", "25mm", None][i % 3]) for i in range(600)]
+    df = spark.createDataFrame(rows + rows[:50], "file_name string, hole_size string").repartition(5)
+    got = {(r.file_name, r.hole_size): r.file_idx for r in file_index(df).collect()}
+    assert got == {(name, size): i // 3 for i, (name, size) in enumerate(rows)}

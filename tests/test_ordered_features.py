@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from heatwise.functions.exprs import equal_width_bin, temp_category
 from heatwise.operators.eda import histogram
-from heatwise.operators.ordered import exact_quantiles, positions, rank_pct, rolling_stats
+from heatwise.operators.ordered import (exact_quantiles, positions, rank_pct, rolling_stats,
+                                        sorted_pieces)
 
 
 def data(n=3000, hot_share=0.34, seed=0):
@@ -27,23 +28,24 @@ def test_positions_exact_with_hot_value(spark, buckets, parts):
     assert len(m) == len(pdf) and (m["_before"] == m["_before_e"]).all()
 
 
-def test_positions_hot_value_is_split_across_buckets(spark):
-    pdf = data()
-    df = spark.createDataFrame(pdf)
-    from heatwise.operators import ordered
-    captured = {}
-    orig = ordered._bucket_expr
-
-    def spy(key, edges, asc):
-        captured["edges"] = len(edges)
-        return orig(key, edges, asc)
-    ordered._bucket_expr = spy
-    try:
-        b = positions(df, ["temperature", "node_id"], n_buckets=16)
-        b.count()
-    finally:
-        ordered._bucket_expr = orig
-    assert captured["edges"] >= 8   # composite edges exist inside the hot value's run
+def test_hot_value_is_split_across_pieces(spark):
+    df = spark.createDataFrame(data())
+    rows = sorted_pieces(df, ["temperature", "node_id"], n_pieces=16)
+    hot = rows.where("temperature = 305.0").groupBy("_piece").count().collect()
+    assert len(hot) >= 4 and max(r["count"] for r in hot) < 600
+
+
+def test_positions_by_group_with_weights_and_carried_columns(spark):
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame({"g": rng.choice(["a", "b"], 900), "k": np.arange(900), "w": rng.integers(0, 9, 900)})
+    df = spark.createDataFrame(pdf).withColumn("g", F.when(F.col("g") == "a", F.col("g")))
+    for n in (1, 2, 7, 40):
+        got = positions(df, "k", ["g"], weights=["w"], carry=["w"], n_buckets=n).toPandas().sort_values("k")
+        for g in (got[got.g.isna()], got[got.g == "a"]):
+            assert (g["_before_w"].to_numpy() == g["w"].cumsum().to_numpy() - g["w"].to_numpy()).all()
+            assert set(g["_total_w"]) == {g["w"].sum()}
+            prev = g["_prev_w"].to_numpy()
+            assert np.isnan(prev[0]) and (prev[1:] == g["w"].to_numpy()[:-1]).all()
 
 
 def test_rank_pct_matches_pandas(spark):
@@ -165,18 +167,11 @@ def test_full_features_with_the_reference_rolling_alignment(spark):
     assert np.allclose(m["temp_rolling_mean"], m["mean"]) and np.allclose(m["temp_rolling_min"], m["least"])
 
 
-def test_positions_many_buckets_binary_search_path(spark):
-    from heatwise.operators import ordered
+def test_positions_many_pieces_and_descending(spark):
     pdf = data(6000)
     df = spark.createDataFrame(pdf).repartition(4)
-    old = ordered.TREE_MAX_EDGES
-    ordered.TREE_MAX_EDGES = 8                      # force the broadcast-array path
-    try:
-        got = positions(df, ["temperature", "node_id"], n_buckets=300).toPandas()
-        desc = positions(df, ["temperature", "node_id"], n_buckets=300,
-                         ascending=False).toPandas()
-    finally:
-        ordered.TREE_MAX_EDGES = old
+    got = positions(df, ["temperature", "node_id"], n_buckets=100).toPandas()
+    desc = positions(df, ["temperature", "node_id"], n_buckets=100, ascending=False).toPandas()
     exp = pdf.sort_values(["temperature", "node_id"]).reset_index(drop=True)
     exp["_before_e"] = np.arange(len(exp))
     m = got.merge(exp, on=["node_id", "temperature"])
@@ -197,6 +192,7 @@ def test_rolling_repair_across_tiny_buckets(spark, buckets):
                         fill={"mean": -1.0, "std": -1.0, "min": -1.0, "max": -1.0},
                         n_buckets=buckets).toPandas()
     m = got.merge(exp, on="node_id")
+    assert len(m) == len(pdf)
     assert np.allclose(m["temp_rolling_mean"], m["mean"], atol=1e-9)
     assert np.allclose(m["temp_rolling_std"], m["std"], atol=1e-7)
     assert (m["temp_rolling_min"] == m["mn"]).all()

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from heatwise.functions.exprs import equal_width_bin, flag, temp_category
-from heatwise.operators.ordered import rank_pct, rolling_stats, rolling_window_size
-from heatwise.operators.ranks import column_quantiles
+from heatwise.operators.ordered import ValueOrder, rank_pct, rolling_window_size, value_order
+from heatwise.operators.ranks import column_quantiles, exact_quantiles
 from heatwise.policies import AMBIENT_K
 
 # Fixed values of the feature set.
@@ -158,21 +158,35 @@ def zscore_exprs(stats: dict, temp: str = "temperature") -> dict:
     return {"temp_zscore": F.lit(0.0), "temp_zscore_abs": F.lit(0.0), "is_temp_outlier": F.lit(0)}
 
 
-def global_stats(df: DataFrame, temp: str = "temperature", x: str = "x", y: str = "y",
-                 quantiles: bool = True, others=()) -> dict:
-    """One aggregate row (count, mean, sample sigma, min/max of T/x/y), plus the exact median
-    of T and quartiles of the distance, found by the same counting passes."""
-    t = F.col(temp)
-    dist = F.sqrt(F.col(x) * F.col(x) + F.col(y) * F.col(y))
-    row = df.agg(F.count(t).alias("n"), F.count(F.lit(1)).alias("n_all"), F.avg(t).alias("t_mean"),
-                 F.stddev_samp(t).alias("t_std"), F.min(t).alias("t_min"),
-                 F.max(t).alias("t_max"), F.min(x).alias("x_min"), F.max(x).alias("x_max"),
-                 F.min(y).alias("y_min"), F.max(y).alias("y_max"),
-                 *_input_checks(temp, x, y, others)).first().asDict()
-    if quantiles:
-        got = column_quantiles(df.select(t.alias("t"), dist.alias("d")), {"t": [0.5], "d": [0.25, 0.75]})
-        row["t_median"], (row["d_q25"], row["d_q75"]) = got["t"][0], got["d"]
-    return row
+def global_stats(df: DataFrame, temp: str = "temperature", x: str = "x", y: str = "y", others=()) -> dict:
+    """One aggregate row: count, mean, sample sigma, min/max of T, x, y and the distance."""
+    t, dist = F.col(temp), _distance(x, y)
+    return df.agg(F.count(t).alias("n"), F.count(F.lit(1)).alias("n_all"), F.avg(t).alias("t_mean"),
+                  F.stddev_samp(t).alias("t_std"), F.min(t).alias("t_min"),
+                  F.max(t).alias("t_max"), F.min(x).alias("x_min"), F.max(x).alias("x_max"),
+                  F.min(y).alias("y_min"), F.max(y).alias("y_max"),
+                  F.min(dist).alias("d_min"), F.max(dist).alias("d_max"),
+                  F.count_if(dist.isNotNull() & ~F.isnan(dist)).alias("d_n"), F.count_if(F.isnan(dist)).alias("d_nan"),
+                  *_input_checks(temp, x, y, others)).first().asDict()
+
+
+def _distance(x: str, y: str) -> Column:
+    return F.sqrt(F.col(x) * F.col(x) + F.col(y) * F.col(y))
+
+
+def order_stats(df: DataFrame, stats: dict, temp: str, x: str, y: str, order: ValueOrder | None) -> dict:
+    """Exact median of T and quartiles of the distance.  With the rows' order by T at hand the
+    median is read off it, and the distance is selected over the written rows."""
+    if order is None or stats["n"] != stats["n_all"]:
+        got = column_quantiles(df.select(F.col(temp).alias("t"), _distance(x, y).alias("d")), {"t": [0.5], "d": [0.25, 0.75]})
+        return {"t_median": got["t"][0], "d_q25": got["d"][0], "d_q75": got["d"][1]}
+    low, high = order.values_at([(stats["n"] - 1) // 2, stats["n"] // 2])
+    known = None
+    if not stats["d_nan"]:
+        known = df.sparkSession.createDataFrame([(stats["d_n"], stats["d_min"], stats["d_max"])], "n long, _lo double, _hi double")
+    dist = order.rows.select(_distance(x, y).alias("d"))
+    q = exact_quantiles(dist, "d", [0.25, 0.75], ["a", "b"], known=known).first()
+    return {"t_median": low if low == high else high - (high - low) * 0.5, "d_q25": q["a"], "d_q75": q["b"]}
 
 
 def _input_checks(temp: str, x: str, y: str, others=()) -> list:
@@ -277,8 +291,13 @@ def engineer_features(df: DataFrame, level: str = "basic", key: str = "node_id",
     if level not in LEVELS:
         raise ValueError(f"level must be one of {LEVELS}")
     other_nums = [c for c in numeric_columns(df) if c not in (temp, x, y)]
-    stats = global_stats(df, temp, x, y, quantiles=True, others=other_nums) if level == "full" else None
-    levels = hole_size_levels(df) if "hole_size" in df.columns else None
+    stats = global_stats(df, temp, x, y, others=other_nums) if level == "full" else None
+    order = None
+    if level == "full":
+        if stats["n"] > ROLLING_MIN_ROWS:
+            order = value_order(df, temp, key, rolling_window_size(stats["n"], ROLLING_MAX_WINDOW))
+        stats.update(order_stats(df, stats, temp, x, y, order))
+    levels = hole_size_levels(order.rows if order else df) if "hole_size" in df.columns else None
     fills = {}
     checks = stats if stats is not None else \
         df.agg(*_input_checks(temp, x, y, other_nums)).first().asDict()
@@ -294,14 +313,11 @@ def engineer_features(df: DataFrame, level: str = "basic", key: str = "node_id",
         # in every row -- their median is undefined and the reference leaves them NaN.
     base = df
     if level == "full":
-        n = stats["n"]
-        if n > ROLLING_MIN_ROWS:
-            w = rolling_window_size(n, ROLLING_MAX_WINDOW)
-            base = rolling_stats(base, temp, key, w, fill={"mean": stats["t_mean"],
-                                                           "std": stats["t_std"],
-                                                           "min": stats["t_min"],
-                                                           "max": stats["t_max"]},
-                                 align=rolling_align, rank="temp_percentile_rank")
+        if order is not None:
+            fill = {"mean": stats["t_mean"], "std": stats["t_std"], "min": stats["t_min"], "max": stats["t_max"]}
+            base = order.aligned("temp_rolling_", fill, rolling_align, key)
+            ranks = order.ranks("temp_percentile_rank", stats["n"], stats["n_all"] - stats["n"])
+            base = base.join(ranks, temp, "left").select(*base.columns, "temp_percentile_rank")
         else:
             base = rank_pct(base, temp, "temp_percentile_rank")
     out = _row_features(base, level, temp, x, y, stats, levels, clean_inputs)

@@ -9,6 +9,7 @@ value that holds a third of all rows is cut into many pieces.  There is one plan
 from __future__ import annotations
 
 from collections import deque
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -167,8 +168,53 @@ def _rolling(names: list[str], col: str, window: int):
     return run
 
 
-def _rolled(df: DataFrame, col: str, key: str, window: int, n_pieces: int | None):
-    """(rows with _piece, _at and the statistics, pieces with their first position).
+@dataclass
+class ValueOrder:
+    """Rows of a frame in the order of a value, written once, and what can be read off it."""
+    columns: list[str]
+    col: str
+    rows: DataFrame              # as written: columns, _piece, _at, window statistics
+    rolled: DataFrame            # the same with the statistics at the pieces' edges
+    firsts: DataFrame            # (_of, _size, _first) of each piece
+    pieces: list[tuple]          # the same on the driver, one entry a piece
+
+    def placed(self) -> DataFrame:
+        """The rolled rows with their 0-based position ``_p``."""
+        return self.rolled.join(self.firsts, F.col("_piece") == F.col("_of")).withColumn("_p", F.col("_first") + F.col("_at"))
+
+    def values_at(self, positions) -> list:
+        """The values at some 0-based positions."""
+        spots = [(p, i - first) for i in positions for p, size, first in self.pieces if first <= i < first + size]
+        hit = F.lit(False)
+        for p, at in set(spots):
+            hit = hit | ((F.col("_piece") == p) & (F.col("_at") == at))
+        found = {(r["_piece"], r["_at"]): r["v"] for r in self.rows.where(hit).select("_piece", "_at", F.col(self.col).alias("v")).collect()}
+        return [found[s] for s in spots]
+
+    def statistics(self, prefix: str = "temp_rolling_", fill: dict | None = None) -> dict[str, Column]:
+        """Columns of the window statistics; ``fill`` stands where no window ends."""
+        return {f"{prefix}{s}": F.coalesce(F.col(f"_{s}"), F.lit((fill or {}).get(s)).cast("double")) for s in STATS}
+
+    def ranks(self, out: str, values: int, nulls: int = 0) -> DataFrame:
+        """(value, average-method percentile rank), from the first and last position of equal
+        values; ``values`` and ``nulls`` are the rows with and without a value."""
+        known = F.col(self.col).isNotNull() & ~F.isnan(F.col(self.col))
+        runs = self.placed().where(known).groupBy(self.col).agg(F.min("_p").alias("_a"), F.max("_p").alias("_b"))
+        return runs.select(self.col, (((F.col("_a") + F.col("_b")) / 2.0 + 1 - nulls) / F.lit(max(values, 1))).alias(out))
+
+    def aligned(self, prefix: str, fill: dict | None, align: str, order_key, n_buckets: int | None = None) -> DataFrame:
+        """The frame's rows with the window statistics: see :func:`rolling_stats`."""
+        stats = self.statistics(prefix, fill)
+        if align == "value":
+            return self.rolled.withColumns(stats).select(*self.columns, *stats)
+        okeys = [order_key] if isinstance(order_key, str) else list(order_key)
+        rows = positions(self.rows.select(*self.columns), okeys, n_buckets=n_buckets).drop("_total").withColumnRenamed("_before", "_p")
+        joined = rows.join(self.placed().select("_p", *[f"_{s}" for s in STATS]), "_p")
+        return joined.withColumns(stats).select(*self.columns, *stats)
+
+
+def value_order(df: DataFrame, col: str, key: str, window: int, n_pieces: int | None = None) -> ValueOrder:
+    """One range exchange of the rows by (col, key); windows run inside the sorted pieces.
 
     The first window - 1 rows of a piece need the last rows of the pieces before, also through
     pieces shorter than that.  Those edge rows, at most 2 * (window - 1) for each piece, are
@@ -187,8 +233,9 @@ def _rolled(df: DataFrame, col: str, key: str, window: int, n_pieces: int | None
         pieces.append((p, sizes[p], first))
         first += sizes[p]
     firsts = spark.createDataFrame(pieces, "_of int, _size long, _first long")
+    order = ValueOrder(df.columns, col, rows, rows, firsts, pieces)
     if window < 2 or len(pieces) < 2:
-        return rows, firsts
+        return order
     edge = (rows.select("_piece", "_at", F.col(col).cast("double").alias("v")).join(firsts, F.col("_piece") == F.col("_of"))
             .where((F.col("_at") < window - 1) | (F.col("_at") >= F.col("_size") - (window - 1))))
     values = {(r["_piece"], r["_at"]): float("nan") if r["v"] is None else r["v"] for r in edge.collect()}
@@ -205,13 +252,14 @@ def _rolled(df: DataFrame, col: str, key: str, window: int, n_pieces: int | None
         carried.extend(values[p, i] for i in range(max(size - (window - 1), 0), size))
     edges = spark.createDataFrame(mended, "_of int, _row long, _e_mean double, _e_std double, _e_min double, _e_max double")
     joined = rows.join(edges, (F.col("_piece") == F.col("_of")) & (F.col("_at") == F.col("_row")), "left")
-    return joined.select(*df.columns, "_piece", "_at", *[F.coalesce(f"_{s}", f"_e_{s}").alias(f"_{s}") for s in STATS]), firsts
+    order.rolled = joined.select(*df.columns, "_piece", "_at", *[F.coalesce(f"_{s}", f"_e_{s}").alias(f"_{s}") for s in STATS])
+    return order
 
 
 def rolling_stats(df: DataFrame, col: str = "temperature", key: str = "node_id",
                   window: int = 5, prefix: str = "temp_rolling_",
                   fill: dict | None = None, align: str = "value",
-                  order_key=None, n_buckets: int | None = None, rank: str | None = None) -> DataFrame:
+                  order_key=None, n_buckets: int | None = None) -> DataFrame:
     """Rolling mean / sample std / min / max over the value-sorted sequence.
 
     ``align="value"`` (default): each row gets the window ending at its own position in
@@ -221,29 +269,7 @@ def rolling_stats(df: DataFrame, col: str = "temperature", key: str = "node_id",
     take ``fill`` (the global statistics in the reference).
 
     Plan: one range exchange of the rows; windows run inside the sorted partitions and the
-    partition edges are mended from a few carried rows, so no row is multiplied.
-
-    ``rank``: name of a further column with the average-method percentile rank of the value,
-    read off the same order (first and last position of equal values)."""
+    partition edges are mended from a few carried rows, so no row is multiplied."""
     if align not in ("value", "position"):
         raise ValueError("align must be 'value' or 'position'")
-    fill = fill or {}
-    rolled, firsts = _rolled(df, col, key, window, n_buckets)
-    stats = {f"{prefix}{s}": F.coalesce(F.col(f"_{s}"), F.lit(fill.get(s)).cast("double")) for s in STATS}
-    placed = rolled
-    if rank or align == "position":
-        placed = rolled.join(firsts, F.col("_piece") == F.col("_of")).withColumn("_p", F.col("_first") + F.col("_at"))
-    if align == "value":
-        out = rolled.withColumns(stats)
-    else:
-        okeys = [order_key] if isinstance(order_key, str) else list(order_key or [key])
-        rows = positions(df, okeys, n_buckets=n_buckets).drop("_total").withColumnRenamed("_before", "_p")
-        out = rows.join(placed.select("_p", *[f"_{s}" for s in STATS]), "_p").withColumns(stats)
-    out = out.select(*df.columns, *stats)
-    if rank:
-        known = F.col(col).isNotNull() & ~F.isnan(F.col(col))
-        n = placed.agg(F.count_if(known).alias("n"), F.count_if(F.col(col).isNull()).alias("nulls")).first()
-        runs = (placed.where(known).groupBy(col).agg(F.min("_p").alias("_a"), F.max("_p").alias("_b")))
-        ranks = runs.select(col, (((F.col("_a") + F.col("_b")) / 2.0 + 1 - n["nulls"]) / F.lit(max(n["n"], 1))).alias(rank))
-        out = out.join(ranks, col, "left").select(*df.columns, *stats, rank)
-    return out
+    return value_order(df, col, key, window, n_buckets).aligned(prefix, fill, align, order_key or key, n_buckets)

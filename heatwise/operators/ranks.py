@@ -18,10 +18,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from heatwise.operators.common import materialize
+from heatwise.operators.common import track
 
 CELLS = 1024
-FINE = 10_000
+FINE = 100_000
 
 
 def _linear(x: Column, lo: Column, hi: Column, whole: bool) -> Column:
@@ -75,30 +75,45 @@ def _within(rows: DataFrame, col: str, ranges: DataFrame, keys: list[str]) -> Da
     return kept.withColumns({"_lo": lo, "_hi": hi}).where(F.col("_lo").isNotNull())
 
 
-def values_at(df: DataFrame, col: str, ranks: Callable[[Column], Column], group_cols=(), by=()) -> DataFrame:
+def _whole(kind: T.DataType) -> bool:
+    return not isinstance(kind, (T.DoubleType, T.FloatType, T.DecimalType))
+
+
+def values_at(df: DataFrame, col: str, ranks: Callable[[Column], Column], group_cols=(),
+              known: DataFrame | None = None) -> DataFrame:
     """(group..., n, rank, value): the value at each rank of a group's sorted values.
 
     ``ranks`` gives an array of 0-based ranks from the group's count of values.  Nulls and NaN
-    are no values.  With ``by``, rows are ordered by (col, *by) and ``value`` is the struct of
-    these at the rank; rows that agree in all of them stand together at their first one's rank.
-    """
-    keys, by = list(group_cols), list(by)
-    kind = df.schema[col].dataType
-    whole = not isinstance(kind, (T.DoubleType, T.FloatType, T.DecimalType))
+    are no values.  ``known``: (group..., n, _lo, _hi), the count, least and greatest value of
+    each group, where the caller has them already."""
+    keys = list(group_cols)
     x = F.col(col)
-    rows = df.select(*keys, col, *by).where(x.isNotNull() if whole else x.isNotNull() & ~F.isnan(x))
-    stats = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(x).alias("_lo"), F.max(x).alias("_hi"))
+    rows = df.select(*keys, col).where(x.isNotNull() if _whole(df.schema[col].dataType) else x.isNotNull() & ~F.isnan(x))
+    stats = known if known is not None else rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.min(x).alias("_lo"), F.max(x).alias("_hi"))
     want = stats.where("n > 0").select(
         *keys, "n", F.explode(F.array_distinct(ranks(F.col("n")).cast("array<bigint>"))).alias("rank"), "_lo", "_hi",
         F.lit(0).cast("long").alias("_before"), F.col("n").alias("_rows"))
-    want, _ = materialize(want.where((F.col("rank") >= 0) & (F.col("rank") < F.col("n"))))
+    return narrowed(rows, col, want.where((F.col("rank") >= 0) & (F.col("rank") < F.col("n"))), keys)
+
+
+def narrowed(rows: DataFrame, col: str, want: DataFrame, keys: list[str], by=()) -> DataFrame:
+    """The counting passes.  ``want``: (group..., n, rank, _lo, _hi, _before, _rows), a range of
+    values known to hold the rank, with the rows before it and in it.
+
+    With ``by``, rows are ordered by (col, *by) and ``value`` is the struct of these at the
+    rank; rows that agree in all of them stand together at their first one's rank."""
+    whole, by, x = _whole(rows.schema[col].dataType), list(by), F.col(col)
+    want = track(want.persist())
     wide = (F.col("_lo") < F.col("_hi")) & (F.col("_rows") > FINE)
     logs, before = False, None
     while True:
-        ranges = want.where(wide).select(*keys, "_lo", "_hi", "_before", "_rows").distinct()
-        left = ranges.agg(F.sum("_rows")).first()[0]
+        left, few, hot = want.agg(
+            F.sum(F.when(wide, F.col("_rows"))), F.count_if((F.col("_rows") <= FINE) & ((F.col("_lo") < F.col("_hi")) | bool(by))),
+            F.count_if((F.col("_rows") > FINE) & ~wide)).first()
         if not left:
             break
+        ranges = want.where(wide).select(*keys, "_lo", "_hi", "_before", "_rows").distinct()
         logs = not logs and before is not None and left * 8 > before
         before = left
         cell = _cell(x, F.col("_lo"), F.col("_hi"), whole, logs)
@@ -113,12 +128,13 @@ def values_at(df: DataFrame, col: str, ranks: Callable[[Column], Column], group_
                                              at < F.col("_below") + F.col("_c")])
                  .select(*keys, "n", "rank", F.col("_a").alias("_lo"), F.col("_b").alias("_hi"),
                          (F.col("_before") + F.col("_below")).alias("_before"), F.col("_c").alias("_rows")))
-        want, _ = materialize(want.where(~wide).unionByName(found))
+        want = track(want.where(~wide).unionByName(found).persist())
     if by:
-        return _tuples_at(rows, col, by, want, keys)
+        return _tuples_at(rows, col, by, want, keys, hot)
     flat = want.where(~(F.col("_lo") < F.col("_hi"))).select(*keys, "n", "rank", F.col("_lo").alias("value"))
-    few = want.where(F.col("_lo") < F.col("_hi"))
-    return flat.unionByName(_read_out(rows, col, x, few, keys))
+    if not few:
+        return flat
+    return flat.unionByName(_read_out(rows, col, x, want.where(F.col("_lo") < F.col("_hi")), keys))
 
 
 def _read_out(rows: DataFrame, col: str, value: Column, few: DataFrame, keys: list[str]) -> DataFrame:
@@ -131,10 +147,12 @@ def _read_out(rows: DataFrame, col: str, value: Column, few: DataFrame, keys: li
             .select(*keys, "n", "rank", F.get("_all", (F.col("rank") - F.col("_before")).cast("int")).alias("value")))
 
 
-def _tuples_at(rows: DataFrame, col: str, by: list[str], want: DataFrame, keys: list[str]) -> DataFrame:
+def _tuples_at(rows: DataFrame, col: str, by: list[str], want: DataFrame, keys: list[str], hot: int) -> DataFrame:
     whole = F.struct(col, *by)
     few = F.col("_rows") <= FINE
     read = _read_out(rows, col, whole, want.where(few), keys)
+    if not hot:
+        return read
     hot = want.where(~few)                                  # more than FINE rows of one value
     least = (_within(rows, col, hot.select(*keys, "_lo", "_hi").distinct(), keys).groupBy(*keys, "_lo")
              .agg(F.min(whole).alias("value")).withColumnRenamed("_lo", "_from"))
@@ -148,9 +166,9 @@ def _lerp(lo: Column, hi: Column, t: Column) -> Column:
     return F.when(t >= 0.5, hi - d * (F.lit(1.0) - t)).otherwise(lo + d * t)
 
 
-def exact_quantiles(df: DataFrame, col: str, probs, names=None, group_cols=()) -> DataFrame:
+def exact_quantiles(df: DataFrame, col: str, probs, names=None, group_cols=(), known=None) -> DataFrame:
     """Exact linear-interpolation quantiles (pandas/numpy ``linear``), one row per group; one
-    row of nulls for a frame without values and without groups."""
+    row of nulls for a frame without values and without groups.  ``known`` as in ``values_at``."""
     probs = [float(p) for p in probs]
     names = list(names) if names else [f"q{int(round(p * 100)):02d}" for p in probs]
     keys = list(group_cols)
@@ -158,7 +176,7 @@ def exact_quantiles(df: DataFrame, col: str, probs, names=None, group_cols=()) -
     def place(n, p):
         return (n - 1) * F.lit(p)
     found = values_at(df.withColumn(col, F.col(col).cast("double")), col, lambda n: F.array(
-        *[f(place(n, p)).cast("long") for p in probs for f in (F.floor, F.ceil)]), keys)
+        *[f(place(n, p)).cast("long") for p in probs for f in (F.floor, F.ceil)]), keys, known)
     n, rank, value = F.col("n"), F.col("rank"), F.col("value")
     aggs = [F.max(F.when(rank == f(place(n, p)), value)).alias(f"_{nm}_{side}")
             for p, nm in zip(probs, names) for side, f in (("lo", F.floor), ("hi", F.ceil))]
@@ -168,6 +186,30 @@ def exact_quantiles(df: DataFrame, col: str, probs, names=None, group_cols=()) -
         for p, nm in zip(probs, names)])
 
 
+HASH_BITS = 12
+
+
+def hash_cells(rows: DataFrame, col: str, keys: list[str]) -> DataFrame:
+    """(group..., _c, _a, _b, _below, n): rows, least and greatest value of each of 4096 equal
+    cells of a 64-bit hash, the group's rows in cells below, and the group's rows."""
+    x = F.col(col)
+    cell = F.shiftright(x, 64 - HASH_BITS)
+    cells = rows.groupBy(*keys, cell.alias("_cell")).agg(F.count(F.lit(1)).alias("_c"), F.min(x).alias("_a"), F.max(x).alias("_b"))
+    group = Window.partitionBy(*(keys or [F.col("_cell").isNull()]))
+    below = F.sum("_c").over(group.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1))
+    return track(cells.withColumns({"_below": F.coalesce(below, F.lit(0)), "n": F.sum("_c").over(group)}).persist())
+
+
+def tuples_at(rows: DataFrame, col: str, by, cells: DataFrame, ranks: Column, keys: list[str]) -> DataFrame:
+    """(group..., n, rank, value): the struct (col, *by) at each of a group's ``ranks``, from its
+    :func:`hash_cells`; ranks past the end give no row."""
+    rank = F.col("rank")
+    want = (cells.withColumn("rank", F.explode(ranks)).where((rank >= F.col("_below")) & (rank < F.col("_below") + F.col("_c")))
+            .select(*keys, "n", "rank", F.col("_a").alias("_lo"), F.col("_b").alias("_hi"),
+                    F.col("_below").alias("_before"), F.col("_c").alias("_rows")))
+    return narrowed(rows, col, want, keys, by)
+
+
 def column_quantiles(df: DataFrame, probs: dict[str, list[float]]) -> dict[str, list]:
     """Exact quantiles of several columns by the same passes: {column: [value of each prob]}.
 

@@ -13,7 +13,7 @@ def rows(spark, n=3000):
                                  .alias("leak_status"), F.lit("payload").alias("other"))
 
 
-@pytest.mark.parametrize("fine", [5, 10_000])
+@pytest.mark.parametrize("fine", [5, 100_000])
 @pytest.mark.parametrize("key", ["node_id", ["file", "node_id"]])
 def test_members_are_the_first_of_the_seeded_order(spark, monkeypatch, fine, key):
     monkeypatch.setattr(ranks, "FINE", fine)

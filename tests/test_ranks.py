@@ -16,7 +16,7 @@ def check(spark, values, monkeypatch, fine):
     assert list(got) == pytest.approx(want.tolist(), rel=1e-15, abs=0), fine
 
 
-@pytest.mark.parametrize("fine", [1, 20, 10_000])
+@pytest.mark.parametrize("fine", [20, 100_000])
 def test_quantiles_of_awkward_values(spark, monkeypatch, fine):
     rng = np.random.default_rng(2)
     hot = np.where(rng.random(4000) < 0.4, 305.0, rng.normal(310, 8, 4000))

@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import gc
 import re
+import sys
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -41,14 +42,15 @@ ROWS_AT_ONCE = 1_000
 CACHED_CHUNKS = 400_000
 LONG = 64                   # longer chunks are not cached
 _LATIN = "\u024f"
-_MARK_BEHIND_LETTER = re.compile(r"[.,;:!?](?<=[^\W\d_].)").sub
 
 
 class Tokens:
     """Token ids of texts as uint32 bytes (little-endian, as all platforms Spark runs on here).
 
     A mark behind a letter is a word of its own to the tokenizer and letter case is dropped,
-    so texts are cut there and plain ASCII is lowered before the lookup.  For chunks of
+    so texts are cut there and plain ASCII is lowered before the lookup.  Letters whose
+    normalised form ends in something else (a combining mark, which the tokenizer joins with
+    the mark behind it) are found with the file's own normaliser and not cut behind.  For chunks of
     lower-case Latin letters the file's normaliser and splitter change nothing; they go to
     a copy of the tokenizer without them.  With ``added``, the file's added tokens in a text
     get their own ids (the library's default); else they are ordinary characters.
@@ -65,6 +67,10 @@ class Tokens:
         self.whole.encode_special_tokens = True
         level = next(p for p in rules["pre_tokenizer"]["pretokenizers"] if p["type"] == "ByteLevel")
         self.plain = Tokenizer.from_str(json.dumps(rules | {"normalizer": None, "pre_tokenizer": level}))
+        normal = self.whole.normalizer.normalize_str if self.whole.normalizer else str
+        letter = re.compile(r"[^\W\d_]").fullmatch
+        odd = [c for c in map(chr, range(sys.maxunicode + 1)) if letter(c) and not letter(normal(c)[-1:])]
+        self.behind_letter = re.compile(r"[.,;:!?](?<=[^\W\d_" + "".join(map(re.escape, odd)) + "].)").sub
         self.ends_word = np.zeros(max(rules["model"]["vocab"].values()) + 1, dtype=bool)
         suffix = rules["model"]["end_of_word_suffix"]
         self.ends_word[[i for t, i in rules["model"]["vocab"].items() if t.endswith(suffix)]] = True
@@ -97,9 +103,8 @@ class Tokens:
         for chunk, got in zip(hard, self.whole.encode_batch_fast(hard, add_special_tokens=False)):
             known[chunk] = array("I", got.ids).tobytes()
 
-    @staticmethod
-    def _chunks(text: str) -> list[str]:
-        text = _MARK_BEHIND_LETTER(r" \g<0>", text.lower() if text.isascii() else text)
+    def _chunks(self, text: str) -> list[str]:
+        text = self.behind_letter(r" \g<0>", text.lower() if text.isascii() else text)
         return text.replace("\n", " ").split(" ")
 
     def encode(self, texts: list[str], end: int) -> list[bytes]:

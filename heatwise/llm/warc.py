@@ -42,6 +42,7 @@ from heatwise.llm.scratch import Scratch
 
 ARCHIVE_BYTES = 32 << 20
 _STEP = 1 << 14
+_FIRST_STEP = 1 << 12
 DATE = "2000-01-01T00:00:00Z"
 URN = "urn:page:"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -145,10 +146,16 @@ def _inflate(data: bytes, at: int, most: int | None = None) -> tuple[bytes, int,
 def _member(data: bytes, at: int) -> tuple[list[dict | str], int, str | None]:
     """(records and reasons of gaps, end, failure) of the gzip member at ``at``; after a
     failure, end is where the last good record had come out."""
-    inflate = zlib.decompressobj(31)
+    inflate, parts, last, step = zlib.decompressobj(31), [], at, _FIRST_STEP
+    view = memoryview(data)
     try:
-        plain = inflate.decompress(memoryview(data)[at:])
-        failure = None if inflate.eof else "member is cut off"
+        # steps grow with the member, so what is read past its end stays in proportion to it
+        while last < len(data) and not inflate.eof:
+            part = view[last:last + step]
+            parts.append(inflate.decompress(part))
+            last += len(part) - len(inflate.unused_data)
+            step = min(2 * step, _STEP)
+        plain, failure = b"".join(parts), None if inflate.eof else "member is cut off"
     except zlib.error:
         plain, _, failure = _inflate(data, at)
     out, place, why, good = [], 0, None, 0
@@ -173,7 +180,7 @@ def _member(data: bytes, at: int) -> tuple[list[dict | str], int, str | None]:
         return out, _inflate(data, at, good)[1], failure
     if place < len(plain):
         out.append(f"{why} (inflated bytes {place} to {len(plain)})")
-    return out, len(data) - len(inflate.unused_data), None
+    return out, last, None
 
 
 def _starts(data: bytes, at: int, packed: bool) -> Iterator[int]:
@@ -279,39 +286,58 @@ _READ = ("kind string, path string, start long, end long, reason string, record_
          "refers_to string, target_uri string, payload_digest string, payload_bytes long, payload binary")
 
 
+def _rows(path: str, data: bytes, with_payload: bool) -> Iterator[pa.RecordBatch]:
+    """The records and gaps of one archive."""
+    names = [part.split()[0] for part in _READ.split(", ")]
+    kinds = {"start": pa.int64(), "end": pa.int64(), "payload_bytes": pa.int64(), "payload": pa.binary()}
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array([r.get(n) for r in rows], kinds.get(n, pa.string())) for n in names], names)
+
+    rows, size = [], 0
+    for kind, start, end, reason, found in salvage(data):
+        row = {"kind": kind, "path": path, "start": start, "end": end, "reason": reason, **(found or {})}
+        if not with_payload:
+            row["payload"] = None
+        rows.append(row)
+        size += len(row.get("payload") or b"")
+        if size > ARCHIVE_BYTES or len(rows) >= 10_000:
+            yield batch()
+            rows, size = [], 0
+    if rows:
+        yield batch()
+
+
 def read_archives(spark, folder: str, with_payload: bool = True) -> DataFrame:
     """Records (kind ``record``) and quarantined byte ranges (kind ``gap``) of a folder's archives."""
     files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(folder)
              .select("path", "content"))
-    names = [part.split()[0] for part in _READ.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                path, rows, size = batch.column(0)[i].as_py(), [], 0
-                for kind, start, end, reason, found in salvage(batch.column(1)[i].as_py()):
-                    row = {"kind": kind, "path": path, "start": start, "end": end, "reason": reason, **(found or {})}
-                    if not with_payload:
-                        row["payload"] = None
-                    rows.append(row)
-                    size += len(row.get("payload") or b"")
-                    if size > ARCHIVE_BYTES or len(rows) >= 10_000:
-                        yield _batch(rows)
-                        rows, size = [], 0
-                if rows:
-                    yield _batch(rows)
-
-    def _batch(rows: list[dict]) -> pa.RecordBatch:
-        kinds = {"start": pa.int64(), "end": pa.int64(), "payload_bytes": pa.int64(), "payload": pa.binary()}
-        return pa.RecordBatch.from_arrays(
-            [pa.array([r.get(n) for r in rows], kinds.get(n, pa.string())) for n in names], names)
+                yield from _rows(batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), with_payload)
     return files.mapInArrow(run, _READ)
 
 
+def read_listed(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
+    """As :func:`read_archives`, of the archives that a manifest of ``write_archives`` names and no
+    others: files that a lost attempt left in the folder are not read."""
+    count = manifest.count()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                store, base = fs.FileSystem.from_uri(path)
+                with store.open_input_stream(base) as source:
+                    data = source.read()
+                yield from _rows(path, data, with_payload)
+    return manifest.select("path").repartition(max(count, 1), "path").mapInArrow(run, _READ)
+
+
 def round_trip(pages: DataFrame, scratch: Scratch, revisit_from: int = 0) -> DataFrame:
     """Write the archives, then read them back without payloads: records and gaps."""
-    folder = f"{scratch.root}/warc"
-    written = scratch.keep(write_archives(pages, folder, revisit_from=revisit_from), "manifest")
-    if not written.head(1):
-        return scratch.spark.createDataFrame([], _READ)
-    return read_archives(scratch.spark, folder, with_payload=False)
+    written = scratch.keep(write_archives(pages, f"{scratch.root}/warc", revisit_from=revisit_from), "manifest")
+    return read_listed(written, with_payload=False)

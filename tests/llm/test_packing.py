@@ -53,6 +53,20 @@ def test_documents(spark, library):
     assert check(rows, ids_of, 4096, packing.SEGMENTS, 4096) < 0.001
 
 
+def test_tokens_match_library_behind_every_letter():
+    """Each letter before each mark, alone and inside words, against the unmodified library."""
+    plain = Tokenizer.from_file(WORDS)
+    ours = packing.Tokens(WORDS, added=True)
+    letters = [c for c in map(chr, range(0x110000)) if c.isalpha()]
+    for mark in ".,;:!?":
+        texts = [c + mark + ("x" if i % 2 else "") for i, c in enumerate(letters)]
+        for low in range(0, len(texts), 20_000):
+            want = [np.array(e.ids + [2], dtype="<u4").tobytes() for e in plain.encode_batch_fast(texts[low:low + 20_000], add_special_tokens=False)]
+            assert ours.encode(texts[low:low + 20_000], 2) == want, mark
+    for text in ["\u0130.\u00d6. 45", "\u0130!", "a\u0958.b", "\ufb1d?", "\u09dc;\u09dd:"]:
+        assert ours.encode([text], 2) == [np.array(plain.encode(text, add_special_tokens=False).ids + [2], dtype="<u4").tobytes()]
+
+
 def test_tokens_match_library_on_odd_texts(library):
     rng = random.Random(2)
     pools = ["ab'st ll 're", "ÀÉ̈ ΣΑΣ ", "日本1２3 ", "\x1c\x85\xa0\t\r\n x", "<|endoftext|> ", "_-=+ \U0001f600", " ́a"]

@@ -102,3 +102,34 @@ def test_damaged_archives_through_spark(spark, tmp_path):
     assert [(r.kind, r.record_id) for r in rows] == [("record", "urn:page:0"), ("gap", None), ("record", "urn:page:1"),
                                                      ("gap", None), ("record", "urn:page:3")]
     assert rows[2].payload == b"p"
+
+
+def test_reading_time_a_record_does_not_grow_with_the_archive():
+    import gzip
+    import os
+    import time
+    member = [gzip.compress(warc.record(i, "http://a/", os.urandom(600), None, False), compresslevel=1, mtime=0) for i in range(2000)]
+    size = sum(map(len, member))
+
+    def best(copies):
+        data, times = b"".join(member * copies), []
+        for _ in range(3):
+            t = time.perf_counter()
+            n = sum(1 for found in warc.salvage(data) if found[0] == "record")
+            times.append((time.perf_counter() - t) / n)
+            assert n == 2000 * copies
+        return min(times)
+    small, large = best(1), best(-(-32_000_000 // size))
+    assert large < 1.5 * small
+
+
+def test_files_that_the_manifest_does_not_name_are_not_read(spark, tmpdir_path):
+    pages = spark.createDataFrame([(i, f"http://h/{i}", f"body {i}") for i in range(20)], "page_id long, url string, html string")
+    manifest = warc.write_archives(pages, f"file://{tmpdir_path}/w").cache()
+    n = sum(r["records"] for r in manifest.collect())
+    import glob
+    import shutil
+    some = glob.glob(f"{tmpdir_path}/w/*.warc.gz")[0]
+    shutil.copy(some, some.replace("part-", "part-9"))
+    assert warc.read_listed(manifest).where("kind = 'record'").count() == n == 20
+    assert warc.read_archives(spark, f"file://{tmpdir_path}/w").count() > 20

@@ -83,7 +83,9 @@ def equal_width_bin(x, lo, hi, k: int) -> Column:
     by 0.1 % of the range so the minimum is included; when lo == hi both ends are
     widened by 0.1 % of |lo| (0.001 if zero). ``lo``/``hi`` are columns (e.g. from a
     broadcast one-row statistics frame), so no driver round trip is needed.
-    ``width_bucket`` is left-closed and ``Bucketizer`` too, so neither matches.
+    ``width_bucket`` is left-closed and ``Bucketizer`` too, so neither matches.  The bin is
+    guessed by division and corrected against its neighbouring edges, so the expression has the
+    same size for every ``k``.  Null and NaN have no bin.
     """
     x, lo, hi = _col(x), _col(lo), _col(hi)
     same = lo == hi
@@ -93,14 +95,36 @@ def equal_width_bin(x, lo, hi, k: int) -> Column:
     b = F.when(same, hi + w_hi).otherwise(hi)
     step = (b - a) / F.lit(float(k))
     first = F.when(same, a).otherwise(a - (b - a) * 0.001)
-    terms = [F.when(first < x, 1).otherwise(0)]
-    for i in range(1, k):
-        terms.append(F.when(F.lit(float(i)) * step + a < x, 1).otherwise(0))
-    terms.append(F.when(b < x, 1).otherwise(0))
-    total = terms[0]
-    for t in terms[1:]:
-        total = total + t
-    return (total - 1).cast("int")
+
+    def below(j: Column) -> Column:
+        """1 if edge j lies below x."""
+        edge = F.when(j == 0, first).when(j == k, b).otherwise(j.cast("double") * step + a)
+        return F.when(j < 0, 1).when(j > k, 0).otherwise((edge < x).cast("int"))
+
+    guess = _nearest(x, a, step, k)
+    bins = guess - 2 + below(guess - 1) + below(guess) + below(guess + 1)
+    return F.when(x.isNotNull() & ~F.isnan(x), bins).cast("int")
+
+
+def _nearest(x: Column, low: Column, step: Column, k: int) -> Column:
+    """A bin number within one of the right one, clipped to 0..k: rounding moves the quotient by
+    far less than a bin, so only the two edges around it need to be compared with x."""
+    place = F.floor(F.greatest(F.least((x - low) / step, F.lit(float(k))), F.lit(0.0)))
+    return place.cast("int")
+
+
+def left_closed_bin(x, lo, hi, k: int) -> Column:
+    """Equal-width left-closed bin index 0..k-1 over [lo, hi], bitwise like numpy ``histogram``
+    (edges ``lo + i*step``, the last bin closed): the number of inner edges at or below x."""
+    x, lo, hi = _col(x), _col(lo), _col(hi)
+    step = (hi - lo) / F.lit(float(k))
+
+    def reached(j: Column) -> Column:
+        return F.when(j <= 0, 1).when(j >= k, 0).otherwise((x >= j.cast("double") * step + lo).cast("int"))
+
+    guess = _nearest(x, lo, step, k)
+    bins = guess - 2 + reached(guess - 1) + reached(guess) + reached(guess + 1)
+    return F.when(x.isNotNull() & ~F.isnan(x), bins).cast("int")
 
 
 def equal_width_bin_sql(x: str, lo: str, hi: str, k: int) -> str:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from heatwise.functions.exprs import lit_double
+from heatwise.functions.exprs import left_closed_bin, lit_double
 from heatwise.operators.common import attach_one_row, materialize
 from heatwise.operators.ranks import exact_quantiles
 from heatwise.policies import DEFAULT_TARGET_LEAK_RATIO
@@ -123,11 +123,7 @@ def histogram(df: DataFrame, col: str, group: str | None = None, bins: int = 50,
 
     rows = df.filter(x.isNotNull()).select(*keys, col)
     rows = rows.join(materialize(st)[0], keys) if keys else attach_one_row(rows, st)
-    idx = None
-    for i in range(1, bins):
-        term = F.when(x >= F.lit(float(i)) * step + F.col("_lo"), 1).otherwise(0)
-        idx = term if idx is None else idx + term
-    rows = rows.withColumn("bin", idx if idx is not None else F.lit(0))
+    rows = rows.withColumn("bin", left_closed_bin(x, F.col("_lo"), F.col("_hi"), bins))
     counts = rows.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("count"))
     grid = st.select(*keys, "_n", "_lo", "_hi",
                      F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))

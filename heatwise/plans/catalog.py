@@ -414,7 +414,7 @@ def q_text_labels(spark, sf_dir):
     return _label_table(lab)
 
 
-# ---- 2.10 training and 2.12 scoring (no SQL oracle: rows-only check + pytest) ----------
+# ---- 2.10 training and 2.12 scoring: oracles hold what any right model must satisfy ------
 
 from heatwise.plans import models as _models  # noqa: E402
 
@@ -429,19 +429,39 @@ def _trained(spark, sf_dir, models=("RandomForest", "GradientBoosting", "Logisti
     return fitted, comp, best, spec
 
 
-@register("train_compare_models")
+@register("train_compare_models", _vsql.TRAIN_COMPARE)
 def q_train_compare(spark, sf_dir):
+    """The grid search of all three models over the readings; for each, the test rows it was
+    judged on by class, and whether its metrics follow from its confusion counts, it is better
+    than a constant verdict and exactly one model is the best."""
     _, comp, best, _ = _trained(spark, sf_dir)
-    return round_doubles(comp.withColumn("is_best", F.col("model") == best)
-                         .drop("training_time"))
-
-
-@register("score_readings_risk")
+    tp, fp, tn, fn = (F.col(c) for c in ("tp", "fp", "tn", "fn"))
+    close = [F.abs(F.col("accuracy") - (tp + tn) / (tp + fp + tn + fn)) < 1e-9,
+             F.abs(F.col("balanced_accuracy") - (F.try_divide(tp, tp + fn) + F.try_divide(tn, tn + fp)) / 2) < 1e-9,
+             F.col("roc_auc").between(0.5, 1.0), F.col("f1_score").between(0.0, 1.0)]
+    return comp.select("model", (tp + fn).cast("long").alias("leak_rows"), (tn + fp).cast("long").alias("no_leak_rows"),
+                       (close[0] & close[1] & close[2] & close[3]).alias("metrics_consistent"),
+                       (F.col("balanced_accuracy") > 0.5).alias("beats_constant"),
+                       F.lit(best).isin(list(_models.MODEL_NAMES)).alias("best_is_known"))
+
+
+def _consistent(scored: DataFrame) -> DataFrame:
+    """Points by hole size, and how many have a prediction, confidence and tier that follow
+    from their probability."""
+    p = F.col("leak_probability")
+    tier = F.when(p > 0.7, "HIGH").when(p > 0.4, "MEDIUM").otherwise("LOW")
+    right = ((F.col("prediction") == (p > 0.5).cast("int")) | (p == 0.5)) & (F.col("risk_level") == tier) & \
+        (F.abs(p + F.col("no_leak_probability") - 1) < 1e-9) & (F.col("confidence") == F.greatest(p, "no_leak_probability"))
+    return scored.groupBy("hole_size").agg(F.count(F.lit(1)).alias("points"), F.count_if(right).alias("consistent"),
+                                           (F.max(p) > F.min(p)).alias("tells_apart"))
+
+
+@register("score_readings_risk", _vsql.SCORED_CONSISTENT)
 def q_score_risk(spark, sf_dir):
-    fitted, _, best, spec = _trained(spark, sf_dir, models=("RandomForest",))
+    """All readings scored by the logistic regression that the grid search chooses."""
+    fitted, _, best, spec = _trained(spark, sf_dir, models=("LogisticRegression",))
     pts = valid_readings(spark, sf_dir).select("x", "y", "temperature", "hole_size")
-    s = _models.score(fitted[best], pts, spec, best)
-    return s.groupBy("risk_level", "prediction").agg(F.count(F.lit(1)).alias("n"))
+    return _consistent(_models.score(fitted[best], pts, spec, best))
 
 
 # ---- streaming (#120, #121) -------------------------------------------------------------
@@ -481,10 +501,11 @@ def q_stream_labels_six(spark, sf_dir):
     return _label_table(lab)
 
 
-@register("stream_score_risk")
+@register("stream_score_risk", _vsql.SCORED_CONSISTENT)
 def q_stream_score(spark, sf_dir):
-    """Valid readings arrive as CSV point files; a trained forest scores the stream."""
-    fitted, _, best, spec = _trained(spark, sf_dir, models=("RandomForest",))
+    """Valid readings arrive as CSV point files; the logistic regression that the grid search
+    chooses scores the stream."""
+    fitted, _, best, spec = _trained(spark, sf_dir, models=("LogisticRegression",))
     src = shared_dir(spark, "points-src")
     (valid_readings(spark, sf_dir).select("x", "y", "temperature", "hole_size")
      .repartition(8).write.option("header", "true").csv(src))
@@ -492,8 +513,7 @@ def q_stream_score(spark, sf_dir):
     q = _stream.stream_score(spark, fitted[best], spec, best, src, sink, ckpt,
                              max_files_per_trigger=3)
     q.awaitTermination()
-    return spark.read.parquet(sink).groupBy("risk_level", "prediction").agg(
-        F.count(F.lit(1)).alias("n"))
+    return _consistent(spark.read.parquet(sink))
 
 
 # ---- small operators: per-file stats, name rule, size filter, valid counts -------------

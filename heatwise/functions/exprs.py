@@ -96,21 +96,17 @@ def equal_width_bin(x, lo, hi, k: int) -> Column:
     step = (b - a) / F.lit(float(k))
     first = F.when(same, a).otherwise(a - (b - a) * 0.001)
 
-    def below(j: Column) -> Column:
-        """1 if edge j lies below x."""
-        edge = F.when(j == 0, first).when(j == k, b).otherwise(j.cast("double") * step + a)
-        return F.when(j < 0, 1).when(j > k, 0).otherwise((edge < x).cast("int"))
-
-    guess = _nearest(x, a, step, k)
-    bins = guess - 2 + below(guess - 1) + below(guess) + below(guess + 1)
+    # at most one bin off: compared with the guessed bin's upper and lower edge
+    guess = _clipped(F.ceil((x - a) / step) - 1, k)
+    upper = F.when(guess == k - 1, b).otherwise((guess + 1) * step + a)
+    lower = F.when(guess == 0, first).otherwise(guess * step + a)
+    bins = guess + F.when(x > upper, 1).when(x <= lower, -1).otherwise(0)
     return F.when(x.isNotNull() & ~F.isnan(x), bins).cast("int")
 
 
-def _nearest(x: Column, low: Column, step: Column, k: int) -> Column:
-    """A bin number within one of the right one, clipped to 0..k: rounding moves the quotient by
-    far less than a bin, so only the two edges around it need to be compared with x."""
-    place = F.floor(F.greatest(F.least((x - low) / step, F.lit(float(k))), F.lit(0.0)))
-    return place.cast("int")
+def _clipped(guess: Column, k: int) -> Column:
+    """A guessed bin as 0..k-1; rounding moves the quotient by far less than a bin."""
+    return F.greatest(F.least(guess, F.lit(k - 1)), F.lit(0)).cast("int")
 
 
 def left_closed_bin(x, lo, hi, k: int) -> Column:
@@ -118,12 +114,9 @@ def left_closed_bin(x, lo, hi, k: int) -> Column:
     (edges ``lo + i*step``, the last bin closed): the number of inner edges at or below x."""
     x, lo, hi = _col(x), _col(lo), _col(hi)
     step = (hi - lo) / F.lit(float(k))
-
-    def reached(j: Column) -> Column:
-        return F.when(j <= 0, 1).when(j >= k, 0).otherwise((x >= j.cast("double") * step + lo).cast("int"))
-
-    guess = _nearest(x, lo, step, k)
-    bins = guess - 2 + reached(guess - 1) + reached(guess) + reached(guess + 1)
+    guess = _clipped(F.floor((x - lo) / step), k)
+    up = (guess < k - 1) & (x >= (guess + 1) * step + lo)
+    bins = guess + F.when(up, 1).when((guess > 0) & (x < guess * step + lo), -1).otherwise(0)
     return F.when(x.isNotNull() & ~F.isnan(x), bins).cast("int")
 
 

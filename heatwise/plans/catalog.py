@@ -623,3 +623,6 @@ def q_ingest_report(spark, sf_dir):
     return rep.select(F.regexp_extract("file_path", "file_name=([^/]+)/", 1).alias("file_name"),
                       F.regexp_extract("file_path", "hole_size=([^/]+)/", 1).alias("hole_size"),
                       "separator", F.col("n_fields").cast("int").alias("n_fields"), "accepted")
+
+
+from heatwise.plans import edges  # noqa: E402, F401

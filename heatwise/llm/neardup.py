@@ -1,10 +1,11 @@
 """Near-duplicate classes of texts: consistent weighted sampling over TF-IDF shingles.
 
 The weight of a five-word shingle in a text is its count times ``1 + ln(D / df)`` with D
-distinct texts and df the distinct texts that hold it.  Every shingle's df is counted:
-blocks of texts report their shingles with local counts, the counts are added up by
-shingle, and only those over 1 go back to the blocks.  Each text then carries the df of
-its shingles, so no table of shingles travels with the tasks.
+distinct texts and df the distinct texts that hold it.  Every shingle's df is counted: blocks
+of texts, bucketed once, report their sorted shingles as gap-coded runs with local counts; the
+counts are added up in ranges of hashes, and the places of those that other blocks hold too go
+back to the blocks.  Each text then carries the df of its shingles, so no table of shingles
+travels with the tasks.
 
 Two texts link if their weighted Jaccard similarity is at least ``threshold``; classes are
 the connected components.  Candidates come from 12 bands of 4 improved consistent weighted
@@ -39,6 +40,7 @@ PHI = 0.0                 # document share below which all shingles weigh the sa
 BANDS, ROWS = 12, 4
 BLOCK = 256               # members of a bucket that meet in one task at once
 BLOCK_WORDS = 1_000_000   # words of the texts whose shingles are counted together
+RANGE_WORDS = 2_000_000   # words of all blocks whose shingles are added up in one task
 #: An estimate from 48 samples lies below this with probability 8e-07 for a pair at 0.8 (less
 #: for band mates, which already agree in four places); scaled with the threshold.
 ESTIMATE = 0.5 / 0.8
@@ -141,68 +143,173 @@ def _with_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 [*rows.columns, pa.array(d1), pa.array(d2)], ["id", "text", "d1", "d2"]).filter(pa.array(np.diff(at) > 0))
 
 
-def _block_shingles(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct shingles of all rows one after the other, their number in each row)."""
-    parts, sizes = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
+def _block_shingles(texts: pa.ChunkedArray) -> Iterator[tuple]:
+    """(first row, end row, distinct shingles, counts, offsets) of slices of a block's texts."""
+    done = 0
     for chunk in texts.chunks:
-        for _, _, offsets, data in tn.slices(chunk):
-            sh, _, at = tn.distinct_shingles(*tn.shingles(*tn.words(offsets, data)))
-            parts.append(sh)
-            sizes.append(np.diff(at))
-    return np.concatenate(parts), np.concatenate(sizes)
-
-
-def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, shingle, texts of the block that hold it)."""
-    for table in _groups(batches):
-        keys, n = np.unique(_block_shingles(table["text"])[0], return_counts=True)
-        block = np.full(len(keys), table["block"][0].as_py(), np.int64)
-        for at in range(0, len(keys), 100_000):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(a[at:at + 100_000]) for a in (block, keys.view(np.int64), n.astype(np.int64))],
-                ["block", "s", "n"])
+        for start, end, offsets, data in tn.slices(chunk):
+            yield done + start, done + end, *tn.distinct_shingles(*tn.shingles(*tn.words(offsets, data)))
+        done += len(chunk)
+
+
+def _ranges(bits: int) -> np.ndarray:
+    """First hash of each of the 2 ** bits equal ranges, and none behind the last."""
+    return np.arange(1 << bits, dtype=_U) << _U(64 - bits) if bits else np.zeros(1, _U)
+
+
+def _run(hashes: np.ndarray) -> bytes:
+    """Sorted distinct hashes as gaps: a byte of the gap's size, then so many bytes."""
+    gaps = np.diff(hashes, prepend=_U(0)).astype("<u8")
+    raw = gaps.view(np.uint8).reshape(-1, 8)
+    size = 8 - (raw[:, ::-1] != 0).argmax(axis=1)            # a gap is never 0 but for hash 0
+    size[gaps == 0] = 1
+    return np.uint32(len(gaps)).tobytes() + size.astype(np.uint8).tobytes() + raw[np.arange(8) < size[:, None]].tobytes()
+
+
+def _hashes(run: bytes) -> np.ndarray:
+    n = int(np.frombuffer(run, np.uint32, 1)[0])
+    size = np.frombuffer(run, np.uint8, n, 4)
+    raw = np.zeros((n, 8), dtype=np.uint8)
+    raw[np.arange(8) < size[:, None]] = np.frombuffer(run, np.uint8, -1, 4 + n)
+    return np.cumsum(raw.reshape(-1).view("<u8"), dtype=_U)
+
+
+def _report(bits: int):
+    """Of a block's texts: (block, range, run of its distinct shingles, how many texts hold each)."""
+    def run(table: pa.Table) -> pa.Table:
+        found = [part[2] for part in _block_shingles(table["text"])]
+        keys, n = np.unique(np.concatenate([np.zeros(0, _U), *found]), return_counts=True)
+        cuts = np.append(np.searchsorted(keys, _ranges(bits)), len(keys))
+        some = [r for r in range(1 << bits) if cuts[r] < cuts[r + 1]]
+        block = table["block"][0].as_py()
+        return pa.table([pa.array([block] * len(some), pa.int64()), pa.array(some, pa.int32()),
+                         pa.array([_run(keys[cuts[r]:cuts[r + 1]]) for r in some], pa.binary()),
+                         pa.array([_small(n[cuts[r]:cuts[r + 1]]) for r in some], pa.binary())],
+                        ["block", "range", "run", "counts"])
+    return run
 
 
-def _sketch(texts: int):
-    """(id, text, df, sig, bands) of the texts of a block; its rows without an id are the
-    shingles that more than one text holds."""
-    def run(batches):
-        for table in _groups(batches):
-            is_text = table["id"].is_valid()
-            known = table.filter(pa.compute.invert(is_text))
-            rows = table.filter(is_text).combine_chunks()
-            keys, many = known["s"].to_numpy().view(_U), known["df"].to_numpy()
-            order = np.argsort(keys)
-            keys, many = keys[order], many[order]
-            for low in range(0, rows.num_rows, 500):
-                yield from sketches(rows.slice(low, 500), keys, many)
-
-    def sketches(rows, keys, many):
-        text = rows["text"].combine_chunks()
-        ids = rows["id"].to_numpy()
-        for start, end, offsets, data in tn.slices(text):
-            sh, counts, at = tn.distinct_shingles(*tn.shingles(*tn.words(offsets, data)))
-            df = np.ones(len(sh), dtype=np.int32)
-            if len(keys):
-                place = np.minimum(np.searchsorted(keys, sh), len(keys) - 1)
-                hit = keys[place] == sh
-                df[hit] = many[place[hit]]
+def _small(values: np.ndarray) -> bytes:
+    kind = np.uint8 if not len(values) or values.max() < 256 else np.uint32
+    return bytes([np.dtype(kind).itemsize]) + values.astype(kind).tobytes()
+
+
+def _wide(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
+
+
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds up a range's reports and tells each block which of its shingles (places in its run)
+    other blocks' texts hold too, and in how many texts each is."""
+    held: list[tuple] = []
+
+    def told():
+        runs = [_hashes(r[2]) for r in held]
+        keys, number = np.unique(np.concatenate(runs), return_inverse=True)
+        total = np.zeros(len(keys), dtype=np.int64)
+        counts = [_wide(r[3]) for r in held]
+        np.add.at(total, number, np.concatenate(counts))
+        out, at = [], 0
+        for (block, r, *_), own in zip(held, counts):
+            df = total[number[at:at + len(own)]]
+            at += len(own)
+            more = np.flatnonzero(df > own)
+            out.append((block, r, more.astype(np.uint32).tobytes(), _small(df[more])))
+        cols = list(zip(*out))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary()),
+             pa.array(cols[3], pa.binary())], ["block", "range", "places", "dfs"])
+
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if held and held[0][1] != row[1]:
+                yield told()
+                held = []
+            held.append(row)
+    if held:
+        yield told()
+
+
+def _sketch(texts: int, bits: int):
+    """(id, dfs, sig, bands) of a block's texts; the answers tell the shingles of other blocks."""
+    def run(table: pa.Table, told: pa.Table) -> pa.Table:
+        ids = table["id"].to_numpy()
+        parts = list(_block_shingles(table["text"]))
+        keys, n = np.unique(np.concatenate([np.zeros(0, _U), *(p[2] for p in parts)]), return_counts=True)
+        many = n.astype(np.int64)
+        first = np.searchsorted(keys, _ranges(bits))
+        for r, places, dfs in zip(told["range"].to_pylist(), told["places"].to_pylist(), told["dfs"].to_pylist()):
+            many[first[r] + np.frombuffer(places, np.uint32).astype(np.int64)] = _wide(dfs)
+        out = []
+        for start, end, sh, counts, at in parts:
+            df = many[np.searchsorted(keys, sh)].astype(np.int32)
             sig = signatures(sh, counts * idf(df, texts), at)
             bands = np.zeros((end - start, BANDS), dtype=_U)
             for i in range(ROWS):
                 bands = tn.mix(bands + sig.reshape(-1, BANDS, ROWS)[:, :, i] + _U(i + 1))
-            n = end - start
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[start:end]), text.slice(start, n),
-                 pa.array([df[i:j].tobytes() for i, j in zip(at[:-1], at[1:])], pa.binary()),
+            out.append(pa.table(
+                [pa.array(ids[start:end]), pa.array([df[i:j].tobytes() for i, j in zip(at[:-1], at[1:])], pa.binary()),
                  pa.array([row.tobytes() for row in sig], pa.binary()),
                  pa.ListArray.from_arrays(
-                     pa.array(np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32)),
+                     pa.array(np.arange(0, (end - start) * BANDS + 1, BANDS, dtype=np.int32)),
                      pa.array(bands.reshape(-1).view(np.int64)))],
-                ["id", "text", "dfs", "sig", "bands"])
+                ["id", "dfs", "sig", "bands"]))
+        return pa.concat_tables(out) if out else _EMPTY_SKETCH
     return run
 
 
+_SKETCH = "id long, dfs binary, sig binary, bands array<long>"
+_EMPTY_SKETCH = pa.table([pa.array([], t) for t in (pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))],
+                         ["id", "dfs", "sig", "bands"])
+
+
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The chosen row of each text: rows come sorted by (block, id, digests), a row without text
+    marking the ones to keep before all that carry it; the first of equal rows stays."""
+    last = None                                   # key of a mark whose text has not come yet
+    for batch in batches:
+        keys = list(zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))))
+        has, keep = batch.column("has").to_pylist(), []
+        for i, key in enumerate(keys):
+            if not has[i]:
+                last = key
+            elif key == last:
+                keep.append(i)
+                last = None
+        yield batch.take(pa.array(keep, pa.int64())).select(["block", "id", "text"])
+
+
+MARK_BITS = 26                                    # bit table of ids: 8 MB
+
+
+def _slot(id_col: str):
+    return F.xxhash64(id_col).bitwiseAND((1 << MARK_BITS) - 1).cast("int")
+
+
+def _mark_table(ids: DataFrame) -> np.ndarray:
+    """Slots of all ids as a bit table of fixed size."""
+    at = _slot("id") + 1
+    table = np.zeros(1 << MARK_BITS - 3, dtype=np.uint8)
+    for r in (ids.groupBy(F.bitmap_bucket_number(at).alias("b"))
+              .agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()):
+        raw = np.frombuffer(r["bits"], dtype=np.uint8)
+        table[(r["b"] - 1) * len(raw):][:len(raw)] = raw
+    return table
+
+
+def _wanted(rows: DataFrame, table: np.ndarray) -> DataFrame:
+    """The rows whose id is marked; false marks, which only cost rows, are rare up to millions
+    of ids."""
+    names = rows.columns
+
+    def run(batches):
+        for batch in batches:
+            slot = batch.column(batch.num_columns - 1).to_numpy()
+            hit = table[slot >> 3] >> (slot & 7).astype(np.uint8) & np.uint8(1)
+            yield batch.filter(pa.array(hit.astype(bool))).select(names)
+    return rows.select("*", _slot("id").alias("__slot")).mapInArrow(run, rows.schema)
+
+
 def _verify(texts: int, threshold: float):
     """(a, b) of pairs (a, b, text_a, text_b, dfs_a, dfs_b) at or over the threshold."""
     def run(batches):
@@ -313,6 +420,10 @@ def _blocks(members: DataFrame) -> DataFrame:
     return dealt.withColumn("g", key).drop("nb", "other").dropDuplicates(["g", "id"])
 
 
+def block_of(id_col: str, blocks: int):
+    return F.pmod(F.xxhash64(F.col(id_col), F.lit("block")), F.lit(blocks)).alias("block")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     threshold: float = 0.8) -> DataFrame:
     """One row per document: (id, class_id, copy_of, kept).
@@ -327,21 +438,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs_of = scratch.keep(texts.mapInArrow(_profile, "id long, d1 long, d2 long, n long"), "profile")
     reps = docs_of.where("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.max("n").alias("n"))
     distinct, total = reps.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    reps = reps.drop("n")
-    # a rep's own text: an id may have rows with other texts
-    blocks = F.pmod(F.xxhash64("id", F.lit("block")), F.lit(total // BLOCK_WORDS + 1)).alias("block")
-    chosen = reps.select(F.col("rep").alias("id"), "d1", "d2").hint("merge")
+    # a rep's own text: an id may have rows with other texts.  Texts move once, to their block.
+    blocks = max(total // BLOCK_WORDS, 1)
     digested = texts.mapInArrow(_with_digests, "id long, text string, d1 long, d2 long")
-    unique = scratch.keep(digested.join(chosen, ["id", "d1", "d2"], "left_semi").dropDuplicates(["id", "d1", "d2"])
-                          .select(blocks, "id", "text"), "unique", "snappy")
-    reported = (unique.repartition("block").sortWithinPartitions("block")
-                .mapInArrow(_report, "block long, s long, n long"))
-    known = (reported.withColumn("df", F.sum("n").over(Window.partitionBy("s"))).where("df > 1")
-             .select("block", F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("text"), "s", "df"))
-    own = unique.select("block", "id", "text", F.lit(None).cast("long").alias("s"), F.lit(None).cast("long").alias("df"))
-    vectored = scratch.keep(
-        own.union(known).repartition("block").sortWithinPartitions("block").mapInArrow(
-            _sketch(distinct), "id long, text string, dfs binary, sig binary, bands array<long>"), "vectored", "snappy")
+    marks = reps.select(block_of("rep", blocks), F.col("rep").alias("id"), "d1", "d2",
+                        F.lit(None).cast("string").alias("text"), F.lit(False).alias("has"))
+    dealt = (marks.union(digested.select(block_of("id", blocks), "id", "d1", "d2", "text", F.lit(True).alias("has")))
+             .repartition(blocks, "block").sortWithinPartitions("block", "id", "d1", "d2", "has"))
+    # bucketed by block: both passes over the blocks read their texts where they lie
+    unique = scratch.bucketed(dealt.mapInArrow(_marked, "block long, id long, text string"), "unique", "block", blocks)
+    bits = max(total // RANGE_WORDS, 1).bit_length() - 1
+    reported = unique.groupBy("block").applyInArrow(_report(bits), "block long, range int, run binary, counts binary")
+    answers = scratch.keep(reported.repartition("range").sortWithinPartitions("range")
+                           .mapInArrow(_answers, "block long, range int, places binary, dfs binary"), "answers")
+    vectored = scratch.keep(unique.groupBy("block").cogroup(answers.groupBy("block"))
+                            .applyInArrow(_sketch(distinct, bits), _SKETCH), "vectored", "snappy")
     sketch = vectored.select("id", "sig", "bands")
     banded = sketch.select("id", F.posexplode("bands").alias("band", "h"))
     shared = banded.groupBy("band", "h").agg(F.count("*").alias("n")).where("n > 1")
@@ -352,7 +463,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                .select("band", "h", (-F.col("top.neg")).alias("a")))
     pairs = (mates.join(leaders, ["band", "h"]).where("id != a")
              .select("a", F.col("id").alias("b")).distinct())
-    rep_texts = vectored.select("id", "text", "dfs")
+    # only the texts of bucket mates travel again
+    marked = _mark_table(mates.select("id"))
+    rep_texts = scratch.keep(_wanted(unique.select("id", "text"), marked).hint("merge")
+                             .join(_wanted(vectored.select("id", "dfs"), marked), "id"), "texts", "snappy")
+    scratch.drop(answers, unique)
+    scratch.close()
     # Merge joins at every size: ids and pairs grow with the corpus, so no plan may count on
     # sending them to all tasks.
     posed = (pairs.hint("merge").join(rep_texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"),
@@ -362,6 +478,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
              .select("a", "b", "text_a", "text_b", "dfs_a", "dfs_b"))
     links = scratch.keep(posed.mapInArrow(_verify(distinct, threshold), "a long, b long"), "links")
     comp = scratch.keep(components(scratch, links, "a", "b"), "components")
+    scratch.drop(links)
 
     estimate = ESTIMATE * threshold
     named = (mates.select("band", "h", "id").join(comp.withColumnRenamed("node", "id"), "id", "left")
@@ -369,6 +486,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     split = (named.groupBy("band", "h").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"))
              .where("c0 < c1").select("band", "h"))
     members = scratch.keep(named.join(split, ["band", "h"]).join(sketch.select("id", "sig"), "id"), "open")
+    scratch.drop(mates, vectored)
     cols = ["g", "band", "h", "part", "own", "id", "comp", "sig"]
 
     def grouped(df, *more):
@@ -378,6 +496,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                          .distinct(), "doubt")
     rest = grouped(members.join(doubt, ["band", "h", "id"], "left_semi").join(rep_texts, "id"), "text", "dfs")
     more = scratch.keep(rest.mapInArrow(_joining(distinct, threshold, estimate), "a long, b long"), "more")
+    scratch.drop(members, doubt, rep_texts)
     merged = components(scratch, more, "a", "b").select(
         F.col("node").alias("component"), F.col("component").alias("merged"))
     final = comp.join(merged, "component", "left").select(

@@ -364,7 +364,9 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
                  threshold: float = 0.93, overlap: int = 2, report: dict | None = None) -> DataFrame:
     """One row per vector: (id, n_links, component_id, kept); ``report`` receives the recall."""
     scratch = Scratch(vectors.sparkSession, "annlink")
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"),
+    # labels of any type are told apart by a 64-bit hash of their text
+    label = F.when(F.col(label_col).isNotNull(), F.xxhash64(F.col(label_col).cast("string")))
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), label.alias("label"),
                           F.col(vec_col).cast("array<double>").alias("vec"))
     usable = (F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("vec").isNotNull()
               & F.forall("vec", lambda x: F.coalesce((F.abs(x) < float("inf")) & ~F.isnan(x), F.lit(False)))

@@ -128,3 +128,10 @@ def test_lost_links_are_compared_exactly(spark, monkeypatch):
     report = {}
     assert {r.vec_id: (r.n_links, r.component_id) for r in link_vectors(df, report=report).collect()} == want
     assert report["exact"] and report["recall"] == 1.0
+
+
+def test_labels_of_any_type(spark):
+    rows = [(1, [1.0, 0.0], "de"), (2, [1.0, 0.01], "de"), (3, [1.0, 0.0], "fr"), (4, [1.0, 0.0], None), (5, [1.0, 0.0], "")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    assert sorted(tuple(r) for r in link_vectors(df).collect()) == [
+        (1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True), (4, 0, 4, True), (5, 0, 5, True)]

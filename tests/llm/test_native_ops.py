@@ -146,6 +146,43 @@ def test_em_recovers_accuracies(spark):
     assert all(abs(model["right_good"][n] - right_good[n]) < 0.03 for n in names)
 
 
+def test_verdicts_match_a_plain_posterior(spark):
+    """Votes, EM over the single rows (not their patterns) and posteriors in plain numpy."""
+    import numpy as np
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    measured = quality.with_measures(docs).drop("text").cache()
+    got = {r.doc_id: r for r in QUERIES["op5_quality_rules"](spark, "/root/testdata/sf0.01").collect()}
+    rows = [r.asDict() for r in measured.collect()]
+
+    def holds(rule, row):
+        text = rule.replace(" = 0", " == 0")
+        for word in ("between",):
+            while word in text:
+                left, right = text.split(word, 1)
+                low, high = right.split("and", 1)
+                text = f"{low.strip()} <= ({left.strip()}) <= {high.strip()}"
+        return bool(eval(text, {}, row))
+
+    votes = np.array([[0 if holds(bad, r) else 1 if holds(good, r) else -1 for good, bad in quality.RULES.values()] for r in rows])
+    cast, yes, n = votes >= 0, votes == 1, len(rows)
+    share, rg, rb = quality.START["good"], np.full(votes.shape[1], quality.START["right_good"]), np.full(votes.shape[1], quality.START["right_bad"])
+
+    def posterior():
+        g, b = np.clip(rg, 1e-6, 1 - 1e-6), np.clip(rb, 1e-6, 1 - 1e-6)
+        odds = np.where(yes, np.maximum(np.log(g / (1 - b)), 0), np.where(cast, np.minimum(np.log((1 - g) / b), 0), 0.0))
+        return 1 / (1 + np.exp(-(odds.sum(axis=1) + np.log(share / (1 - share)))))
+    held = quality.PRIOR_SHARE * n
+    for _ in range(quality.ITERATIONS):
+        p = posterior()[:, None]
+        share = (p.sum() + held * quality.START["good"]) / (n + held)
+        rg = ((p * yes).sum(axis=0) + held * quality.START["right_good"]) / ((p * cast).sum(axis=0) + held)
+        rb = (((1 - p) * (cast & ~yes)).sum(axis=0) + held * quality.START["right_bad"]) / (((1 - p) * cast).sum(axis=0) + held)
+    for r, p in zip(rows, posterior()):
+        assert abs(got[r["doc_id"]].quality - p) < 1e-6
+        if abs(p - 0.5) > 1e-6:
+            assert got[r["doc_id"]].kept == (not r["base_failed"] and p >= 0.5)
+
+
 def test_quality_edge_cases(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, n_words string")
     measured = quality.with_measures(empty)

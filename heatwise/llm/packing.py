@@ -68,8 +68,8 @@ class Tokens:
         level = next(p for p in rules["pre_tokenizer"]["pretokenizers"] if p["type"] == "ByteLevel")
         self.plain = Tokenizer.from_str(json.dumps(rules | {"normalizer": None, "pre_tokenizer": level}))
         normal = self.whole.normalizer.normalize_str if self.whole.normalizer else str
-        letter = re.compile(r"[^\W\d_]").fullmatch
-        odd = [c for c in map(chr, range(sys.maxunicode + 1)) if letter(c) and not letter(normal(c)[-1:])]
+        letter = (lambda c: c.isalnum() and not c.isdecimal())          # as [^\W\d_] in a pattern
+        odd = [c for c in map(chr, range(0x80, sys.maxunicode + 1)) if letter(c) and not letter(normal(c)[-1:])]
         self.behind_letter = re.compile(r"[.,;:!?](?<=[^\W\d_" + "".join(map(re.escape, odd)) + "].)").sub
         self.ends_word = np.zeros(max(rules["model"]["vocab"].values()) + 1, dtype=bool)
         suffix = rules["model"]["end_of_word_suffix"]

@@ -196,8 +196,8 @@ def q_confidence_histogram(spark, sf_dir):
 
 @register("box_stats", _esql.BOX_STATS)
 def q_box_stats(spark, sf_dir):
-    return round_doubles(_eda.box_stats(tagged_readings(spark, sf_dir), "temperature",
-                                        "hole_size"))
+    # every valid reading has a label and none is read here, so the rows need no join
+    return round_doubles(_eda.box_stats(valid_readings(spark, sf_dir), "temperature", "hole_size"))
 
 
 @register("separation_check", _esql.SEPARATION_CHECK)
@@ -373,12 +373,23 @@ from heatwise.sources import sinks as _sinks  # noqa: E402
 from heatwise.plans.sqltext import READINGS_CTE, VALID_CTE  # noqa: E402
 
 
+_WRITTEN: dict[tuple, str] = {}
+
+
+def _reading_files(spark: SparkSession, sf_dir: str, fmt: str) -> str:
+    """Folder of the readings as text files, written once in a session for each form: the
+    queries are about reading them."""
+    key = (spark.sparkContext.applicationId, sf_dir, fmt)
+    if key not in _WRITTEN:
+        root = shared_dir(spark, f"readings-{fmt}")
+        _WRITTEN[key] = _sinks.write_reading_files(bridge.readings(spark, sf_dir), root, fmt)
+    return _WRITTEN[key]
+
+
 def text_readings(spark: SparkSession, sf_dir: str, fmt: str) -> DataFrame:
     """Readings of ``lineitem`` written as one text file per reading file, then parsed
     back by the ingest operator (separator detection, NA rules, coercion, T filter)."""
-    root = shared_dir(spark, f"readings-{fmt}")
-    _sinks.write_reading_files(bridge.readings(spark, sf_dir), root, fmt)
-    r = _files.read_readings(spark, root)
+    r = _files.read_readings(spark, _reading_files(spark, sf_dir, fmt))
     return r.withColumns({
         "file_name": F.regexp_extract("file_path", "file_name=([^/]+)/", 1),
         "hole_size": F.regexp_extract("file_path", "hole_size=([^/]+)/", 1)})
@@ -617,9 +628,7 @@ _REPORT_SQL = (f"WITH {READINGS_CTE} SELECT DISTINCT file_name, hole_size, '\\s+
 def q_ingest_report(spark, sf_dir):
     """Whitespace reading files written from lineitem: every file is accepted with the
     whitespace separator and four fields (comma/tab fail the 4-field test first)."""
-    root = shared_dir(spark, "readings-report")
-    _sinks.write_reading_files(bridge.readings(spark, sf_dir), root, "whitespace")
-    rep = _files.ingest_report(spark, root)
+    rep = _files.ingest_report(spark, _reading_files(spark, sf_dir, "whitespace"))
     return rep.select(F.regexp_extract("file_path", "file_name=([^/]+)/", 1).alias("file_name"),
                       F.regexp_extract("file_path", "hole_size=([^/]+)/", 1).alias("hole_size"),
                       "separator", F.col("n_fields").cast("int").alias("n_fields"), "accepted")

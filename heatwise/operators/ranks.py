@@ -53,6 +53,27 @@ def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> tuple[DataFrame
     return own, [F.col(k).eqNullSafe(F.col(f"_to_{k}")) for k in keys]
 
 
+def _ranges(want: DataFrame, keys: list[str], *more: str) -> DataFrame:
+    """The distinct ranges of some wanted ranks; of ranks that the driver holds without a job."""
+    names = [*keys, "_lo", "_hi", *more]
+    held = getattr(want, "_heatwise_rows", None)
+    if held is None:
+        return want.select(*names).distinct()
+    unique = list(dict.fromkeys(tuple(r[n] for n in names) for r in held))
+    out = want.sparkSession.createDataFrame(unique, T.StructType([want.schema[n] for n in names]))
+    out._heatwise_rows = unique
+    return out
+
+
+def _chosen(want: DataFrame, which: Column, test: Callable) -> DataFrame:
+    """The wanted ranks for which ``which`` holds; ``test`` tells the same of a row."""
+    out = want.where(which)
+    held = getattr(want, "_heatwise_rows", None)
+    if held is not None:
+        out._heatwise_rows = [r for r in held if test(r)]
+    return out
+
+
 def _within(rows: DataFrame, col: str, ranges: DataFrame, keys: list[str]) -> DataFrame:
     """Rows that lie in a range, with the range's ``_lo`` and ``_hi``.
 
@@ -65,7 +86,8 @@ def _within(rows: DataFrame, col: str, ranges: DataFrame, keys: list[str]) -> Da
         return rows.join(own, [*on, x >= F.col("_lo"), x <= F.col("_hi")]).drop(*[f"_to_{k}" for k in keys])
     kind = rows.schema[col].dataType
     lo = hi = F.lit(None).cast(kind)
-    some = sorted((r["_lo"], r["_hi"]) for r in ranges.collect())
+    held = getattr(ranges, "_heatwise_rows", None)
+    some = sorted((r[0], r[1]) for r in (ranges.select("_lo", "_hi").collect() if held is None else held))
     for a, b in reversed(some):
         inside = (x >= F.lit(a).cast(kind)) & (x <= F.lit(b).cast(kind))
         lo, hi = F.when(inside, F.lit(a).cast(kind)).otherwise(lo), F.when(inside, F.lit(b).cast(kind)).otherwise(hi)
@@ -97,6 +119,33 @@ def values_at(df: DataFrame, col: str, ranks: Callable[[Column], Column], group_
     return narrowed(rows, col, want.where((F.col("rank") >= 0) & (F.col("rank") < F.col("n"))), keys)
 
 
+#: Up to so many wanted ranks (one or two for each group and quantile) are held by the driver, so
+#: that the next pass is planned with their size known; more stay a persisted table.
+LOCAL_RANKS = 10_000
+
+
+def _settled(want: DataFrame, wide: Column, tuples: bool) -> tuple[DataFrame, int | None, int, int]:
+    """(the wanted ranks evaluated once, rows in ranges still too wide, ranges to read out, wide
+    ranges of one value)."""
+    want = track(want.persist())
+    some = want.limit(LOCAL_RANKS + 1).collect()
+    if len(some) <= LOCAL_RANKS:
+        want.unpersist()
+        want = want.sparkSession.createDataFrame(some, want.schema)
+        want._heatwise_rows = some
+        left = few = hot = 0
+        for r in some:
+            spread, many = r["_lo"] < r["_hi"], r["_rows"] > FINE
+            left += r["_rows"] if spread and many else 0
+            few += not many and (spread or tuples)
+            hot += many and not spread
+        return want, left, few, hot
+    row = want.agg(F.sum(F.when(wide, F.col("_rows"))),
+                   F.count_if((F.col("_rows") <= FINE) & ((F.col("_lo") < F.col("_hi")) | tuples)),
+                   F.count_if((F.col("_rows") > FINE) & ~wide)).first()
+    return want, *row
+
+
 def narrowed(rows: DataFrame, col: str, want: DataFrame, keys: list[str], by=()) -> DataFrame:
     """The counting passes.  ``want``: (group..., n, rank, _lo, _hi, _before, _rows), a range of
     values known to hold the rank, with the rows before it and in it.
@@ -104,20 +153,17 @@ def narrowed(rows: DataFrame, col: str, want: DataFrame, keys: list[str], by=())
     With ``by``, rows are ordered by (col, *by) and ``value`` is the struct of these at the
     rank; rows that agree in all of them stand together at their first one's rank."""
     whole, by, x = _whole(rows.schema[col].dataType), list(by), F.col(col)
-    want = track(want.persist())
     wide = (F.col("_lo") < F.col("_hi")) & (F.col("_rows") > FINE)
     logs, before = False, None
     while True:
-        left, few, hot = want.agg(
-            F.sum(F.when(wide, F.col("_rows"))), F.count_if((F.col("_rows") <= FINE) & ((F.col("_lo") < F.col("_hi")) | bool(by))),
-            F.count_if((F.col("_rows") > FINE) & ~wide)).first()
+        want, left, few, hot = _settled(want, wide, bool(by))
         if not left:
             break
-        ranges = want.where(wide).select(*keys, "_lo", "_hi", "_before", "_rows").distinct()
+        ranges = _ranges(_chosen(want, wide, lambda r: r["_lo"] < r["_hi"] and r["_rows"] > FINE), keys)
         logs = not logs and before is not None and left * 8 > before
         before = left
         cell = _cell(x, F.col("_lo"), F.col("_hi"), whole, logs)
-        counted = (_within(rows, col, ranges.select(*keys, "_lo", "_hi"), keys)
+        counted = (_within(rows, col, ranges, keys)
                    .groupBy(*keys, "_lo", cell.alias("_cell"))
                    .agg(F.count(F.lit(1)).alias("_c"), F.min(x).alias("_a"), F.max(x).alias("_b")))
         below = Window.partitionBy(*keys, "_lo").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
@@ -128,18 +174,19 @@ def narrowed(rows: DataFrame, col: str, want: DataFrame, keys: list[str], by=())
                                              at < F.col("_below") + F.col("_c")])
                  .select(*keys, "n", "rank", F.col("_a").alias("_lo"), F.col("_b").alias("_hi"),
                          (F.col("_before") + F.col("_below")).alias("_before"), F.col("_c").alias("_rows")))
-        want = track(want.where(~wide).unionByName(found).persist())
+        want = want.where(~wide).unionByName(found)
     if by:
         return _tuples_at(rows, col, by, want, keys, hot)
     flat = want.where(~(F.col("_lo") < F.col("_hi"))).select(*keys, "n", "rank", F.col("_lo").alias("value"))
     if not few:
         return flat
-    return flat.unionByName(_read_out(rows, col, x, want.where(F.col("_lo") < F.col("_hi")), keys))
+    spread = _chosen(want, F.col("_lo") < F.col("_hi"), lambda r: r["_lo"] < r["_hi"])
+    return flat.unionByName(_read_out(rows, col, x, spread, keys))
 
 
 def _read_out(rows: DataFrame, col: str, value: Column, few: DataFrame, keys: list[str]) -> DataFrame:
     """Sort the rows of each remaining range, at most ``FINE`` of them, and take the ranks."""
-    ranges = few.select(*keys, "_lo", "_hi").distinct()
+    ranges = _ranges(few, keys)
     listed = (_within(rows, col, ranges, keys).groupBy(*keys, "_lo")
               .agg(F.sort_array(F.collect_list(value)).alias("_all")).withColumnRenamed("_lo", "_from"))
     own, on = _same(few, listed, keys)
@@ -150,7 +197,7 @@ def _read_out(rows: DataFrame, col: str, value: Column, few: DataFrame, keys: li
 def _tuples_at(rows: DataFrame, col: str, by: list[str], want: DataFrame, keys: list[str], hot: int) -> DataFrame:
     whole = F.struct(col, *by)
     few = F.col("_rows") <= FINE
-    read = _read_out(rows, col, whole, want.where(few), keys)
+    read = _read_out(rows, col, whole, _chosen(want, few, lambda r: r["_rows"] <= FINE), keys)
     if not hot:
         return read
     hot = want.where(~few)                                  # more than FINE rows of one value

@@ -39,8 +39,9 @@ from heatwise.llm.scratch import Scratch
 PHI = 0.0                 # document share below which all shingles weigh the same: none
 BANDS, ROWS = 12, 4
 BLOCK = 256               # members of a bucket that meet in one task at once
-BLOCK_WORDS = 1_000_000   # words of the texts whose shingles are counted together
-RANGE_WORDS = 2_000_000   # words of all blocks whose shingles are added up in one task
+BLOCK_WORDS = 500_000     # words of the texts whose shingles are counted together
+RANGE_WORDS = 500_000     # words of all blocks whose shingles are added up together
+MOST_BUCKETS = 10_000     # files that blocks are dealt to; each holds whole blocks
 #: An estimate from 48 samples lies below this with probability 8e-07 for a pair at 0.8 (less
 #: for band mates, which already agree in four places); scaled with the threshold.
 ESTIMATE = 0.5 / 0.8
@@ -179,6 +180,7 @@ def _report(bits: int):
     def run(table: pa.Table) -> pa.Table:
         found = [part[2] for part in _block_shingles(table["text"])]
         keys, n = np.unique(np.concatenate([np.zeros(0, _U), *found]), return_counts=True)
+        del found
         cuts = np.append(np.searchsorted(keys, _ranges(bits)), len(keys))
         some = [r for r in range(1 << bits) if cuts[r] < cuts[r + 1]]
         block = table["block"][0].as_py()
@@ -186,7 +188,13 @@ def _report(bits: int):
                          pa.array([_run(keys[cuts[r]:cuts[r + 1]]) for r in some], pa.binary()),
                          pa.array([_small(n[cuts[r]:cuts[r + 1]]) for r in some], pa.binary())],
                         ["block", "range", "run", "counts"])
-    return run
+
+    def lean(table: pa.Table) -> pa.Table:
+        try:
+            return run(table)
+        finally:
+            tn.give_back()
+    return lean
 
 
 def _small(values: np.ndarray) -> bytes:
@@ -224,10 +232,13 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in zip(*(c.to_pylist() for c in batch.columns)):
             if held and held[0][1] != row[1]:
                 yield told()
-                held = []
+                held.clear()
+                tn.give_back()
             held.append(row)
     if held:
         yield told()
+    held.clear()
+    tn.give_back()
 
 
 def _sketch(texts: int, bits: int):
@@ -255,7 +266,13 @@ def _sketch(texts: int, bits: int):
                      pa.array(bands.reshape(-1).view(np.int64)))],
                 ["id", "dfs", "sig", "bands"]))
         return pa.concat_tables(out) if out else _EMPTY_SKETCH
-    return run
+
+    def lean(table: pa.Table, told: pa.Table) -> pa.Table:
+        try:
+            return run(table, told)
+        finally:
+            tn.give_back()
+    return lean
 
 
 _SKETCH = "id long, dfs binary, sig binary, bands array<long>"
@@ -444,9 +461,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marks = reps.select(block_of("rep", blocks), F.col("rep").alias("id"), "d1", "d2",
                         F.lit(None).cast("string").alias("text"), F.lit(False).alias("has"))
     dealt = (marks.union(digested.select(block_of("id", blocks), "id", "d1", "d2", "text", F.lit(True).alias("has")))
-             .repartition(blocks, "block").sortWithinPartitions("block", "id", "d1", "d2", "has"))
+             .repartition(min(blocks, MOST_BUCKETS), "block").sortWithinPartitions("block", "id", "d1", "d2", "has"))
     # bucketed by block: both passes over the blocks read their texts where they lie
-    unique = scratch.bucketed(dealt.mapInArrow(_marked, "block long, id long, text string"), "unique", "block", blocks)
+    unique = scratch.bucketed(dealt.mapInArrow(_marked, "block long, id long, text string"), "unique", "block", min(blocks, MOST_BUCKETS))
     bits = max(total // RANGE_WORDS, 1).bit_length() - 1
     reported = unique.groupBy("block").applyInArrow(_report(bits), "block long, range int, run binary, counts binary")
     answers = scratch.keep(reported.repartition("range").sortWithinPartitions("range")

@@ -6,6 +6,7 @@ own), so memory does not depend on the batch size.
 """
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +40,15 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+def give_back() -> None:
+    """Hand memory that Arrow and the C library keep for later back to the machine: a Python worker
+    lives on for the next stages, whose own peaks would come on top."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 _cache: dict[str, np.ndarray] = {}
 
 

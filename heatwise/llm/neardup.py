@@ -131,6 +131,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(a) for a in (ids[start:end].astype(np.int64), *_digests(hashes, at), np.diff(at))],
                 ["id", "d1", "d2", "n"])
+        tn.give_back()
 
 
 def _with_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,6 +143,7 @@ def _with_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             d1, d2 = _digests(hashes, at)
             yield pa.RecordBatch.from_arrays(
                 [*rows.columns, pa.array(d1), pa.array(d2)], ["id", "text", "d1", "d2"]).filter(pa.array(np.diff(at) > 0))
+        tn.give_back()
 
 
 def _block_shingles(texts: pa.ChunkedArray) -> Iterator[tuple]:
@@ -336,6 +338,8 @@ def _verify(texts: int, threshold: float):
             ok = np.array([jaccard(x, y) >= threshold - 1e-12 for x, y in zip(a, b)], dtype=bool)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).filter(pa.array(ok)), batch.column(1).filter(pa.array(ok))], ["a", "b"])
+            del a, b
+            tn.give_back()
     return run
 
 
@@ -426,15 +430,24 @@ def _joining(total: int, threshold: float, estimate: float):
 
 
 def _blocks(members: DataFrame) -> DataFrame:
-    """Deal each bucket's members to pairs of blocks; one group key for each block pair."""
-    size = members.groupBy("band", "h").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
-    dealt = (members.join(size, ["band", "h"])
-             .withColumn("own", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    """Deal each bucket's members to pairs of blocks; one group key for each block pair.
+
+    Members of the bucket's largest component need not meet each other: their blocks come
+    first and meet only the others' blocks, so a bucket of many near copies and a few outsiders
+    sends its copies about once.  A bucket of one component sends nothing."""
+    sizes = members.groupBy("band", "h", "comp").agg(F.count("*").alias("n"))
+    blocks = sizes.groupBy("band", "h").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("n")).select(
+        "band", "h", F.col("top.comp").alias("most"), F.ceil(F.col("top.n") / BLOCK).cast("int").alias("nb"),
+        F.ceil((F.col("n") - F.col("top.n")) / BLOCK).cast("int").alias("nr"))
+    most, last = F.col("comp") == F.col("most"), F.col("nb") + F.col("nr") - 1
+    dealt = (members.join(blocks.where("nr > 0"), ["band", "h"])
+             .withColumn("own", F.when(most, F.pmod(F.xxhash64("id"), F.col("nb")))
+                         .otherwise(F.col("nb") + F.pmod(F.xxhash64("id"), F.col("nr"))).cast("int"))
+             .withColumn("other", F.explode(F.sequence(F.when(most, F.col("nb")).otherwise(0), last)))
              .withColumn("part", F.least("own", "other")))
     key = F.xxhash64("band", "h", "part", F.greatest("own", "other"))
     # one group: rows of both blocks, with the pair's lower block in `part`
-    return dealt.withColumn("g", key).drop("nb", "other").dropDuplicates(["g", "id"])
+    return dealt.withColumn("g", key).drop("nb", "nr", "most", "other").dropDuplicates(["g", "id"])
 
 
 def block_of(id_col: str, blocks: int):

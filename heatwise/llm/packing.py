@@ -36,6 +36,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from heatwise.llm import textnum
+
 CAPACITY, SEGMENTS = 4096, 128
 POOL_TOKENS = 1 << 21       # a task packs when its pool holds so many
 ROWS_AT_ONCE = 1_000
@@ -234,6 +236,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
             yield from packed(batches)
         finally:
             gc.enable()
+            textnum.give_back()
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, packer = tokens(tokenizer_path, added=True), Packer(capacity, segments, loss)

@@ -78,6 +78,9 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 toxic.clear()
                 clean.clear()
     yield out()
+    toxic.clear()
+    clean.clear()
+    textnum.give_back()
 
 
 def learn_lexicon(rows: DataFrame, n_toxic: int, n_clean: int) -> list[str]:
@@ -224,7 +227,10 @@ def with_features(docs: DataFrame, lexicon: list[str], text_col: str = "text") -
         if not made:
             made.append(Measure(lexicon))
         for texts in batches:
-            yield pd.Series(list(made[0].rows(pa.array(texts, pa.string(), from_pandas=True))))
+            rows = made[0].rows(pa.array(texts, pa.string(), from_pandas=True))
+            del texts
+            textnum.give_back()
+            yield pd.Series(list(rows))
     return docs.withColumn(_FIELD, measure(F.col(text_col).cast("string")))
 
 

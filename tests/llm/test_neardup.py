@@ -6,6 +6,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from pyspark.sql import functions as F
+
 from heatwise.llm import neardup, textnum
 from heatwise.llm.neardup import near_duplicates, deduplicate
 
@@ -136,3 +138,15 @@ def test_word_and_shingle_counts(text):
     assert np.diff(sat).tolist() == [max(n - 4, min(n, 1)), 2, 0]
     if text.split() == list("abcdef"):
         assert (sh[:2] == sh[2:4]).all()
+
+
+def test_copies_of_a_hub_bucket_travel_once(spark):
+    """Rows sent for a bucket of many near copies and a few outsiders grow with the bucket."""
+    members = spark.range(5000).select(F.lit(0).alias("band"), F.lit(7).cast("long").alias("h"), "id",
+                                       F.when(F.col("id") < 4990, 0).otherwise(F.col("id")).alias("comp"))
+    sent = neardup._blocks(members).cache()
+    assert sent.count() == 4990 + 10 * (-(-4990 // neardup.BLOCK) + 1)
+    met = sent.groupBy("g").agg(F.collect_set("id").alias("ids"))
+    pairs = {(min(a, b), max(a, b)) for r in met.collect() for a in r.ids if a >= 4990 for b in r.ids if a != b}
+    assert len(pairs) == 10 * 4990 + 45
+    assert neardup._blocks(members.where("comp = 0")).count() == 0

@@ -37,6 +37,7 @@ from heatwise.llm import textnum
 from heatwise.llm.scratch import Scratch
 
 SAMPLE, LEXICON, TREES, DEPTH = 20_000, 400, 20, 4
+ROWS_AT_ONCE = 500
 PREFIXES = (4, 5, 6)
 NEAR = 40                 # characters between a lexicon hit and a pronoun
 #: Second-person words in the corpus languages.
@@ -227,10 +228,12 @@ def with_features(docs: DataFrame, lexicon: list[str], text_col: str = "text") -
         if not made:
             made.append(Measure(lexicon))
         for texts in batches:
-            rows = made[0].rows(pa.array(texts, pa.string(), from_pandas=True))
+            # a few texts at a time: their strings, Arrow columns and byte arrays exist for these only
+            rows = [made[0].rows(pa.array(texts[low:low + ROWS_AT_ONCE], pa.string(), from_pandas=True))
+                    for low in range(0, len(texts), ROWS_AT_ONCE)]
             del texts
             textnum.give_back()
-            yield pd.Series(list(rows))
+            yield pd.Series([row for part in rows for row in part])
     return docs.withColumn(_FIELD, measure(F.col(text_col).cast("string")))
 
 

@@ -73,3 +73,24 @@ def test_ten_million_distinct_values_in_one_group(spark):
     got = exact_quantiles(df, "v", [0.25, 0.5, 0.999], ["a", "b", "c"], ["g"]).first()
     want = np.quantile(np.arange(n) / 3.0, [0.25, 0.5, 0.999])
     assert [got["a"], got["b"], got["c"]] == pytest.approx(want.tolist(), rel=1e-14)
+
+
+def test_rows_of_few_groups_are_not_moved(spark, monkeypatch):
+    """The ranges go to the rows: no sort or exchange of rows by their few groups, whatever their
+    size.  (Before, all rows of a group went to one sorting task.)"""
+    seen = []
+    within = ranks._within
+
+    def kept(*args):
+        out = within(*args)
+        seen.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(ranks, "_within", kept)
+    monkeypatch.setattr(ranks, "FINE", 100)
+    n = 4000
+    df = spark.range(n).select((F.col("id") % 2).alias("g"), (F.col("id") * 7 % n).cast("double").alias("v"))
+    df = df.localCheckpoint()                    # an RDD, whose size Spark does not know
+    got = {r["g"]: r["m"] for r in exact_quantiles(df, "v", [0.5], ["m"], ["g"]).collect()}
+    assert got == {0: 1999.0, 1: 2000.0}
+    assert len(seen) >= 2 and all("SortMergeJoin" not in p and "Exchange hashpartitioning" not in p for p in seen)

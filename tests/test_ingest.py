@@ -119,3 +119,23 @@ def test_hole_size_from_name_substring_rule(spark):
     assert got2[1] == "20mm" and got2[4] == "20mm"
     p = spark.createDataFrame([("file:/d/25mm/x.csv",), ("file:/d/other/x.csv",)], "p string")
     assert [r[0] for r in p.select(hole_size_from_path(F.col("p"))).collect()] == ["25mm", None]
+
+
+def test_a_line_is_split_once_and_files_are_not_sorted(spark, tmpdir_path):
+    """(Before: the split stood in every condition and column, about twenty times a line; lines
+    were sorted to find each file's first one.)"""
+    from heatwise.sources.files import SEPARATORS, read_lines, separator_decisions
+    write(tmpdir_path, "a.txt", "1 0 0 300\n2 1 nan 301\n3 1 1 302\n")
+    df = read_readings(spark, tmpdir_path)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert sum(plan.count(f"split(value#") + plan.count("split(regexp_replace(value#") for _ in [0]) <= len(SEPARATORS)
+    assert [r["node_number"] for r in df.collect()] == ["1", "3"]
+    dec = separator_decisions(read_lines(spark, tmpdir_path))
+    assert "SortAggregate" not in dec._jdf.queryExecution().executedPlan().toString()
+
+
+def test_listing_tasks_are_set_back(spark, tmpdir_path):
+    from heatwise.sources.files import LISTING, read_lines
+    before = spark.conf.get(LISTING)
+    write(tmpdir_path, "a.txt", "1 0 0 300\n")
+    assert read_lines(spark, tmpdir_path).count() == 1 and spark.conf.get(LISTING) == before

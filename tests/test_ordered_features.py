@@ -196,3 +196,15 @@ def test_rolling_repair_across_tiny_buckets(spark, buckets):
     assert np.allclose(m["temp_rolling_mean"], m["mean"], atol=1e-9)
     assert np.allclose(m["temp_rolling_std"], m["std"], atol=1e-7)
     assert (m["temp_rolling_min"] == m["mn"]).all()
+
+
+def test_rows_are_not_moved_to_their_piece(spark):
+    """Pieces' totals and edges go to the rows.  (Before, all rows were moved to meet them.)"""
+    from pyspark.sql import functions as F
+    from heatwise.operators.ordered import value_order
+    df = spark.range(300).select(F.col("id").cast("string").alias("node_id"), (F.col("id") * 7 % 300).cast("double").alias("v"))
+    order = value_order(df, "v", "node_id", 5, 6)
+    plan = order.placed()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 2 and "Exchange hashpartitioning" not in plan
+    rows = sorted((r["_p"], r["v"], r["_min"]) for r in order.placed().collect())
+    assert [r[0] for r in rows] == list(range(300)) and [r[2] for r in rows[4:]] == [float(i) for i in range(296)]

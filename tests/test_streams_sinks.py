@@ -59,3 +59,20 @@ def test_experiment_summary_json(spark, tmpdir_path):
     assert got["best_model"] == "RandomForest" and got["fastest_model"] == "LogisticRegression"
     assert got["dataset"]["total"] == 3 and len(got["models"]) == 2
     assert abs(got["total_training_time"] - 4.0) < 1e-12
+
+
+def test_a_batch_is_parsed_once(spark, tmpdir_path, monkeypatch):
+    """The label operators read a batch's rows several times.  (Before, each read parsed the files
+    again, in plans that were not adaptive.)"""
+    from heatwise.streaming import streams
+    seen = []
+
+    def label(rows, *args, **kwargs):
+        seen.append((rows.is_cached, rows.sparkSession.conf.get("spark.sql.adaptive.enabled")))
+        return label_files(rows, *args, **kwargs)
+
+    monkeypatch.setattr(streams, "label_files", label)
+    src = os.path.join(tmpdir_path, "src")
+    sinks.write_reading_files(bridge.readings(spark, SF001), src, "whitespace")
+    streaming.stream_label(spark, src, os.path.join(tmpdir_path, "sink"), os.path.join(tmpdir_path, "ck"), "four").awaitTermination()
+    assert seen == [(True, "true")]

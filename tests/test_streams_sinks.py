@@ -76,3 +76,27 @@ def test_a_batch_is_parsed_once(spark, tmpdir_path, monkeypatch):
     sinks.write_reading_files(bridge.readings(spark, SF001), src, "whitespace")
     streaming.stream_label(spark, src, os.path.join(tmpdir_path, "sink"), os.path.join(tmpdir_path, "ck"), "four").awaitTermination()
     assert seen == [(True, "true")]
+
+
+def test_a_small_batch_takes_few_jobs(spark, tmpdir_path):
+    """Each micro-batch pays for its jobs, however few its rows.  (Before, this batch took 30 jobs:
+    quantiles had passes and joins of their own.)"""
+    src = os.path.join(tmpdir_path, "src")
+    sinks.write_reading_files(bridge.readings(spark, SF001), src, "whitespace")
+    q = streaming.stream_label(spark, src, os.path.join(tmpdir_path, "sink"), os.path.join(tmpdir_path, "ck"), "four")
+    q.awaitTermination()
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(str(q.runId))
+    assert 0 < len(jobs) <= 24
+
+
+def test_labels_are_alike_with_quantiles_read_out_or_counted(spark, monkeypatch):
+    from heatwise.operators import labels, ranks
+    rows = spark.createDataFrame([(f, "20mm" if f else None, float(t)) for f in ("a", "b", None) for t in range(251, 400, 7)]
+                                 + [("c", "30mm", float("nan")), ("c", "30mm", None), ("d", "40mm", 310.0)],
+                                 "file_name string, hole_size string, temperature double")
+    for policy in ("four", "three"):
+        found = []
+        for fine in (ranks.FINE, 5):
+            monkeypatch.setattr(labels, "FINE", fine)
+            found.append(sorted(map(str, label_files(rows, policy, files=rows).drop("file_idx").collect())))
+        assert found[0] == found[1] and len(found[0]) == 5
